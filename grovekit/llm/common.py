@@ -7,9 +7,10 @@ by the longest single text rather than by its partition.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -47,8 +48,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Intermediates that are still there.
+OPEN: list[Table] = []
+
+
 class Table:
-    """A written intermediate: lineage ends here, any executor can read it, ``drop`` frees the space early."""
+    """A written intermediate: lineage ends here and any executor can read it.
+
+    It stays while results that read it may be used: until ``drop``, ``release`` or the driver's end.
+    """
 
     def __init__(self, df: DataFrame, label: str, by: str | None = None):
         self.spark = df.sparkSession
@@ -56,12 +64,27 @@ class Table:
         w = df.write.option("compression", "zstd")
         (w.partitionBy(by) if by else w).parquet(self.path)
         self.schema = df.schema
+        OPEN.append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        _delete(self.spark, self.path)
+        if self in OPEN:
+            OPEN.remove(self)
+            _delete(self.spark, self.path)
+
+
+def release(first: int = 0) -> None:
+    """Drops the intermediates from number ``first`` of OPEN on; results that read them must have been written."""
+    for t in OPEN[first:]:
+        t.drop()
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        release()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,13 +95,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep_until_gone(df: DataFrame, *tables: Table) -> DataFrame:
-    """Drops tables once nothing in the driver refers to ``df`` any more."""
-    for t in tables:
-        weakref.finalize(df, t.drop)
-    return df
-
-
 def two(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, importable, keep_until_gone, slices, two
+from .common import Table, importable, slices, two
 
 WIDTH = 64
 TILE = (16, 16)
@@ -190,4 +190,4 @@ def text_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
             n, sha, crc, size, media, tile_sha = cols
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.string()), batch.column(4), pa.array(tile_sha, pa.string())], names=[f.split()[0] for f in schema.split(", ")])
 
-    return keep_until_gone(stored.read().select("doc_id", "n_bytes", "npy", "tile_npy", F.col("dhash")).mapInArrow(run, schema), stored)
+    return stored.read().select("doc_id", "n_bytes", "npy", "tile_npy", F.col("dhash")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, importable, keep_until_gone, pack, two
+from .common import Table, importable, pack, two
 from .tokens import token_slices
 
 
@@ -194,4 +194,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: in
             yield pa.RecordBatch.from_arrays([*(col[n] for n in names), pa.array(sequence), pa.array(p["off"][at])], names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
-    return keep_until_gone(ranked.mapInArrow(run, schema), stored)
+    return ranked.mapInArrow(run, schema)

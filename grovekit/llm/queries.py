@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, repair, rollup
+from . import media, packing, pieces, repair, repetition, rollup, templates
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_output(spark, _read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -28,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(spark, _read(spark, sf_dir, "documents"))
 
@@ -51,6 +59,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(spark, _read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, max(toxic) AS toxic, bool_or(quality = 0 AND toxic = 0) AS low FROM labels GROUP BY doc_id),
@@ -63,9 +75,12 @@ SELECT source, lang, 'bytes-1', count(*)::BIGINT, sum(strlen(text))::BIGINT FROM
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
 }
-SQL: dict[str, str] = {"op8_token_counts": OP8_SQL}
+SQL: dict[str, str] = {"op6_line_dedup": templates.SQL, "op8_token_counts": OP8_SQL}
