@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, repair, repetition, rollup, templates
+from . import media, ngram_join, packing, pieces, repair, repetition, rollup, templates
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(spark, _read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(_read(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ SELECT source, lang, 'bytes-1', count(*)::BIGINT, sum(strlen(text))::BIGINT FROM
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
