@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, ngram_join, packing, pieces, repair, repetition, rollup, templates
+from . import media, ngram_join, packing, pieces, repair, repetition, rollup, substrings, templates
 
 
 def _vocabulary(name: str) -> str:
@@ -63,6 +63,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll.totals()
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(spark, _read(spark, sf_dir, "documents"), length=400)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(spark, _read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {"op6_line_dedup": templates.SQL, "op8_token_counts": OP8_SQL}
