@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, ngram_join, packing, pieces, repair, repetition, rollup, substrings, templates
+from . import media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, substrings, templates
 
 
 def _vocabulary(name: str) -> str:
@@ -24,6 +24,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(spark, _read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = paragraphs.paragraph_report(spark, _read(spark, sf_dir, "documents"))
+    return report.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(_read(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ SELECT source, lang, 'bytes-1', count(*)::BIGINT, sum(strlen(text))::BIGINT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_best_fit_packing": op5_best_fit_packing,
