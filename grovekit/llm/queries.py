@@ -62,7 +62,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     roll.apply("001-takedown", gone)
     low = labels.where("quality = 0 AND toxic = 0").select(F.col("doc_id").alias("d")).distinct()
     kinds = F.size(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), rollup.WS), lambda w: w != ""))).cast("long")
-    revised = docs.join(low, F.col("doc_id") == F.col("d")).select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer_version"), kinds.alias("tokens"), F.lit("revise").alias("op"))
+    counted = docs.select("doc_id", "source", "lang", kinds.alias("tokens"))  # before the join, so that no text is shuffled
+    revised = counted.join(low, F.col("doc_id") == F.col("d")).select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer_version"), "tokens", F.lit("revise").alias("op"))
     roll.apply("002-revision", revised)
     roll.apply("001-takedown", gone)
     return roll.totals()
