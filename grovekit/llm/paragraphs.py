@@ -4,6 +4,9 @@ Paragraphs are a text's lines with a word. Each is its set of word shingles; equ
 ``bands`` x ``rows`` minima are cut into bands; at similarity 0.8 a pair collides in some band with probability
 1 - (1 - 0.8**4)**14 = 0.9994. Only band values that two paragraphs have are listed; colliding paragraphs are verified by exact
 Jaccard, and of each component the first paragraph (by doc_id, then place) stays.
+
+Passages also sit inside longer paragraphs. So every sentence is looked up verbatim, as a paragraph of its own that needs no
+bands; runs of sentences that occur earlier go where they have ``least_run`` words or more together.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Table, edges_of, importable, mix, pack, row_bounds, shingles_of, slices, word_hashes
+from .common import SPACE, U64, Table, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingles_of, slices, span_hash, word_hashes, words_of
 from .sharing import components, key32, linked_sets, set_id, shared_keys
 
 BANDS, ROWS = 14, 4
@@ -35,6 +38,29 @@ def _paragraphs(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     return row, a, b, [shingles_of(h[i:j], k) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end, words and 128-bit hash (two columns) of each sentence: words up to one that ends in . or ?, or the line's end."""
+    a, b = words_of(data, offs)
+    if not len(a):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z, np.zeros((0, 2), U64)
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    h, row = span_hash(prefix_hash(low), a, b), np.searchsorted(offs, a, "right") - 1
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    last = np.isin(data[b - 1], (46, 63))
+    last[:-1] |= (row[1:] != row[:-1]) | (breaks[a[1:]] > breaks[b[:-1]])
+    last[-1] = True
+    j = np.flatnonzero(last)
+    i = np.concatenate([[0], j[:-1] + 1])
+    both = []
+    for seed in (1, 2):
+        power = np.cumprod(np.full(len(h), _SEEDS[seed]))
+        inverse = np.cumprod(np.full(len(h), U64(pow(int(_SEEDS[seed]), -1, 1 << 64))))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(seed)) * power)])
+        both.append(mix((total[j + 1] - total[i]) * inverse[i] + (j - i).astype(U64)))
+    return row[i], a[i], b[j], j - i + 1, np.stack(both, 1)
+
+
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BANDS) band values; multiply-shift permutations of the hashes, minima over each set."""
     if not sets:
@@ -50,14 +76,18 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, root; root is null if it is like no other one."""
+def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
+    """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, n, root, and unit (line, or sentence where another text may have it).
+
+    root is what a paragraph's component shares: the least set id in it, for a sentence its hash.
+    """
     importable(spark)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offs in slices(batches):
             sets = list({pack(s): s for s in _paragraphs(data, offs, k)[3]}.values())
-            yield key32(bands_of(sets).reshape(-1))
+            _, _, _, words, sentence = _sentences(data, offs)
+            yield np.concatenate([key32(bands_of(sets).reshape(-1)), key32(sentence[words >= least_sentence, 0])])
 
     known = spark.sparkContext.broadcast(shared_keys(docs, keys, 0.05))
 
@@ -77,6 +107,9 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent
                 if use[j].any():
                     out.append(("set", None, None, None, None, sig[i], len(sets[i]), None, pack(sets[i])))
                     out += [("key", None, None, None, None, sig[i], len(sets[i]), x, None) for x in bands[j][use[j]].view(np.int64).tolist()]
+            row, a, b, words, sentence = _sentences(data, offs)
+            again = np.flatnonzero((words >= least_sentence) & known.value.shared(key32(sentence[:, 0])))
+            out += [("sentence", doc[r], h[r], x - offs[r], y - offs[r], pack(g), n, None, None) for r, x, y, g, n in zip(row[again].tolist(), a[again].tolist(), b[again].tolist(), sentence[again], words[again].tolist(), strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * 9
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "doc_id", "h", "start", "end", "sig", "n", "key", "blob"])
@@ -85,21 +118,48 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent
     sets = stored.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
     postings = stored.where("kind = 'key'").select("key", "sig", "n", F.lit(0).alias("pos"))
     groups = components(linked_sets(postings, sets, percent)).select(F.col("id").alias("s"), "root")
-    lines = stored.where("kind = 'line'").select("doc_id", "h", "start", "end", "sig", "n")
-    return lines.join(groups, F.col("sig") == F.col("s"), "left").drop("s").withColumn("root", F.coalesce("root", "sig"))
+    unit = stored.where("kind IN ('line', 'sentence')").select(F.col("kind").alias("unit"), "doc_id", "h", "start", "end", "sig", "n")
+    return unit.join(groups, F.col("sig") == F.col("s"), "left").drop("s").withColumn("root", F.coalesce("root", "sig"))
 
 
-def _removed(spark: SparkSession, docs: DataFrame, k: int, percent: int, least_words: int) -> DataFrame:
-    """doc_id, h, spans of the paragraphs to remove and the least doc_id of each one's component."""
-    lines = paragraph_clusters(spark, docs, k, percent).where(F.col("n") + F.lit(k - 1) >= least_words)
+def _repeated(spark: SparkSession, docs: DataFrame, k: int, percent: int, least_words: int) -> DataFrame:
+    """doc_id, h and the spans with a copy elsewhere: place, unit, words, is it the first, and the doc_id that has the first."""
+    words = F.when(F.col("unit") == "line", F.col("n") + F.lit(k - 1)).otherwise(F.col("n"))
+    units = paragraph_clusters(spark, docs, k, percent).withColumn("words", words).where((F.col("unit") == "sentence") | (F.col("words") >= least_words))
     place = F.struct("doc_id", "h", "start")
-    first = lines.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("root").alias("r"), "first")
-    gone = lines.join(first, F.col("root") == F.col("r")).where(place != F.col("first"))
-    return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"), F.col("first.doc_id").alias("kept_in")))).alias("spans"))
-
-
-def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, least_words: int = 10) -> DataFrame:
-    """doc_id, n_bytes, n_paragraphs, n_removed (paragraphs), removed_bytes, kept_in (doc_ids that keep them), kept_text per row.
+    first = units.groupBy("unit", "root").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("unit").alias("u"), F.col("root").alias("r"), "first")
+    met = units.join(first, (F.col("unit") == F.col("u")) & (F.col("root") == F.col("r")))
+    span = F.struct(F.col("start").alias("a"), F.col("end").alias("b"), F.col("unit").alias("unit"), F.col("words").alias("words"), (place == F.col("first")).alias("first"), F.col("first.doc_id").alias("kept_in"))
+    return met.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+
+
+def _decide(spans: list[dict], least_run: int) -> tuple[list[tuple[int, int]], set[int], int]:
+    """Byte spans to remove, the doc_ids that keep them, and how many paragraphs have a copy, first ones included."""
+    lines = [(x["a"], x["b"]) for x in spans if x["unit"] == "line" and not x["first"]]
+    inside = lambda x: any(a <= x["a"] and x["b"] <= b for a, b in lines)
+    into = {x["kept_in"] for x in spans if x["unit"] == "line" and not x["first"]}
+    copied = sum(x["unit"] == "line" for x in spans)
+    run: list[dict] = []
+
+    def close() -> None:
+        nonlocal copied
+        if sum(x["words"] for x in run) >= least_run:
+            copied += 1
+            if gone := [x for x in run if not x["first"]]:
+                lines.extend((x["a"], x["b"]) for x in gone)
+                into.update(x["kept_in"] for x in gone)
+        run.clear()
+
+    for x in (x for x in spans if x["unit"] == "sentence" and not inside(x)):
+        if run and x["a"] > run[-1]["b"] + 1:
+            close()
+        run.append(x)
+    close()
+    return sorted(set(lines)), into, copied
+
+
+def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, least_words: int = 10, least_run: int = 20) -> DataFrame:
+    """doc_id, n_bytes, n_paragraphs, n_repeated (paragraphs with a copy, kept ones too), n_removed (spans), removed_bytes, kept_in (doc_ids that keep them), kept_text per row.
 
     A paragraph of fewer than ``least_words`` words never goes (sets of n shingles stand for n + k - 1 words).
     Null texts count as empty: nothing goes; repeated rows count as one text, a copy under another doc_id loses its paragraphs;
@@ -108,7 +168,7 @@ def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
     importable(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     text = F.col("text").cast("string")
-    gone = _removed(spark, docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), k, percent, least_words)
+    gone = _repeated(spark, docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), k, percent, least_words)
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans")
     joined = docs.select("doc_id", text.alias("text")).join(gone, (key == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
 
@@ -117,15 +177,15 @@ def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
             out = []
             for i, spans in enumerate(rows.column(2).to_pylist()):
                 raw, at, kept = data[offs[i] : offs[i + 1]].tobytes(), 0, []
-                spans = list({(x["a"], x["b"]): x["kept_in"] for x in spans or ()}.items())
-                for (a, b), _ in spans:
+                spans, into, copied = _decide(spans or [], least_run)
+                for a, b in spans:
                     kept.append(raw[at:a])
-                    at = min(b + 1, len(raw))  # with its line end
+                    at = max(at, min(b + 1, len(raw)))  # with the line end or space after it
                 kept.append(raw[at:])
                 kept = b"".join(kept)
                 lines = sum(1 for x in raw.split(b"\n") if x.strip(b" \t\r\x0b\x0c"))
-                out.append((len(raw), lines, len(spans), len(raw) - len(kept), sorted({d for _, d in spans}), kept.decode(errors="ignore")))
-            n, lines, k_, size, into, kept = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, lines, k_, size)), pa.array(into, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_paragraphs", "n_removed", "removed_bytes", "kept_in", "kept_text"])
+                out.append((len(raw), lines, copied, len(spans), len(raw) - len(kept), sorted(into), kept.decode(errors="ignore")))
+            n, lines, copied, k_, size, into, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, lines, copied, k_, size)), pa.array(into, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "removed_bytes", "kept_in", "kept_text"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_paragraphs long, n_removed long, removed_bytes long, kept_in array<long>, kept_text string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_paragraphs long, n_repeated long, n_removed long, removed_bytes long, kept_in array<long>, kept_text string")
