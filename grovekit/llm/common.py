@@ -100,8 +100,9 @@ def two(docs: DataFrame) -> DataFrame:
 
 
 def size_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (file sizes for scans); only used to choose numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate (file sizes for scans), 0 where it has none; only used to choose numbers of partitions."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 56 else 0
 
 
 def parts_for(spark: SparkSession, nbytes: int, each: int = 8 << 20) -> int:
