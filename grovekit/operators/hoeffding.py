@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import impurity
@@ -104,7 +104,7 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
     rows = df.select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *attributes)
     while span:
         open_ = sorted(span)
-        begin = {p: nodes[p].at for p in open_}
+        begin, seen = {p: nodes[p].at for p in open_}, {p: nodes[p].n for p in open_}
         stop = {p: min(begin[p] + span[p], total) for p in open_}
         lo = F.create_map(*[F.lit(v) for p in open_ for v in (p, begin[p])])
         hi = F.create_map(*[F.lit(v) for p in open_ for v in (p, stop[p])])
@@ -115,8 +115,11 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
             pdf = pdf.sort_values("_o")
             x, y, o = pdf[attributes].to_numpy(float), pdf["_y"].to_numpy(), pdf["_o"].to_numpy()
             counts = np.bincount(y, minlength=classes)
+            other = np.flatnonzero(y != y[0])
+            pure = int(other[0]) if len(other) else len(y)  # so many rows of one class come first
+            done = seen[pdf["leaf"].iloc[0]]  # checked in the round before
             for t in range(c.chunk, len(y) + 1, c.chunk):
-                if len(set(y[:t].tolist())) > 1:
+                if t > pure and t > done:
                     what, a, threshold = decide(x[:t], y[:t], classes, c)
                     if what != "wait":
                         counts = np.bincount(y[:t], minlength=classes)
@@ -131,7 +134,7 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
             if r is not None:
                 n.n, n.cls = r["n"], r["cls"]
             if r is None or r["what"] == "wait":
-                span[p] *= 2
+                span[p] *= 8
                 if stop[p] >= total or span[p] > c.max_rows:
                     del span[p]
                 continue
@@ -152,24 +155,11 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
     r = 1.0 if c.gini else math.log2(max(2, classes))
     while open_:
         routed = df.withColumn("_leaf", route(nodes)).where(F.col("_leaf").isin(open_))
-        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("double").alias("v")) for a in attributes])
-        counts = routed.select("_leaf", F.col(cls).alias("_y"), F.explode(pairs).alias("p")).groupBy("_leaf", "p.a", "p.v", "_y").agg(F.count("*").alias("n"))
         total = routed.groupBy(F.col("_leaf").alias("leaf"), F.col(cls).alias("y")).agg(F.count("*").alias("n")).collect()  # leaves x classes
-        wide = counts.groupBy("_leaf", "a", "v").pivot("_y", list(range(classes))).agg(F.sum("n")).fillna(0)
-
-        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("v")
-            y = pdf[[str(k) for k in range(classes)]].to_numpy(float)
-            b = y.cumsum(0)
-            n, m = b[-1].sum(), len(b) - 1
-            if m < 1:
-                return pd.DataFrame(columns=["leaf", "attr", "index", "threshold"])
-            nb = b[:-1].sum(1)
-            index = (nb * _impurity(b[:-1], c.gini) + (n - nb) * _impurity(b[-1] - b[:-1], c.gini)) / n + (math.log2(m) / n if m > 1 and not c.gini else 0)
-            k = np.argsort(index, kind="stable")[:2]
-            return pd.DataFrame({"leaf": pdf["_leaf"].iloc[0], "attr": pdf["a"].iloc[0], "index": index[k], "threshold": pdf["v"].to_numpy()[k + 1]})
-
-        cuts = wide.groupBy("_leaf", "a").applyInPandas(scan, "leaf string, attr string, index double, threshold double").collect()  # two a leaf and attribute
+        found = impurity.cuts(routed, attributes, cls, list(range(classes)), ["_leaf"])
+        ranked = found.withColumn("index", F.col("gini")) if c.gini else impurity.with_mdl(found)
+        two_best = F.row_number().over(Window.partitionBy("_leaf").orderBy("index", "attr", "value"))
+        cuts = ranked.withColumn("_r", two_best).where("_r <= 2").select(F.col("_leaf").alias("leaf"), "attr", "index", F.col("value").alias("threshold")).collect()  # two a leaf
         nxt: list[str] = []
         for p in open_:
             y = np.zeros(classes)
@@ -184,7 +174,7 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
             whole = float(_impurity(y, c.gini))
             bound = math.sqrt(r * r * math.log(len(attributes) / c.delta) / (2 * n.n))
             if whole - two[0][0] > c.pre_prune and (two[1][0] - two[0][0] > bound or bound < c.tie):
-                n.attr, n.threshold = two[0][1], two[0][2]
+                n.attr, n.threshold = two[0][1], float(np.nextafter(two[0][2], np.inf))  # values up to the cut's go left
                 nxt += [p + "L", p + "R"]
         nodes.update({p: Node(p) for p in nxt})
         open_ = nxt

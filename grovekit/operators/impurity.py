@@ -44,35 +44,49 @@ def discrete_index(counts: DataFrame) -> DataFrame:
     return parts.withColumn("w", F.col("nv") / whole).groupBy("attr").agg(F.sum(F.col("w") * F.col("g")).alias("gini"), F.sum(F.col("w") * F.col("e")).alias("entropy"))
 
 
-def cuts(df: DataFrame, attributes: list[str], cls: str) -> DataFrame:
-    """attr, value, below_n, above_n, gini and entropy of each cut ``value >= cut`` at an attribute's own values but the last.
+def cuts(df: DataFrame, attributes: list[str], cls: str, classes: list | None = None, leaf: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """attr, value, below_n, above_n, gini, entropy and cuts (their number) for each cut after an attribute's value but the last, per leaf.
 
-    Counts are aggregated per (attr, value, cls) first; prefix sums then run over distinct values, never over rows.
+    One aggregate gives a row per distinct value with a count for each class. Prefix sums run within ranges of an attribute's
+    values (its approximate quantiles), and only the ranges' totals are added up beside them, so no attribute is one task.
     """
-    counts = melt(df, attributes, cls).groupBy("attr", "value", "cls").agg(F.count("*").alias("n"))
-    classes = df.select(F.col(cls).alias("cls")).distinct()
-    grid = counts.select("attr", "value").distinct().crossJoin(F.broadcast(classes))  # a class label's domain
-    full = grid.join(counts, ["attr", "value", "cls"], "left").fillna({"n": 0})
-    run = Window.partitionBy("attr", "cls").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("attr", "cls")
-    c = full.withColumn("b", F.sum("n").over(run)).withColumn("a", F.sum("n").over(total) - F.col("b"))
-    cut = Window.partitionBy("attr", "value")
-    for s in ("b", "a"):
-        t = F.sum(s).over(cut)
-        p = F.when(t > 0, F.col(s) / F.nullif(t, F.lit(0))).otherwise(0.0)
-        c = c.withColumn(f"{s}_n", t).withColumn(f"{s}_p", p)
-    e = lambda s: F.when(F.col(f"{s}_p") > 0, -F.col(f"{s}_p") * lg(F.col(f"{s}_p"))).otherwise(0.0)
-    per = c.groupBy("attr", "value", "b_n", "a_n").agg(*(f for s in ("b", "a") for f in ((1 - F.sum(F.col(f"{s}_p") * F.col(f"{s}_p"))).alias(f"{s}_g"), F.sum(e(s)).alias(f"{s}_e"))))
-    n = F.col("b_n") + F.col("a_n")
-    mix = lambda k: F.col("b_n") / n * F.col(f"b_{k}") + F.col("a_n") / n * F.col(f"a_{k}")
-    return per.where("a_n > 0").select("attr", "value", F.col("b_n").alias("below_n"), F.col("a_n").alias("above_n"), mix("g").alias("gini"), mix("e").alias("entropy"))
+    spark, key = df.sparkSession, [*(leaf or []), "attr"]
+    if classes is None:
+        classes = sorted(r[0] for r in df.select(cls).distinct().collect() if r[0] is not None)  # a label's domain
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)] or [F.lit(1.0)])
+    got = df.agg(*[F.percentile_approx(F.col(a).cast("double"), at, 1000).alias(a) for a in attributes]).first()
+    bounds = F.create_map(*[x for a in attributes for x in (F.lit(a), F.array(*[F.lit(float(v)) for v in sorted(set(got[a] or []))]).cast("array<double>"))])
+    pairs = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("double").alias("value")) for a in attributes])
+    long = df.select(*(leaf or []), F.col(cls).alias("_y"), F.explode(pairs).alias("p")).select(*(leaf or []), "_y", "p.attr", "p.value")
+    names = [f"_c{i}" for i in range(len(classes))]
+    wide = long.groupBy(*key, "value").agg(*[F.count_if(F.col("_y") == k).alias(c) for c, k in zip(names, classes, strict=True)])
+    wide = wide.withColumn("_part", F.size(F.filter(bounds[F.col("attr")], lambda v: v < F.col("value"))))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
+    totals = wide.groupBy(*key, "_part").agg(F.count("*").alias("_v"), *[F.sum(c).alias(c) for c in names])
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*key, "_part"])], F.sum("_v").over(whole).alias("_values"), *[x for c in names for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0"), F.sum(c).over(whole).alias(f"{c}_t"))])
+    same = F.lit(True)
+    for i, k in enumerate([*key, "_part"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    run = Window.partitionBy(*key, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    c = wide.join(F.broadcast(totals) if not leaf else totals, same)  # at most attributes x ranges rows without leaves
+    below = [F.col(f"{x}_0") + F.sum(x).over(run) for x in names]
+    c = c.select(*key, "value", "_values", *[b.alias(f"_b{i}") for i, b in enumerate(below)], *[F.col(f"{x}_t").alias(f"_t{i}") for i, x in enumerate(names)])
+    b = [F.col(f"_b{i}").cast("double") for i in range(len(names))]
+    a = [(F.col(f"_t{i}") - F.col(f"_b{i}")).cast("double") for i in range(len(names))]
+    add = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0.0)
+    nb, na = add(b), add(a)
+    gini = lambda xs, m: 1 - add([F.pow(x / m, 2) for x in xs])
+    entropy = lambda xs, m: add([F.when(x > 0, -(x / m) * lg(x / m)).otherwise(0.0) for x in xs])
+    mixed = lambda f: nb / (nb + na) * f(b, F.nullif(nb, F.lit(0.0))) + na / (nb + na) * f(a, F.nullif(na, F.lit(0.0)))
+    return c.where((na > 0) & (nb > 0)).select(*key, "value", nb.cast("long").alias("below_n"), na.cast("long").alias("above_n"), mixed(gini).alias("gini"), mixed(entropy).alias("entropy"), (F.col("_values") - 1).alias("cuts"))
 
 
 def with_mdl(c: DataFrame) -> DataFrame:
-    """Adds index: entropy and the description length lg(cuts) / n of choosing a cut (0 for one)."""
-    k = F.count("*").over(Window.partitionBy("attr"))
+    """Adds index: entropy and the description length lg(cuts) / n of choosing a cut (0 for one); takes cuts off."""
     n = F.col("below_n") + F.col("above_n")
-    return c.withColumn("index", F.col("entropy") + F.when(k > 1, lg(k.cast("double")) / n).otherwise(0.0))
+    return c.withColumn("index", F.col("entropy") + F.when(F.col("cuts") > 1, lg(F.col("cuts").cast("double")) / n).otherwise(0.0)).drop("cuts")
 
 
 def best_cuts(c: DataFrame, index: str = "index", k: int = 2) -> DataFrame:

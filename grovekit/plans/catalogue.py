@@ -148,7 +148,7 @@ query("entropy_discrete", f"SELECT attr, entropy FROM ({_DISC})")(lambda s, d: _
 query("gini_string", """WITH p AS (SELECT event_type, props, n / sum(n) OVER (PARTITION BY props) AS p, n FROM (SELECT event_type, left(props, 12) AS props, count(*) AS n FROM events GROUP BY ALL)), v AS (SELECT props, sum(n) AS nv, 1 - sum(p * p) AS g FROM p GROUP BY 1)
 SELECT 'props' AS attr, round(sum(nv * g) / sum(nv), 6) AS gini FROM v""")(lambda s, d: rounded(impurity.discrete_index(impurity.discrete_counts(read(s, d, "events").select(F.substring("props", 1, 12).alias("props"), "event_type"), ["props"], "event_type")), "gini").select("attr", "gini"))
 _cuts = lambda s, d: impurity.cuts(learnable(s, d).select("l_quantity", "l_discount", "l_tax", "l_extendedprice", "cls"), ATTRS, "cls")
-query("gini_continuous", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(_cuts(s, d).where("attr <> 'l_extendedprice'"), "gini").drop("entropy"))
+query("gini_continuous", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(_cuts(s, d).where("attr <> 'l_extendedprice'"), "gini").drop("entropy", "cuts"))
 query("entropy_continuous_mdl", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)).where("attr <> 'l_extendedprice'"), "index").drop("gini", "entropy"))
 query("split_top2", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(index, 6) AS index, row_number() OVER (ORDER BY index, attr, value) AS rank FROM m ORDER BY index, attr, value LIMIT 2")(
     lambda s, d: rounded(impurity.best_cuts(impurity.with_mdl(_cuts(s, d))), "gini", "entropy", "index")
