@@ -87,3 +87,17 @@ def test_streaming_models(spark):
     t.update(df, 0)
     t.update(df, 1)
     assert t.status() == {"rows": 8000, "nodes": 3, "depth": 1}
+
+
+def test_cli(spark, tmp_path, capsys):
+    from grovekit import cli
+
+    spark.range(3000).select(F.floor(F.col("id") / 300).cast("double").alias("x"), (F.col("id") * 7 % 11).cast("double").alias("z"), (F.col("id") >= 1500).cast("int").alias("y")).write.parquet(str(tmp_path / "t.parquet"))
+    cli.main(["tree", "--learn", str(tmp_path / "t.parquet"), "--test", str(tmp_path / "t.parquet"), "--attributes", "x,z", "--cls", "y", "--classes", "2"])
+    assert '"errorRate": 0.0' in capsys.readouterr().out
+    (tmp_path / "p.csv").write_text("".join(f"{i % 3 * 100},{i % 2},{i % 3}\n" for i in range(60)))
+    cli.main(["cluster", "--input", str(tmp_path / "p.csv"), "--fields", "0-1", "--threshold", "50", "--output", str(tmp_path / "o")])
+    assert spark.read.text(str(tmp_path / "o/cf")).count() == 3
+    cli.main(["preprocess", "--input", str(tmp_path / "t.parquet"), "--output", str(tmp_path / "q"), "--clip", "0", "10", "x", "--normalize", "x", "--select", "x", "--seed", "s"])
+    assert spark.read.text(str(tmp_path / "q")).count() == 3000
+    cli.main(["profile", "--input", str(tmp_path / "t.parquet")])
