@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Table, importable, mix, parts_for, prefix_hash, size_bytes, slices, span_hash
+from .common import U64, Table, cut, importable, mix, parts_for, prefix_hash, size_bytes, slices, span_hash
 from .sharing import key32, shared_keys
 
 #: Different segments of one anchor that a task sorts together; more go by window hashes.
 SORTED_TOGETHER = 48
-BROADCAST_ROWS = 200_000
+#: Lists of up to so many anchors (8 bytes each) are sent to all executors; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SHALLOW_KEYS = 2
+#: Neighbouring windows that are looked at together first.
+BLOCK = 8
 
 
 # Sorting
@@ -177,7 +180,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, shallow: int) -> tu
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (row[start][1:] != row[start][:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(start)]]) - 1
-    return row[start[first]], x[first], h[x[first]], start[first], start[last], s
+    return row[start[first]], x[first], mix(h[x[first]]), start[first], start[last], s  # least hashes are small numbers: mixed, they spread as keys
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100) -> DataFrame:
@@ -208,13 +211,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shal
             yield pa.RecordBatch.from_arrays([doc.take(take), h.take(take), pa.array(x - offs[row]), pa.array(fp.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(body, pa.binary())], names=["doc_id", "h", "x", "fp", "seg", "low", "high", "body"])
 
     found = Table(docs.mapInArrow(segments, "doc_id long, h long, x long, fp long, seg long, low int, high int, body binary"), "segments")
+    known.destroy()  # written: nothing will be computed from it again
     places = found.read()
-    kinds = places.groupBy("fp", "seg").agg(F.count("*").alias("k"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("body").alias("body"))
-    distinct = Table(kinds, "distinct-segments")
-    kinds = distinct.read()
-    by = kinds.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1")
+    counted_ = places.groupBy("fp", "seg").agg(F.count("*").alias("k"), F.max("low").alias("low"), F.max("high").alias("high"))
+    kinds = Table(counted_, "segment-counts").read()
+    by = cut(kinds.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
     several, many = by.where(F.col("c") <= SORTED_TOGETHER).select(F.col("fp").alias("f")), by.where(F.col("c") > SORTED_TOGETHER).select(F.col("fp").alias("f"))
-    few = kinds.join(several, F.col("fp") == F.col("f"), "left_semi")
+
+    def bodies(of: DataFrame) -> DataFrame:
+        """One row for each different segment of these anchors; only these segments' bytes are shuffled."""
+        side = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
+        met = places.where("body IS NOT NULL").join(side, F.col("fp") == F.col("f"), "left_semi")
+        return met.groupBy("fp", "seg").agg(F.max("body").alias("body"), F.max("low").alias("low"), F.max("high").alias("high"))
+
     n = parts_for(spark, 2 * size_bytes(kinds))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,24 +254,46 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shal
         if out:
             yield flush()
 
-    sorted_ = few.select("fp", "seg", "body", "low", "high").repartition(n, "fp").sortWithinPartitions("fp", "seg").mapInArrow(together, "fp long, seg long, p array<int>, q array<int>")
+    sorted_ = bodies(several).repartition(n, "fp").sortWithinPartitions("fp", "seg").mapInArrow(together, "fp long, seg long, p array<int>, q array<int>")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each segment and block of BLOCK neighbouring windows: hashes of their common bytes, of all their bytes, and of each."""
+        names = ["fp", "seg", "b", "core", "whole", "o", "w"]
         for rows, data, offs in slices(batches, "body"):
             s, high = prefix_hash(data), rows.column(rows.schema.get_field_index("high")).to_numpy().astype(np.int64)
             each = np.diff(offs) - length + 1
             i = np.repeat(np.arange(len(each)), each)
             at = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
-            a = offs[i] + at
-            o = high[i] - at
+            a, o = offs[i] + at, high[i] - at
             code = mix(span_hash(s, a, a + length) ^ mix(o.astype(U64)))
-            take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(o.astype(np.int32)), pa.array(code.view(np.int64))], names=["fp", "seg", "o", "w"])
-
-    lot = kinds.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, F.col("fp") == F.col("f"), "left_semi")
-    hashed = Table(lot.select("fp", "seg", "body", "high").mapInArrow(windows, "fp long, seg long, o int, w long"), "windows").read()
-    twice = hashed.groupBy("fp", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("fp").alias("f"), F.col("w").alias("v"))
-    counted = hashed.join(twice, (F.col("fp") == F.col("f")) & (F.col("w") == F.col("v"))).groupBy("fp", "seg").agg(F.collect_list("o").alias("p")).select("fp", "seg", "p", F.col("p").alias("q"))
+            block = o // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1])])) if len(i) else np.zeros(0, np.int64)
+            x = offs[i[first]] + high[i[first]]  # the anchor's place
+            b = block[first]
+            core = mix(span_hash(s, x - b * BLOCK, x - b * BLOCK - BLOCK + 1 + length) ^ mix(b.astype(U64)))
+            start, end = x - b * BLOCK - BLOCK + 1, x - b * BLOCK + length
+            inside = (start >= offs[i[first]]) & (end <= offs[i[first] + 1])
+            whole = mix(span_hash(s, np.maximum(start, 0), np.minimum(end, len(data))) ^ mix(b.astype(U64)))
+            ends = pa.array(np.append(first, len(i)).astype(np.int32))
+            take = pa.array(i[first])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(b), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~inside), pa.ListArray.from_arrays(ends, pa.array(o.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(code.view(np.int64)))], names=names)
+
+    hashed = Table(bodies(many).select("fp", "seg", "body", "high").mapInArrow(blocks, "fp long, seg long, b long, core long, whole long, o array<int>, w array<long>"), "window-blocks").read()
+
+    def twice(column: str) -> DataFrame:
+        return hashed.where(F.col(column).isNotNull()).groupBy("fp", "b", column).agg(F.count("*").alias("c")).where("c > 1").select(F.col("fp").alias(f"f_{column}"), F.col("b").alias(f"b_{column}"), F.col(column).alias(f"h_{column}"))
+
+    def met(df: DataFrame, column: str, how: str) -> DataFrame:
+        return df.join(twice(column), (F.col("fp") == F.col(f"f_{column}")) & (F.col("b") == F.col(f"b_{column}")) & (F.col(column) == F.col(f"h_{column}")), how)
+
+    # blocks that two segments have as a whole are settled; those whose common bytes are alone have no shared window
+    whole = met(hashed, "whole", "left_semi").select("fp", "seg", (F.col("b") * BLOCK).cast("int").alias("p"), (F.col("b") * BLOCK + BLOCK - 1).cast("int").alias("q"))
+    open_ = met(met(hashed, "core", "left_semi"), "whole", "left_anti")
+    single = cut(open_.select("fp", "seg", F.explode(F.arrays_zip("o", "w")).alias("e")).select("fp", "seg", "e.o", "e.w"))
+    known_w = met(hashed, "whole", "left_semi").groupBy("fp", "b", "whole").agg(F.min("w").alias("w")).select("fp", F.explode("w").alias("w"))  # each different block once
+    pairs_w = single.groupBy("fp", "w").agg(F.count("*").alias("c")).where("c > 1").select("fp", "w").unionByName(known_w).distinct().select(F.col("fp").alias("f"), F.col("w").alias("v"))
+    shared_w = single.join(pairs_w, (F.col("fp") == F.col("f")) & (F.col("w") == F.col("v")), "left_semi").select("fp", "seg", F.col("o").alias("p"), F.col("o").alias("q"))
+    counted = whole.unionByName(shared_w).groupBy("fp", "seg").agg(F.collect_list(F.struct("p", "q")).alias("r")).select("fp", "seg", F.col("r.p").alias("p"), F.col("r.q").alias("q"))
     copies = kinds.where("k > 1").select("fp", "seg", F.array("low").alias("p"), F.array("high").alias("q"))
     ranges = sorted_.unionByName(counted).unionByName(copies).select(F.col("fp").alias("f"), F.col("seg").alias("g"), "p", "q")
     hits = places.select("doc_id", "h", "x", "fp", "seg").join(ranges, (F.col("fp") == F.col("f")) & (F.col("seg") == F.col("g")))
