@@ -1,7 +1,8 @@
 """Hoeffding trees: ordered learning in supersteps, level-wise growth from aggregates, routing and reports.
 
 A growing leaf depends only on the ordered rows that reach it, so all open leaves advance at once: a superstep hands each
-of them its next rows (an ordinal range that doubles while the leaf waits) and folds these on their own.
+of them its next rows (an ordinal range that grows while the leaf waits) and folds these on their own. A waiting leaf's
+(attribute, value, class) counts go from superstep to superstep as an aggregated table, up to the last row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from . import impurity
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults of the classic learner."""
+    """Defaults of the classic learner. max_rows: the most rows of one leaf that one superstep folds; the rest follow in later ones."""
 
     delta: float = 1e-7
     tie: float = 0.05
@@ -27,7 +28,7 @@ class Config:
     laplace: float = 5.0
     pre_prune: float = 0.0
     gini: bool = False
-    max_depth: int = 12
+    max_depth: int | None = None
     first_span: int = 4096
     max_rows: int = 1 << 20
 
@@ -52,34 +53,46 @@ def _impurity(counts: np.ndarray, gini: bool) -> np.ndarray:
     return (total[..., 0] > 0) - (p * p).sum(-1) if gini else -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
 
 
-def best_two(x: np.ndarray, y: np.ndarray, classes: int, gini: bool) -> tuple[list[tuple[float, int, float]], float]:
-    """The two best (index, attribute, threshold) cuts of rows x with classes y, and the node's own impurity."""
+def _best(tables: list[tuple[np.ndarray, np.ndarray]], gini: bool) -> tuple[list[tuple[float, int, float]], float]:
+    """The two best (index, attribute, threshold) cuts and the node's own impurity; an attribute's table has its sorted values and their class counts."""
     found: list[tuple[float, int, float]] = []
-    hot = np.eye(classes)[y]
-    whole = _impurity(hot.sum(0), gini)
-    for a in range(x.shape[1]):
-        order = np.argsort(x[:, a], kind="stable")
-        v, below = x[order, a], hot[order].cumsum(0)
-        cut = np.flatnonzero(v[1:] != v[:-1])
-        if not len(cut):
+    for a, (v, n) in enumerate(tables):
+        live = n.any(1)
+        v, below = v[live], n[live].cumsum(0)
+        if len(v) < 2:
             continue
-        b = below[cut]
-        n_b = cut + 1
-        index = (n_b * _impurity(b, gini) + (len(v) - n_b) * _impurity(below[-1] - b, gini)) / len(v)
-        if not gini and len(cut) > 1:
-            index = index + math.log2(len(cut)) / len(v)
+        b, rest, total = below[:-1], below[-1] - below[:-1], below[-1].sum()
+        n_b = b.sum(1)
+        index = (n_b * _impurity(b, gini) + (total - n_b) * _impurity(rest, gini)) / total
+        if not gini and len(b) > 1:
+            index = index + math.log2(len(b)) / total
         for k in np.argsort(index, kind="stable")[:2]:
-            found.append((float(index[k]), a, float(v[cut[k] + 1])))
-    return sorted(found)[:2], float(whole)
+            found.append((float(index[k]), a, float(v[k + 1])))
+    return sorted(found)[:2], float(_impurity(tables[0][1].sum(0), gini))
+
+
+def best_two(x: np.ndarray, y: np.ndarray, classes: int, gini: bool) -> tuple[list[tuple[float, int, float]], float]:
+    """The two best (index, attribute, threshold) cuts of rows x with classes y, and the node's own impurity."""
+    return _best([_counted(x[:, a], y, np.ones(len(y)), classes) for a in range(x.shape[1])], gini)
+
+
+def _counted(v: np.ndarray, y: np.ndarray, n: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    values, code = np.unique(v, return_inverse=True)
+    out = np.zeros((len(values), classes))
+    np.add.at(out, (code, y), n)
+    return values, out
 
 
 def decide(x: np.ndarray, y: np.ndarray, classes: int, c: Config) -> tuple[str, int, float]:
     """(split | leaf | wait, attribute, threshold) of a leaf with these rows."""
-    two, whole = best_two(x, y, classes, c.gini)
+    return _verdict(*best_two(x, y, classes, c.gini), x.shape[1], len(y), classes, c)
+
+
+def _verdict(two: list[tuple[float, int, float]], whole: float, attributes: int, rows: int, classes: int, c: Config) -> tuple[str, int, float]:
     if not two:
         return "wait", -1, 0.0
     r = 1.0 if c.gini else math.log2(max(2, classes))
-    bound = math.sqrt(r * r * math.log(x.shape[1] / c.delta) / (2 * len(y)))
+    bound = math.sqrt(r * r * math.log(attributes / c.delta) / (2 * rows))
     first, attr, threshold = two[0]
     second = two[1][0] if len(two) > 1 else whole
     if first - whole > bound or (whole - first < bound < c.pre_prune):
@@ -97,55 +110,97 @@ def route(nodes: dict[str, Node], path: str = "") -> Column:
     return F.when(F.col(n.attr).cast("double") < n.threshold, route(nodes, path + "L")).otherwise(route(nodes, path + "R"))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """Cuts the lineage, in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+
+
+def _folder(attributes: list[str], classes: int, c: Config):
+    """Folds a leaf's next rows in order onto its counts so far, checking after every chunk of the leaf's own rows."""
+
+    def fold(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        leaf = new["leaf"].iloc[0]
+        new = new.sort_values("_o")
+        y, o = new["_y"].to_numpy(), new["_o"].to_numpy()
+        tables, codes = [], []
+        for i, a in enumerate(attributes):
+            mine = old[old["attr"] == i]
+            v = new[a].to_numpy(float)
+            values, table = _counted(np.concatenate([mine["value"].to_numpy(float), v]), np.concatenate([mine["_y"].to_numpy(int), np.zeros(len(v), int)]), np.concatenate([mine["n"].to_numpy(float), np.zeros(len(v))]), classes)
+            tables.append((values, table))
+            codes.append(np.searchsorted(values, v))
+        counts = tables[0][1].sum(0)
+        done, at = int(counts.sum()), 0
+        for t in range(c.chunk - done % c.chunk, len(y) + 1, c.chunk):
+            for (_, table), code in zip(tables, codes, strict=True):
+                np.add.at(table, (code[at:t], y[at:t]), 1)
+            counts, at = counts + np.bincount(y[at:t], minlength=classes), t
+            if (counts > 0).sum() > 1:
+                what, a, threshold = _verdict(*_best(tables, c.gini), len(attributes), done + t, classes, c)
+                if what != "wait":
+                    return pd.DataFrame([(leaf, what, attributes[a], threshold, int(o[t - 1]), done + t, int(counts.argmax()))], columns=cols)
+        return pd.DataFrame([], columns=cols)
+
+    cols = ["leaf", "what", "attr", "threshold", "at", "n", "cls"]
+    return fold
+
+
 def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: int, config: Config = Config()) -> dict[str, Node]:
-    """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1."""
+    """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1.
+
+    Every leaf runs to the last row. While all its rows are of one class nothing can be decided, so such rows are only
+    aggregated; rows of mixed leaves go to ``_folder``, at most ``max_rows`` of a leaf at once.
+    """
     c, nodes, total = config, {"": Node("")}, df.count()
-    span = {"": c.first_span}
+    span, seen, so_far = {"": c.first_span}, {"": -1}, {"": np.zeros(classes, int)}  # of open leaves: next span, last ordinal and classes counted
     rows = df.select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *attributes)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(a).cast("double").alias("value")) for i, a in enumerate(attributes)]))
+    held = df.sparkSession.createDataFrame([], "leaf string, attr int, value double, _y int, n long")
     while span:
-        open_ = sorted(span)
-        begin, seen = {p: nodes[p].at for p in open_}, {p: nodes[p].n for p in open_}
-        stop = {p: min(begin[p] + span[p], total) for p in open_}
-        lo = F.create_map(*[F.lit(v) for p in open_ for v in (p, begin[p])])
-        hi = F.create_map(*[F.lit(v) for p in open_ for v in (p, stop[p])])
-        part = rows.where((F.col("_o") > min(begin.values())) & (F.col("_o") <= max(stop.values()))).withColumn("leaf", route(nodes))
-        part = part.where(F.col("leaf").isin(open_)).where((F.col("_o") > lo[F.col("leaf")]) & (F.col("_o") <= hi[F.col("leaf")]))
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_o")
-            x, y, o = pdf[attributes].to_numpy(float), pdf["_y"].to_numpy(), pdf["_o"].to_numpy()
-            counts = np.bincount(y, minlength=classes)
-            other = np.flatnonzero(y != y[0])
-            pure = int(other[0]) if len(other) else len(y)  # so many rows of one class come first
-            done = seen[pdf["leaf"].iloc[0]]  # checked in the round before
-            for t in range(c.chunk, len(y) + 1, c.chunk):
-                if t > pure and t > done:
-                    what, a, threshold = decide(x[:t], y[:t], classes, c)
-                    if what != "wait":
-                        counts = np.bincount(y[:t], minlength=classes)
-                        return pd.DataFrame([(pdf["leaf"].iloc[0], what, attributes[a], threshold, int(o[t - 1]), t, int(counts.argmax()))], columns=cols)
-            return pd.DataFrame([(pdf["leaf"].iloc[0], "wait", None, 0.0, -1, len(y), int(counts.argmax()))], columns=cols)
-
-        cols = ["leaf", "what", "attr", "threshold", "at", "n", "cls"]
-        got = {r["leaf"]: r for r in part.groupBy("leaf").applyInPandas(fold, "leaf string, what string, attr string, threshold double, at long, n long, cls int").collect()}  # a row a leaf
-        for p in open_:
-            r = got.get(p)
+        stop = {p: min(seen[p] + span[p], total - 1) for p in span}
+        lo, hi = (F.create_map(*[F.lit(v) for p in sorted(span) for v in (p, x[p])])[F.col("leaf")] for x in (seen, stop))
+        part = rows.where((F.col("_o") > min(seen.values())) & (F.col("_o") <= max(stop.values()))).withColumn("leaf", route(nodes))
+        part = part.where(F.col("leaf").isin(sorted(span))).where((F.col("_o") > lo) & (F.col("_o") <= hi))
+        came = {p: np.zeros(classes, int) for p in span}
+        for r in part.groupBy("leaf", "_y").count().collect():  # leaves x classes
+            came[r["leaf"]][r["_y"]] = r["count"]
+        mixed = [p for p in span if ((so_far[p] + came[p]) > 0).sum() > 1 and came[p].any()]
+        large = [p for p in mixed if came[p].sum() > c.max_rows]  # so many ordinals have as many rows at most
+        mixed = [p for p in mixed if p not in large]
+        got = {}
+        if mixed:
+            both = part.where(F.col("leaf").isin(mixed)).groupBy("leaf").cogroup(held.where(F.col("leaf").isin(mixed)).groupBy("leaf"))
+            got = {r["leaf"]: r for r in both.applyInPandas(_folder(attributes, classes, c), "leaf string, what string, attr string, threshold double, at long, n long, cls int").collect()}  # a row a leaf
+        moved = []
+        for p in list(span):
             n = nodes[p]
-            if r is not None:
-                n.n, n.cls = r["n"], r["cls"]
-            if r is None or r["what"] == "wait":
-                span[p] *= 8
-                if stop[p] >= total or span[p] > c.max_rows:
-                    del span[p]
+            if p in large:
+                span[p] = max(c.max_rows, span[p] // 8)
+                continue
+            if p not in got:
+                so_far[p] = so_far[p] + came[p]
+                n.n, n.cls = int(so_far[p].sum()), int(so_far[p].argmax()) if so_far[p].any() else -1
+                seen[p], span[p] = stop[p], span[p] * 8
+                moved.append(p)
+                if stop[p] < total - 1:
+                    continue
+            for x in (span, seen, so_far):
+                del x[p]
+            if p not in got:
                 continue
-            del span[p]
-            if r["what"] == "split" and len(p) < c.max_depth:
+            r = got[p]
+            n.n, n.cls = r["n"], r["cls"]
+            if r["what"] == "split" and (c.max_depth is None or len(p) < c.max_depth):
                 n.attr, n.threshold, n.at = r["attr"], r["threshold"], r["at"]
                 for s in "LR":
                     nodes[p + s] = Node(p + s, at=r["at"])
-                    span[p + s] = c.first_span
+                    span[p + s], seen[p + s], so_far[p + s] = c.first_span, r["at"], np.zeros(classes, int)
             else:
                 n.gone = True
+        moved = [p for p in moved if p in span]
+        if moved:  # part's plan has the routes and ranges from before
+            new = part.where(F.col("leaf").isin(moved)).select("leaf", "_y", pairs.alias("p")).select("leaf", "p.attr", "p.value", "_y", F.lit(1).cast("long").alias("n"))
+            held = _held(held.where(F.col("leaf").isin(list(span))).unionByName(new).groupBy("leaf", "attr", "value", "_y").agg(F.sum("n").alias("n")))
     return nodes
 
 
@@ -169,7 +224,7 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
             n = nodes[p]
             n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else -1
             two = sorted((k["index"], k["attr"], k["threshold"]) for k in cuts if k["leaf"] == p)[:2]
-            if len(two) < 2 or len(p) >= c.max_depth or (y > 0).sum() < 2:
+            if len(two) < 2 or (c.max_depth is not None and len(p) >= c.max_depth) or (y > 0).sum() < 2:
                 continue
             whole = float(_impurity(y, c.gini))
             bound = math.sqrt(r * r * math.log(len(attributes) / c.delta) / (2 * n.n))

@@ -143,6 +143,35 @@ def test_learn_equals_sequential(spark):
     assert evaluation.error_rate(evaluation.confusion(hoeffding.classify(df, grown), "k", "pred")).first()[0] == 0
 
 
+def test_learn_goes_on_to_the_last_row(spark):
+    """Many spans, the largest fold far smaller than the table: a leaf that is mixed late, one that waits on noise, one that stays pure."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 30, (9000, 2)).astype(float)
+    y = np.where(x[:, 0] < 10, 0, np.where(x[:, 0] < 20, rng.integers(0, 2, 9000), 1))
+    y[6000:] = np.where((x[6000:, 0] < 10) & (x[6000:, 1] < 15), 2, y[6000:])
+    c = hoeffding.Config(chunk=50, first_span=256, max_rows=700, tie=0.2)
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "o long, a double, b double, k int")
+    nodes = hoeffding.learn(df, ["a", "b"], "k", "o", 3, c)
+    assert {p: (n.attr, n.threshold) if n.attr else None for p, n in nodes.items()} == sequential(x, y, ["a", "b"], 3, c)
+    late = [n for n in nodes.values() if n.attr and n.at > 6000]
+    assert late
+    leaf = {r["leaf"]: r for r in df.withColumn("leaf", hoeffding.route(nodes)).groupBy("leaf").agg(F.collect_list(F.struct("o", "k")).alias("rows")).collect()}
+    for p, n in nodes.items():
+        if n.attr is None and not n.gone:
+            after = [r["k"] for r in leaf[p]["rows"] if r["o"] > n.at]
+            assert n.n == len(after) and n.cls == int(np.bincount(after, minlength=3).argmax())
+
+
+def test_learn_has_no_depth_limit(spark):
+    c = hoeffding.Config(chunk=200, first_span=4096, gini=True, tie=1.0)
+    x = np.tile(np.arange(20.0), 1500)[:, None]
+    y = (x[:, 0] % 2).astype(int)
+    df = spark.createDataFrame([(i, float(v), int(k)) for i, (v, k) in enumerate(zip(x[:, 0], y, strict=True))], "o long, a double, k int")
+    nodes = hoeffding.learn(df, ["a"], "k", "o", 2, c)
+    assert {p: (n.attr, n.threshold) if n.attr else None for p, n in nodes.items()} == sequential(x, y, ["a"], 2, c)
+    assert max(map(len, nodes)) > 12
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), min_size=1, max_size=120), st.sampled_from(clustering.D))
 def test_cf_tree_invariants(points, kind):
