@@ -2,7 +2,8 @@
 
 Every text is its set of word shingles. Shingles are ordered by frequency class over all texts, then by hash; sets at
 similarity t share one of the first n - ceil(t n) + 1. Of these only shingles that occur in two texts are listed.
-Equal sets count once. See ``sharing.linked_sets`` for the skipping.
+Equal sets count once. ``sharing.link_counts`` finds all links, deriving sets' answers from their leader's; where only the
+components are wanted, ``sharing.linked_sets`` skips pairs that are connected already.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Table, importable, pack, row_bounds, shingles_of, slices, two, word_hashes
-from .sharing import components, key32, linked_sets, set_id, shared_keys
+from .sharing import components, key32, link_counts, linked_sets, set_id, shared_keys
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -25,8 +26,10 @@ def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Re
         yield rows, [shingles_of(h[a:b], k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), n_copies (texts with an equal set).
+def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), n_copies (texts with an equal set), n_links.
+
+    n_links is the number of other texts that are similar enough, equal sets included; without ``links`` it is left out.
 
     Null texts and texts without words have empty sets, which link with nothing: their component is their own doc_id.
     Repeated rows share a component. Null doc_ids are never a component's id, unless it has no other.
@@ -68,18 +71,26 @@ def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int
     known.destroy()  # written: nothing will be computed from it again
     rows = stored.read()
     sets = rows.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
-    groups = components(linked_sets(rows.where("kind = 'key'").select("key", "sig", "n", "pos"), sets, percent))
+    postings = rows.where("kind = 'key'").select("key", "sig", "n", "pos")
     owner = rows.where("kind = 'doc'").select("doc_id", "sig", "n")
     same = owner.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    if links:
+        counted, linked = link_counts(postings, sets.join(same.select("sig", F.col("n_copies").alias("copies")), "sig"), percent)
+        same = same.join(counted, "sig", "left")
+    else:
+        linked, same = linked_sets(postings, sets, percent), same.withColumn("n_links", F.lit(0))
+    groups = components(linked)
     rooted = same.join(groups.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(low, "root").select(F.col("sig").alias("s"), "component_id", "n_copies")
-    return owner.join(named, F.col("sig") == F.col("s"), "left").select(
+    named = rooted.join(low, "root").select(F.col("sig").alias("s"), "component_id", "n_copies", "n_links")
+    out = owner.join(named, F.col("sig") == F.col("s"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1).cast("long").alias("n_links"),
     )
+    return out if links else out.drop("n_links")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is their component's: one document of each group stays."""
-    keep = similar_texts(spark, docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = similar_texts(spark, docs, k, percent, links=False).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")

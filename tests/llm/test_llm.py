@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grovekit.llm import common, media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, substrings, templates, tokens
+from grovekit.llm import common, media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, sharing, substrings, templates, tokens
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, key long, h long, kind string"
@@ -106,6 +106,32 @@ def test_chains_of_near_copies(spark):
     assert rows_of(ngram_join.similar_texts(spark, df, 3, 90), 3) == brute_components(rows, 3, 90)
 
 
+def brute_links(rows, k, percent):
+    sets = [set(zip(*[w[i:] for i in range(k)])) or ({tuple(w)} if w else set()) for _, t in rows for w in [(t or "").lower().split()]]
+    return sorted((d, sum(1 for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= percent * len(x | y))) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("bucket", [4, 512])
+def test_all_links(spark, monkeypatch, bucket):
+    """Mutually similar texts, chains, two groups and copies: every text gets the number of all similar ones."""
+    monkeypatch.setattr(sharing, "BUCKET", bucket)
+    rows, base, other = [], [f"w{i}" for i in range(100)], [f"v{i}" for i in range(60)]
+    for i in range(12):
+        words = [*base]
+        words[i * 8] = f"n{i}"
+        rows.append((i, " ".join(words)))
+        rows.append((100 + i, " ".join([*other, *[f"x{j}" for j in range(i % 4)]])))
+    for i in range(20):
+        base = [*base]
+        base[i] = f"m{i}"
+        rows.append((200 + i, " ".join(base)))
+    rows += [(300, rows[0][1]), (301, rows[3][1]), (302, None), (303, "one"), (304, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similar_texts(spark, df, 3, 90)
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == brute_links(rows, 3, 90)
+    assert rows_of(got, 3) == brute_components(rows, 3, 90)
+
+
 # 2
 
 
