@@ -63,8 +63,12 @@ def class_sample(counts: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def ranges_join(points: DataFrame, offset: str, files: DataFrame) -> DataFrame:
-    """Global offsets to (file, local offset). ``files``: file, start, stop; the list of files is small and sent to all."""
-    return points.join(F.broadcast(files), (F.col(offset) >= F.col("start")) & (F.col(offset) < F.col("stop"))).withColumn("local", F.col(offset) - F.col("start"))
+    """Global offsets to (file, local offset). ``files``: file, start, stop. Both meet by steps as wide as the longest file, so a point sees a file or two of a list of any length."""
+    wide = files.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 1
+    step = lambda c: c - F.pmod(c, F.lit(wide))
+    stepped = files.where("start < stop").withColumn("_step", F.explode(F.sequence(step(F.col("start")), step(F.col("stop") - 1), F.lit(wide))))
+    met = points.withColumn("_at", step(F.col(offset))).join(stepped, (F.col("_at") == F.col("_step")) & (F.col(offset) >= F.col("start")) & (F.col(offset) < F.col("stop")))
+    return met.drop("_at", "_step").withColumn("local", F.col(offset) - F.col("start"))
 
 
 def integrity(nodes: DataFrame) -> DataFrame:

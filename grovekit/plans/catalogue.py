@@ -150,6 +150,10 @@ SELECT 'props' AS attr, round(sum(nv * g) / sum(nv), 6) AS gini FROM v""")(lambd
 _cuts = lambda s, d: impurity.cuts(learnable(s, d).select("l_quantity", "l_discount", "l_tax", "l_extendedprice", "cls"), ATTRS, "cls")
 query("gini_continuous", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(_cuts(s, d).where("attr <> 'l_extendedprice'"), "gini").drop("entropy", "cuts"))
 query("entropy_continuous_mdl", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)).where("attr <> 'l_extendedprice'"), "index").drop("gini", "entropy"))
+query("gini_string_whole", """WITH p AS (SELECT event_type, props, n / sum(n) OVER (PARTITION BY props) AS p, n FROM (SELECT event_type, props, count(*) AS n FROM events GROUP BY ALL)), v AS (SELECT props, sum(n) AS nv, 1 - sum(p * p) AS g FROM p GROUP BY 1)
+SELECT 'props' AS attr, round(sum(nv * g) / sum(nv), 6) AS gini FROM v""")(lambda s, d: rounded(impurity.discrete_index(impurity.discrete_counts(read(s, d, "events"), ["props"], "event_type")), "gini").select("attr", "gini"))
+query("gini_continuous_all", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k")(lambda s, d: rounded(_cuts(s, d), "gini").drop("entropy", "cuts"))
+query("entropy_continuous_mdl_all", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)), "index").drop("gini", "entropy"))
 query("split_top2", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(index, 6) AS index, row_number() OVER (ORDER BY index, attr, value) AS rank FROM m ORDER BY index, attr, value LIMIT 2")(
     lambda s, d: rounded(impurity.best_cuts(impurity.with_mdl(_cuts(s, d))), "gini", "entropy", "index")
 )
@@ -181,6 +185,10 @@ query("vfdt_replica_merge", f"SELECT attr, value, cls, count(*) AS n FROM {_MELT
     lambda s, d: (lambda x: hoeffding.merged_counts([x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 <> 0")], ["l_quantity", "l_discount", "l_tax"], "cls"))(learnable(s, d))
 )
 
+query("vfdt_replica_merge_all", f"SELECT attr, value, cls, count(*) AS n FROM {_MELT} GROUP BY ALL")(
+    lambda s, d: (lambda x: hoeffding.merged_counts([x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 <> 0")], ATTRS, "cls"))(learnable(s, d))
+)
+
 
 def _ordered(s: SparkSession, d: str) -> DataFrame:
     return rows.with_running(learnable(s, d), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
@@ -283,8 +291,16 @@ m AS (SELECT o.*, pairs - coalesce(below, 0) AS met FROM o LEFT JOIN b USING (no
 query("class_sample")(lambda s, d: evaluation.class_sample(read(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), 4, 7))
 query("selected_class_filter", "SELECT e.vec_id, e.label FROM embeddings e WHERE e.label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")(lambda s, d: (lambda e: e.select("vec_id", "label").join(e.groupBy("label").agg(F.count("*").alias("n")).where("n >= 50"), "label", "left_semi"))(read(s, d, "embeddings")))
 query("member_label_join", "SELECT e.vec_id % 9 AS cluster, l.label, count(*) AS n FROM embeddings e JOIN embeddings l USING (vec_id) GROUP BY ALL")(lambda s, d: read(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 9).alias("cluster")).join(read(s, d, "embeddings").select("vec_id", "label"), "vec_id").groupBy("cluster", "label").agg(F.count("*").alias("n")))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """file, start and stop of files of 4000 keys, up to the last key."""
+    last = read(s, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return s.range(0 if last is None else last // 4000 + 1).select(F.col("id").alias("file"), (F.col("id") * 4000).alias("start"), (F.col("id") * 4000 + 4000).alias("stop"))
+
+
 query("file_index_range_join", "SELECT o_orderkey, (o_orderkey // 4000)::BIGINT AS file, o_orderkey % 4000 AS local FROM orders WHERE o_orderkey < 400000")(
-    lambda s, d: evaluation.ranges_join(read(s, d, "orders").select("o_orderkey"), "o_orderkey", s.range(100).select(F.col("id").alias("file"), (F.col("id") * 4000).alias("start"), (F.col("id") * 4000 + 4000).alias("stop"))).select("o_orderkey", "file", "local")
+    lambda s, d: evaluation.ranges_join(read(s, d, "orders").select("o_orderkey"), "o_orderkey", _files(s, d)).select("o_orderkey", "file", "local")
 )
 query("lca_depth", "SELECT vec_id, CASE WHEN vec_id % 3 <> (vec_id + 9) % 3 THEN 0 WHEN vec_id % 9 <> (vec_id + 9) % 9 THEN 1 WHEN vec_id % 27 <> (vec_id + 9) % 27 THEN 2 ELSE 3 END AS depth FROM embeddings")(
     lambda s, d: _paths(s, d).withColumn("q", F.array(*[(F.col("vec_id") + 9) % k for k in (3, 9, 27)])).select("vec_id", evaluation.lca_depth("path", "q").alias("depth"))

@@ -39,3 +39,15 @@ def test_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_file_index_reaches_the_last_key(spark, tmp_path):
+    keys = [0, 3999, 4000, 399_999, 400_000, 6_000_001]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["file_index_range_join"](spark, str(tmp_path)).collect()
+    assert sorted((r.o_orderkey, r.file, r.local) for r in got) == [(k, k // 4000, k % 4000) for k in keys]
+
+
+def test_whole_attributes(spark):
+    for name in ("gini_continuous_all", "entropy_continuous_mdl_all", "vfdt_replica_merge_all"):
+        assert {r.attr for r in QUERIES[name](spark, SF).select("attr").distinct().collect()} == {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
