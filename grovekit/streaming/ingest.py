@@ -29,7 +29,7 @@ def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFra
 
 
 class StreamingTree:
-    """Learns a Hoeffding tree from micro-batches: each batch joins the rows kept so far, the tree grows on; status is a query away."""
+    """A Hoeffding tree grown from the first micro-batch; later ones only add to its leaves' counts. Status is a query away."""
 
     def __init__(self, attributes: list[str], cls: str, classes: int, config: hoeffding.Config = hoeffding.Config()):
         self.attributes, self.cls, self.classes, self.config = attributes, cls, classes, config
@@ -37,7 +37,7 @@ class StreamingTree:
         self.rows = 0
 
     def update(self, batch: DataFrame, _: int) -> None:
-        """For foreachBatch: grows the tree on the batch if it is the first, else keeps its splits and renews classes and counts."""
+        """For foreachBatch: grows the tree on the batch if it is the first, else keeps its splits and classes and adds to the counts."""
         if self.rows == 0:
             self.nodes = hoeffding.grow(batch, self.attributes, self.cls, self.classes, self.config)
             self.rows = self.nodes[""].n
