@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,9 +34,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir. Only a local master, as in tests, gets a folder of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(scratch_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         scratch_dir.own = base
         spark.sparkContext.setCheckpointDir(base)
@@ -75,6 +79,27 @@ class Table:
             _delete(self.spark, self.path)
 
 
+class Scratch:
+    """The intermediates of one operator call: all go when the block ends, so the result must be a Table of its own by then."""
+
+    def __init__(self) -> None:
+        self.tables: list[Table] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        self.tables.append(Table(df, label, by))
+        return self.tables[-1].read()
+
+    def __exit__(self, *_: object) -> None:
+        for t in self.tables:
+            t.drop()
+        if self.tables:  # plans that nothing refers to any more give their shuffle files back when the driver collects garbage
+            gc.collect()
+            self.tables[0].spark.sparkContext._jvm.System.gc()
+
+
 def release(first: int = 0) -> None:
     """Drops the intermediates from number ``first`` of OPEN on; results that read them must have been written."""
     for t in OPEN[first:]:
@@ -95,10 +120,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of ``df`` has them; Spark ignores case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def two(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """For the side of a join that grows with the input: texts are joined to it the same way at every size."""
+    return df.hint("merge")
+
+
 def size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate (file sizes for scans), 0 where it has none; only used to choose numbers of partitions."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -115,7 +156,7 @@ def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     large = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     n = len(col)
     bufs = col.buffers()
@@ -162,10 +203,9 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return edges_of(~SPACE[data], offs)
 
 
-_P, _PINV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_POW: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-#: A 64-bit value for each byte (splitmix64 of its number).
-_BYTE = np.zeros(256, U64)
+_P = 0x9E3779B97F4A7C15
+_M, _Q = (1 << 31) - 1, 1_284_865_837
+_M64, _S31 = U64(_M), U64(31)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,29 +219,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE[:] = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: A 64-bit value for each byte (splitmix64 of its number), and a 31-bit one.
+_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_P))
+_BYTE31 = mix(np.arange(257, 513, dtype=U64) * U64(_P)) % _M64
+#: Powers of both bases and of their inverses.
+_POW: list[np.ndarray] = [np.ones(1, U64) for _ in range(4)]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same rest modulo 2**31 - 1."""
+    return (x & _M64) + (x >> _S31)
 
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POW[0]) < n:
         n = max(n, SLICE_BYTES + 4096)
-        for i, p in enumerate((_P, _PINV)):
+        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
             a = np.full(n, p, U64)
             a[0] = 1
             _POW[i] = np.cumprod(a)
+        for i, p in enumerate((_Q, pow(_Q, -1, _M)), 2):
+            a, k, top = np.ones(n, U64), 1, p
+            while k < n:  # a[:k] is done, top is p**k
+                a[k : 2 * k] = a[: min(k, n - k)] * U64(top) % _M64
+                k, top = 2 * k, top * top % _M
+            _POW[i] = a
     return _POW
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[i] = sum over j < i of value(data[j]) * P**j, mod 2**64."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
+Sums = tuple[np.ndarray, np.ndarray]
+
+
+def prefix_hash(data: np.ndarray, quick: bool = False) -> Sums:
+    """Prefix sums of value(data[j]) * base**j, modulo 2**64 and (not yet reduced) modulo 2**31 - 1.
+
+    Sums modulo 2**64 alone are equal for some regular strings whatever the base; the second modulus tells those apart.
+    ``quick``: only the first, for ``quick_hash``.
+    """
+    n = len(data)
+    power = _powers(n + 1)
+    out = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+    np.cumsum(_BYTE[data] * power[0][:n], out=out[0][1:])
+    if quick:
+        return out[0], out[0]
+    np.cumsum(_fold(_BYTE31[data] * power[2][:n]), out=out[1][1:])
     return out
 
 
-def span_hash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def quick_hash(s: Sums, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit values of spans by the first sums alone: good to choose by, not to tell strings apart."""
+    return mix((s[0][b] - s[0][a]) * _powers(len(s[0]))[1][a] + (b - a).astype(U64))
+
+
+def span_hash(s: Sums, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [a, b) of the bytes that ``prefix_hash`` summed."""
-    return mix((s[b] - s[a]) * _powers(len(s))[1][a] + (b - a).astype(U64))
+    power = _powers(len(s[0]))
+    x = (s[0][b] - s[0][a]) * power[1][a] + (b - a).astype(U64)
+    y = (s[1][b] - s[1][a]) % _M64 * power[3][a] % _M64
+    return mix(x ^ mix(y + U64(1)))
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
