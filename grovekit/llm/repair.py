@@ -1,8 +1,10 @@
 """Operator 4, token-id output: Re-Pair grammars per shard with expansion lengths for random access.
 
-A shard's ids are compressed in rounds. A round counts all adjacent pairs of its most frequent symbols, gives the
-frequent ones a nonterminal each and replaces them left to right without overlap; pairs never cross a document's
-end. Replacing many pairs a round instead of one keeps the work at a few passes over the shard.
+A shard's ids are compressed in rounds. A round counts all adjacent pairs by sorting them, gives those that occur ``LEAST``
+times or more a nonterminal each and replaces them, of overlapping ones the more frequent; pairs never cross a document's
+end. Replacing many pairs a round instead of one keeps the work at a few passes over the shard. Only pairs with a new
+symbol, or left over from the round before, can have become frequent, so later rounds look at these alone. It ends when no
+pair pays for its rule. Symbols are stored in as many bits as the largest one needs.
 """
 
 from __future__ import annotations
@@ -17,101 +19,148 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, importable, pack, parts_for, size_bytes, two
-from .tokens import token_slices
+from .common import U64, Table, importable, mix, pack, parts_for, size_bytes, two
+from .tokens import token_slices, vocabulary_size
 
 SHARD_IDS = 1 << 20
-ROUNDS, WIDE, PER_ROUND, LEAST = 6, 1024, 2048, 24
-MAGIC = b"RPG1"
-HEAD = "<4sIIIQQI"
-
-
-def compress(ids: np.ndarray, offs: np.ndarray, base: int, rounds: int = ROUNDS) -> bytes:
+#: A rule takes two symbols and a length; a pair that is replaced so often is shorter with it.
+LEAST = 4
+MAGIC = b"RPG2"
+HEAD = "<4sIIIIQQBB"
+
+
+def pack_bits(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 2**width, ``width`` bits each, the highest first."""
+    out = [np.packbits((x[i : i + (1 << 17), None] >> np.arange(width - 1, -1, -1)) & 1) for i in range(0, len(x), 1 << 17)]  # 2**17 x width bits are whole bytes
+    return b"".join(o.tobytes() for o in out)
+
+
+def unpack_bits(data: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
+    """Numbers a to b - 1 of packed bytes."""
+    if a >= b:
+        return np.zeros(0, np.int64)
+    first = a * width // 8
+    bits = np.unpackbits(data[first : (b * width + 7) // 8])[a * width - 8 * first :][: (b - a) * width].reshape(-1, width)
+    out = np.zeros(b - a, np.int64)
+    for i in range(width):
+        out = out << 1 | bits[:, i]
+    return out
+
+
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which codes occur ``least`` times or more, sorted, how often, and for each place the number of its code there, or -1."""
+    n = len(code)
+    low = int(n).bit_length()
+    if n and int(code.max()).bit_length() + low < 63:  # code and place in one number: one plain sort
+        both = np.sort(code << low | np.arange(n))
+        code, order = both >> low, both & ((1 << low) - 1)
+    else:
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if n else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, n))
+    often = count >= least
+    number = np.full(n, -1, np.int64)
+    number[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), count)
+    return code[first[often]], count[often], number
+
+
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of pairs that overlap the one of higher rank, of equal ones every second: copies of a passage are cut alike wherever they stand."""
+    n = len(at)
+    if not n:
+        return np.zeros(0, bool)
+    touch = np.diff(at) == 1
+    before, after = np.full(n, -1), np.full(n, -1)
+    before[1:], after[:-1] = np.where(touch, rank[:-1], -1), np.where(touch, rank[1:], -1)
+    begin = np.maximum.accumulate(np.where(before == rank, 0, np.arange(n)))
+    return (rank >= before) & (rank >= after) & ((np.arange(n) - begin) % 2 == 0)
+
+
+def compress(ids: np.ndarray, offs: np.ndarray, base: int, least: int = LEAST) -> bytes:
     """One shard: documents are ids[offs[i]:offs[i+1]], all ids are below ``base``."""
-    seq = ids.astype(np.int32)
+    seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[offs[1:][offs[1:] > offs[:-1]] - 1] = True
     empty = np.diff(offs) == 0
     rules: list[np.ndarray] = []
-    top = base
-    for _ in range(rounds):
-        freq = np.bincount(seq, minlength=top)
-        kept = np.argsort(freq)[-WIDE:]
-        kept = kept[freq[kept] >= LEAST]
-        index = np.full(top, -1, np.int32)
-        index[kept] = np.arange(len(kept), dtype=np.int32)
-        x = index[seq]
-        at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0) & ~last[:-1])
-        code = x[at] * WIDE + x[at + 1]
-        count = np.bincount(code, minlength=WIDE * WIDE) if len(code) else np.zeros(WIDE * WIDE, np.int64)
-        frequent = np.flatnonzero(count >= LEAST)
-        if not len(frequent):
+    top, look = base, ~last[:-1]
+    while True:
+        at = np.flatnonzero(look)
+        codes, count, number = _frequent(seq[at] * top + seq[at + 1], least)
+        at, number = at[number >= 0], number[number >= 0]
+        take = _winners(at, ((count << 20) + (mix(codes) >> U64(44)).astype(np.int64))[number])
+        good = np.bincount(number[take], minlength=len(codes)) >= least
+        take &= good[number]
+        if not take.any():
             break
-        frequent = frequent[np.argsort(-count[frequent], kind="stable")][:PER_ROUND]
-        table = np.full(WIDE * WIDE, -1, np.int32)
-        table[frequent] = top + np.arange(len(frequent), dtype=np.int32)
-        new = table[code]
-        at, new = at[new >= 0], new[new >= 0]
-        begins = np.ones(len(at), bool)
-        begins[1:] = np.diff(at) != 1
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, new = at[even], new[even]
-        seq[at] = new
+        name = top + np.cumsum(good) - 1
+        waiting = np.zeros(len(seq), bool)
+        waiting[at] = True
+        fresh = np.zeros(len(seq), bool)
+        at, new = at[take], name[number[take]]
+        seq[at], fresh[at] = new, True
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([kept[frequent // WIDE], kept[frequent % WIDE]], 1).astype(np.uint32))
-        top += len(frequent)
-    rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        seq, last, fresh, waiting = seq[keep], last[keep], fresh[keep], waiting[keep]
+        look = (fresh[:-1] | fresh[1:] | waiting[:-1]) & ~last[:-1]
+        rules.append(np.stack([codes[good] // top, codes[good] % top], 1))
+        top += int(good.sum())
+    rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     ends = np.zeros(len(offs), np.int64)
     ends[1:][~empty] = np.flatnonzero(last) + 1
     ends = np.maximum.accumulate(ends)
-    width = np.uint16 if top <= 1 << 16 else np.uint32
-    length = np.ones(top, np.uint32)
-    for i, (a, b) in enumerate(rule.tolist()):
-        length[base + i] = length[a] + length[b]
-    return struct.pack(HEAD, MAGIC, base, len(rule), len(offs) - 1, len(seq), int(offs[-1]), np.dtype(width).itemsize) + pack(rule) + pack(length[base:]) + pack(ends.astype(np.uint64)) + pack(seq.astype(width))
+    length = np.ones(top, np.int64)
+    done = base
+    for r in rules:
+        length[done : done + len(r)] = length[r[:, 0]] + length[r[:, 1]]
+        done += len(r)
+    width, wide = max(1, int(top - 1).bit_length()), int(length.max()).bit_length()
+    head = struct.pack(HEAD, MAGIC, base, len(rule), len(rules), len(offs) - 1, len(seq), int(offs[-1]), width, wide)
+    return head + pack(np.array([len(r) for r in rules], np.uint32)) + pack(ends.astype(np.uint64)) + pack_bits(rule.reshape(-1), width) + pack_bits(length[base:], wide) + pack_bits(seq, width)
 
 
 class Shard:
-    """Reads one compressed shard; ``doc(i)`` and ``ids(i, a, b)`` expand only the symbols that they need."""
+    """Reads one compressed shard; ``ids(i, a, b)`` expands only the symbols that it needs."""
 
     def __init__(self, data: bytes):
-        magic, self.base, n_rules, n_docs, n_seq, self.n_ids, width = struct.unpack_from(HEAD, data)
+        magic, self.base, n_rules, n_rounds, n_docs, self.n_seq, self.n_ids, self.width, wide = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = struct.calcsize(HEAD)
-        self.rules = np.frombuffer(data, np.uint32, 2 * n_rules, at).reshape(-1, 2)
-        at += 8 * n_rules
-        self.length = np.frombuffer(data, np.uint32, n_rules, at)
-        at += 4 * n_rules
+        self.rounds = np.frombuffer(data, np.uint32, n_rounds, at).astype(np.int64)
+        at += 4 * n_rounds
         self.ends = np.frombuffer(data, np.uint64, n_docs + 1, at).astype(np.int64)
         at += 8 * (n_docs + 1)
-        self.seq = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, n_seq, at)
-        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        raw = np.frombuffer(data, np.uint8)
+        self.rules = unpack_bits(raw[at:], self.width, 0, 2 * n_rules).reshape(-1, 2)
+        at += (2 * n_rules * self.width + 7) // 8
+        self.length = unpack_bits(raw[at:], wide, 0, n_rules)
+        self.body = raw[at + (n_rules * wide + 7) // 8 :]
 
     def lengths(self, seq: np.ndarray) -> np.ndarray:
         out = np.ones(len(seq), np.int64)
         big = seq >= self.base
-        out[big] = self.length[seq[big].astype(np.int64) - self.base]
+        out[big] = self.length[seq[big] - self.base]
         return out
 
-    def _expand_one(self, symbol: int) -> list[int]:
-        out, stack = [], [symbol]
-        while stack:
-            s = stack.pop()
-            if s < self.base:
-                out.append(s)
-            else:
-                a, b = self.rules[s - self.base].tolist()
-                stack += (b, a)
-        return out
+    def _expand(self, seq: np.ndarray) -> np.ndarray:
+        """Ids of symbols: the rules of the last round are undone first."""
+        top = self.base + int(self.rounds.sum())
+        for n in self.rounds[::-1].tolist():
+            top -= n
+            big = seq >= top
+            if big.any():
+                to = np.cumsum(1 + big) - 1
+                pair = self.rules[seq[big] - self.base]
+                seq = np.repeat(seq, 1 + big)
+                seq[to[big] - 1], seq[to[big]] = pair[:, 0], pair[:, 1]
+        return seq.astype(np.uint32)
 
     def ids(self, doc: int, a: int = 0, b: int | None = None) -> np.ndarray:
         """Ids [a, b) of one document by its symbols' expansion lengths."""
-        seq = self.seq[self.ends[doc] : self.ends[doc + 1]].astype(np.int64)
+        seq = unpack_bits(self.body, self.width, int(self.ends[doc]), int(self.ends[doc + 1]))
         upto = np.cumsum(self.lengths(seq))
         total = int(upto[-1]) if len(upto) else 0
         b = total if b is None else min(b, total)
@@ -119,45 +168,23 @@ class Shard:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(upto, a, "right"), np.searchsorted(upto, b, "left") + 1
         before = int(upto[i - 1]) if i else 0
-        flat = [x for s in seq[i:j].tolist() for x in self._expand_one(s)]
-        return np.array(flat[a - before : b - before], np.uint32)
+        return self._expand(seq[i:j])[a - before : b - before]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """Every id, and the offsets of the documents."""
-        at = np.concatenate([[0], np.cumsum(self.length.astype(np.int64))])
-        flat = np.zeros(int(at[-1]), np.uint32)
-        for i, pair in enumerate(self.rules.tolist()):
-            to = at[i]
-            for s in pair:
-                if s < self.base:
-                    flat[to] = s
-                    to += 1
-                else:
-                    k = s - self.base
-                    n = at[k + 1] - at[k]
-                    flat[to : to + n] = flat[at[k] : at[k + 1]]
-                    to += n
-        seq = self.seq.astype(np.int64)
-        lens = self.lengths(seq)
-        ends = np.cumsum(lens)
-        big = seq >= self.base
-        start = np.where(big, at[np.where(big, seq - self.base, 0)], 0)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(start - (ends - lens), lens) + np.arange(total)
-        out = np.repeat(np.where(big, 0, seq), lens).astype(np.uint32)
-        deep = np.repeat(big, lens)
-        out[deep] = flat[where[deep]]
-        return out, np.concatenate([[0], ends])[self.ends]
+        seq = unpack_bits(self.body, self.width, 0, self.n_seq)
+        return self._expand(seq), np.concatenate([[0], np.cumsum(self.lengths(seq))])[self.ends]
 
 
-def write_tokens(docs: DataFrame, path: str, base: int = 50_257, end_id: int = 0, keep_space: bool = True, label: str = "token-shards") -> Table:
+def write_tokens(docs: DataFrame, path: str, base: int | None = None, end_id: int = 0, keep_space: bool = True, label: str = "token-shards") -> Table:
     """Writes the shards of all documents in ascending doc_id order: (part, shard, doc_ids, n_ids, data).
 
     Null text counts as empty (its document is just ``end_id``); rows with a null doc_id come first; repeated rows
-    are kept. Spark's writer commits each task's file once, so lost executors only repeat tasks.
+    are kept. ``base`` is the number of ids, by default the vocabulary's. Spark's writer commits each task's file once, so lost executors only repeat tasks.
     """
     importable(docs.sparkSession)
     spark = docs.sparkSession
+    base = base or vocabulary_size(path)
     n = parts_for(spark, size_bytes(docs), 16 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +229,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(spark: SparkSession, docs: DataFrame, path: str, base: int = 50_257) -> DataFrame:
+def token_output(spark: SparkSession, docs: DataFrame, path: str, base: int | None = None) -> DataFrame:
     """Writes all documents' ids as Re-Pair shards and reads the files back; an empty table gives no rows."""
     stored = write_tokens(docs, path, base)
     return read_tokens(stored.read())

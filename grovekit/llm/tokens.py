@@ -171,6 +171,13 @@ def encoder(path: str, keep_space: bool) -> Encoder:
     return _ENCODERS[path, keep_space]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def token_slices(batches: Iterator[pa.RecordBatch], path: str, keep_space: bool, end_id: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, offsets) with ``end_id`` after each text's ids; null text counts as empty."""
     enc = encoder(path, keep_space)
