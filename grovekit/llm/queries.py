@@ -70,7 +70,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.substring_report(spark, _read(spark, sf_dir, "documents"), length=400)
+    return substrings.substring_report(spark, _read(spark, sf_dir, "documents"), length=400, passage=200)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

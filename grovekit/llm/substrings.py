@@ -7,22 +7,25 @@ occur once end there. What is left are segments: an anchor with the bytes of all
 counted, never compared. Among the different segments of one anchor, the suffixes at the anchor and the reversed
 prefixes before it go through multikey quicksort on 8-byte keys to a shallow depth; groups still tied are ordered by
 blind tries. The longest common prefixes to the right and left of two anchors tell which of their windows are equal.
-Anchors with very many different segments are settled by counting their windows' hashes instead, again without
-bringing a group together.
+Sorting needs an anchor's segments in one task, and a passage in a third of all documents has as many different segments
+at its ends. So anchors with more than ``SORTED_TOGETHER`` of them are settled by counting their windows' hashes instead,
+which never brings a group together; both ways give the same windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Table, cut, importable, mix, parts_for, prefix_hash, size_bytes, slices, span_hash
+from .common import U64, Scratch, Table, by_shuffle, importable, mix, parts_for, prefix_hash, quick_hash, size_bytes, slices, span_hash, unused
 from .sharing import key32, shared_keys
 
 #: Different segments of one anchor that a task sorts together; more go by window hashes.
@@ -104,17 +107,29 @@ def blind_trie_sort(strings: list[bytes], depth: int = 0) -> tuple[list[int], li
     return order, lcps
 
 
+def multikey_quicksort(rows: list[int], keys: list[tuple[int, ...]], at: int = 0) -> list[list[int]]:
+    """Groups of rows with equal keys, in order: a three-way split by the key at place ``at``; only the middle part moves on to the next place."""
+    out: list[list[int]] = []
+    stack = [(rows, at)]
+    while stack:
+        rows, at = stack.pop()
+        if len(rows) < 2 or at == len(keys[rows[0]]):
+            out.append(rows)
+            continue
+        pivot = keys[rows[len(rows) // 2]][at]
+        less, same, more = [r for r in rows if keys[r][at] < pivot], [r for r in rows if keys[r][at] == pivot], [r for r in rows if keys[r][at] > pivot]
+        stack += [(part, step) for part, step in ((more, at), (same, at + 1), (less, at)) if part]
+    return out
+
+
 def deep_shallow_sort(strings: list[bytes], keys: int = SHALLOW_KEYS) -> tuple[list[int], list[int]]:
-    """Order and common prefixes with the predecessor: 8-byte keys to the shallow depth, then blind tries."""
+    """Order and common prefixes with the predecessor: multikey quicksort on 8-byte keys to the shallow depth, then blind tries."""
     n, depth = len(strings), 8 * keys
     if n < 3:
         return blind_trie_sort(strings)
-    key = np.frombuffer(b"".join(s[:depth].ljust(depth, b"\0") for s in strings), ">u8").astype(U64).reshape(n, keys)
-    by = np.lexsort(key.T[::-1])
-    ties = np.concatenate([[True], (key[by][1:] != key[by][:-1]).any(1), [True]])
-    order, lcps, bounds = [], [], np.flatnonzero(ties).tolist()
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        group = by[a:b].tolist()
+    words = struct.Struct(f">{keys}Q").unpack
+    order, lcps = [], []
+    for group in multikey_quicksort(list(range(n)), [words(s[:depth].ljust(depth, b"\0")) for s in strings]):
         deep = all(len(strings[i]) >= depth for i in group)
         o, c = ([0], [0]) if len(group) == 1 else blind_trie_sort([strings[i] for i in group], depth if deep else 0)
         c[0] = common_prefix(strings[order[-1]], strings[group[o[0]]]) if order else 0
@@ -155,15 +170,15 @@ def shared_windows(segments: list[tuple[bytes, int, int]], length: int) -> list[
 # Anchors
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, shallow: int) -> tuple[np.ndarray, ...]:
-    """row, anchor's place, its hash, first and last window start, of all anchors of the rows; and the prefix hash."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, shallow: int, quick: bool = False) -> tuple[np.ndarray, ...]:
+    """row, anchor's place, its key, first and last window start, of all anchors of the rows; and the prefix hash (``quick``: good for keys only)."""
     n, w = len(data), length - shallow + 1
-    s = prefix_hash(data)
+    s = prefix_hash(data, quick)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.astype(U64), none, none, s
+        return none, none, none.astype(np.uint32), none, none, s
     at = np.arange(n - shallow + 1)
-    h = span_hash(s, at, at + shallow)
+    h = quick_hash(s, at, at + shallow)
     width = U64(max(20, int(n).bit_length()))
     packed = (h >> width << width) | at.astype(U64)
     m = len(packed) - w + 1
@@ -176,46 +191,51 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, shallow: int) -> tu
     start = np.flatnonzero(np.arange(m) + length <= offs[row + 1])
     x = (least[start] & U64((1 << int(width)) - 1)).astype(np.int64)
     if not len(start):
-        return none, none, none.astype(U64), none, none, s
+        return none, none, none.astype(np.uint32), none, none, s
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (row[start][1:] != row[start][:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(start)]]) - 1
-    return row[start[first]], x[first], mix(h[x[first]]), start[first], start[last], s  # least hashes are small numbers: mixed, they spread as keys
+    return row[start[first]], x[first], key32(mix(h[x[first]])), start[first], start[last], s  # least hashes are small numbers: mixed, they spread as keys
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100) -> DataFrame:
-    """doc_id, h (hash of the text) and spans (start and end in bytes) that are covered by repeated windows.
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100) -> Table:
+    """doc_id, h (hash of the text), and a and b (starts and ends in bytes of spans that repeated windows cover, in any order)
 
-    ``docs`` has doc_id, text (null: empty), h. The same row twice counts as two places.
+    ``docs`` has doc_id, text (string or binary, null: empty), h and perhaps at, the place of a part of a text in the whole.
+    The same row twice counts as two places. What is written on the way goes before this returns.
     """
+    with Scratch() as scratch:
+        return Table(_repeated_spans(spark, docs, length, shallow, scratch), "repeated-spans")
 
+
+def _repeated_spans(spark: SparkSession, docs: DataFrame, length: int, shallow: int, scratch: Scratch) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offs in slices(batches):
-            yield key32(anchors(data, offs, length, shallow)[2])
+            yield anchors(data, offs, length, shallow, quick=True)[2]
 
     known = spark.sparkContext.broadcast(shared_keys(docs, keys, 2 / (length - shallow)))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
-            row, x, fp, first, last, s = anchors(data, offs, length, shallow)
-            use = known.value.shared(key32(fp)) if len(fp) else np.zeros(0, bool)
-            row, x, fp, first, last = row[use], x[use], fp[use], first[use], last[use]
+            row, x, key, first, last, s = anchors(data, offs, length, shallow)
+            use = known.value.shared(key) if len(key) else np.zeros(0, bool)
+            row, x, first, last = row[use], x[use], first[use], last[use]
+            fp = span_hash(s, x, x + shallow)
             low, high = x - last, x - first
             seg = mix(span_hash(s, first, last + length) ^ mix((low * 4096 + high).astype(U64)))
             raw, seen, body = data.tobytes(), set(), []
             for g, a, b in zip(seg.tolist(), first.tolist(), (last + length).tolist(), strict=True):
                 body.append(None if g in seen else raw[a:b])
                 seen.add(g)
-            doc, h = rows.column(0), rows.column(rows.schema.get_field_index("h"))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([doc.take(take), h.take(take), pa.array(x - offs[row]), pa.array(fp.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(body, pa.binary())], names=["doc_id", "h", "x", "fp", "seg", "low", "high", "body"])
+            doc, h, base = rows.column(0), rows.column(rows.schema.get_field_index("h")), rows.schema.get_field_index("at")
+            take, before = pa.array(row), rows.column(base).to_numpy()[row] if base >= 0 else 0
+            yield pa.RecordBatch.from_arrays([doc.take(take), h.take(take), pa.array(x - offs[row] + before), pa.array(fp.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(body, pa.binary())], names=["doc_id", "h", "x", "fp", "seg", "low", "high", "body"])
 
-    found = Table(docs.mapInArrow(segments, "doc_id long, h long, x long, fp long, seg long, low int, high int, body binary"), "segments")
+    places = scratch.table(docs.mapInArrow(segments, "doc_id long, h long, x long, fp long, seg long, low int, high int, body binary"), "segments")
     known.destroy()  # written: nothing will be computed from it again
-    places = found.read()
     counted_ = places.groupBy("fp", "seg").agg(F.count("*").alias("k"), F.max("low").alias("low"), F.max("high").alias("high"))
-    kinds = Table(counted_, "segment-counts").read()
-    by = cut(kinds.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"))
+    kinds = scratch.table(counted_, "segment-counts")
+    by = scratch.table(kinds.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1"), "contested-anchors")
     several, many = by.where(F.col("c") <= SORTED_TOGETHER).select(F.col("fp").alias("f")), by.where(F.col("c") > SORTED_TOGETHER).select(F.col("fp").alias("f"))
 
     def bodies(of: DataFrame) -> DataFrame:
@@ -278,7 +298,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shal
             take = pa.array(i[first])
             yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(b), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64), mask=~inside), pa.ListArray.from_arrays(ends, pa.array(o.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(code.view(np.int64)))], names=names)
 
-    hashed = Table(bodies(many).select("fp", "seg", "body", "high").mapInArrow(blocks, "fp long, seg long, b long, core long, whole long, o array<int>, w array<long>"), "window-blocks").read()
+    hashed = scratch.table(bodies(many).select("fp", "seg", "body", "high").mapInArrow(blocks, "fp long, seg long, b long, core long, whole long, o array<int>, w array<long>"), "window-blocks")
 
     def twice(column: str) -> DataFrame:
         return hashed.where(F.col(column).isNotNull()).groupBy("fp", "b", column).agg(F.count("*").alias("c")).where("c > 1").select(F.col("fp").alias(f"f_{column}"), F.col("b").alias(f"b_{column}"), F.col(column).alias(f"h_{column}"))
@@ -289,7 +309,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shal
     # blocks that two segments have as a whole are settled; those whose common bytes are alone have no shared window
     whole = met(hashed, "whole", "left_semi").select("fp", "seg", (F.col("b") * BLOCK).cast("int").alias("p"), (F.col("b") * BLOCK + BLOCK - 1).cast("int").alias("q"))
     open_ = met(met(hashed, "core", "left_semi"), "whole", "left_anti")
-    single = cut(open_.select("fp", "seg", F.explode(F.arrays_zip("o", "w")).alias("e")).select("fp", "seg", "e.o", "e.w"))
+    single = scratch.table(open_.select("fp", "seg", F.explode(F.arrays_zip("o", "w")).alias("e")).select("fp", "seg", "e.o", "e.w"), "open-windows")
     known_w = met(hashed, "whole", "left_semi").groupBy("fp", "b", "whole").agg(F.min("w").alias("w")).select("fp", F.explode("w").alias("w"))  # each different block once
     pairs_w = single.groupBy("fp", "w").agg(F.count("*").alias("c")).where("c > 1").select("fp", "w").unionByName(known_w).distinct().select(F.col("fp").alias("f"), F.col("w").alias("v"))
     shared_w = single.join(pairs_w, (F.col("fp") == F.col("f")) & (F.col("w") == F.col("v")), "left_semi").select("fp", "seg", F.col("o").alias("p"), F.col("o").alias("q"))
@@ -298,52 +318,116 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, shal
     ranges = sorted_.unionByName(counted).unionByName(copies).select(F.col("fp").alias("f"), F.col("seg").alias("g"), "p", "q")
     hits = places.select("doc_id", "h", "x", "fp", "seg").join(ranges, (F.col("fp") == F.col("f")) & (F.col("seg") == F.col("g")))
     ends = F.zip_with("p", "q", lambda p, q: F.struct((F.col("x") - q).alias("a"), (F.col("x") - p + length).alias("b")))
-    per = hits.select("doc_id", "h", F.explode(ends).alias("e")).select("doc_id", "h", "e.a", "e.b")
-    return per.groupBy("doc_id", "h", "b").agg(F.min("a").alias("a")).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    per = hits.select("doc_id", "h", ends.alias("e")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("e")).alias("spans"))
+    return per.select("doc_id", "h", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
 
-def _joined(spark: SparkSession, docs: DataFrame, length: int, shallow: int) -> DataFrame:
-    importable(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def _key(docs: DataFrame) -> tuple[Column, Column, Column]:
     text = F.col("text").cast("string")
-    found = repeated_spans(spark, docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), length, shallow)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    return docs.join(found, (key == F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left").drop("_d", "_h")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), text, F.xxhash64(text)
+
+
+def _spans_of(spark: SparkSession, docs: DataFrame, length: int, shallow: int) -> DataFrame:
+    key, text, h = _key(docs)
+    return repeated_spans(spark, docs.select(key.alias("doc_id"), text.alias("text"), h.alias("h")), length, shallow).read()
+
+
+def _unions(a: pa.Array, b: pa.Array) -> list[list[tuple[int, int]]]:
+    """For each row, its spans joined where they meet, in order; null lists have none."""
+    rows = np.repeat(np.arange(len(a)), pc.fill_null(pc.list_value_length(a), 0).to_numpy())
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(a))]
+    if not len(rows):
+        return out
+    far = rows << 40  # rows lie apart
+    low, high = a.flatten().to_numpy() + far, b.flatten().to_numpy() + far
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    row = low[first] >> 40
+    start, stop = low[first] - (row << 40), high[np.append(first[1:], len(low)) - 1] - (row << 40)
+    for r, x, y in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True):
+        out[r].append((x, y))
+    return out
 
 
-def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _kept(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    return [*kept, raw[at:]]
+
 
+_REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
 
-def substring_report(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100) -> DataFrame:
+
+def _report_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(doc_id, raw or None, sha256 of the whole text, its size, spans, bytes in passages or None)."""
+    out = []
+    for doc, raw, sha, size, spans, passage in rows:
+        if spans:
+            digest = hashlib.sha256()
+            for part in _kept(raw, spans):
+                digest.update(part)
+            sha = digest.hexdigest()
+        out.append((doc, size, sum(b - a for a, b in spans), len(spans), sha, [list(x) for x in spans]) + ((passage,) if passage is not None else ()))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.int64())
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names=names[: len(out[0])])
+
+
+def substring_report(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges) of each row.
 
+    With ``passage`` (fewer bytes than ``length``) also n_passage_bytes: how many bytes strings of that length cover which start elsewhere
+    too. Those are found first; a repeated string of ``length`` bytes lies within a run of them, so only such runs are searched again.
+
     Null and empty texts have no bytes; repeated rows are repeats of each other and so lose their windows; a null doc_id
     stays null; an empty table gives no rows.
     """
-    joined = _joined(spark, docs.select("doc_id", "text"), length, shallow)
+    importable(spark)
+    docs = docs.select("doc_id", "text")
+    key, text, h = _key(docs)
+    found = _spans_of(spark, docs, passage or length, min(shallow, passage // 6) if passage else shallow).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "a", "b")
+    joined = docs.join(by_shuffle(found), (key == F.col("d")) & (h == F.col("g")), "left").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("d"), h.alias("g"), "a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if passage is None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, offs in slices(batches):
+                raws = [data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                yield _report_rows([(d, raw, hashlib.sha256(raw).hexdigest(), len(raw), x, None) for d, raw, x in zip(rows.column(0).to_pylist(), raws, _unions(rows.column(2), rows.column(3)), strict=True)])
+
+        return joined.select("doc_id", "text", "a", "b").mapInArrow(run, _REPORT)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole texts go on only where a run is long enough."""
         for rows, data, offs in slices(batches):
             out = []
-            for i, spans in enumerate(rows.column(2).to_pylist()):
-                raw, at, gone, sha = data[offs[i] : offs[i + 1]].tobytes(), 0, 0, hashlib.sha256()
-                spans = _union(spans)
-                for a, b in spans:
-                    sha.update(raw[at:a])
-                    at, gone = b, gone + b - a
-                sha.update(raw[at:])
-                out.append((len(raw), gone, len(spans), sha.hexdigest(), [list(x) for x in spans]))
-            n, gone, k, sha, spans = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+            for i, (d, k, g, spans) in enumerate(zip(*(rows.column(j).to_pylist() for j in (0, 2, 3)), _unions(rows.column(4), rows.column(5)), strict=True)):
+                raw = data[offs[i] : offs[i + 1]].tobytes()
+                runs = [list(s) for s in spans if s[1] - s[0] >= length]
+                out.append((d, k, g, len(raw), hashlib.sha256(raw).hexdigest(), sum(b - a for a, b in spans), runs, raw if runs else None))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "d", "g", "n_bytes", "sha", "passage", "runs", "raw"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches, "raw"):
+            out = [(d, g, data[offs[i] + a : offs[i] + b].tobytes(), a) for i, (d, g, runs) in enumerate(zip(*(rows.column(j).to_pylist() for j in range(3)), strict=True)) for a, b in runs]
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            cols = [[o[i] for o in out] for i in (0, 2, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "text", "h", "at"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches, "raw"):
+            raws = [data[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            cols = [rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "sha", "n_bytes", "passage")]
+            yield _report_rows([(d, raw, sha, n, x, p) for raw, x, d, sha, n, p in zip(raws, _unions(rows.column(5), rows.column(6)), *cols, strict=True)])
+
+    seen = Table(joined.mapInArrow(first, "doc_id long, d long, g long, n_bytes long, sha string, passage long, runs array<array<long>>, raw binary"), "passages").read()
+    long_ = repeated_spans(spark, seen.where("raw IS NOT NULL").select("d", "g", "runs", "raw").mapInArrow(parts, "doc_id long, text binary, h long, at long"), length, shallow).read()
+    both = seen.join(by_shuffle(long_.select(F.col("doc_id").alias("e"), F.col("h").alias("f"), "a", "b")), (F.col("d") == F.col("e")) & (F.col("g") == F.col("f")), "left")
+    return both.select("doc_id", "sha", "n_bytes", "passage", "raw", "a", "b").mapInArrow(last, _REPORT + ", n_passage_bytes long")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, shallow: int = 100) -> DataFrame:
@@ -351,21 +435,21 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 400, sha
 
     n_chars, where there is one, is counted anew. Rows left without text stay, with empty text.
     """
-    joined = _joined(spark, docs, length, shallow)
+    importable(spark)
+    d, g, low, high = unused(docs, "d", "g", "a", "b")
+    key, _, h = _key(docs)
+    found = _spans_of(spark, docs, length, shallow).select(F.col("doc_id").alias(d), F.col("h").alias(g), F.col("a").alias(low), F.col("b").alias(high))
+    joined = docs.join(by_shuffle(found), (key == F.col(d)) & (h == F.col(g)), "left").drop(d, g)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             text, size = [], []
             where, null = rows.schema.get_field_index("text"), rows.column(rows.schema.get_field_index("text")).is_null().to_pylist()
-            for i, spans in enumerate(rows.column(rows.schema.get_field_index("_spans")).to_pylist()):
-                raw, at, kept = data[offs[i] : offs[i + 1]].tobytes(), 0, []
-                for a, b in _union(spans):
-                    kept.append(raw[at:a].decode(errors="ignore"))
-                    at = b
-                kept.append(raw[at:].decode(errors="ignore"))
-                text.append(None if null[i] else "".join(kept))
-                size.append(len(text[-1] or ""))
+            for i, spans in enumerate(_unions(rows.column(rows.schema.get_field_index(low)), rows.column(rows.schema.get_field_index(high)))):
+                kept = "".join(part.decode(errors="ignore") for part in _kept(data[offs[i] : offs[i + 1]].tobytes(), spans))
+                text.append(None if null[i] else kept)
+                size.append(len(kept))
             cols = [rows.column(rows.schema.get_field_index(c)) for c in names]
             cols[names.index("text")] = pa.array(text, rows.schema.field(where).type)
             if "n_chars" in names:
