@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, importable, pack, row_bounds, shingles_of, slices, two, word_hashes
+from .common import Scratch, Table, by_shuffle, importable, pack, row_bounds, shingles_of, slices, two, unused, word_hashes
 from .sharing import components, key32, link_counts, linked_sets, set_id, shared_keys
 
 
@@ -35,7 +35,11 @@ def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int
     Repeated rows share a component. Null doc_ids are never a component's id, unless it has no other.
     """
     importable(spark)
-    docs = two(docs)
+    with Scratch() as scratch:
+        return Table(_similar_texts(spark, two(docs), k, percent, links, scratch), "similar-texts").read()
+
+
+def _similar_texts(spark: SparkSession, docs: DataFrame, k: int, percent: int, links: bool, scratch: Scratch) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in _shingles(batches, k):
@@ -67,20 +71,18 @@ def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int
             kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "sig", "n", "key", "pos", "blob"])
 
-    stored = Table(docs.mapInArrow(run, "kind string, doc_id long, sig binary, n int, key long, pos int, blob binary"), "shingles", by="kind")
+    rows = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, sig binary, n int, key long, pos int, blob binary"), "shingles", by="kind")
     known.destroy()  # written: nothing will be computed from it again
-    rows = stored.read()
     sets = rows.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
     postings = rows.where("kind = 'key'").select("key", "sig", "n", "pos")
     owner = rows.where("kind = 'doc'").select("doc_id", "sig", "n")
     same = owner.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     if links:
-        counted, linked = link_counts(postings, sets.join(same.select("sig", F.col("n_copies").alias("copies")), "sig"), percent)
+        counted, groups = link_counts(postings, sets.join(same.select("sig", F.col("n_copies").alias("copies")), "sig"), percent)
         same = same.join(counted, "sig", "left")
     else:
-        linked, same = linked_sets(postings, sets, percent), same.withColumn("n_links", F.lit(0))
-    groups = components(linked)
-    rooted = same.join(groups.select(F.col("id").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        groups, same = components(linked_sets(postings, sets, percent)).select(F.col("id").alias("sig"), "root"), same.withColumn("n_links", F.lit(0))
+    rooted = same.join(groups, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(low, "root").select(F.col("sig").alias("s"), "component_id", "n_copies", "n_links")
     out = owner.join(named, F.col("sig") == F.col("s"), "left").select(
@@ -92,5 +94,6 @@ def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int
 
 def one_per_group(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is their component's: one document of each group stays."""
-    keep = similar_texts(spark, docs, k, percent, links=False).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    (name,) = unused(docs, "keep")
+    keep = similar_texts(spark, docs, k, percent, links=False).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(by_shuffle(keep), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
