@@ -24,6 +24,8 @@ from .tokens import SLOTS, Encoder
 
 _MODELS: dict[str, PieceEncoder] = {}
 _CACHE = 1 << 20
+#: Chunks of more bytes are relaxed one by one; shorter ones all at once, position by position.
+LONG = 256
 
 
 class PieceEncoder(Encoder):
@@ -74,6 +76,9 @@ class PieceEncoder(Encoder):
         padded = b"".join(self.bytes_of[i].ljust(8 * self.width, b"\0") for i in usable)
         self.piece_keys = np.frombuffer(padded, ">u8").astype(U64).reshape(-1, self.width)
         self.seen_key, self.seen_ok = np.full(_CACHE, -1, np.int64), np.zeros(_CACHE, bool)
+        self.merge = dict(zip(keys.tolist(), self.pair_rank.tolist(), strict=True))
+        self.parts = list(zip(self.rank.tolist(), self.left.tolist(), self.right.tolist(), strict=True))
+        self.met: dict[int, bool] = {}
         self._fresh()
 
     def _fresh(self) -> None:
@@ -109,6 +114,38 @@ class PieceEncoder(Encoder):
         self.seen_key[slot[todo]], self.seen_ok[slot[todo]] = key[todo], out[todo]
         return out
 
+    def _may_follow_one(self, x: int, y: int) -> bool:
+        """``may_follow`` of one pair."""
+        key, limit, wide = x * (self.unknown + 1) + y, 1 << 40, self.unknown + 1
+        if (known := self.met.get(key)) is not None:
+            return known
+        ok = True
+        while True:
+            if self.merge.get(x * wide + y, limit) < limit:
+                ok = False
+                break
+            (rx, _, right), (ry, left, _) = self.parts[x], self.parts[y]
+            if not rx and not ry:
+                break
+            if rx > ry:
+                x, limit = right, rx
+            else:
+                y, limit = left, ry + 1
+        if len(self.met) >= _CACHE:
+            self.met.clear()
+        self.met[key] = ok
+        return ok
+
+    def _relax_long(self, pos: np.ndarray, piece: np.ndarray, length: np.ndarray, begins: set[int], last: np.ndarray, back: np.ndarray) -> None:
+        """Relaxes the edges of long chunks in the order of their positions; ``begins``: where chunks start."""
+        order = np.argsort(pos, kind="stable")
+        best: dict[int, tuple[int, int]] = {}
+        for p, q, w in zip(pos[order].tolist(), piece[order].tolist(), length[order].tolist(), strict=True):
+            if p in begins or (p in best and self._may_follow_one(best[p][0], q)):
+                best[p + w] = (q, w)
+        at = np.fromiter(best, np.int64, len(best))
+        last[at], back[at] = np.array([v[0] for v in best.values()], np.int64), np.array([v[1] for v in best.values()], np.int64)
+
     def edges(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, piece ids and byte lengths of every occurrence of every piece in the text t."""
         n = len(t)
@@ -156,12 +193,16 @@ class PieceEncoder(Encoder):
         known[pos[length == chars[pos]]] = True
         lost = begins[~known[begins]]
         pos, piece, length = np.concatenate([pos, lost]), np.concatenate([piece, np.full(len(lost), self.unknown)]), np.concatenate([length, chars[lost]])
-        rel = pos - start[np.searchsorted(start, pos, "right") - 1]
+        chunk = np.searchsorted(start, pos, "right") - 1
+        rel, long_ = pos - start[chunk], size[chunk] > LONG
+        last, back = np.full(len(t) + 1, -2, np.int64), np.zeros(len(t) + 1, np.int64)
+        if long_.any():
+            self._relax_long(pos[long_], piece[long_], length[long_], set(start[size > LONG].tolist()), last, back)
+            pos, piece, length, rel = pos[~long_], piece[~long_], length[~long_], rel[~long_]
         order = np.lexsort((pos, rel))
         pos, piece, length, rel = pos[order], piece[order], length[order], rel[order]
-        last, back = np.full(len(t) + 1, -2, np.int64), np.zeros(len(t) + 1, np.int64)
-        cuts = np.flatnonzero(np.diff(rel)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(rel)]]).tolist(), strict=True):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rel)) + 1, [len(rel)]]).tolist() if len(rel) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             p, q, w = pos[a:b], piece[a:b], length[a:b]
             if rel[a] == 0:
                 ok = np.ones(b - a, bool)
