@@ -23,14 +23,17 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Base limits, then the method's: repeats of ``repeat_words`` or more may cover ``most_covered`` of the words, and none may be longer than ``longest`` words."""
+    """Base limits, then the method's: repeats of ``repeat_words`` or more may cover ``most_covered`` of the words, and none may be longer than ``longest`` words.
+
+    A tenth is the published limit for repeated 10-grams; a passage of over 50 words that stands twice in a text is a repeat of its own.
+    """
 
     least_words: int = 10
     window: int = 5
     most_repeated: float = 0.20
     repeat_words: int = 10
-    most_covered: float = 0.18
-    longest: int = 60
+    most_covered: float = 0.10
+    longest: int = 50
 
 
 def longest_repeats(word: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -43,7 +46,7 @@ def longest_repeats(word: np.ndarray, row: np.ndarray) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.full(2 * n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int32 if n < 1 << 31 else np.int64)  # one array a doubling is kept
     rank[order] = begin
     alone = fresh.copy()
     alone[:-1] &= fresh[1:]
@@ -51,7 +54,7 @@ def longest_repeats(word: np.ndarray, row: np.ndarray) -> np.ndarray:
     sa, levels, h = order, [rank.copy()], 1
     while len(tied):
         part = sa[tied]
-        key, after = rank[part], rank[np.minimum(part + h, 2 * n)]
+        key, after = rank[part], rank[np.minimum(part + h, n)]
         by = np.lexsort((after, key))
         part, key, after = part[by], key[by], after[by]
         sa[tied] = part
@@ -67,7 +70,7 @@ def longest_repeats(word: np.ndarray, row: np.ndarray) -> np.ndarray:
     a, b, lcp = sa[:-1], sa[1:], np.zeros(n - 1, np.int64)
     live = np.flatnonzero(levels[0][a] == levels[0][b])
     for k in range(len(levels) - 1, -1, -1):
-        x, y = a[live] + lcp[live], b[live] + lcp[live]
+        x, y = np.minimum(a[live] + lcp[live], n), np.minimum(b[live] + lcp[live], n)
         lcp[live] += (1 << k) * ((levels[k][x] == levels[k][y]) & (x < n) & (y < n))
     out[a] = lcp
     out[b] = np.maximum(out[b], lcp)
