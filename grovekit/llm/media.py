@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, importable, slices, two
+from .common import Table, importable, slices, two, unused
 
 WIDTH = 64
 TILE = (16, 16)
@@ -128,10 +128,11 @@ def media_columns(df: DataFrame, column: str, tile: tuple[int, int] = TILE) -> D
     """Adds to a binary column of Netpbm or BMP images: npy (the whole array), tile_npy (area-resized uint8), dhash, height, width.
 
     Null or undecodable media give null in all of these. Rows, repeated ones too, are kept as they are; an empty
-    table stays empty. Any other columns pass through; new columns must not clash with them.
+    table stays empty. Any other columns pass through; a new column whose name is taken gets an underscore more.
     """
     importable(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t()) for n, t in (("npy", T.BinaryType), ("tile_npy", T.BinaryType), ("dhash", T.StringType), ("height", T.IntegerType), ("width", T.IntegerType)))])
+    kinds = {"npy": T.BinaryType(), "tile_npy": T.BinaryType(), "dhash": T.StringType(), "height": T.IntegerType(), "width": T.IntegerType()}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(unused(df, *kinds), kinds.values(), strict=True))])
 
     def one(buf: bytes | None) -> tuple:
         try:

@@ -11,6 +11,7 @@ bands; runs of sentences that occur earlier go where they have ``least_run`` wor
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Table, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingles_of, slices, span_hash, word_hashes, words_of
+from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingles_of, slices, span_hash, word_hashes, words_of
 from .sharing import components, key32, linked_sets, set_id, shared_keys
 
 BANDS, ROWS = 14, 4
@@ -76,7 +77,7 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
+def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
     """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, n, root, and unit (line, or sentence where another text may have it).
 
     root is what a paragraph's component shares: the least set id in it, for a sentence its hash.
@@ -114,7 +115,7 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "doc_id", "h", "start", "end", "sig", "n", "key", "blob"])
 
-    stored = Table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long, blob binary"), "paragraphs", by="kind").read()
+    stored = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long, blob binary"), "paragraphs", by="kind")
     known.destroy()  # written: nothing will be computed from it again
     sets = stored.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
     postings = stored.where("kind = 'key'").select("key", "sig", "n", F.lit(0).alias("pos"))
@@ -126,8 +127,13 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, k: int = 5, percent
 def _repeated(spark: SparkSession, docs: DataFrame, k: int, percent: int, least_words: int) -> DataFrame:
     """doc_id, h and the spans with a copy elsewhere: place, unit, words, is it the first, and the doc_id that has the first."""
     words = F.when(F.col("unit") == "line", F.col("n") + F.lit(k - 1)).otherwise(F.col("n"))
-    units = paragraph_clusters(spark, docs, k, percent).withColumn("words", words).where((F.col("unit") == "sentence") | (F.col("words") >= least_words))
+    with Scratch() as scratch:
+        return Table(_spans(paragraph_clusters(spark, docs, scratch, k, percent).withColumn("words", words).where((F.col("unit") == "sentence") | (F.col("words") >= least_words)), scratch), "repeated-paragraphs").read()
+
+
+def _spans(units: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct("doc_id", "h", "start")
+    units = scratch.table(units, "units")  # a side of its own, so that a unit in a third of all documents can be split
     first = units.groupBy("unit", "root").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("unit").alias("u"), F.col("root").alias("r"), "first")
     met = units.join(first, (F.col("unit") == F.col("u")) & (F.col("root") == F.col("r")))
     span = F.struct(F.col("start").alias("a"), F.col("end").alias("b"), F.col("unit").alias("unit"), F.col("words").alias("words"), (place == F.col("first")).alias("first"), F.col("first.doc_id").alias("kept_in"))
@@ -136,8 +142,9 @@ def _repeated(spark: SparkSession, docs: DataFrame, k: int, percent: int, least_
 
 def _decide(spans: list[dict], least_run: int) -> tuple[list[tuple[int, int]], set[int], int]:
     """Byte spans to remove, the doc_ids that keep them, and how many paragraphs have a copy, first ones included."""
-    lines = [(x["a"], x["b"]) for x in spans if x["unit"] == "line" and not x["first"]]
-    inside = lambda x: any(a <= x["a"] and x["b"] <= b for a, b in lines)
+    lines = sorted((x["a"], x["b"]) for x in spans if x["unit"] == "line" and not x["first"])  # lines do not overlap
+    starts, whole = [a for a, _ in lines], list(lines)
+    inside = lambda x: (k := bisect_right(starts, x["a"]) - 1) >= 0 and x["b"] <= whole[k][1]
     into = {x["kept_in"] for x in spans if x["unit"] == "line" and not x["first"]}
     copied = sum(x["unit"] == "line" for x in spans)
     run: list[dict] = []
@@ -171,7 +178,7 @@ def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
     text = F.col("text").cast("string")
     gone = _repeated(spark, docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), k, percent, least_words)
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans")
-    joined = docs.select("doc_id", text.alias("text")).join(gone, (key == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    joined = docs.select("doc_id", text.alias("text")).join(by_shuffle(gone), (key == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):

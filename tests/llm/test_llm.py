@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from grovekit.llm import common, media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, sharing, substrings, templates, tokens
 
 P = pytest.importorskip("public_tokenizers")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, key long, h long, kind string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, places long, h long, keep string"
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
 
@@ -59,8 +59,52 @@ def rows_of(df, n=None):
     return sorted((tuple(r)[:n] for r in df.collect()), key=key)
 
 
+# what they share
 
 
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_hashes_tell_regular_strings_apart():
+    """Sums of powers modulo 2**64 are equal for these whatever the base."""
+    x = thue_morse(12)
+    y = x.translate(str.maketrans("ab", "ba"))
+    data, offs = common.text_arrays(pa.array([x, y]))
+    s = common.prefix_hash(data)
+    assert len(set(common.quick_hash(s, offs[:-1], offs[1:]).tolist())) == 1 and len(set(common.span_hash(s, offs[:-1], offs[1:]).tolist())) == 2
+    got = repetition.measures(*common.text_arrays(pa.array([f"{x}\n{y}"])), repetition.Rules())
+    assert got["n_dup_lines"].tolist() == [0]
+    data, offs = common.text_arrays(pa.array(["." * 3 + x, x]))
+    s = common.prefix_hash(data)
+    assert common.span_hash(s, offs[:-1] + [3, 0], offs[1:]).tolist()[0] == common.span_hash(s, offs[1:2], offs[2:]).tolist()[0]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_dir(Session())
+
+
+def test_extra_columns_of_any_name(spark):
+    """Helper columns give way to columns of the input."""
+    rows = [(i, sentence(30) + "\nA line that is in all of these texts here", *"abcdefg") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d string, g string, h string, spans string, places string, lines string, keep string")
+    for out in (templates.drop_recurring(df), substrings.without_repeats(spark, df, 30, 8), ngram_join.one_per_group(spark, df)):
+        assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple("abcdefg")}
+    image = spark.createDataFrame([(bytearray(b"P5 1 1 255\n\x01"), 5)], "image binary, npy int")
+    assert media.media_columns(image, "image").columns == ["image", "npy", "npy_", "tile_npy", "dhash", "height", "width"]
+
 
 # 1
 
@@ -152,6 +196,40 @@ def test_paragraphs(spark, docs, empty):
     assert {r.n_bytes - len(r.kept_text.encode()) - r.removed_bytes for r in got} == {0}
 
 
+def test_paragraph_clusters_against_brute_force(spark):
+    """Lines with the same root are linked by similar lines; of all similar pairs at least nine in ten share a root."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, (_, t) in enumerate(TEXTS) if t and len(t) < 20_000], "doc_id long, text string"))
+    texts = {r.doc_id: r.text.encode() for r in docs.collect() if r.text}
+    with common.Scratch() as scratch:
+        got = paragraphs.paragraph_clusters(spark, docs.withColumn("h", F.xxhash64("text")), scratch).where("unit = 'line'").collect()
+    roots = defaultdict(set)
+    for r in got:
+        w = texts[r.doc_id][r.start : r.end].lower().split()
+        roots[frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))].add(bytes(r.root))
+    assert {len(v) for v in roots.values()} == {1}
+    by, near = defaultdict(list), set()
+    for s in roots:
+        for g in s:
+            by[g].append(s)
+    for v in by.values():
+        near |= {(a, b) for a in v for b in v if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    same = [roots[a] == roots[b] for a, b in near]
+    assert len(near) > 10 and sum(same) >= 0.9 * len(near)
+    group = {s: s for s in roots}
+
+    def top(s):
+        while group[s] != s:
+            s = group[s]
+        return s
+
+    for a, b in near:
+        group[top(a)] = top(b)
+    clusters = defaultdict(set)
+    for s, r in roots.items():
+        clusters[min(r)].add(top(s))
+    assert {len(v) for v in clusters.values()} == {1}
+
+
 def test_band_recall():
     rng, met = np.random.default_rng(2), 0
     for _ in range(300):
@@ -190,6 +268,22 @@ def test_quality(docs, empty):
     assert repetition.quality(empty).count() == 0 and repetition.keep_good(docs).columns == docs.columns
 
 
+def verdict(n, repeated, covered, longest):
+    r = repetition.Rules()
+    failed = n < 10 or 100 * repeated > 20 * n
+    return failed, not failed and covered <= r.most_covered * n and longest <= r.longest
+
+
+def test_verdicts(spark):
+    """Every limit decides some text: few words, repeats of five, covered share, longest repeat."""
+    plain, ten, long_ = sentence(150), sentence(11), sentence(51)
+    texts = [sentence(9), plain, f"{sentence(8)} {sentence(6)} " * 3, f"{plain} {ten} {sentence(5)} {ten}", f"{sentence(900)} {long_} {sentence(9)} {long_}", f"{sentence(900)} {ten} {sentence(9)} {ten}", None, ""]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    figures = [brute_quality(x, repetition.Rules().repeat_words) for x in texts]
+    assert got == {i: verdict(f[0], f[4], f[5], f[6]) for i, f in enumerate(figures)}
+    assert [got[i] for i in range(6)] == [(True, False), (False, True), (True, False), (False, False), (False, False), (False, True)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab #\n", max_size=40), min_size=1, max_size=4))
 def test_repeats(texts):
@@ -225,6 +319,18 @@ def test_grammar_round_trip(lists):
         assert s.ids(i).tolist() == [*v, 0] and s.ids(i, 1, 5).tolist() == [*v, 0][1:5]
 
 
+def test_grammar_replaces_pairs_of_rare_symbols():
+    """Pairs of any symbols count, also where thousands of others are as frequent."""
+    rng = np.random.default_rng(3)
+    pair = rng.integers(0, 50_000, (6000, 2)).astype(np.uint32)
+    ids = np.concatenate([pair[rng.permutation(6000)].reshape(-1) for _ in range(8)])
+    s = repair.Shard(repair.compress(ids, np.array([0, len(ids)]), 50_000))
+    assert (s.all()[0] == ids).all() and s.n_seq < 0.6 * len(ids) and len(s.rules) >= 5900
+    deep = np.tile(rng.integers(0, 50_000, 700).astype(np.uint32), 40)
+    s = repair.Shard(repair.compress(deep, np.array([0, len(deep)]), 50_000))
+    assert (s.all()[0] == deep).all() and s.n_seq < 200 and s.length.max() > 64
+
+
 def library_ids(name):
     lib = tokens.encoder(P.path(name), name.startswith("byte")).lib
     return {x: np.array([*lib.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for _, x in TEXTS}
@@ -339,6 +445,15 @@ def test_area_resize(h, w, th, tw):
     assert np.allclose(media.area_resize(a, th, tw), want)
 
 
+def plain_dhash(a):
+    """Cell by cell: every sample counts with the share of it that lies in the cell."""
+    h, w = a.shape
+    share = lambda n, m: np.array([[max(0.0, min((j + 1) * n / m, i + 1) - max(j * n / m, i)) for i in range(n)] for j in range(m)])
+    g = share(h, 8) @ a.astype(float) @ share(w, 9).T / (h * w / 72)
+    bits = [bool(g[i, j + 1] > g[i, j] + 1e-9) for i in range(8) for j in range(8)]
+    return np.packbits(bits).tobytes().hex()
+
+
 def test_text_media(spark, docs, empty):
     want = []
     for d, x in TEXTS:
@@ -347,8 +462,8 @@ def test_text_media(spark, docs, empty):
         out = io.BytesIO()
         np.save(out, np.frombuffer(p, np.uint8).reshape(-1, 64))
         npy = out.getvalue()
-        want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(npy), hashlib.sha256(npy).hexdigest()))
-    assert rows_of(media.text_media(spark, docs), 7) == sorted(want, key=key)
+        want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(npy), hashlib.sha256(npy).hexdigest(), plain_dhash(np.frombuffer(p, np.uint8).reshape(-1, 64))))
+    assert rows_of(media.text_media(spark, docs), 8) == sorted(want, key=key)
     assert media.text_media(spark, empty).count() == 0
 
 
@@ -376,6 +491,29 @@ def test_rollup(spark):
     r.apply("d", spark.createDataFrame([], s))
 
 
+def test_rollup_with_two_writers_and_folds(spark, monkeypatch):
+    s = "op string, doc_id long, source string, lang string, tokenizer_version string, tokens long"
+    one = rollup.TokenRollup(spark, buckets=4)
+    two = rollup.TokenRollup(spark, one.path, buckets=4)
+    one.apply("a", spark.createDataFrame([("insert", i, "x", "en", "v1", 10) for i in range(20)], s))
+    write, turns = one._write, []
+
+    def slow(new, log):
+        folder = write(new, log)
+        if not turns:
+            turns.append(two.apply("c", spark.createDataFrame([("revise", 3, "x", "en", "v1", 1)], s)))
+        return folder
+
+    monkeypatch.setattr(one, "_write", slow)
+    assert one.apply("b", spark.createDataFrame([("revise", 3, "y", "en", "v1", 7), ("delete", 4, None, None, "v1", 0)], s)) and turns == [True]
+    want = sorted([("x", "en", "v1", 18, 180), ("y", "en", "v1", 1, 7)], key=key)
+    assert one.batches() == ["a", "c", "b"] and rows_of(one.totals()) == want
+    one.compact()
+    assert rows_of(two.totals()) == want and two.ledger().count() == 19 and not two.apply("b", spark.createDataFrame([], s))
+    two.apply("d", spark.createDataFrame([("delete", 3, None, None, "v1", 0), ("insert", 4, "y", "en", "v1", 2)], s))
+    assert rows_of(one.totals()) == sorted([("x", "en", "v1", 18, 180), ("y", "en", "v1", 1, 2)], key=key)
+
+
 def test_count_words(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n",), ("a",), (" a\tb\x0bc  d ",)], "t string")
     assert [x[0] for x in df.select(rollup.count_words(F.col("t"))).collect()] == [0, 0, 0, 1, 4]
@@ -409,6 +547,18 @@ def test_substrings(spark, docs, empty, monkeypatch, length, shallow, together):
     assert substrings.substring_report(spark, empty, length, shallow).count() == 0
     out = substrings.without_repeats(spark, small, length, shallow)
     assert out.columns == docs.columns and out.count() == len(short)
+    both = substrings.substring_report(spark, small, length, shallow, passage=length // 2)
+    assert rows_of(both, 5) == brute_removed(short, length)
+    assert rows_of(both.select("doc_id", "n_bytes", "n_passage_bytes")) == sorted((r[:3] for r in brute_removed(short, length // 2)), key=key)
+    assert substrings.substring_report(spark, empty, length, shallow, passage=length // 2).count() == 0
+
+
+def test_many_segments_of_one_anchor(spark):
+    """Sixty different contexts of one passage: more than are sorted together."""
+    passage = sentence(20)
+    rows = [(i, f"{sentence(6)} {passage} {sentence(6)}") for i in range(60)]
+    got = substrings.substring_report(spark, spark.createDataFrame(rows, "doc_id long, text string"), 80, 20)
+    assert rows_of(got, 5) == brute_removed(rows, 80)
 
 
 @settings(max_examples=80, deadline=None)
@@ -421,6 +571,13 @@ def test_deep_shallow_sort(strings, lead):
         assert c == substrings.common_prefix(strings[a], strings[b])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=40))
+def test_multikey_quicksort(keys):
+    groups = substrings.multikey_quicksort(list(range(len(keys))), keys)
+    assert [keys[i] for g in groups for i in g] == sorted(keys) and all(len({keys[i] for i in g}) == 1 for g in groups)
+
+
 # 10
 
 
@@ -428,7 +585,7 @@ def test_pieces_equal_library(spark, docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = P.path("piece_bpe_32k.model")
     sp, e = sentencepiece.SentencePieceProcessor(model_file=path), pieces.piece_encoder(path)
-    texts = [*ODD, "   ", "日本語テキスト 한국어", "😀 a😀b", "a▁b ▁", "</s><s><unk>", " " * 40 + "x", *(x or "" for _, x in TEXTS)]
+    texts = [*ODD, "   ", "日本語テキスト" * 300, "".join(RNG.choice("abcdeéü日本thering") for _ in range(3000)), "日本語テキスト 한국어", "😀 a😀b", "a▁b ▁", "</s><s><unk>", " " * 40 + "x", *(x or "" for _, x in TEXTS)]
     ids, at = e(*common.text_arrays(pa.array(texts)))
     want = sp.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want

@@ -38,12 +38,13 @@ def without_templates(docs, t=templates.Tree()):
     for leaf, xs in leaves.items():
         if len({x[4] for x in xs}) < 2 or len(xs) < t.min_docs:
             continue
-        top = [Counter(x[2][p] for x in xs).most_common(1)[0] for p in range(leaf[0])]
-        constant = {p: w for p, (w, k) in enumerate(top) if 2 * k > len(xs)}
-        if len(constant) >= t.similarity * leaf[0]:
-            for x in xs:
-                if sum(x[2][p] == w for p, w in constant.items()) >= t.similarity * leaf[0]:
-                    x[4] = ("leaf", leaf)
+        counts = [Counter(x[2][p] for x in xs) for p in range(leaf[0])]
+        often = [{w for w, k in c.items() if k >= t.min_docs and k >= t.share * len(xs)} for c in counts]
+        for x in xs:
+            kept = [w if w in often[p] else None for p, w in enumerate(x[2])]
+            agree, fixed = sum(w is not None for w in kept), sum(w not in (None, "<*>") for w in kept)
+            if agree >= t.similarity * leaf[0] and 2 * fixed >= leaf[0]:
+                x[4] = ("leaf", *(w or "<*>" for w in kept))
     by = defaultdict(list)
     for x in lines:
         by[x[4]].append((x[0], x[1]))
@@ -51,7 +52,7 @@ def without_templates(docs, t=templates.Tree()):
     return [(d, "\n".join(s for i, s in enumerate(x.split("\n")) if (d, i) not in gone)) for d, x in docs]
 
 
-def without_windows(docs, length=400):
+def without_windows(docs, length=200):
     c = Counter()
     for _, x in docs:
         b = x.encode()
