@@ -6,7 +6,6 @@ Each stage gets what its predecessor kept, written as Parquet and read again. Th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,46 +15,26 @@ from grovekit.llm import common, ngram_join, packing, repetition, substrings, te
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _stage(f: Stage) -> Stage:
-    """Drops the intermediates of the stages before: what read them has been written by now."""
-    opened: list[common.Table] = _stage.__dict__.setdefault("opened", [])
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for t in opened:
-            t.drop()
-        first = len(common.OPEN)
-        out = f(spark, docs, sf_dir)
-        opened[:] = common.OPEN[first:]
-        return out
-
-    return run
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the repetition limits reject go."""
     return repetition.keep_good(docs)
 
 
-@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go, but for the first."""
     return templates.drop_recurring(docs)
 
 
-@_stage
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: five-word shingles, similarity 0.8."""
     return ngram_join.one_per_group(spark, docs, k=5, percent=80)
 
 
-@_stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes or more that occur elsewhere go."""
-    return substrings.without_repeats(spark, docs, length=400)
+    """Bytes of strings of 200 bytes or more that occur elsewhere go: a passage of 50 words is hardly shorter."""
+    return substrings.without_repeats(spark, docs, length=200, shallow=33)
 
 
-@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, packed into as few sequences as the method finds."""
     import public_tokenizers
@@ -76,10 +55,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the cluster's shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result but the last is written to the cluster's shared folder and goes once the next is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, f in STAGES[:-1]:
-        out = f"{common.scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        f(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        written = common.Table(f(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = written.read(), written
     return STAGES[-1][1](spark, docs, sf_dir)
