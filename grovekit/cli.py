@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +18,21 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("grovekit").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _load(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    return arff.read_arff(spark, path)[1] if path.endswith(".arff") else delimited.read_csv(spark, path, header=True)
+def load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All inputs as one table; the kind of each by its suffix."""
+    kinds = {".parquet": lambda p: spark.read.parquet(p), ".arff": lambda p: arff.read_arff(spark, p)[1]}
+    parts = [next((f for k, f in kinds.items() if p.rstrip("/").endswith(k)), lambda p: delimited.read_csv(spark, p, header=True))(p) for p in paths]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser("grovekit")
     sub = p.add_subparsers(dest="what", required=True)
     t = sub.add_parser("tree", help="learn from --learn, test on --test")
-    t.add_argument("--learn", required=True)
-    t.add_argument("--test")
+    t.add_argument("--learn", nargs="+", required=True)
+    t.add_argument("--test", nargs="+")
+    t.add_argument("--order", help="learn row by row in the order of this integer column; else level by level over the whole table")
+    t.add_argument("--dump", help="folder for reports of every node")
     t.add_argument("--attributes", required=True)
     t.add_argument("--cls", required=True)
     t.add_argument("--classes", type=int, required=True)
@@ -45,10 +50,20 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--branching", type=int, default=10)
     c.add_argument("--distance", default="d0")
     c.add_argument("--output", required=True)
+    u = sub.add_parser("purity", help="purities of a saved tree against labels")
+    u.add_argument("--tree", nargs="+", required=True, help="lines of path, L<count>, members")
+    u.add_argument("--labels", required=True, help="member,label lines")
+    u.add_argument("--classes", type=int, help="only so many classes, sampled by --seed")
+    u.add_argument("--seed", default="0")
     s = sub.add_parser("profile")
-    s.add_argument("--input", required=True)
+    s.add_argument("--input", nargs="+", required=True)
     x = sub.add_parser("preprocess")
-    x.add_argument("--input", required=True)
+    x.add_argument("--input", nargs="+", required=True)
+    x.add_argument("--order", help="column that numbers the rows, for the options on rows")
+    x.add_argument("--skip", type=int, default=0)
+    x.add_argument("--rows", help="0,3,5-8: only these rows")
+    x.add_argument("--max", type=int, help="the first so many rows")
+    x.add_argument("--split", help="so many rows a file, such as 10k")
     x.add_argument("--output", required=True)
     x.add_argument("--clip", nargs=3, action="append", default=[], metavar=("LOW", "HIGH", "COLUMN"))
     x.add_argument("--log", action="append", default=[])
@@ -61,13 +76,19 @@ def main(argv: list[str] | None = None) -> None:
     if a.what == "tree":
         config = hoeffding.Config(**{f.name: getattr(a, f.name) for f in dataclasses.fields(hoeffding.Config)})
         names = a.attributes.split(",")
-        nodes = hoeffding.grow(_load(spark, a.learn).withColumn(a.cls, F.col(a.cls).cast("int")), names, a.cls, a.classes, config)
+        data = load(spark, a.learn).withColumn(a.cls, F.col(a.cls).cast("int"))
+        began = time.time()
+        nodes = hoeffding.learn(data, names, a.cls, a.order, a.classes, config) if a.order else hoeffding.grow(data, names, a.cls, a.classes, config)
+        learned = time.time() - began
         table = hoeffding.table(spark.range(1), nodes)
         table.show(1000, truncate=False)
+        if a.dump:
+            sinks.dump_nodes(hoeffding.classify(data, nodes), table, "leaf", names, a.cls, [], a.dump)
         if a.test:
-            confusion = evaluation.confusion(hoeffding.classify(_load(spark, a.test).withColumn(a.cls, F.col(a.cls).cast("int")), nodes), a.cls, "pred")
+            confusion = evaluation.confusion(hoeffding.classify(load(spark, a.test).withColumn(a.cls, F.col(a.cls).cast("int")), nodes), a.cls, "pred")
             sinks.answer_lines(confusion).show(1000, truncate=False)
-            print(sinks.tree_json(table, errorRate=evaluation.error_rate(confusion).first()[0]))
+            tested = confusion.agg(F.sum("n")).first()[0]
+            print(sinks.tree_json(table, learnTime=learned, totalTime=time.time() - began, learnInstanceCount=data.count(), testInstanceCount=tested, errorRate=evaluation.error_rate(confusion).first()[0]))
     elif a.what == "cluster":
         points = delimited.read_points(spark, a.input, rows.parse_ranges(a.fields, inclusive=True), a.label, a.skip).withColumn("n", F.monotonically_increasing_id())
         tree = birch.build(points, "x", ["n"], a.threshold, a.branching, a.distance, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -75,8 +96,17 @@ def main(argv: list[str] | None = None) -> None:
         members, features = birch.saved_lines(points, entries, birch.assign(points, "n", "x", entries, a.distance))
         members.write.text(f"{a.output}/members")
         features.write.text(f"{a.output}/cf")
+    elif a.what == "purity":
+        members = reduce(DataFrame.unionByName, [delimited.read_saved_tree(spark, p) for p in a.tree])
+        labels = spark.read.schema("member long, label long").csv(a.labels)
+        if a.classes:
+            chosen = evaluation.class_sample(labels.groupBy("label").agg(F.count("*").alias("n")), a.classes, rows.parse_seed(a.seed))
+            labels = labels.join(F.broadcast(chosen.select("label")), "label", "left_semi")  # as many rows as --classes
+        both = members.join(labels, "member")
+        evaluation.flat_purity(both, "path", "label").show(truncate=False)
+        evaluation.dendrogram_purity(both, "path", "label").show(truncate=False)
     elif a.what == "profile":
-        df = _load(spark, a.input)
+        df = load(spark, a.input)
         for f in (profile.types, profile.number_range, profile.inferred_schema, profile.top_values):
             f(df, df.columns).show(1000, truncate=False)
     else:
@@ -84,7 +114,16 @@ def main(argv: list[str] | None = None) -> None:
         for low, high, col in a.clip:
             pipe.clip(float(low), float(high), col)
         pipe.log(*a.log).hash(*a.hash).normalize(*a.normalize)
-        df = _load(spark, a.input)
+        df = load(spark, a.input)
+        if a.skip:
+            df = rows.skip(df, [a.order], a.skip)
+        if a.rows:
+            df = rows.pick(df, [a.order], rows.parse_ranges(a.rows))
+        if a.max is not None:
+            df = rows.limit_rows(df, [a.order], a.max)
+        if a.split:
+            sinks.write_split(pipe.select("file_no", *(a.select or df.columns)).apply(rows.split_rows(df, [a.order], rows.parse_size(a.split))), a.output)
+            return
         df = pipe.select(*(a.select or df.columns)).apply(df)
         sinks.write_raw(rows.shuffle(df, df.columns, rows.parse_seed(a.seed)) if a.seed else df, a.output)
 

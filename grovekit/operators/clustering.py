@@ -59,18 +59,29 @@ def distance(kind: str, a: str, b: str, literal: bool = False) -> Column:
     raise ValueError(kind)
 
 
+#: Clusters that a task holds at once.
+BLOCK = 20_000
+
+
 def nearest(points: DataFrame, clusters: DataFrame, kind: str = "d0") -> DataFrame:
-    """Each point's nearest cluster: id, cluster, distance. ``points``: id, cf; ``clusters``: cluster, cf, at most a tree's leaf entries, sent to all.
+    """Each point's nearest cluster: id, cluster, distance. ``points``: id, cf; ``clusters``: cluster, cf, of any number.
 
+    Clusters go to the tasks in blocks of ``BLOCK``; points stay where they are, and their best of each block are compared.
     Ties go to the lower cluster; NaN distances come last.
     """
     n = clusters.count()
-    if n > 100_000:
-        raise ValueError(f"{n} clusters: assign through a tree's levels instead")
-    both = points.withColumnRenamed("cf", "p").crossJoin(F.broadcast(clusters.withColumnRenamed("cf", "q")))
-    d = both.withColumn("d", distance(kind, "p", "q"))
-    best = F.min(F.struct(F.isnan("d").alias("bad"), "d", "cluster"))
-    return d.groupBy("id").agg(best.alias("b")).select("id", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("distance"))
+    blocks = -(-n // BLOCK)
+    dealt = clusters.withColumn("_b", F.pmod(F.xxhash64("cluster"), F.lit(max(1, blocks))))
+    best = F.min(F.struct(F.isnan("d").alias("bad"), "d", "cluster")).alias("b")
+    out = None
+    for k in range(max(1, blocks)):
+        part = dealt.where(F.col("_b") == k) if blocks > 1 else dealt
+        both = points.withColumnRenamed("cf", "p").join(F.broadcast(part.select("cluster", F.col("cf").alias("q"))))  # about BLOCK rows
+        one = both.withColumn("d", distance(kind, "p", "q")).groupBy("id").agg(best)
+        out = one if out is None else out.unionByName(one)
+    if blocks > 1:
+        out = out.groupBy("id").agg(F.min("b").alias("b"))
+    return out.select("id", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("distance"))
 
 
 def farthest_pair(entries: DataFrame, kind: str = "d0") -> DataFrame:

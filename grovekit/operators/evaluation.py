@@ -57,9 +57,21 @@ def lca_depth(a: str, b: str) -> F.Column:
 
 
 def class_sample(counts: DataFrame, n: int, seed: int) -> DataFrame:
-    """n classes without replacement, those of at least mean size first, in a seeded order."""
+    """n classes without replacement, those of at least mean size first, in a seeded order (MD5 of seed and label)."""
     mean = counts.agg(F.avg("n").alias("mean"))
-    return counts.crossJoin(F.broadcast(mean)).orderBy((F.col("n") >= F.col("mean")).desc(), F.xxhash64(F.lit(seed), "label"), "label").limit(n).select("label", "n")
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("label").cast("string")))
+    return counts.crossJoin(F.broadcast(mean)).orderBy((F.col("n") >= F.col("mean")).desc(), mixed, "label").limit(n).select("label", "n")
+
+
+def class_summary(counts: DataFrame) -> DataFrame:
+    """classes, total, median and average size, largest class (the lower label among equals)."""
+    top = F.max_by("label", F.struct("n", -F.col("label")))
+    return counts.agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.percentile("n", 0.5).alias("median"), F.avg("n").alias("average"), top.alias("largest"))
+
+
+def path_index(nodes: DataFrame, path: str) -> DataFrame:
+    """Adds pre_order: the place of each node's path in a walk that meets parents before their children, from 0. Nodes are a model's, not rows."""
+    return nodes.withColumn("pre_order", (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
 
 
 def ranges_join(points: DataFrame, offset: str, files: DataFrame) -> DataFrame:

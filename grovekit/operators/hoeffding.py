@@ -8,19 +8,25 @@ of them its next rows (an ordinal range that grows while the leaf waits) and fol
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..lineage import cut
 from . import impurity
 
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults of the classic learner. max_rows: the most rows of one leaf that one superstep folds; the rest follow in later ones."""
+    """Defaults of the classic learner. max_rows: the most rows of one leaf that one superstep folds; the rest follow in later ones.
+
+    bins: numeric attributes with more distinct values are cut at so many quantiles in ``grow``.
+    """
 
     delta: float = 1e-7
     tie: float = 0.05
@@ -31,11 +37,12 @@ class Config:
     max_depth: int | None = None
     first_span: int = 4096
     max_rows: int = 1 << 20
+    bins: int = 1000
 
 
 @dataclass
 class Node:
-    """path: '' for the root, then L and R for each step."""
+    """path: '' for the root, then L and R for each cut, <i> for the i-th value of a text attribute; <?> is where other values go."""
 
     path: str
     attr: str | None = None
@@ -44,6 +51,20 @@ class Node:
     n: int = 0
     at: int = -1
     gone: bool = False
+    values: tuple[str, ...] | None = None
+    n_after: int = 0
+    errors: int = 0
+
+    @property
+    def depth(self) -> int:
+        return len(_STEP.findall(self.path))
+
+    @property
+    def parent(self) -> str | None:
+        return re.sub(_STEP.pattern + "$", "", self.path) if self.path else None
+
+
+_STEP = re.compile("(?:[LR]|<[^>]*>)")
 
 
 def _impurity(counts: np.ndarray, gini: bool) -> np.ndarray:
@@ -107,14 +128,14 @@ def route(nodes: dict[str, Node], path: str = "") -> Column:
     n = nodes[path]
     if n.attr is None:
         return F.lit(path)
+    if n.values is not None:
+        out = F
+        for i, v in enumerate(n.values):
+            out = out.when(F.col(n.attr).cast("string") == v, route(nodes, f"{path}<{i}>"))
+        return out.otherwise(F.lit(f"{path}<?>")) if n.values else F.lit(f"{path}<?>")
     return F.when(F.col(n.attr).cast("double") < n.threshold, route(nodes, path + "L")).otherwise(route(nodes, path + "R"))
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """Cuts the lineage, in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
-
-
 def _folder(attributes: list[str], classes: int, c: Config):
     """Folds a leaf's next rows in order onto its counts so far, checking after every chunk of the leaf's own rows."""
 
@@ -148,7 +169,7 @@ def _folder(attributes: list[str], classes: int, c: Config):
 def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: int, config: Config = Config()) -> dict[str, Node]:
     """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1.
 
-    Every leaf runs to the last row. While all its rows are of one class nothing can be decided, so such rows are only
+    Attributes are numeric. Every leaf runs to the last row. A frozen leaf counts the rows and errors after it was frozen. While all its rows are of one class nothing can be decided, so such rows are only
     aggregated; rows of mixed leaves go to ``_folder``, at most ``max_rows`` of a leaf at once.
     """
     c, nodes, total = config, {"": Node("")}, df.count()
@@ -196,60 +217,137 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
                     nodes[p + s] = Node(p + s, at=r["at"])
                     span[p + s], seen[p + s], so_far[p + s] = c.first_span, r["at"], np.zeros(classes, int)
             else:
-                n.gone = True
+                n.gone, n.at = True, r["at"]
         moved = [p for p in moved if p in span]
         if moved:  # part's plan has the routes and ranges from before
             new = part.where(F.col("leaf").isin(moved)).select("leaf", "_y", pairs.alias("p")).select("leaf", "p.attr", "p.value", "_y", F.lit(1).cast("long").alias("n"))
-            held = _held(held.where(F.col("leaf").isin(list(span))).unionByName(new).groupBy("leaf", "attr", "value", "_y").agg(F.sum("n").alias("n")))
+            held = cut(held.where(F.col("leaf").isin(list(span))).unionByName(new).groupBy("leaf", "attr", "value", "_y").agg(F.sum("n").alias("n")))
+    frozen = [p for p, n in nodes.items() if n.gone]
+    if frozen:
+        since = F.create_map(*[F.lit(v) for p in frozen for v in (p, nodes[p].at)])
+        after = rows.withColumn("leaf", route(nodes)).where(F.col("leaf").isin(frozen)).where(F.col("_o") > since[F.col("leaf")])
+        for r in after.groupBy("leaf", "_y").count().collect():  # leaves x classes
+            nodes[r["leaf"]].n_after += r["count"]
+            nodes[r["leaf"]].errors += r["count"] * (r["_y"] != nodes[r["leaf"]].cls)
     return nodes
 
 
-def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: Config = Config()) -> dict[str, Node]:
-    """Level-wise growth over the whole table: one aggregate of (leaf, attribute, value, class) counts a level."""
-    c, nodes, open_ = config, {"": Node("")}, [""]
+def bin_edges(df: DataFrame, names: list[str], most: int, given: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
+    """Where each numeric attribute is cut: at its distinct values, or at ``most`` quantiles if it has more of them. Two passes for all attributes."""
+    edges = dict(given or {})
+    names = [a for a in names if a not in edges]
+    if not names:
+        return edges
+    at = F.array(*[F.lit((i + 1) / most) for i in range(most - 1)])
+    x = {a: F.col(a).cast("double") for a in names}
+    got = df.agg(*[F.approx_count_distinct(x[a], 0.02).alias(f"n{i}") for i, a in enumerate(names)], *[F.percentile_approx(x[a], at, 10 * most).alias(f"q{i}") for i, a in enumerate(names)]).first()
+    few = [a for i, a in enumerate(names) if got[f"n{i}"] <= 0.9 * most]
+    values: dict[str, set[float]] = {a: set(got[f"q{i}"] or []) for i, a in enumerate(names)}
+    if few:
+        pairs = F.array(*[F.struct(F.lit(a).alias("a"), x[a].alias("v")) for a in few])
+        for a in few:
+            values[a] = set()
+        for r in df.select(F.explode(pairs).alias("p")).select("p.a", "p.v").distinct().collect():  # at most `most` an attribute
+            values[r["a"]].add(r["v"])
+    return edges | {a: sorted(v for v in values[a] if v is not None and v == v)[1:] for a in names}
+
+
+def binned(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Adds _b0, _b1, ...: the bin of each attribute, which holds its lower edge. Null and NaN are in the last one, as routing sends them right."""
+    from pyspark.ml.feature import Bucketizer
+
+    out = df
+    for i, (a, e) in enumerate(edges.items()):
+        x = F.col(a).cast("double")
+        out = out.withColumn(f"_x{i}", F.when(x.isNull() | F.isnan(x), F.lit(float("inf"))).otherwise(x)) if e else out.withColumn(f"_b{i}", F.lit(0))
+    cut_at = {i: [float("-inf"), *map(float, e), float("inf")] for i, e in enumerate(edges.values()) if e}
+    if cut_at:
+        out = Bucketizer(splitsArray=list(cut_at.values()), inputCols=[f"_x{i}" for i in cut_at], outputCols=[f"_b{i}" for i in cut_at]).transform(out)
+    return out.withColumns({f"_b{i}": F.col(f"_b{i}").cast("int") for i in cut_at}).drop(*[f"_x{i}" for i in cut_at])
+
+
+def level_counts(routed: DataFrame, edges: dict[str, list[float]], words: list[str], cls: str, classes: int) -> DataFrame:
+    """leaf, attr, bin (numeric) or value (text), and a count for each class: one aggregate, at most as many rows as leaves x bins of all attributes."""
+    pairs = [F.struct(F.lit(a).alias("attr"), F.col(f"_b{i}").alias("bin"), F.lit(None).cast("string").alias("value")) for i, a in enumerate(edges)]
+    pairs += [F.struct(F.lit(a).alias("attr"), F.lit(None).cast("int").alias("bin"), F.col(a).alias("value")) for a in words]
+    long = routed.select("_leaf", F.col(cls).alias("_y"), F.explode(F.array(*pairs)).alias("p"))
+    return long.groupBy(F.col("_leaf").alias("leaf"), "p.attr", "p.bin", "p.value").agg(*[F.count_if(F.col("_y") == k).alias(f"c{k}") for k in range(classes)])
+
+
+def _kinds(df: DataFrame, attributes: list[str]) -> tuple[list[str], list[str]]:
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return [a for a in attributes if a not in text], [a for a in attributes if a in text]
+
+
+def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: Config = Config(), edges: dict[str, list[float]] | None = None) -> dict[str, Node]:
+    """Level-wise growth over the whole table. A level is one aggregate of (leaf, attribute, bin or value, class) counts.
+
+    Text attributes split into one child a value, at most once on a path; an empty leaf has its parent's class. ``edges`` gives bins of some
+    attributes; the others' come from ``bin_edges``.
+    """
+    c, nodes, open_, off = config, {"": Node("")}, [""], {"": frozenset()}
+    numeric, words = _kinds(df, attributes)
+    edges = bin_edges(df, numeric, c.bins, edges)
+    edges = {a: edges[a] for a in numeric}
+    rows = binned(df.select(*attributes, cls), edges)
     r = 1.0 if c.gini else math.log2(max(2, classes))
     while open_:
-        routed = df.withColumn("_leaf", route(nodes)).where(F.col("_leaf").isin(open_))
-        total = routed.groupBy(F.col("_leaf").alias("leaf"), F.col(cls).alias("y")).agg(F.count("*").alias("n")).collect()  # leaves x classes
-        found = impurity.cuts(routed, attributes, cls, list(range(classes)), ["_leaf"])
-        ranked = found.withColumn("index", F.col("gini")) if c.gini else impurity.with_mdl(found)
-        two_best = F.row_number().over(Window.partitionBy("_leaf").orderBy("index", "attr", "value"))
-        cuts = ranked.withColumn("_r", two_best).where("_r <= 2").select(F.col("_leaf").alias("leaf"), "attr", "index", F.col("value").alias("threshold")).collect()  # two a leaf
-        nxt: list[str] = []
+        routed = rows.withColumn("_leaf", route(nodes)).where(F.col("_leaf").isin(open_))
+        counts = cut(level_counts(routed, edges, words, cls, classes))
+        total = {t["leaf"]: np.array([t[f"c{k}"] for k in range(classes)], float) for t in counts.where(F.col("attr") == attributes[0]).groupBy("leaf").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]).collect()}  # leaves
+        found = impurity.bin_cuts(counts.where("bin IS NOT NULL"), classes, c.gini).unionByName(impurity.value_index(counts.where("bin IS NULL"), classes, c.gini))
         for p in open_:
-            y = np.zeros(classes)
-            for t in total:
-                if t["leaf"] == p:
-                    y[t["y"]] = t["n"]
-            n = nodes[p]
-            n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else -1
-            two = sorted((k["index"], k["attr"], k["threshold"]) for k in cuts if k["leaf"] == p)[:2]
-            if len(two) < 2 or (c.max_depth is not None and len(p) >= c.max_depth) or (y > 0).sum() < 2:
+            if off[p]:
+                found = found.where(~((F.col("leaf") == p) & F.col("attr").isin(sorted(off[p]))))
+        first = F.row_number().over(Window.partitionBy("leaf").orderBy("index", "attr", "bin"))
+        best: dict[str, list[tuple[float, str, int | None]]] = {p: [] for p in open_}
+        for k in found.withColumn("_r", first).where("_r <= 2").collect():  # two a leaf
+            best[k["leaf"]].append((k["index"], k["attr"], k["bin"]))
+        split: list[str] = []
+        for p in open_:
+            n, y, two = nodes[p], total.get(p, np.zeros(classes)), sorted(best[p], key=lambda b: b[:2])
+            up = nodes[n.parent].cls if n.parent is not None else -1
+            n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else up
+            if not two or (c.max_depth is not None and n.depth >= c.max_depth) or (y > 0).sum() < 2:
                 continue
             whole = float(_impurity(y, c.gini))
+            second = two[1][0] if len(two) > 1 else whole
             bound = math.sqrt(r * r * math.log(len(attributes) / c.delta) / (2 * n.n))
-            if whole - two[0][0] > c.pre_prune and (two[1][0] - two[0][0] > bound or bound < c.tie):
-                n.attr, n.threshold = two[0][1], float(np.nextafter(two[0][2], np.inf))  # values up to the cut's go left
-                nxt += [p + "L", p + "R"]
-        nodes.update({p: Node(p) for p in nxt})
-        open_ = nxt
+            if whole - two[0][0] > c.pre_prune and (second - two[0][0] > bound or bound < c.tie):
+                _, n.attr, at = two[0]
+                n.threshold = None if at is None else float(edges[n.attr][at - 1])
+                split.append(p)
+        seen: dict[str, list[str]] = {}
+        chosen = [p for p in split if nodes[p].threshold is None]
+        if chosen:
+            mine = F.create_map(*[F.lit(v) for p in chosen for v in (p, nodes[p].attr)])
+            for v in counts.where(F.col("leaf").isin(chosen)).where((F.col("attr") == mine[F.col("leaf")]) & F.col("value").isNotNull()).select("leaf", "value").distinct().collect():  # the children
+                seen.setdefault(v["leaf"], []).append(v["value"])
+        open_ = []
+        for p in split:
+            n = nodes[p]
+            if n.threshold is None:
+                n.values = tuple(sorted(seen.get(p, [])))
+            kids = [f"{p}<{i}>" for i in range(len(n.values))] if n.values is not None else [p + "L", p + "R"]
+            for k in kids:
+                nodes[k], off[k] = Node(k), off[p] | {n.attr} if n.values is not None else off[p]
+            open_ += kids
     return nodes
 
 
 def classify(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
-    """Adds leaf and pred; an empty leaf predicts -1. Only an expression: no shuffle, no Python."""
-    by = F.create_map(*[F.lit(v) for p, n in nodes.items() if n.attr is None for v in (p, n.cls)])
+    """Adds leaf and pred; a leaf without rows and a value that was never seen predict as their parent. Only an expression: no shuffle, no Python."""
+    known = [(p, n.cls) for p, n in nodes.items() if n.attr is None] + [(f"{p}<?>", n.cls) for p, n in nodes.items() if n.values is not None]
+    by = F.create_map(*[F.lit(v) for pair in known for v in pair])
     return df.withColumn("leaf", route(nodes)).withColumn("pred", by[F.col("leaf")].cast("int"))
 
 
 def table(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
     """The node table: node, parent, depth, kind, attr, threshold, cls, n."""
-    rows = [(p, p[:-1] if p else None, len(p), "split" if n.attr else "leaf" if n.gone else "growing", n.attr, n.threshold, n.cls, n.n) for p, n in sorted(nodes.items())]
+    rows = [(p, n.parent, n.depth, "split" if n.attr else "leaf" if n.gone else "growing", n.attr, n.threshold, n.cls, n.n) for p, n in sorted(nodes.items())]
     return df.sparkSession.createDataFrame(rows, "node string, parent string, depth int, kind string, attr string, threshold double, cls int, n long")
 
 
-
-
 def merged_counts(parts: list[DataFrame], attributes: list[str], cls: str) -> DataFrame:
     """Leaf statistics of replicas added up: partial aggregates of each, then one sum."""
     out = None

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def lg(c: Column) -> Column:
     return F.log(c) / F.lit(math.log(2))
@@ -61,7 +63,7 @@ def cuts(df: DataFrame, attributes: list[str], cls: str, classes: list | None =
     long = df.select(*(leaf or []), F.col(cls).alias("_y"), F.explode(pairs).alias("p")).select(*(leaf or []), "_y", "p.attr", "p.value")
     names = [f"_c{i}" for i in range(len(classes))]
     wide = long.groupBy(*key, "value").agg(*[F.count_if(F.col("_y") == k).alias(c) for c, k in zip(names, classes, strict=True)])
-    wide = wide.withColumn("_part", F.size(F.filter(bounds[F.col("attr")], lambda v: v < F.col("value"))))
+    wide = cut(wide.withColumn("_part", F.size(F.filter(bounds[F.col("attr")], lambda v: v < F.col("value")))))  # read twice below
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
     totals = wide.groupBy(*key, "_part").agg(F.count("*").alias("_v"), *[F.sum(c).alias(c) for c in names])
@@ -83,6 +85,58 @@ def cuts(df: DataFrame, attributes: list[str], cls: str, classes: list | None =
     return c.where((na > 0) & (nb > 0)).select(*key, "value", nb.cast("long").alias("below_n"), na.cast("long").alias("above_n"), mixed(gini).alias("gini"), mixed(entropy).alias("entropy"), (F.col("_values") - 1).alias("cuts"))
 
 
+def _weighted(parts: list[list[Column]], gini: bool) -> Column:
+    """Impurity of class counts in several parts, weighted by their sizes."""
+    total = lambda xs: sum(xs[1:], xs[0])
+    out = []
+    for xs in parts:
+        m = F.nullif(total(xs), F.lit(0.0))
+        one = F.lit(1.0) - total([F.pow(x / m, 2) for x in xs]) if gini else total([F.when(x > 0, -(x / m) * lg(F.when(x > 0, x) / m)).otherwise(0.0) for x in xs])
+        out.append(total(xs) * F.coalesce(one, F.lit(0.0)))
+    return total(out) / total([total(xs) for xs in parts])
+
+
+def bin_cuts(counts: DataFrame, classes: int, gini: bool = False) -> DataFrame:
+    """leaf, attr, bin, index of each cut below a bin, from leaf, attr, bin, c0, c1, ...; entropy has the description length added.
+
+    A leaf's attribute has at most as many rows as bins, so its window is small.
+    """
+    part = Window.partitionBy("leaf", "attr")
+    run = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"c{k}" for k in range(classes)]
+    w = counts.select("leaf", "attr", "bin", F.lead("bin").over(part.orderBy("bin")).alias("next"), F.count("*").over(part).alias("bins"), *[F.sum(c).over(run).cast("double").alias(f"b{c}") for c in names], *[F.sum(c).over(part).cast("double").alias(f"t{c}") for c in names])
+    below, above = [F.col(f"b{c}") for c in names], [F.col(f"t{c}") - F.col(f"b{c}") for c in names]
+    n = sum([F.col(f"t{c}") for c in names][1:], F.col("tc0"))
+    index = _weighted([below, above], gini)
+    if not gini:
+        index = index + F.when(F.col("bins") > 2, lg((F.col("bins") - 1).cast("double")) / n).otherwise(0.0)
+    return w.where("next IS NOT NULL").select("leaf", "attr", F.col("next").alias("bin"), index.alias("index"))
+
+
+def value_index(counts: DataFrame, classes: int, gini: bool = False) -> DataFrame:
+    """leaf, attr, bin (null), index of a split into one child a value, from leaf, attr, value, c0, c1, ...; attributes with two values at least."""
+    xs = [F.col(f"c{k}").cast("double") for k in range(classes)]
+    n = sum(xs[1:], xs[0])
+    each = counts.select("leaf", "attr", n.alias("n"), (n * _weighted([xs], gini)).alias("w"))
+    return each.groupBy("leaf", "attr").agg(F.count("*").alias("values"), (F.sum("w") / F.sum("n")).alias("index")).where("values > 1").select("leaf", "attr", F.lit(None).cast("int").alias("bin"), "index")
+
+
+def percent_below(bins: DataFrame, threshold: float) -> DataFrame:
+    """Share of rows below a threshold, from bins (lower, upper, n): whole bins below it, and its own bin's share by linear interpolation."""
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(threshold)) - F.col("lower")) / F.nullif(F.col("upper") - F.col("lower"), F.lit(0.0))))
+    share = F.when(F.col("upper") <= threshold, F.lit(1.0)).otherwise(F.coalesce(inside, F.lit(0.0)))
+    return bins.agg((F.sum(F.col("n") * share) / F.sum("n")).alias("percent"))
+
+
+def prune_bins(bins: DataFrame, index: str, limit: float) -> DataFrame:
+    """Bins (bin, n and a count for each class) whose cut above is worse than ``limit`` join their right neighbour: their counts add up, the last bin's name stays."""
+    w = Window.orderBy(F.desc("bin"))  # a leaf's bins, at most a thousand
+    kept = bins.withColumn("_own", F.when((F.col(index) <= limit) | F.col(index).isNull(), F.col("bin")))
+    named = kept.withColumn("bin", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = [c for c in bins.columns if c not in ("bin", index)]
+    return named.groupBy("bin").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def with_mdl(c: DataFrame) -> DataFrame:
     """Adds index: entropy and the description length lg(cuts) / n of choosing a cut (0 for one); takes cuts off."""
     n = F.col("below_n") + F.col("above_n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,11 @@ class Pipeline:
         self.steps.append(("normalize", columns, None))
         return self
 
+    def drop_empty(self, *columns: str) -> Pipeline:
+        """Rows go in which a column is empty; without names, rows in which all are."""
+        self.steps.append(("drop", columns, None))
+        return self
+
     def select(self, *columns: str) -> Pipeline:
         """Ordered; repeats allowed, repeated names get a number."""
         self.steps.append(("select", columns, None))
@@ -56,6 +64,9 @@ class Pipeline:
         for kind, columns, f in self.steps:
             if kind == "each":
                 df = df.withColumns({c: f(F.col(c)) for c in columns})
+            elif kind == "drop":
+                empty = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "" for c in columns or df.columns]
+                df = df.where(~reduce(operator.or_ if columns else operator.and_, empty))
             elif kind == "normalize":
                 df = normalize(df, list(columns))
             else:
@@ -68,6 +79,11 @@ class Pipeline:
         return df
 
 
+def by_field(fields: list[int], every: Callable[[Column], Column], own: dict[int, Callable[[Column], Column]]) -> dict[int, Callable[[Column], Column]]:
+    """The extractor of each field: its own one if there is one, else the one for every field."""
+    return {i: own.get(i, every) for i in fields}
+
+
 def normalize_points(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """Min-max scaling of each dimension of an array column; dimensions are aggregated, not rows collected."""
     long = df.select(F.posexplode(vector).alias("dim", "x"))

@@ -57,8 +57,12 @@ def line_stats(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("lines"), F.count_if(F.coalesce(F.col(text), F.lit("")) == "").alias("empty_lines"), F.max(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("longest"))
 
 
-def consecutive(df: DataFrame, group: list[str], order: list[str], distance: Column, vector: str, every: int = 1) -> DataFrame:
-    """Distance of each row to the one before it in its group, for every n-th row. ``distance`` uses ``vector`` and _previous."""
+def consecutive(df: DataFrame, group: list[str], order: list[str], distance: Column, vector: str, every: int = 1, seconds: int = 0) -> DataFrame:
+    """Distance of each row to the one before it in its group, for every n-th row, or for the first one of each stretch of ``seconds`` (by the first order column, a timestamp). ``distance`` uses ``vector`` and _previous."""
     w = Window.partitionBy(*group).orderBy(*order)
+    if seconds:  # the first row of each stretch of time
+        at = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(order[0]).cast("timestamp_ntz")) / seconds)
+        d = df.withColumn("_previous", F.lag(vector).over(w)).withColumn("_n", at).withColumn("_m", F.lag(at).over(w))
+        return d.where(F.col("_previous").isNotNull() & (F.col("_n") != F.col("_m"))).withColumn("distance", distance).drop("_previous", "_n", "_m")
     d = df.withColumn("_previous", F.lag(vector).over(w)).withColumn("_n", F.row_number().over(w))
     return d.where(F.col("_previous").isNotNull() & (F.col("_n") % every == 0)).withColumn("distance", distance).drop("_previous", "_n")

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def parse_size(text: str) -> int:
     """'10', '1_000', '5k', '2m', '1g' (powers of ten)."""
@@ -91,33 +95,78 @@ def split_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     return with_running(df, order).withColumn("file_no", F.floor(F.col("_ord") / rows).cast("long")).drop("_ord", "_sum")
 
 
-def split_bytes(df: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
-    """Adds file_no: a new file starts where the file's bytes with the next row would reach ``most``.
+def _files_within(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of a range's sizes; for each row as a file's first, the next file's first row (or the end), and how many files begin after it and what the last one holds."""
+    n = len(sizes)
+    s = np.concatenate([[0], np.cumsum(sizes)])
+    nonzero = np.minimum.accumulate(np.where(sizes > 0, np.arange(n), n)[::-1])[::-1]
+    nxt = np.minimum(np.maximum(np.searchsorted(s[1:], s[:-1] + most, "left"), nonzero + 1), n)
+    files, held = np.zeros(n, np.int64), s[-1] - s[:-1]
+    for i in range(n - 1, -1, -1):
+        if nxt[i] < n:
+            files[i], held[i] = files[nxt[i]] + 1, held[nxt[i]]
+    return s, nxt, files, held
 
-    Where a file starts depends on every file before it, so this greedy fold is one stream over (ordinal, size) pairs with
-    constant memory; no other column passes through it. ``maxRecordsPerFile`` is the parallel way to cap files by rows.
-    """
-    import pandas as pd
 
-    d = with_running(df, order, F.col(size))
-    # sizes in order are folded in one stream with constant memory; only (ord, size) pass, no other column
-    narrow = d.select("_ord", F.col(size).alias("_size")).repartition(1).sortWithinPartitions("_ord")
+def _enter(s: np.ndarray, entry: int, most: int) -> int:
+    """The first row that begins a file when ``entry`` bytes are held before the range; the number of rows if there is none."""
+    n = len(s) - 1
+    if not entry:
+        return n
+    return min(int(np.searchsorted(s[1:], most - entry, "left")), n)
 
-    def fold(batches):
-        no, held = 0, 0
-        for pdf in batches:
-            out = []
-            for s in pdf["_size"].tolist():
-                if held and held + s >= most:
-                    no, held = no + 1, 0
-                held += s
-                out.append(no)
-            yield pd.DataFrame({"_o": pdf["_ord"], "file_no": out})
 
-    numbered = narrow.mapInPandas(fold, "_o long, file_no long")
-    return _plain(d.join(numbered, F.col("_ord") == F.col("_o")).drop("_o"))
+def split_bytes(df: DataFrame, order: list[str], size: str, most: int, range_rows: int = 1 << 17) -> DataFrame:
+    """Adds file_no: a new file starts where the file's bytes with the next row would reach ``most``.
+
+    Where a file starts depends on every file before it. So each range of rows first reports what it does to whatever number of
+    bytes is held when it begins: those are a few cases, since files that begin at different rows soon begin at the same ones. The
+    driver follows these reports from range to range, then every range numbers its own rows.
+    """
+    d = with_running(df, order, F.col(size)).withColumn("_range", F.floor(F.col("_ord") / range_rows).cast("long"))
+    narrow = cut(d.select("_range", "_ord", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")))
+
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, _, files, held = _files_within(pdf.sort_values("_ord")["_size"].to_numpy(), most)
+        # held before: 0, or over most - s[j + 1] (and at most most - s[j]) where row j begins the first file; less than all: none does
+        change = np.flatnonzero(np.concatenate([[True], (files[1:] != files[:-1]) | (held[1:] != held[:-1])]))
+        last = np.append(change[1:], len(files)) - 1
+        return pd.DataFrame([(int(pdf["_range"].iloc[0]), int(s[-1]), int(files[0]), int(held[0]), (most - s[last + 1]).tolist(), (files[change] + 1).tolist(), held[change].tolist())], columns=["r", "total", "files", "held", "least", "then_files", "then_held"])
+
+    reports = narrow.groupBy("_range").applyInPandas(report, "r long, total long, files long, held long, least array<long>, then_files array<long>, then_held array<long>")
+    held, number, begin = 0, 0, {}
+    for r in reports.orderBy("r").toLocalIterator():  # a row a range
+        begin[r["r"]] = (held, number)
+        case = next((i for i, least in enumerate(r["least"]) if held >= least), None) if held else None
+        if not held:
+            number, held = number + r["files"], r["held"]
+        elif case is None:
+            held += r["total"]
+        else:
+            number, held = number + r["then_files"][case], r["then_held"][case]
+    known = df.sparkSession.sparkContext.broadcast(begin)
+
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_ord")
+        s, nxt, _, _ = _files_within(pdf["_size"].to_numpy(), most)
+        entry, no = known.value[int(pdf["_range"].iloc[0])]
+        out, at = np.full(len(pdf), no, np.int64), _enter(s, entry, most) if entry else 0
+        while at < len(pdf):
+            no += bool(entry or at)
+            out[at : int(nxt[at])] = no
+            at = int(nxt[at])
+        return pd.DataFrame({"_o": pdf["_ord"], "file_no": out})
+
+    numbered = narrow.groupBy("_range").applyInPandas(name, "_o long, file_no long")
+    return _plain(d.join(numbered, F.col("_ord") == F.col("_o")).drop("_o", "_range"))
+
+
+def limit_files(lines: DataFrame, files: int) -> DataFrame:
+    """Lines of the first ``files`` files in the order of their names."""
+    first = lines.select("file").distinct().orderBy("file").limit(files).select(F.col("file").alias("_f"))
+    return lines.join(F.broadcast(first), F.col("file") == F.col("_f"), "left_semi")  # as many rows as the limit
 
 
 def shuffle(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """A seeded permutation: rows in the order of a hash of seed and key."""
-    return df.withColumn("_k", F.xxhash64(F.lit(seed), *key)).orderBy("_k", *key).drop("_k")
+    """A seeded permutation: rows in the order of the MD5 of seed and key."""
+    return df.withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))).orderBy("_k", *key).drop("_k")

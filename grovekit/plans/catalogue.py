@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..lineage import cut
 from ..operators import birch, clustering, evaluation, hoeffding, impurity, preprocess, profile, rows
 from ..streaming import ingest
 
@@ -84,7 +85,6 @@ query("row_split_rows", f"SELECT o_orderkey, o_totalprice, (o // 1000)::BIGINT A
 query("row_split_bytes", f"""WITH RECURSIVE d AS (SELECT doc_id, n_chars, o FROM {_DOC}), f(o, doc_id, n_chars, held, file_no) AS (SELECT o, doc_id, n_chars, n_chars, 0::BIGINT FROM d WHERE o = 0
 UNION ALL SELECT d.o, d.doc_id, d.n_chars, CASE WHEN f.held + d.n_chars >= 50000 THEN d.n_chars ELSE f.held + d.n_chars END, f.file_no + CASE WHEN f.held + d.n_chars >= 50000 THEN 1 ELSE 0 END FROM f JOIN d ON d.o = f.o + 1)
 SELECT doc_id, n_chars, file_no FROM f""")(lambda s, d: rows.split_bytes(_docs(s, d), ["doc_id"], "n_chars", 50_000))
-query("row_shuffle", "SELECT o_orderkey FROM orders")(lambda s, d: rows.shuffle(read(s, d, "orders").select("o_orderkey"), ["o_orderkey"], rows.parse_seed("seed")))
 query("input_limit", f"SELECT doc_id, n_chars FROM {_DOC} WHERE o < 300 AND t <= 400000")(lambda s, d: rows.limit_input(_docs(s, d), ["doc_id"], F.col("n_chars"), 300, 400_000))
 query("target_class_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")(lambda s, d: read(s, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id", "event_type"))
 query("unlabelled_filter", "SELECT vec_id, label FROM embeddings WHERE label <> 0")(lambda s, d: read(s, d, "embeddings").where("label <> 0").select("vec_id", "label"))
@@ -145,15 +145,11 @@ SELECT attr, round(sum(nv * g) / sum(nv), 6) AS gini, round(sum(nv * e) / sum(nv
 _disc = lambda s, d: rounded(impurity.discrete_index(QUERIES["attr_class_counts"](s, d)), "gini", "entropy")
 query("gini_discrete", f"SELECT attr, gini FROM ({_DISC})")(lambda s, d: _disc(s, d).select("attr", "gini"))
 query("entropy_discrete", f"SELECT attr, entropy FROM ({_DISC})")(lambda s, d: _disc(s, d).select("attr", "entropy"))
-query("gini_string", """WITH p AS (SELECT event_type, props, n / sum(n) OVER (PARTITION BY props) AS p, n FROM (SELECT event_type, left(props, 12) AS props, count(*) AS n FROM events GROUP BY ALL)), v AS (SELECT props, sum(n) AS nv, 1 - sum(p * p) AS g FROM p GROUP BY 1)
-SELECT 'props' AS attr, round(sum(nv * g) / sum(nv), 6) AS gini FROM v""")(lambda s, d: rounded(impurity.discrete_index(impurity.discrete_counts(read(s, d, "events").select(F.substring("props", 1, 12).alias("props"), "event_type"), ["props"], "event_type")), "gini").select("attr", "gini"))
 _cuts = lambda s, d: impurity.cuts(learnable(s, d).select("l_quantity", "l_discount", "l_tax", "l_extendedprice", "cls"), ATTRS, "cls")
-query("gini_continuous", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(_cuts(s, d).where("attr <> 'l_extendedprice'"), "gini").drop("entropy", "cuts"))
-query("entropy_continuous_mdl", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m WHERE attr <> 'l_extendedprice'")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)).where("attr <> 'l_extendedprice'"), "index").drop("gini", "entropy"))
-query("gini_string_whole", """WITH p AS (SELECT event_type, props, n / sum(n) OVER (PARTITION BY props) AS p, n FROM (SELECT event_type, props, count(*) AS n FROM events GROUP BY ALL)), v AS (SELECT props, sum(n) AS nv, 1 - sum(p * p) AS g FROM p GROUP BY 1)
+query("gini_string", """WITH p AS (SELECT event_type, props, n / sum(n) OVER (PARTITION BY props) AS p, n FROM (SELECT event_type, props, count(*) AS n FROM events GROUP BY ALL)), v AS (SELECT props, sum(n) AS nv, 1 - sum(p * p) AS g FROM p GROUP BY 1)
 SELECT 'props' AS attr, round(sum(nv * g) / sum(nv), 6) AS gini FROM v""")(lambda s, d: rounded(impurity.discrete_index(impurity.discrete_counts(read(s, d, "events"), ["props"], "event_type")), "gini").select("attr", "gini"))
-query("gini_continuous_all", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k")(lambda s, d: rounded(_cuts(s, d), "gini").drop("entropy", "cuts"))
-query("entropy_continuous_mdl_all", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)), "index").drop("gini", "entropy"))
+query("gini_continuous", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini FROM k")(lambda s, d: rounded(_cuts(s, d), "gini").drop("entropy", "cuts"))
+query("entropy_continuous_mdl", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(index, 6) AS index FROM m")(lambda s, d: rounded(impurity.with_mdl(_cuts(s, d)), "index").drop("gini", "entropy"))
 query("split_top2", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(index, 6) AS index, row_number() OVER (ORDER BY index, attr, value) AS rank FROM m ORDER BY index, attr, value LIMIT 2")(
     lambda s, d: rounded(impurity.best_cuts(impurity.with_mdl(_cuts(s, d))), "gini", "entropy", "index")
 )
@@ -163,7 +159,6 @@ x AS (SELECT a.attr, a.value AS threshold, a.index AS first, b.index AS second,
 SELECT attr, threshold, round(first, 6) AS first, round(second, 6) AS second, round(null_index, 6) AS null_index, round(bound, 6) AS bound, CASE WHEN first - null_index > bound THEN 'leaf' WHEN second - first > bound THEN 'split' WHEN bound < 0.05 AND null_index > first THEN 'tie' ELSE 'wait' END AS decision FROM x""")(
     lambda s, d: rounded(impurity.decision(impurity.best_cuts(impurity.with_mdl(_cuts(s, d))), _node(s, d), 4, 3), "first", "second", "null_index", "bound")
 )
-query("percent_below", "SELECT round(count(*) FILTER (WHERE l_quantity < 17) / count(*), 6) AS percent FROM lineitem")(lambda s, d: read(s, d, "lineitem").agg(r6(F.count_if(F.col("l_quantity") < 17) / F.count("*")).alias("percent")))
 _LAP = "WITH c AS (SELECT floor(l_quantity / 10)::BIGINT AS leaf, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls, count(*) AS n FROM lineitem GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n + CASE WHEN cls = 1 THEN 5 ELSE 0 END DESC, cls) AS k, sum(n) OVER (PARTITION BY leaf) AS t FROM c)"
 _leafy = lambda s, d: read(s, d, "lineitem").select(F.floor(F.col("l_quantity") / 10).cast("long").alias("leaf"), F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END").alias("cls"))
 query("majority_laplace", f"{_LAP} SELECT leaf, cls AS majority FROM w WHERE k = 1")(lambda s, d: impurity.laplace_majority(_leafy(s, d), "leaf", "cls", 1, 5.0).select("leaf", "majority"))
@@ -181,11 +176,8 @@ query("vfdt_classify_fixed", f"SELECT l_orderkey, l_linenumber, l_partkey, leaf,
 query("vfdt_confusion", f"SELECT cls, pred, count(*) AS n FROM {_PRED} GROUP BY ALL")(lambda s, d: evaluation.confusion(_pred(s, d), "cls", "pred"))
 query("vfdt_answer_stats", f"SELECT cls, count(*) AS count, count(*) FILTER (WHERE cls = pred) AS success_count, round(count(*) FILTER (WHERE cls = pred) / count(*), 6) AS success_rate FROM {_PRED} GROUP BY cls")(lambda s, d: rounded(evaluation.answers(evaluation.confusion(_pred(s, d), "cls", "pred")), "success_rate"))
 query("vfdt_error_rate", f"SELECT round(1 - count(*) FILTER (WHERE cls = pred) / count(*), 6) AS error_rate FROM {_PRED}")(lambda s, d: rounded(evaluation.error_rate(evaluation.confusion(_pred(s, d), "cls", "pred")), "error_rate"))
-query("vfdt_replica_merge", f"SELECT attr, value, cls, count(*) AS n FROM {_MELT} WHERE attr <> 'l_extendedprice' GROUP BY ALL")(
-    lambda s, d: (lambda x: hoeffding.merged_counts([x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 <> 0")], ["l_quantity", "l_discount", "l_tax"], "cls"))(learnable(s, d))
-)
 
-query("vfdt_replica_merge_all", f"SELECT attr, value, cls, count(*) AS n FROM {_MELT} GROUP BY ALL")(
+query("vfdt_replica_merge", f"SELECT attr, value, cls, count(*) AS n FROM {_MELT} GROUP BY ALL")(
     lambda s, d: (lambda x: hoeffding.merged_counts([x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 <> 0")], ATTRS, "cls"))(learnable(s, d))
 )
 
@@ -194,11 +186,7 @@ def _ordered(s: SparkSession, d: str) -> DataFrame:
     return rows.with_running(learnable(s, d), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
-query("vfdt_learn")(lambda s, d: (lambda x: hoeffding.table(x, hoeffding.learn(x, ATTRS, "cls", "_ord", 3)))(_ordered(s, d).cache()))
-query("vfdt_grow")(lambda s, d: (lambda x: hoeffding.table(x, hoeffding.grow(x, ATTRS, "cls", 3)))(learnable(s, d)))
-query("vfdt_grow_accuracy")(lambda s, d: (lambda x: evaluation.error_rate(evaluation.confusion(hoeffding.classify(x, hoeffding.grow(x, ATTRS, "cls", 3)), "cls", "pred")))(learnable(s, d)))
-query("vfdt_depth_hist", "SELECT d AS depth, 2 ** 0 * n AS nodes FROM (VALUES (0, 1), (1, 2), (2, 2)) t(d, n)".replace("2 ** 0 * n", "n::BIGINT"))(lambda s, d: hoeffding.table(s.range(1), _FIXED).groupBy("depth").agg(F.count("*").alias("nodes")))
-query("vfdt_tree_stats", "SELECT 2 AS max_depth, 5::BIGINT AS nodes, 3::BIGINT AS leaves")(lambda s, d: hoeffding.table(s.range(1), _FIXED).agg(F.max("depth").alias("max_depth"), F.count("*").alias("nodes"), F.count_if(F.col("kind") != "split").alias("leaves")))
+query("vfdt_learn")(lambda s, d: (lambda x: hoeffding.table(x, hoeffding.learn(x, ATTRS, "cls", "_ord", 3)))(cut(_ordered(s, d))))
 
 # Clustering features
 
@@ -262,7 +250,6 @@ def _tree(s: SparkSession, d: str) -> tuple[DataFrame, birch.CFTree]:
 
 
 query("birch_entries")(lambda s, d: (lambda x: birch.entry_table(*x))(_tree(s, d)))
-query("birch_exact")(lambda s, d: (lambda e: birch.entry_table(e, birch.build(e, "embedding", ["vec_id"], 1.0)).select("cluster", F.col("cf.n").alias("n")))(read(s, d, "embeddings")))
 query("birch_assign")(lambda s, d: (lambda x: birch.assign(x[0], "vec_id", "embedding", birch.entry_table(*x)))(_tree(s, d)))
 query("birch_tree_stats")(lambda s, d: (lambda x: birch.node_table(*x).agg(F.max("depth").alias("max_depth"), F.count_if(F.col("kind") == "entry").alias("entries"), F.count("*").alias("nodes"), F.max("n").alias("entry_points")))(_tree(s, d)))
 query("birch_depth_hist")(lambda s, d: (lambda x: birch.node_table(*x).groupBy("depth").agg(F.count("*").alias("nodes")))(_tree(s, d)))
@@ -271,7 +258,7 @@ query("birch_depth_hist")(lambda s, d: (lambda x: birch.node_table(*x).groupBy("
 @query("birch_save_single")
 def _save(s: SparkSession, d: str) -> DataFrame:
     e, tree = _tree(s, d)
-    entries = birch.entry_table(e, tree).cache()
+    entries = birch.entry_table(e, tree)
     members, cfs = birch.saved_lines(e, entries, birch.assign(e, "vec_id", "embedding", entries))
     return members.withColumn("file", F.lit("members")).unionByName(cfs.withColumn("file", F.lit("cf")))
 
@@ -288,7 +275,6 @@ query("subtree_rollup", f"WITH {_ROLL} SELECT node, depth::INT AS depth, label,
 query("dendrogram_purity", f"""WITH {_ROLL}, o AS (SELECT *, sum(n) OVER (PARTITION BY node) AS size, n * (n - 1) / 2 AS pairs FROM rl),
 b AS (SELECT CASE WHEN contains(node, '/') THEN regexp_replace(node, '/[^/]*$', '') ELSE '' END AS node, label, sum(pairs) AS below FROM o WHERE depth > 0 GROUP BY 1, 2),
 m AS (SELECT o.*, pairs - coalesce(below, 0) AS met FROM o LEFT JOIN b USING (node, label)) SELECT sum(met)::BIGINT AS n_pairs, round(sum(met * n / size) / sum(met), 6) AS purity FROM m""")(lambda s, d: rounded(evaluation.dendrogram_purity(_paths(s, d), "path", "label"), "purity"))
-query("class_sample")(lambda s, d: evaluation.class_sample(read(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), 4, 7))
 query("selected_class_filter", "SELECT e.vec_id, e.label FROM embeddings e WHERE e.label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")(lambda s, d: (lambda e: e.select("vec_id", "label").join(e.groupBy("label").agg(F.count("*").alias("n")).where("n >= 50"), "label", "left_semi"))(read(s, d, "embeddings")))
 query("member_label_join", "SELECT e.vec_id % 9 AS cluster, l.label, count(*) AS n FROM embeddings e JOIN embeddings l USING (vec_id) GROUP BY ALL")(lambda s, d: read(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 9).alias("cluster")).join(read(s, d, "embeddings").select("vec_id", "label"), "vec_id").groupBy("cluster", "label").agg(F.count("*").alias("n")))
 
@@ -299,16 +285,15 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     return s.range(0 if last is None else last // 4000 + 1).select(F.col("id").alias("file"), (F.col("id") * 4000).alias("start"), (F.col("id") * 4000 + 4000).alias("stop"))
 
 
-query("file_index_range_join", "SELECT o_orderkey, (o_orderkey // 4000)::BIGINT AS file, o_orderkey % 4000 AS local FROM orders WHERE o_orderkey < 400000")(
-    lambda s, d: evaluation.ranges_join(read(s, d, "orders").select("o_orderkey"), "o_orderkey", _files(s, d)).select("o_orderkey", "file", "local")
-)
 query("lca_depth", "SELECT vec_id, CASE WHEN vec_id % 3 <> (vec_id + 9) % 3 THEN 0 WHEN vec_id % 9 <> (vec_id + 9) % 9 THEN 1 WHEN vec_id % 27 <> (vec_id + 9) % 27 THEN 2 ELSE 3 END AS depth FROM embeddings")(
     lambda s, d: _paths(s, d).withColumn("q", F.array(*[(F.col("vec_id") + 9) % k for k in (3, 9, 27)])).select("vec_id", evaluation.lca_depth("path", "q").alias("depth"))
 )
+query("file_index_range_join", "SELECT o_orderkey, (o_orderkey // 4000)::BIGINT AS file, o_orderkey % 4000 AS local FROM orders")(
+    lambda s, d: evaluation.ranges_join(read(s, d, "orders").select("o_orderkey"), "o_orderkey", _files(s, d)).select("o_orderkey", "file", "local")
+)
 _nodes = lambda s, d: read(s, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent"), F.when(F.col("p_partkey") > 1, F.col("p_partkey") % 2).alias("child_index"))
 query("integrity_check", """WITH n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, CASE WHEN p_partkey > 1 THEN p_partkey % 2 END AS ci FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ci) - 1 AS k FROM n)
 SELECT count(*) FILTER (WHERE p.node IS NULL AND r.parent IS NOT NULL) AS orphans, count(*) FILTER (WHERE k <> r.ci) AS misplaced, count(*) AS nodes FROM r LEFT JOIN n p ON r.parent = p.node""")(lambda s, d: evaluation.integrity(_nodes(s, d)))
-query("fix_child_index")(lambda s, d: evaluation.fixed_child_index(_nodes(s, d)))
 
 # Streams: all files there are, then the end
 
@@ -322,3 +307,5 @@ query("stream_cf_sum", "SELECT label, count(*) AS n, round(sum(list_sum(list_tra
 query("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")(
     lambda s, d: ingest.run_once(s, f"{d}/events.parquet", lambda x: x.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))).select(F.col("w.start").alias("day"), "event_type", "n")
 )
+
+from . import files, models  # noqa: E402, F401  they add their queries

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import extract
 
 
+#: Header lines are looked for in stretches of so many bytes.
+HEAD_BYTES = 1 << 26
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header: bool = False, recursive: bool = False, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """All files as one table of strings; quotes doubled inside quotes, line ends inside quotes, blanks trimmed outside them, blank lines dropped."""
     r = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", True)
@@ -26,6 +30,38 @@ def cells(line: Column, sep: str = ",") -> Column:
     return F.transform(parts, clean)
 
 
+def with_defaults(row: Column, defaults: list[str]) -> Column:
+    """A row's cells, missing and empty ones replaced; as many cells as defaults at least, further ones as they are."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(row), F.lit(len(defaults))) - 1)
+    known = F.array(*map(F.lit, defaults))
+    return F.transform(at, lambda i: F.coalesce(F.nullif(F.get(row, i), F.lit("")), F.get(known, i), F.lit("")))
+
+
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv",)) -> list[str]:
+    """All files below a folder with such a suffix, hidden ones left out, sorted by name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, walk = [], hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    while walk.hasNext():
+        p = walk.next().getPath()
+        if p.getName().endswith(suffixes) and not p.getName().startswith((".", "_")):
+            found.append((p.getName(), p.toString()))
+    return [p for _, p in sorted(found)]
+
+
+def lines_at(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines by file and byte offset, as a join. ``wanted``: file, off."""
+    at = wanted.select(F.col("file").alias("_file"), F.col("off").alias("_off")).distinct()
+    return lines.join(at, (F.col("file") == F.col("_file")) & (F.col("off") == F.col("_off")), "left_semi")
+
+
+def class_counts(spark: SparkSession, path: str, rows: DataFrame, label: str) -> DataFrame:
+    """label, n from a file of label,count lines, which is made from ``rows`` if it is not there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        rows.groupBy(F.col(label).cast("long").alias("label")).agg(F.count("*").alias("n")).write.csv(path)
+    return spark.read.schema("label long, n long").csv(path)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, off (byte offset in it, a line's identity), len (bytes without the line end), value.
 
@@ -53,9 +89,9 @@ def read_points(spark: SparkSession, paths: str | list[str], fields: list[int],
     """id (file and offset), x (array<double>), label: the first ``skip`` lines of a file and empty lines dropped; text fields are hashed."""
     lines = read_lines(spark, paths)
     if skip:
-        w = Window.partitionBy("file").orderBy("off")
-        head = lines.where(F.col("off") < (1 << 20)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= skip)
-        last = head.groupBy(F.col("file").alias("f")).agg(F.max("off").alias("last"))
+        w = Window.partitionBy("file", "_h").orderBy("off")
+        early = lines.select("file", "off", F.floor(F.col("off") / HEAD_BYTES).alias("_h")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= skip)  # per stretch of a file, so no file is one task
+        last = early.groupBy(F.col("file").alias("f")).agg(F.sort_array(F.collect_list("off")).alias("o")).select("f", F.coalesce(F.get("o", F.lit(skip - 1)), F.array_max("o")).alias("last"))
         lines = lines.join(last, F.col("file") == F.col("f"), "left").where(F.col("last").isNull() | (F.col("off") > F.col("last"))).drop("f", "last")
     c = lines.withColumn("c", cells(F.col("value"), sep)).where(F.trim("value") != "")
     at = lambda i: F.coalesce(F.get(F.col("c"), F.lit(i)), F.lit(""))

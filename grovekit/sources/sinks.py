@@ -39,6 +39,31 @@ def tree_json(nodes: DataFrame, **more: float | int) -> str:
     return json.dumps({"depthToNodes": hist, "maxDepth": max(hist, default=0), "nodes": sum(hist.values()), **more}, indent=2)
 
 
+def with_fields(text: str, **more: object) -> str:
+    """A JSON object with more fields, such as a purity that was measured later."""
+    return json.dumps(json.loads(text) | more, indent=2)
+
+
+def dump_nodes(df: DataFrame, nodes: DataFrame, leaf: str, attributes: list[str], cls: str, names: list[str], path: str) -> None:
+    """Reports of a tree's nodes, a folder a node: info (the node table), totals (class, name, n), counts (attr, value, class, name, n).
+
+    ``df`` has the rows with their leaf; ``names`` decodes classes, and other classes keep their number.
+    """
+    named = F.coalesce(F.get(F.array(*map(F.lit, names)), F.col("cls")), F.col("cls").cast("string")).alias("name")
+    nodes.withColumn("of", F.col("node")).write.partitionBy("of").json(f"{path}/info")
+    rows = df.select(F.col(leaf).alias("node"), F.col(cls).alias("cls"), *attributes)
+    rows.groupBy("node", "cls").agg(F.count("*").alias("n")).select("node", "cls", named, "n").write.partitionBy("node").csv(f"{path}/totals")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attributes])).alias("p")
+    rows.select("node", "cls", pairs).groupBy("node", "p.attr", "p.value", "cls").agg(F.count("*").alias("n")).select("node", "attr", "value", "cls", named, "n").write.partitionBy("node").csv(f"{path}/counts")
+
+
+def save_tree(members: DataFrame, path: str) -> None:
+    """A cluster tree as folders: info (node, depth, n) and members (node, id); ``members`` has path (array) and id, a node's name is its path."""
+    up = members.select(F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth"), "path").withColumn("node", F.concat_ws("/", F.slice("path", F.lit(1), F.col("depth"))))
+    up.groupBy("node", "depth").agg(F.count("*").alias("n")).write.json(f"{path}/info")
+    members.select(F.concat_ws("/", "path").alias("node"), "id").write.partitionBy("node").csv(f"{path}/members")
+
+
 def dot_lines(nodes: DataFrame, node: str, parent: str, label: F.Column) -> DataFrame:
     """Lines of a directed graph: every node with its label, every edge from its parent."""
     q = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), '(["\\\\])', "\\\\$1"), F.lit('"'))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import birch, hoeffding
 
@@ -29,26 +31,76 @@ def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFra
 
 
 class StreamingTree:
-    """A Hoeffding tree grown from the first micro-batch; later ones only add to its leaves' counts. Status is a query away."""
+    """A Hoeffding tree that grows with every micro-batch. Status is a query away.
+
+    Bins come from the first batch. Each batch adds one aggregate of (leaf, attribute, bin or value, class) counts to the open leaves'
+    own, which are part of the model; leaves that may split do, and the same batch is counted again for their children only.
+    """
 
     def __init__(self, attributes: list[str], cls: str, classes: int, config: hoeffding.Config = hoeffding.Config()):
         self.attributes, self.cls, self.classes, self.config = attributes, cls, classes, config
         self.nodes: dict[str, hoeffding.Node] = {"": hoeffding.Node("")}
+        self.counts: dict[str, dict[str, dict]] = {"": {}}
+        self.off: dict[str, frozenset] = {"": frozenset()}
+        self.edges: dict[str, list[float]] | None = None
         self.rows = 0
 
     def update(self, batch: DataFrame, _: int) -> None:
-        """For foreachBatch: grows the tree on the batch if it is the first, else keeps its splits and classes and adds to the counts."""
-        if self.rows == 0:
-            self.nodes = hoeffding.grow(batch, self.attributes, self.cls, self.classes, self.config)
-            self.rows = self.nodes[""].n
-            return
-        found = batch.withColumn("leaf", hoeffding.route(self.nodes)).groupBy("leaf", self.cls).count().collect()  # leaves x classes
-        for r in found:
-            self.nodes[r["leaf"]].n += r["count"]
-            self.rows += r["count"]
+        """For foreachBatch."""
+        numeric, words = hoeffding._kinds(batch, self.attributes)
+        if self.edges is None:
+            found = hoeffding.bin_edges(batch, numeric, self.config.bins)
+            self.edges = {a: found[a] for a in numeric}
+        rows, fresh = hoeffding.binned(batch.select(*self.attributes, self.cls), self.edges), None
+        while fresh is None or fresh:
+            routed = rows.withColumn("_leaf", hoeffding.route(self.nodes))
+            routed = routed if fresh is None else routed.where(F.col("_leaf").isin(fresh))
+            added: dict[str, int] = {}
+            for r in hoeffding.level_counts(routed, self.edges, words, self.cls, self.classes).collect():  # leaves x bins
+                if r["leaf"] in self.counts:
+                    n = np.array([r[f"c{k}"] for k in range(self.classes)])
+                    mine = self.counts[r["leaf"]].setdefault(r["attr"], {})
+                    key = r["value"] if r["bin"] is None else r["bin"]
+                    mine[key] = mine.get(key, 0) + n
+                    if r["attr"] == self.attributes[0]:
+                        added[r["leaf"]] = added.get(r["leaf"], 0) + int(n.sum())
+            self.rows += sum(added.values()) if fresh is None else 0
+            fresh = [k for p in added for k in self._decide(p)]
+
+    def _decide(self, p: str) -> list[str]:
+        """Renews a leaf's class and splits it if its counts allow it; the children."""
+        node, c = self.nodes[p], self.config
+        y = sum(self.counts[p][self.attributes[0]].values())
+        node.n, node.cls = int(y.sum()), int(y.argmax())
+        live = [a for a in self.attributes if a not in self.off[p]]
+        if (y > 0).sum() < 2 or not live or (c.max_depth is not None and node.depth >= c.max_depth):
+            return []
+        found: list[tuple[float, str, float | None]] = []
+        for a in live:
+            t = self.counts[p][a]
+            if a in self.edges:
+                bins = sorted(t)
+                lower = np.array([self.edges[a][b - 1] if b else float("-inf") for b in bins])
+                found += [(i, a, v) for i, _, v in hoeffding._best([(lower, np.stack([t[b] for b in bins]).astype(float))], c.gini)[0]]
+            elif len(t) > 1:
+                n = np.stack(list(t.values())).astype(float)
+                found.append((float((n.sum(1) * hoeffding._impurity(n, c.gini)).sum() / n.sum()), a, None))
+        two = sorted(found, key=lambda f: f[:2])[:2]
+        what, _, _ = hoeffding._verdict([(i, 0, 0.0) for i, *_ in two], float(hoeffding._impurity(y.astype(float), c.gini)), len(self.attributes), node.n, self.classes, c)
+        if what != "split":
+            return []
+        _, node.attr, node.threshold = two[0]
+        if node.threshold is None:
+            node.values = tuple(sorted(v for v in self.counts[p][node.attr] if v is not None))
+        kids = [f"{p}<{i}>" for i in range(len(node.values))] if node.values is not None else [p + "L", p + "R"]
+        for k in kids:
+            self.nodes[k], self.counts[k] = hoeffding.Node(k, cls=node.cls), {}
+            self.off[k] = self.off[p] | {node.attr} if node.values is not None else self.off[p]
+        del self.counts[p]
+        return kids
 
     def status(self) -> dict[str, int]:
-        return {"rows": self.rows, "nodes": len(self.nodes), "depth": max(map(len, self.nodes))}
+        return {"rows": self.rows, "nodes": len(self.nodes), "depth": max(n.depth for n in self.nodes.values()), "growing": len(self.counts)}
 
 
 class StreamingClusters:
@@ -59,8 +111,6 @@ class StreamingClusters:
         self.tree: birch.CFTree | None = None
 
     def update(self, batch: DataFrame, _: int) -> None:
-        import numpy as np
-
         for e in birch.partial_entries(batch, self.vector, self.threshold, self.branching, self.kind, self.most).collect():  # at most `most` a partition
             self.tree = self.tree or birch.CFTree(len(e["ls"]), self.threshold, self.branching, self.kind)
             self.tree.insert(e["n"], np.array(e["ls"]), e["ss"])

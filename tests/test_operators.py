@@ -206,3 +206,60 @@ def test_fixed_child_index(spark):
     n = spark.createDataFrame([(1, None, None), (2, 1, 3), (3, 1, 1), (9, 7, 0)], "node long, parent long, child_index long")
     assert {r.node: r.child_index for r in evaluation.fixed_child_index(n).collect()} == {1: 0, 3: 0, 2: 1}
     assert tuple(evaluation.integrity(n).first())[:1] == (1,)
+
+
+def test_split_bytes_across_ranges(spark):
+    """Ranges of a few rows, files longer and shorter than a range, sizes of 0 and over the limit."""
+    rng = random.Random(4)
+    for most in (7, 40, 1000):
+        sizes = [rng.choice([0, 1, 2, 3, 5, 9, 60]) for _ in range(300)]
+        want, no, held = [], 0, 0
+        for x in sizes:
+            if held and held + x >= most:
+                no, held = no + 1, 0
+            held += x
+            want.append(no)
+        df = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")
+        got = rows.split_bytes(df, ["i"], "n", most, range_rows=16).orderBy("i").collect()
+        assert [r.file_no for r in got] == want
+
+
+def test_text_splits(spark):
+    data = [(v, float(i % 7), {"red": 0, "blue": 1}.get(v, int(i % 7 > 3))) for i in range(4000) for v in ("red", "blue", "green", None)]
+    df = spark.createDataFrame(data, "v string, x double, k int")
+    c = hoeffding.Config()
+    nodes = hoeffding.grow(df, ["v", "x"], "k", 2, c)
+    assert nodes[""].attr == "v" and nodes[""].values == ("blue", "green", "red") and nodes["<1>"].attr == "x" and nodes["<1>"].threshold == 4.0
+    out = hoeffding.classify(spark.createDataFrame([("red", 0.0), ("blue", 9.0), ("green", 3.0), ("green", 4.0), ("pink", 1.0), (None, 1.0)], "v string, x double"), nodes).collect()
+    assert [r.leaf for r in out] == ["<2>", "<0>", "<1>L", "<1>R", "<?>", "<?>"] and [r.pred for r in out][:4] == [0, 1, 0, 1] and {r.pred for r in out[4:]} == {nodes[""].cls}
+    assert hoeffding.table(df, nodes).where("node = '<1>L'").first()["parent"] == "<1>"
+
+
+def test_stream_tree_grows_with_later_batches(spark):
+    from grovekit.streaming import ingest
+
+    tree = ingest.StreamingTree(["x", "y"], "k", 2)
+    first = spark.createDataFrame([(float(i % 10), float(i % 3), 0) for i in range(2000)], "x double, y double, k int")
+    tree.update(first, 0)
+    assert tree.status() == {"rows": 2000, "nodes": 1, "depth": 0, "growing": 1} and tree.nodes[""].cls == 0
+    later = spark.createDataFrame([(float(i % 10), float(i % 3), int(i % 10 > 4)) for i in range(30_000)], "x double, y double, k int")
+    tree.update(later, 1)
+    assert tree.nodes[""].attr == "x" and tree.nodes[""].threshold == 5.0 and tree.status()["nodes"] == 3
+    assert (tree.nodes["L"].cls, tree.nodes["R"].cls) == (0, 1)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(i, feature([(i % 17, i % 5)])) for i in range(60)], f"id long, cf {CF}")
+    clusters = spark.createDataFrame([(i, feature([(i % 13, i % 4)])) for i in range(40)], f"cluster long, cf {CF}")
+    whole = sorted(map(tuple, clustering.nearest(points, clusters).collect()))
+    monkeypatch.setattr(clustering, "BLOCK", 7)
+    assert sorted(map(tuple, clustering.nearest(points, clusters).collect())) == whole
+
+
+def test_frozen_leaf_counts_on(spark):
+    c = hoeffding.Config(chunk=100, first_span=256, pre_prune=0.9, delta=0.5)
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 3000)
+    df = spark.createDataFrame([(i, float(i % 3), int(k)) for i, k in enumerate(y)], "o long, a double, k int")
+    n = hoeffding.learn(df, ["a"], "k", "o", 2, c)[""]
+    assert n.gone and n.n_after == 3000 - n.at - 1 and n.errors == int((y[n.at + 1 :] != n.cls).sum())
