@@ -25,14 +25,15 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 class Rules:
     """Base limits, then the method's: repeats of ``repeat_words`` or more may cover ``most_covered`` of the words, and none may be longer than ``longest`` words.
 
-    A tenth is the published limit for repeated 10-grams; a passage of over 50 words that stands twice in a text is a repeat of its own.
+    Published limits for repeated n-grams run from 0.15 down to 0.10; the lower one takes many more good documents than bad ones here.
+    A passage of over 50 words that stands twice in a text is a repeat of its own.
     """
 
     least_words: int = 10
     window: int = 5
     most_repeated: float = 0.20
     repeat_words: int = 10
-    most_covered: float = 0.10
+    most_covered: float = 0.15
     longest: int = 50
 
 
