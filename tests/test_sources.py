@@ -86,7 +86,8 @@ def test_streaming_models(spark):
     df = spark.range(4000).select(F.col("id").cast("double").alias("x"), (F.col("id") > 2000).cast("int").alias("y"))
     t.update(df, 0)
     t.update(df, 1)
-    assert t.status() == {"rows": 8000, "nodes": 3, "depth": 1}
+    assert t.status()["rows"] == 8000 and abs(t.nodes[""].threshold - 2001) < 5  # cut at one of a thousand quantiles
+    assert hoeffding.classify(df, t.nodes).where("pred <> y").count() < 5
 
 
 def test_cli(spark, tmp_path, capsys):
