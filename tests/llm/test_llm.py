@@ -276,7 +276,7 @@ def verdict(n, repeated, covered, longest):
 
 def test_verdicts(spark):
     """Every limit decides some text: few words, repeats of five, covered share, longest repeat."""
-    plain, ten, long_ = sentence(150), sentence(11), sentence(51)
+    plain, ten, long_ = sentence(93), sentence(11), sentence(51)
     texts = [sentence(9), plain, f"{sentence(8)} {sentence(6)} " * 3, f"{plain} {ten} {sentence(5)} {ten}", f"{sentence(900)} {long_} {sentence(9)} {long_}", f"{sentence(900)} {ten} {sentence(9)} {ten}", None, ""]
     got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     figures = [brute_quality(x, repetition.Rules().repeat_words) for x in texts]
