@@ -299,6 +299,25 @@ def shingles_of(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles_of`` for many rows at once, row i having the words at[i] to at[i + 1]: all sets one after the other, and the bounds between them."""
+    n = np.diff(at)
+    m = np.minimum(n, k)
+    each = np.where(n > 0, n - m + 1, 0)
+    row = np.repeat(np.arange(len(n)), each)
+    first = at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    size = m[row]
+    out = size.astype(U64)
+    for i in range(int(m.max(initial=0))):
+        on = np.flatnonzero(size > i)
+        out[on] = mix(out[on] * U64(0xD6E8FEB86659FD93) + h[first[on] + i])
+    order = np.lexsort((out, row))
+    out, row = out[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    return out[new], row_bounds(row[new], len(n))
+
+
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in a sorted array of row numbers."""
     return np.searchsorted(row, np.arange(n + 1), "left")

@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingles_of, slices, span_hash, word_hashes, words_of
-from .sharing import components, key32, linked_sets, set_id, shared_keys
+from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingle_sets, slices, span_hash, word_hashes, words_of
+from .sharing import components, key32, linked_sets, set_ids, shared_keys
 
 BANDS, ROWS = 14, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
-def _paragraphs(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Row, start, end (bytes in the slice) and shingle set of each line with a word."""
+def _paragraphs(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Row, start and end (bytes in the slice) of each line with a word; their shingle sets one after the other, and the bounds between these."""
     a, b = edges_of(data != 10, offs)
     seen = np.concatenate([[0], np.cumsum(~SPACE[data])])
     real = seen[b] > seen[a]
@@ -35,8 +35,18 @@ def _paragraphs(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     row = np.searchsorted(offs, a, "right") - 1
     # words of all lines: cut the bytes at the lines' ends
     h, line = word_hashes(data, np.concatenate([[0], b, [len(data)]]) if len(b) else np.array([0, len(data)]), lower=True)
-    at = row_bounds(line, len(a))
-    return row, a, b, [shingles_of(h[i:j], k) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return row, a, b, *shingle_sets(h, row_bounds(line, len(a)), k)
+
+
+def _different(flat: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which sets differ from all before them; these sets and their bounds."""
+    order = np.lexsort((ids[:, 1], ids[:, 0]))  # stable: the first of equal ones leads
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]).any(1)
+    one, size = np.sort(order[new]), np.diff(at)
+    use = np.zeros(len(size), bool)
+    use[one] = True
+    return one, flat[np.repeat(use, size)], np.concatenate([[0], np.cumsum(size[one])])
 
 
 def _sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +72,38 @@ def _sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[i], a[i], b[j], j - i + 1, np.stack(both, 1)
 
 
-def bands_of(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) band values; multiply-shift permutations of the hashes, minima over each set."""
-    if not sets:
-        return np.zeros((0, BANDS), U64)
-    flat = np.concatenate(sets)
-    start = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    out = np.zeros((len(sets), BANDS), U64)
+def bands_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) band values of sets that lie one after the other, none empty; multiply-shift permutations of the hashes, minima over each set."""
+    start = at[:-1]
+    out = np.zeros((len(start), BANDS), U64)
+    if not len(start):
+        return out
     for band in range(BANDS):
-        v = np.full(len(sets), band + 1, U64)
+        v = np.full(len(start), band + 1, U64)
         for r in range(ROWS):
             v = mix(v * U64(0xD6E8FEB86659FD93) + np.minimum.reduceat(flat * _SEEDS[band * ROWS + r], start))
         out[:, band] = v
     return out
 
 
+_STORED = {"kind": pa.string(), "doc_id": pa.int64(), "h": pa.int64(), "start": pa.int64(), "end": pa.int64(), "sig": pa.binary(), "n": pa.int32(), "key": pa.int64(), "blob": pa.binary()}
+
+
+def _stored(kind: str, rows: int, /, **cols: pa.Array | np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; columns that it doesn't have are null."""
+    cols["kind"] = pa.repeat(kind, rows)
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c not in cols else pa.array(cols[c], t) if isinstance(cols[c], np.ndarray) else cols[c] for c, t in _STORED.items()], names=list(_STORED))
+
+
+def _binaries(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The numbers' bytes, cut at ``at`` (counted in numbers)."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(pack((at * 8).astype(np.int32))), pa.py_buffer(pack(x))])
+
+
+def _ids(x: np.ndarray) -> pa.Array:
+    return _binaries(x, np.arange(len(x) + 1) * 2)
+
+
 def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
     """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, n, root, and unit (line, or sentence where another text may have it).
 
@@ -86,34 +113,31 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offs in slices(batches):
-            sets = list({pack(s): s for s in _paragraphs(data, offs, k)[3]}.values())
+            flat, at = _paragraphs(data, offs, k)[3:]
+            _, flat, at = _different(flat, at, set_ids(flat, at))
             _, _, _, words, sentence = _sentences(data, offs)
-            yield np.concatenate([key32(bands_of(sets).reshape(-1)), key32(sentence[words >= least_sentence, 0])])
+            yield np.concatenate([key32(bands_of(flat, at).reshape(-1)), key32(sentence[words >= least_sentence, 0])])
 
     known = spark.sparkContext.broadcast(shared_keys(docs, keys, 0.05))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
-            row, a, b, sets = _paragraphs(data, offs, k)
-            sig = [set_id(s) for s in sets]
-            first: dict[bytes, int] = {}
-            for i, g in enumerate(sig):
-                first.setdefault(g, i)
-            one = list(first.values())
-            bands = bands_of([sets[i] for i in one])
+            doc, h = rows.column(0), rows.column(rows.schema.get_field_index("h"))
+            row, a, b, flat, at = _paragraphs(data, offs, k)
+            sig, size = set_ids(flat, at), np.diff(at)
+            yield _stored("line", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sig), n=size)
+            one, flat, at = _different(flat, at, sig)
+            bands = bands_of(flat, at)
             use = known.value.shared(key32(bands.reshape(-1))).reshape(bands.shape)
-            doc, h = rows.column(0).to_pylist(), rows.column(rows.schema.get_field_index("h")).to_pylist()
-            out = [("line", doc[r], h[r], x - offs[r], y - offs[r], g, len(s), None, None) for r, x, y, g, s in zip(row.tolist(), a.tolist(), b.tolist(), sig, sets, strict=True)]
-            for j, i in enumerate(one):
-                if use[j].any():
-                    out.append(("set", None, None, None, None, sig[i], len(sets[i]), None, pack(sets[i])))
-                    out += [("key", None, None, None, None, sig[i], len(sets[i]), x, None) for x in bands[j][use[j]].view(np.int64).tolist()]
+            some = use.any(1)
+            listed, inside = one[some], np.repeat(some, size[one])
+            yield _stored("set", len(listed), sig=_ids(sig[listed]), n=size[listed], blob=_binaries(flat[inside], np.concatenate([[0], np.cumsum(size[listed])])))
+            i, band = np.nonzero(use)
+            yield _stored("key", len(i), sig=_ids(sig[one[i]]), n=size[one[i]], key=bands[i, band].view(np.int64))
             row, a, b, words, sentence = _sentences(data, offs)
             again = np.flatnonzero((words >= least_sentence) & known.value.shared(key32(sentence[:, 0])))
-            out += [("sentence", doc[r], h[r], x - offs[r], y - offs[r], pack(g), n, None, None) for r, x, y, g, n in zip(row[again].tolist(), a[again].tolist(), b[again].tolist(), sentence[again], words[again].tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 9
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "doc_id", "h", "start", "end", "sig", "n", "key", "blob"])
+            row, a, b = row[again], a[again], b[again]
+            yield _stored("sentence", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sentence[again]), n=words[again])
 
     stored = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long, blob binary"), "paragraphs", by="kind")
     known.destroy()  # written: nothing will be computed from it again

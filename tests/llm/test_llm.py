@@ -230,12 +230,27 @@ def test_paragraph_clusters_against_brute_force(spark):
     assert {len(v) for v in clusters.values()} == {1}
 
 
+def test_sets_of_many_rows_equal_those_of_one():
+    rng = np.random.default_rng(8)
+    for k in (1, 3, 5):
+        n = np.array([0, 1, 2, 5, 0, 40, 4, 300, 0])
+        h, at = rng.integers(0, 9, n.sum()).astype(np.uint64), np.concatenate([[0], np.cumsum(n)])
+        flat, bounds = common.shingle_sets(h, at, k)
+        ids = sharing.set_ids(flat, bounds)
+        for i in range(len(n)):
+            want = common.shingles_of(h[at[i] : at[i + 1]], k)
+            assert np.array_equal(flat[bounds[i] : bounds[i + 1]], want)
+            assert ids[i].tobytes() == sharing.set_id(want)
+    flat, bounds = common.shingle_sets(np.zeros(0, np.uint64), np.zeros(1, np.int64), 5)
+    assert len(flat) == 0 and bounds.tolist() == [0] and sharing.set_ids(flat, bounds).shape == (0, 2)
+
+
 def test_band_recall():
     rng, met = np.random.default_rng(2), 0
     for _ in range(300):
         a = rng.integers(0, 1 << 63, 90).astype(np.uint64)
         b = np.concatenate([a[:80], rng.integers(0, 1 << 63, 10).astype(np.uint64)])  # Jaccard 0.8
-        x, y = paragraphs.bands_of([a, b])
+        x, y = paragraphs.bands_of(np.concatenate([a, b]), np.array([0, 90, 180]))
         met += (x == y).any()
     assert met >= 297
 
