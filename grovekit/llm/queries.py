@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, substrings, templates
+from . import codes, media, ngram_join, packing, paragraphs, pieces, repair, repetition, rollup, substrings, templates, topk, trie
 
 
 def _vocabulary(name: str) -> str:
@@ -77,6 +77,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(spark, _read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark, _read(spark, sf_dir, "conversations"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _read(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, max(toxic) AS toxic, bool_or(quality = 0 AND toxic = 0) AS low FROM labels GROUP BY doc_id),
@@ -99,5 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_topk": op13_exact_topk,
 }
 SQL: dict[str, str] = {"op6_line_dedup": templates.SQL, "op8_token_counts": OP8_SQL}
