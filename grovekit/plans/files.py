@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..lineage import new_folder
 from ..operators import evaluation, preprocess, profile, rows
-from ..sources import arff, delimited, sinks
+from ..sources import arff, delimited, records, sinks
 from .catalogue import query, r6, read
 
 
-def _text(df: DataFrame, value: F.Column, order: str, label: str) -> str:
-    """One file of lines in this order; its folder."""
-    path = new_folder(df.sparkSession, label)
-    df.select(value.alias("value"), order).coalesce(1).sortWithinPartitions(order).select("value").write.text(path)
+def _text(df: DataFrame, value: F.Column, order: str, label: str, head: tuple[str, ...] = (), files: int = 4) -> str:
+    """Files of lines in this order, a row in the file of its key's rest by ``files``, each file after its own head; their folder."""
+    path, s = new_folder(df.sparkSession, label), df.sparkSession
+    rows = df.select(value.alias("value"), F.lit(1).alias("_k"), F.col(order).cast("long").alias("_o"), (F.col(order) % files).cast("int").alias("file_no"))
+    heads = s.createDataFrame([(h, 0, i, k) for k in range(files) for i, h in enumerate(head)], "value string, _k int, _o long, file_no int")
+    rows.unionByName(heads).repartition("file_no").sortWithinPartitions("file_no", "_k", "_o").select("value", "file_no").write.partitionBy("file_no").text(path)
     return path
 
 
@@ -28,11 +30,24 @@ def _csv_scan(s: SparkSession, d: str) -> DataFrame:
     return got.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(got.columns[:3])], (F.col(got.columns[3]).cast("double") < 0).alias("negative"))
 
 
+_QUOTED = """o_orderkey || ',"' || o_orderpriority || chr(10) || '""' || o_orderstatus || '"",' || chr(10) || chr(10) || '",' || o_custkey"""
+_PLACED = f"SELECT *, (o_orderkey % 4)::BIGINT AS file_no, sum(strlen(v) + 1) OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey)::BIGINT - strlen(v) - 1 AS off FROM (SELECT *, {_QUOTED} AS v FROM orders)"
+
+
+@query("csv_blocks", f"""SELECT file_no, off, strlen(v)::BIGINT AS len, o_orderkey::VARCHAR AS a, o_orderpriority || chr(10) || '"' || o_orderstatus || '",' || chr(10) || chr(10) AS b, o_custkey::VARCHAR AS c FROM ({_PLACED})""")
+def _csv_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Records with quotes, delimiters and line ends inside quotes, in blocks of 16 kB: many tasks a file."""
+    line = F.concat(F.col("o_orderkey"), F.lit(',"'), "o_orderpriority", F.lit('\n""'), "o_orderstatus", F.lit('"",\n\n",'), "o_custkey")
+    r = records.read_records(s, _text(read(s, d, "orders"), line, "o_orderkey", "blocks"), block_bytes=1 << 14)
+    c = r.withColumn("c", delimited.cells(F.col("value"))).withColumn("file_no", F.regexp_extract("file", r"file_no=(\d+)", 1).cast("long"))
+    return c.select("file_no", "off", "len", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
 @query("csv_trim_blank_lines", "SELECT c_custkey::VARCHAR AS key, '  ' || c_mktsegment || ' ' AS segment, c_nationkey::VARCHAR AS nation FROM customer")
 def _csv_trim(s: SparkSession, d: str) -> DataFrame:
     c = read(s, d, "customer")
     line = F.concat(F.lit("  "), "c_custkey", F.lit(' ,"  '), "c_mktsegment", F.lit(' ", '), "c_nationkey", F.lit(" "), F.when(F.col("c_custkey") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
-    got = delimited.read_csv(s, _text(c, line, "c_custkey", "csv"))
+    got = delimited.read_csv(s, _text(c, line, "c_custkey", "csv"), recursive=True)
     return got.toDF("key", "segment", "nation")
 
 
@@ -60,7 +75,7 @@ def _csv_delimiter(s: SparkSession, d: str) -> DataFrame:
 
 
 _LINE = "c_custkey || ',' || c_name || ',' || c_acctbal::DECIMAL(18, 2)"
-_LINES = f"SELECT c_custkey, v, sum(strlen(v) + 1) OVER (ORDER BY c_custkey)::BIGINT - strlen(v) - 1 AS off, row_number() OVER (ORDER BY c_custkey) AS k FROM (SELECT c_custkey, {_LINE} AS v FROM customer)"
+_LINES = f"SELECT c_custkey, v, sum(strlen(v) + 1) OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey)::BIGINT - strlen(v) - 1 AS off FROM (SELECT c_custkey, {_LINE} AS v FROM customer)"
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
@@ -81,9 +96,8 @@ def _random_access(s: SparkSession, d: str) -> DataFrame:
 @query("points_header_skip", "SELECT l_orderkey::DOUBLE AS a, l_quantity AS b, l_linenumber AS label, count(*) AS n FROM lineitem GROUP BY ALL")
 def _points(s: SparkSession, d: str) -> DataFrame:
     """Two header lines, points of two fields, the last column as label."""
-    path = new_folder(s, "points")
-    t = read(s, d, "lineitem").select(F.concat_ws(",", "l_orderkey", "l_quantity", "l_linenumber").alias("value"))
-    s.createDataFrame([("# made for a test",), ("key,quantity,line",)], "value string").unionByName(t).coalesce(1).write.text(path)
+    line = F.concat_ws(",", "l_orderkey", "l_quantity", "l_linenumber")
+    path = _text(read(s, d, "lineitem"), line, "l_orderkey", "points", ("# made for a test", "key,quantity,line"))
     p = delimited.read_points(s, path, rows.parse_ranges("0-1", True), 2, skip=2)
     return p.groupBy(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "label").agg(F.count("*").alias("n"))
 
@@ -162,10 +176,7 @@ def _arff(s: SparkSession, d: str, extra: F.Column | None = None, sparse: bool =
     row = [F.col("p_partkey").cast("string"), F.concat(F.lit("'it is "), "p_name", F.lit(", so'")), F.concat(F.lit("'"), "p_brand", F.lit("'")), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.concat(F.lit('"'), made, F.lit('"'))]
     line = F.concat(F.lit("{0 "), row[0], F.lit(", 2 "), row[2], F.lit("}")) if sparse else F.concat_ws(",", *row)
     line = line if extra is None else F.concat(line, extra)
-    text = s.createDataFrame([("% a comment",), *((x,) for x in arff.render_header(head).splitlines())], "value string").unionByName(p.select(line.alias("value")))
-    path = new_folder(s, "arff")
-    text.coalesce(1).write.text(path)
-    return arff.read_arff(s, path)
+    return arff.read_arff(s, _text(p, line, "p_partkey", "arff", ("% a comment", *arff.render_header(head).splitlines())))
 
 
 _BRAND = "(dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT"

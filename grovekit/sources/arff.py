@@ -96,16 +96,18 @@ def _typed(c: Column, a: Attribute) -> Column:
 def read_arff(spark: SparkSession, path: str, typed: bool = True) -> tuple[Header, DataFrame]:
     """Header, and a column per attribute plus weight (1 if a row has none). Dense and sparse rows; enums as ordinals; bad cells -1.
 
-    Every header line begins with @; the header is read up to @data, the rows stay distributed.
+    A file's rows are what follows its first @data, which must be in its first block; several files have a header each. Rows stay distributed.
     """
-    lines = spark.read.text(path).where("value IS NOT NULL AND trim(value) <> '' AND ltrim(value) NOT LIKE '\\%%'")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = raw.withColumn("_i", F.monotonically_increasing_id()).where("value IS NOT NULL AND trim(value) <> '' AND ltrim(value) NOT LIKE '\\%%'")
     head = []
     for r in lines.toLocalIterator():
         head.append(r[0])
         if r[0].strip().lower().startswith("@data"):
             break
     h = parse_header(head)
-    body = lines.where(~F.ltrim("value").startswith("@"))
+    data = lines.where((F.col("block") == 0) & F.lower(F.trim("value")).startswith("@data")).groupBy(F.col("file").alias("_f")).agg(F.min("_i").alias("_d"))
+    body = lines.join(F.broadcast(data), F.col("file") == F.col("_f")).where((F.col("block") > 0) | (F.col("_i") > F.col("_d")))  # a row a file
     weight = F.regexp_extract("value", r",\s*\{\s*([0-9.eE+-]+)\s*\}\s*$", 1)
     b = body.select(F.when(weight == "", F.lit(1.0)).otherwise(weight.try_cast("double")).alias("weight"), F.trim(F.regexp_replace("value", r",\s*\{\s*[0-9.eE+-]+\s*\}\s*$", "")).alias("row"))
     token = r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,]*),"""

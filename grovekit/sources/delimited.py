@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extract
+from . import records
 
 
 #: Header lines are looked for in stretches of so many bytes.
 HEAD_BYTES = 1 << 26
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header: bool = False, recursive: bool = False, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """All files as one table of strings; quotes doubled inside quotes, line ends inside quotes, blanks trimmed outside them, blank lines dropped."""
+def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", header: bool = False, recursive: bool = False, suffixes: tuple[str, ...] = (), block_bytes: int | None = None) -> DataFrame:
+    """All files as one table of strings; quotes doubled inside quotes, line ends inside quotes, blanks trimmed outside them, blank lines dropped, empty cells null.
+
+    Names (of the first row's cells, else _c0, _c1, ...) and the number of columns come from one file's first record; a file is read in blocks (see ``records``).
+    """
     r = spark.read.option("sep", sep).option("header", header).option("escape", '"').option("multiLine", True)
     r = r.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("recursiveFileLookup", recursive)
     if suffixes:
         r = r.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-    return r.csv(paths)
+    names = r.csv(paths).columns
+    rows = records.read_records(spark, paths, sep, recursive, suffixes, block_bytes).where(F.trim("value") != "")
+    if header:
+        rows = rows.where("off > 0")
+    c = rows.select(cells(F.col("value"), sep).alias("c"))
+    return c.select(*[F.nullif(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def cells(line: Column, sep: str = ",") -> Column:
     """The cells of one line as an array: quoted ones unquoted, others trimmed."""
     d = "\\" + sep if sep in ".|*+?^$()[]{}\\" else sep
     body = F.regexp_replace(line, "\r$", "")
-    parts = F.regexp_extract_all(F.concat(body, F.lit(sep)), F.lit(rf'\s*("(?:[^"]|"")*"[^{d}]*|[^{d}]*){d}'), F.lit(1))
-    clean = lambda c: F.when(F.ltrim(c).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(c), '^"((?:[^"]|"")*)"(.*)$', "$1$2"), '""', '"')).otherwise(F.trim(c))
+    parts = F.regexp_extract_all(F.concat(body, F.lit(sep)), F.lit(rf'\s*("[^"]*+(?:""[^"]*+)*+"[^{d}]*+|[^{d}]*+){d}'), F.lit(1))
+    clean = lambda c: F.when(F.ltrim(c).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(c), '(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1$2"), '""', '"')).otherwise(F.trim(c))
     return F.transform(parts, clean)
 
 
@@ -66,7 +75,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, off (byte offset in it, a line's identity), len (bytes without the line end), value.
 
     Lines are summed up within each file block; only the blocks' totals are added up across them. Line ends inside quotes end a
-    line here; ``read_csv`` keeps them.
+    line here; ``records.read_records`` keeps them.
     """
     t = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.octet_length("value").cast("long").alias("len"))
     t = t.withColumn("_i", F.monotonically_increasing_id())
@@ -86,8 +95,8 @@ def file_index(lines: DataFrame) -> DataFrame:
 
 
 def read_points(spark: SparkSession, paths: str | list[str], fields: list[int], label: int | None = None, skip: int = 0, sep: str = ",") -> DataFrame:
-    """id (file and offset), x (array<double>), label: the first ``skip`` lines of a file and empty lines dropped; text fields are hashed."""
-    lines = read_lines(spark, paths)
+    """id (file and offset), x (array<double>), label: the first ``skip`` records of a file and empty lines dropped; text fields are hashed."""
+    lines = records.read_records(spark, paths, sep)
     if skip:
         w = Window.partitionBy("file", "_h").orderBy("off")
         early = lines.select("file", "off", F.floor(F.col("off") / HEAD_BYTES).alias("_h")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= skip)  # per stretch of a file, so no file is one task

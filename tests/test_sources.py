@@ -60,6 +60,14 @@ def test_arff(spark, tmp_path):
     assert arff.parse_header(arff.render_header(h).split("\n")) == h
 
 
+def test_arff_rows_that_begin_with_at(spark, tmp_path):
+    head = "@relation r\n@attribute s string\n@attribute n integer\n@data\n"
+    (tmp_path / "a.arff").write_text(head + "@home,1\nplain,2\n@data,3\n")
+    (tmp_path / "b.arff").write_text(head + "@attribute,4\n")
+    _, df = arff.read_arff(spark, str(tmp_path))
+    assert sorted((r.s, r.n) for r in df.collect()) == [("@attribute", 4), ("@data", 3), ("@home", 1), ("plain", 2)]
+
+
 def test_reports(spark):
     c = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 2)], "cls int, pred int, n long")
     assert sorted(r[0] for r in sinks.answer_lines(c).collect()) == ["0,4,3,0.750,1:1", "1,2,2,1.000,"]
