@@ -2,30 +2,33 @@
 
 A growing leaf depends only on the ordered rows that reach it, so all open leaves advance at once: a superstep hands each
 of them its next rows (an ordinal range that grows while the leaf waits) and folds these on their own. A waiting leaf's
-(attribute, value, class) counts go from superstep to superstep as an aggregated table, up to the last row.
+counts (``leaves.Leaf``: bounded histograms, and a row a text value) go from superstep to superstep, up to the last row.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import cut
-from . import impurity
+from . import impurity, leaves, rows
 
 
 @dataclass(frozen=True)
 class Config:
     """Defaults of the classic learner. max_rows: the most rows of one leaf that one superstep folds; the rest follow in later ones.
 
-    bins: numeric attributes with more distinct values are cut at so many quantiles in ``grow``.
+    bins: the most bins of a numeric attribute: quantiles of the table in ``grow``, of each leaf in ``learn``. laplace: votes that a leaf's
+    parent has in its class. prune: ``learn`` switches off attributes and cuts that fell behind (see ``leaves``).
     """
 
     delta: float = 1e-7
@@ -38,11 +41,15 @@ class Config:
     first_span: int = 4096
     max_rows: int = 1 << 20
     bins: int = 1000
+    prune: bool = True
 
 
 @dataclass
 class Node:
-    """path: '' for the root, then L and R for each cut, <i> for the i-th value of a text attribute; <?> is where other values go."""
+    """path: '' for the root, then L and R for each cut, <i> for the i-th value of a text attribute; <?> is where other values go.
+
+    up: the parent's class when it split; before: how many of its rows then would have come here.
+    """
 
     path: str
     attr: str | None = None
@@ -54,6 +61,8 @@ class Node:
     values: tuple[str, ...] | None = None
     n_after: int = 0
     errors: int = 0
+    up: int = -1
+    before: float = 0.0
 
     @property
     def depth(self) -> int:
@@ -67,11 +76,7 @@ class Node:
 _STEP = re.compile("(?:[LR]|<[^>]*>)")
 
 
-def _impurity(counts: np.ndarray, gini: bool) -> np.ndarray:
-    """Along the last axis; rows without counts give 0."""
-    total = counts.sum(-1, keepdims=True)
-    p = counts / np.maximum(total, 1)
-    return (total[..., 0] > 0) - (p * p).sum(-1) if gini else -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
+_impurity = leaves.impurity
 
 
 def _best(tables: list[tuple[np.ndarray, np.ndarray]], gini: bool) -> tuple[list[tuple[float, int, float]], float]:
@@ -136,96 +141,158 @@ def route(nodes: dict[str, Node], path: str = "") -> Column:
     return F.when(F.col(n.attr).cast("double") < n.threshold, route(nodes, path + "L")).otherwise(route(nodes, path + "R"))
 
 
-def _folder(attributes: list[str], classes: int, c: Config):
-    """Folds a leaf's next rows in order onto its counts so far, checking after every chunk of the leaf's own rows."""
+#: Trees up to this size are routed by one nested expression, larger ones by ``_router``.
+SMALL = 64
+
+
+def _router(nodes: dict[str, Node], columns: list[str]):
+    """Adds each row's leaf by walking the tree, a node's rows at once. The tree is a model: all of it goes to every task."""
+    text = {n.attr for n in nodes.values() if n.values is not None}
+    tree = {p: (n.attr, n.threshold, None if n.values is None else {v: f"{p}<{i}>" for i, v in enumerate(n.values)}) for p, n in nodes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {a: batch.column(columns.index(a)) for a in {t[0] for t in tree.values() if t[0]}}
+            cols = {a: np.array(c.to_pylist(), object) if a in text else c.cast(pa.float64()).to_numpy(zero_copy_only=False) for a, c in cols.items()}
+            out, todo = np.full(batch.num_rows, "", object), [("", np.arange(batch.num_rows))]
+            while todo:
+                p, at = todo.pop()
+                attr, threshold, kids = tree.get(p, (None, None, None))
+                if attr is None:
+                    out[at] = p
+                elif kids is None:
+                    left = cols[attr][at] < threshold
+                    todo += [(p + s, rows) for s, rows in (("L", at[left]), ("R", at[~left])) if len(rows)]
+                else:
+                    to = pd.Series(cols[attr][at]).map(kids).fillna(f"{p}<?>")
+                    todo += [(k, at[rows]) for k, rows in to.groupby(to).indices.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "_leaf"])
+
+    return run
+
+
+def routed(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
+    """Adds _leaf: an expression for small trees, else vectorised steps in Python; never a shuffle."""
+    if len(nodes) <= SMALL:
+        return df.withColumn("_leaf", route(nodes))
+    return df.mapInArrow(_router(nodes, df.columns), T.StructType([*df.schema.fields, T.StructField("_leaf", T.StringType())]))
+
+
+_FOLDED = "leaf string, what string, attr string, threshold double, at long, y array<double>, shares array<double>, seen array<string>, state binary"
 
-    def fold(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        leaf = new["leaf"].iloc[0]
+
+def _folder(numeric: list[str], words: list[str], off: dict[str, frozenset], classes: int, c: Config):
+    """Folds a leaf's next rows in order onto its state so far."""
+
+    def fold(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        leaf = key[0]
+        if len(old):
+            state = leaves.Leaf.loads(old["state"].iloc[0])
+        else:
+            state = leaves.Leaf(numeric, [a for a in words if a not in off.get(leaf, ())], classes, c.bins)
         new = new.sort_values("_o")
-        y, o = new["_y"].to_numpy(), new["_o"].to_numpy()
-        tables, codes = [], []
-        for i, a in enumerate(attributes):
-            mine = old[old["attr"] == i]
-            v = new[a].to_numpy(float)
-            values, table = _counted(np.concatenate([mine["value"].to_numpy(float), v]), np.concatenate([mine["_y"].to_numpy(int), np.zeros(len(v), int)]), np.concatenate([mine["n"].to_numpy(float), np.zeros(len(v))]), classes)
-            tables.append((values, table))
-            codes.append(np.searchsorted(values, v))
-        counts = tables[0][1].sum(0)
-        done, at = int(counts.sum()), 0
-        for t in range(c.chunk - done % c.chunk, len(y) + 1, c.chunk):
-            for (_, table), code in zip(tables, codes, strict=True):
-                np.add.at(table, (code[at:t], y[at:t]), 1)
-            counts, at = counts + np.bincount(y[at:t], minlength=classes), t
-            if (counts > 0).sum() > 1:
-                what, a, threshold = _verdict(*_best(tables, c.gini), len(attributes), done + t, classes, c)
-                if what != "wait":
-                    return pd.DataFrame([(leaf, what, attributes[a], threshold, int(o[t - 1]), done + t, int(counts.argmax()))], columns=cols)
-        return pd.DataFrame([], columns=cols)
-
-    cols = ["leaf", "what", "attr", "threshold", "at", "n", "cls"]
+        o = new["_o"].to_numpy()
+        what, a, threshold, used = state.learn({x: new[x].to_numpy() for x in (*numeric, *words)}, new["_y"].to_numpy().astype(int), c)
+        shares, seen = [], []
+        if what == "split" and threshold is not None:
+            left = state.numeric[a].below(threshold).sum() / max(1.0, state.numeric[a].rows)
+            shares = [left, 1 - left]
+        elif what == "split":
+            seen = sorted(state.words[a])
+            shares = [state.words[a][v].sum() / state.n for v in seen]
+        done = what != "wait"
+        row = (leaf, what, a if done else None, threshold if done else None, int(o[used - 1]) if done else -1, state.all_y().tolist(), shares, seen, None if done else state.dumps())
+        return pd.DataFrame([row], columns=[f.split()[0] for f in _FOLDED.split(", ")])
+
     return fold
 
 
 def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: int, config: Config = Config()) -> dict[str, Node]:
-    """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1.
+    """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1; rows without one are left out.
 
-    Attributes are numeric. Every leaf runs to the last row. A frozen leaf counts the rows and errors after it was frozen. While all its rows are of one class nothing can be decided, so such rows are only
-    aggregated; rows of mixed leaves go to ``_folder``, at most ``max_rows`` of a leaf at once.
+    String columns are text attributes: they split into a child for each value that came so far or comes later, at most once on a path.
+    A numeric split keeps its attribute. Every leaf runs to the last row. A leaf's class has ``laplace`` votes of its parent's. A frozen leaf
+    counts the rows and errors after it was frozen. A leaf's rows of one superstep are one task, ``max_rows`` at most.
     """
-    c, nodes, total = config, {"": Node("")}, df.count()
-    span, seen, so_far = {"": c.first_span}, {"": -1}, {"": np.zeros(classes, int)}  # of open leaves: next span, last ordinal and classes counted
-    rows = df.select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *attributes)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(a).cast("double").alias("value")) for i, a in enumerate(attributes)]))
-    held = df.sparkSession.createDataFrame([], "leaf string, attr int, value double, _y int, n long")
+    c, nodes = config, {"": Node("")}
+    numeric, words = _kinds(df, attributes)
+    off: dict[str, frozenset] = {"": frozenset()}
+    ordered = df.where(F.col(cls).isNotNull()).select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *[F.col(a).cast("double").alias(a) for a in numeric], *words)
+    last = df.agg(F.max(F.col(order).cast("long"))).first()[0]
+    if last is None:
+        return nodes
+    spark, total = df.sparkSession, last + 1
+    span, seen = {"": c.first_span}, {"": -1}  # of open leaves: next span, last ordinal
+    held = spark.createDataFrame([], "leaf string, state binary")
     while span:
         stop = {p: min(seen[p] + span[p], total - 1) for p in span}
-        lo, hi = (F.create_map(*[F.lit(v) for p in sorted(span) for v in (p, x[p])])[F.col("leaf")] for x in (seen, stop))
-        part = rows.where((F.col("_o") > min(seen.values())) & (F.col("_o") <= max(stop.values()))).withColumn("leaf", route(nodes))
-        part = part.where(F.col("leaf").isin(sorted(span))).where((F.col("_o") > lo) & (F.col("_o") <= hi))
-        came = {p: np.zeros(classes, int) for p in span}
-        for r in part.groupBy("leaf", "_y").count().collect():  # leaves x classes
-            came[r["leaf"]][r["_y"]] = r["count"]
-        mixed = [p for p in span if ((so_far[p] + came[p]) > 0).sum() > 1 and came[p].any()]
-        large = [p for p in mixed if came[p].sum() > c.max_rows]  # so many ordinals have as many rows at most
-        mixed = [p for p in mixed if p not in large]
-        got = {}
-        if mixed:
-            both = part.where(F.col("leaf").isin(mixed)).groupBy("leaf").cogroup(held.where(F.col("leaf").isin(mixed)).groupBy("leaf"))
-            got = {r["leaf"]: r for r in both.applyInPandas(_folder(attributes, classes, c), "leaf string, what string, attr string, threshold double, at long, n long, cls int").collect()}  # a row a leaf
-        moved = []
+        ranges = spark.createDataFrame([(p, seen[p], stop[p]) for p in span], "leaf string, _lo long, _hi long")
+        part = routed(ordered.where((F.col("_o") > min(seen.values())) & (F.col("_o") <= max(stop.values()))), nodes).withColumnRenamed("_leaf", "leaf")
+        part = part.join(F.broadcast(ranges), "leaf").where((F.col("_o") > F.col("_lo")) & (F.col("_o") <= F.col("_hi")))  # a row an open leaf
+        large: set[str] = set()
+        if max(span.values()) > c.max_rows:  # so many ordinals have as many rows at most
+            large = {r["leaf"] for r in part.groupBy("leaf").count().where(F.col("count") > c.max_rows).collect()}
+        turn = spark.createDataFrame([(p,) for p in span if p not in large] or [(None,)], "leaf string")
+        mine = lambda t: t.join(F.broadcast(turn), "leaf", "left_semi").groupBy("leaf")
+        folded = cut(mine(part).cogroup(mine(held)).applyInPandas(_folder(numeric, words, off, classes, c), _FOLDED))
+        got = {r["leaf"]: r for r in folded.drop("state").collect()}  # a row a leaf
+        texts: dict[str, str] = {}
+        closed, fresh = [], []
         for p in list(span):
             n = nodes[p]
             if p in large:
                 span[p] = max(c.max_rows, span[p] // 8)
                 continue
-            if p not in got:
-                so_far[p] = so_far[p] + came[p]
-                n.n, n.cls = int(so_far[p].sum()), int(so_far[p].argmax()) if so_far[p].any() else -1
+            r = got.get(p)
+            y = np.array(r["y"]) if r else np.zeros(classes)
+            n.n, n.cls = int(y.sum()), leaves.vote(y, n.up, c.laplace)
+            if r is None or r["what"] == "wait":
                 seen[p], span[p] = stop[p], span[p] * 8
-                moved.append(p)
-                if stop[p] < total - 1:
-                    continue
-            for x in (span, seen, so_far):
-                del x[p]
-            if p not in got:
+                if stop[p] == total - 1:
+                    closed.append(p)
+                continue
+            closed.append(p)
+            n.at = r["at"]
+            if r["what"] != "split" or (c.max_depth is not None and n.depth >= c.max_depth):
+                n.gone = True
                 continue
-            r = got[p]
-            n.n, n.cls = r["n"], r["cls"]
-            if r["what"] == "split" and (c.max_depth is None or len(p) < c.max_depth):
-                n.attr, n.threshold, n.at = r["attr"], r["threshold"], r["at"]
-                for s in "LR":
-                    nodes[p + s] = Node(p + s, at=r["at"])
-                    span[p + s], seen[p + s], so_far[p + s] = c.first_span, r["at"], np.zeros(classes, int)
-            else:
-                n.gone, n.at = True, r["at"]
-        moved = [p for p in moved if p in span]
-        if moved:  # part's plan has the routes and ranges from before
-            new = part.where(F.col("leaf").isin(moved)).select("leaf", "_y", pairs.alias("p")).select("leaf", "p.attr", "p.value", "_y", F.lit(1).cast("long").alias("n"))
-            held = cut(held.where(F.col("leaf").isin(list(span))).unionByName(new).groupBy("leaf", "attr", "value", "_y").agg(F.sum("n").alias("n")))
+            n.attr, n.threshold, top = r["attr"], r["threshold"], int(y.argmax())
+            if n.threshold is None:
+                texts[p], n.values = n.attr, tuple(r["seen"])
+            kids = [p + "L", p + "R"] if n.threshold is not None else [f"{p}<{i}>" for i in range(len(n.values))]
+            fresh += [(k, p, top, s * (n.n + n.before)) for k, s in zip(kids, r["shares"], strict=True)]
+        if texts:  # values that come only after the split have children too, which begin to grow then
+            came = ordered.where(F.col("_o") > min(nodes[p].at for p in texts))
+            which = spark.createDataFrame([(p, a, nodes[p].at) for p, a in texts.items()], "leaf string, _a string, _at long")
+            before = {**nodes, **{p: Node(p) for p in texts}}
+            came = routed(came, before).withColumnRenamed("_leaf", "leaf").join(F.broadcast(which), "leaf").where(F.col("_o") > F.col("_at"))
+            value = F.create_map(*[x for a in words for x in (F.lit(a), F.col(a))])[F.col("_a")]
+            later: dict[str, set[str]] = {}
+            for r in came.select("leaf", value.alias("v")).where("v IS NOT NULL").distinct().collect():  # the children
+                later.setdefault(r["leaf"], set()).add(r["v"])
+            for p in texts:
+                n = nodes[p]
+                new = sorted(later.get(p, set()) - set(n.values))
+                fresh += [(f"{p}<{len(n.values) + i}>", p, next(f[2] for f in fresh if f[1] == p), 0.0) for i in range(len(new))]
+                n.values = (*n.values, *new)
+        for k, p, top, share in fresh:
+            nodes[k] = Node(k, at=nodes[p].at, up=top, cls=top, before=float(int(share)))
+            off[k] = off[p] | {nodes[p].attr} if nodes[p].values is not None else off[p]
+            span[k], seen[k] = c.first_span, nodes[p].at
+        for p in closed:
+            del span[p], seen[p]
+        stay = spark.createDataFrame([(p,) for p in span] or [(None,)], "leaf string")
+        kept = folded.where("state IS NOT NULL").select("leaf", "state")
+        if large:
+            kept = kept.unionByName(held.join(F.broadcast(spark.createDataFrame([(p,) for p in large], "leaf string")), "leaf", "left_semi"))
+        held = kept.join(F.broadcast(stay), "leaf", "left_semi")
+        for p in [p for p in span if seen[p] >= total - 1]:  # split at the very last row
+            nodes[p].cls = nodes[p].up
+            del span[p], seen[p]
     frozen = [p for p, n in nodes.items() if n.gone]
     if frozen:
-        since = F.create_map(*[F.lit(v) for p in frozen for v in (p, nodes[p].at)])
-        after = rows.withColumn("leaf", route(nodes)).where(F.col("leaf").isin(frozen)).where(F.col("_o") > since[F.col("leaf")])
+        since = spark.createDataFrame([(p, nodes[p].at) for p in frozen], "leaf string, _at long")
+        after = routed(ordered, nodes).withColumnRenamed("_leaf", "leaf").join(F.broadcast(since), "leaf").where(F.col("_o") > F.col("_at"))
         for r in after.groupBy("leaf", "_y").count().collect():  # leaves x classes
             nodes[r["leaf"]].n_after += r["count"]
             nodes[r["leaf"]].errors += r["count"] * (r["_y"] != nodes[r["leaf"]].cls)
@@ -233,23 +300,28 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
 
 
 def bin_edges(df: DataFrame, names: list[str], most: int, given: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
-    """Where each numeric attribute is cut: at its distinct values, or at ``most`` quantiles if it has more of them. Two passes for all attributes."""
+    """Where each numeric attribute is cut: at its distinct values, or if it has more than ``most``, where ``most`` equal shares of its rows begin.
+
+    Exact: one aggregate to distinct values, then running sums of each attribute's values in ranges; the driver gets at most ``most`` edges an attribute.
+    """
     edges = dict(given or {})
     names = [a for a in names if a not in edges]
     if not names:
         return edges
-    at = F.array(*[F.lit((i + 1) / most) for i in range(most - 1)])
-    x = {a: F.col(a).cast("double") for a in names}
-    got = df.agg(*[F.approx_count_distinct(x[a], 0.02).alias(f"n{i}") for i, a in enumerate(names)], *[F.percentile_approx(x[a], at, 10 * most).alias(f"q{i}") for i, a in enumerate(names)]).first()
-    few = [a for i, a in enumerate(names) if got[f"n{i}"] <= 0.9 * most]
-    values: dict[str, set[float]] = {a: set(got[f"q{i}"] or []) for i, a in enumerate(names)}
-    if few:
-        pairs = F.array(*[F.struct(F.lit(a).alias("a"), x[a].alias("v")) for a in few])
-        for a in few:
-            values[a] = set()
-        for r in df.select(F.explode(pairs).alias("p")).select("p.a", "p.v").distinct().collect():  # at most `most` an attribute
-            values[r["a"]].add(r["v"])
-    return edges | {a: sorted(v for v in values[a] if v is not None and v == v)[1:] for a in names}
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("double").alias("v")) for a in names])
+    values = df.select(F.explode(pairs).alias("p")).where(F.col("p.v").isNotNull() & ~F.isnan("p.v")).groupBy("p.a", "p.v").agg(F.count("*").alias("n"))
+    values = cut(values)
+    size = {r["a"]: r for r in values.groupBy("a").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()}
+    few = [a for a in size if size[a]["values"] <= most]
+    found: dict[str, list[float]] = {a: [] for a in names}
+    for r in values.where(F.col("a").isin(few)).collect() if few else []:  # at most `most` an attribute
+        found[r["a"]].append(r["v"])
+    for a in size:
+        if a not in few:
+            run = rows.with_running(values.where(F.col("a") == a).select("v", "n"), ["v"], F.col("n"))
+            share = F.floor((F.col("_sum") - F.col("n")) * most / size[a]["rows"])
+            found[a] = [r["v"] for r in run.groupBy(share.alias("s")).agg(F.min("v").alias("v")).collect()]
+    return edges | {a: sorted(v)[1:] for a, v in found.items()}
 
 
 def binned(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
@@ -289,16 +361,16 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
     numeric, words = _kinds(df, attributes)
     edges = bin_edges(df, numeric, c.bins, edges)
     edges = {a: edges[a] for a in numeric}
-    rows = binned(df.select(*attributes, cls), edges)
+    data, spark = binned(df.select(*attributes, cls), edges), df.sparkSession
     r = 1.0 if c.gini else math.log2(max(2, classes))
     while open_:
-        routed = rows.withColumn("_leaf", route(nodes)).where(F.col("_leaf").isin(open_))
-        counts = cut(level_counts(routed, edges, words, cls, classes))
+        here = F.broadcast(spark.createDataFrame([(p,) for p in open_], "_leaf string"))  # the model's open leaves
+        counts = cut(level_counts(routed(data, nodes).join(here, "_leaf", "left_semi"), edges, words, cls, classes))
         total = {t["leaf"]: np.array([t[f"c{k}"] for k in range(classes)], float) for t in counts.where(F.col("attr") == attributes[0]).groupBy("leaf").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]).collect()}  # leaves
-        found = impurity.bin_cuts(counts.where("bin IS NOT NULL"), classes, c.gini).unionByName(impurity.value_index(counts.where("bin IS NULL"), classes, c.gini))
-        for p in open_:
-            if off[p]:
-                found = found.where(~((F.col("leaf") == p) & F.col("attr").isin(sorted(off[p]))))
+        found = impurity.bin_cuts(counts.where("bin IS NOT NULL"), classes, c.gini).unionByName(impurity.value_index(counts.where("bin IS NULL AND value IS NOT NULL"), classes, c.gini))
+        used = [(p, a) for p in open_ for a in sorted(off[p])]
+        if used:
+            found = found.join(F.broadcast(spark.createDataFrame(used, "leaf string, attr string")), ["leaf", "attr"], "left_anti")
         first = F.row_number().over(Window.partitionBy("leaf").orderBy("index", "attr", "bin"))
         best: dict[str, list[tuple[float, str, int | None]]] = {p: [] for p in open_}
         for k in found.withColumn("_r", first).where("_r <= 2").collect():  # two a leaf
@@ -306,22 +378,22 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
         split: list[str] = []
         for p in open_:
             n, y, two = nodes[p], total.get(p, np.zeros(classes)), sorted(best[p], key=lambda b: b[:2])
-            up = nodes[n.parent].cls if n.parent is not None else -1
-            n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else up
+            n.up = nodes[n.parent].cls if n.parent is not None else -1
+            n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else n.up
             if not two or (c.max_depth is not None and n.depth >= c.max_depth) or (y > 0).sum() < 2:
                 continue
             whole = float(_impurity(y, c.gini))
             second = two[1][0] if len(two) > 1 else whole
-            bound = math.sqrt(r * r * math.log(len(attributes) / c.delta) / (2 * n.n))
+            bound = math.sqrt(r * r * math.log((len(attributes) - len(off[p])) / c.delta) / (2 * n.n))
             if whole - two[0][0] > c.pre_prune and (second - two[0][0] > bound or bound < c.tie):
                 _, n.attr, at = two[0]
                 n.threshold = None if at is None else float(edges[n.attr][at - 1])
                 split.append(p)
         seen: dict[str, list[str]] = {}
-        chosen = [p for p in split if nodes[p].threshold is None]
+        chosen = [(p, nodes[p].attr) for p in split if nodes[p].threshold is None]
         if chosen:
-            mine = F.create_map(*[F.lit(v) for p in chosen for v in (p, nodes[p].attr)])
-            for v in counts.where(F.col("leaf").isin(chosen)).where((F.col("attr") == mine[F.col("leaf")]) & F.col("value").isNotNull()).select("leaf", "value").distinct().collect():  # the children
+            mine = F.broadcast(spark.createDataFrame(chosen, "leaf string, attr string"))
+            for v in counts.where(F.col("value").isNotNull()).join(mine, ["leaf", "attr"], "left_semi").select("leaf", "value").distinct().collect():  # the children
                 seen.setdefault(v["leaf"], []).append(v["value"])
         open_ = []
         for p in split:
@@ -336,10 +408,13 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
 
 
 def classify(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
-    """Adds leaf and pred; a leaf without rows and a value that was never seen predict as their parent. Only an expression: no shuffle, no Python."""
+    """Adds leaf and pred; a leaf without rows and a value that was never seen predict as their parent. No shuffle; for small trees only an expression."""
     known = [(p, n.cls) for p, n in nodes.items() if n.attr is None] + [(f"{p}<?>", n.cls) for p, n in nodes.items() if n.values is not None]
+    out = routed(df, nodes).withColumnRenamed("_leaf", "leaf")
+    if len(known) > SMALL:
+        return out.join(F.broadcast(df.sparkSession.createDataFrame(known, "leaf string, pred int")), "leaf", "left").select(*df.columns, "leaf", "pred")  # a model's leaves
     by = F.create_map(*[F.lit(v) for pair in known for v in pair])
-    return df.withColumn("leaf", route(nodes)).withColumn("pred", by[F.col("leaf")].cast("int"))
+    return out.withColumn("pred", by[F.col("leaf")].cast("int"))
 
 
 def table(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:

@@ -153,7 +153,9 @@ query("entropy_continuous_mdl", f"WITH {_CUTS} SELECT attr, value, below_n, abov
 query("split_top2", f"WITH {_CUTS} SELECT attr, value, below_n, above_n, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(index, 6) AS index, row_number() OVER (ORDER BY index, attr, value) AS rank FROM m ORDER BY index, attr, value LIMIT 2")(
     lambda s, d: rounded(impurity.best_cuts(impurity.with_mdl(_cuts(s, d))), "gini", "entropy", "index")
 )
-query("hoeffding_bound", "SELECT n, round(sqrt(log2(3) ** 2 * ln(4 / 1e-7) / (2 * n)), 6) AS bound FROM range(300, 3001, 300) t(n)")(lambda s, d: s.range(300, 3001, 300).select(F.col("id").alias("n"), r6(impurity.hoeffding_bound(F.col("id"), 1e-7, 4, 1.584962500721156)).alias("bound")))
+query("hoeffding_bound", "SELECT l_linenumber AS k, count(*) AS n, round(sqrt(log2(3) ** 2 * ln(4 / 1e-7) / (2 * count(*))), 6) AS bound FROM lineitem GROUP BY 1")(
+    lambda s, d: read(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count("*").alias("n")).withColumn("bound", r6(impurity.hoeffding_bound(F.col("n"), 1e-7, 4, 1.584962500721156)))
+)
 query("check_split", f"""WITH {_CUTS}, {_NODE}, f AS (SELECT *, row_number() OVER (ORDER BY index, attr, value) AS rank FROM m),
 x AS (SELECT a.attr, a.value AS threshold, a.index AS first, b.index AS second, nd.entropy AS null_index, sqrt(log2(3) ** 2 * ln(4 / 1e-7) / (2 * nd.n)) AS bound FROM f a, f b, nd WHERE a.rank = 1 AND b.rank = 2)
 SELECT attr, threshold, round(first, 6) AS first, round(second, 6) AS second, round(null_index, 6) AS null_index, round(bound, 6) AS bound, CASE WHEN first - null_index > bound THEN 'leaf' WHEN second - first > bound THEN 'split' WHEN bound < 0.05 AND null_index > first THEN 'tie' ELSE 'wait' END AS decision FROM x""")(

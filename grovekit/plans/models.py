@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import new_folder
-from ..operators import birch, evaluation, hoeffding, impurity
+from ..lineage import cut, new_folder
+from ..operators import birch, evaluation, hoeffding, impurity, rows
 from ..sources import sinks
 from ..streaming import ingest
 from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _pred, _tree, learnable, query, r6, read
 
-#: Bins of the attribute with many values; the others are cut at their distinct values.
-STEP = 1000
-EDGES = {"l_extendedprice": [float(STEP * (i + 1)) for i in range(120)]}
+#: The attribute with many values is cut where 1,000 equal shares of its rows begin, the others at their distinct values.
+_SHARES = """e AS (SELECT v, min(v) OVER (PARTITION BY share) AS lower FROM (SELECT v, CASE WHEN count(*) OVER () <= 1000 THEN v ELSE floor((sum(n) OVER (ORDER BY v) - n) * 1000.0 / sum(n) OVER ()) END AS share FROM (SELECT l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY 1)))"""
 
 
 def _level(k: int) -> str:
     """From r<k> (one row a lineitem with its leaf) the decision of each leaf, d<k>, and r<k+1>."""
-    long = " UNION ALL ".join(f"SELECT leaf, '{a}' AS attr, {f'least(floor({a} / {STEP}), 120) * {STEP}' if a in EDGES else a}::DOUBLE AS value, cls FROM r{k}" for a in ATTRS)
+    long = " UNION ALL ".join(f"SELECT leaf, '{a}' AS attr, {'lower' if a == 'l_extendedprice' else a}::DOUBLE AS value, cls FROM r{k}" for a in ATTRS)
     c = range(3)
     own = lambda p: " + ".join(f"CASE WHEN {p}{i} > 0 THEN -({p}{i} / {p}n) * log2({p}{i} / {p}n) ELSE 0 END" for i in c)
     return f"""l{k} AS (SELECT leaf, attr, value, {", ".join(f"count(*) FILTER (WHERE cls = {i})::DOUBLE AS c{i}" for i in c)} FROM ({long}) GROUP BY ALL),
@@ -31,13 +30,13 @@ n{k} AS (SELECT r.leaf AS node, any_value(d.attr) AS attr, any_value(d.threshold
 r{k + 1} AS (SELECT r.* EXCLUDE (leaf), r.leaf || CASE WHEN CASE d.attr {" ".join(f"WHEN '{a}' THEN r.{a}" for a in ATTRS)} END < d.threshold THEN 'L' ELSE 'R' END AS leaf FROM r{k} r JOIN d{k} d ON r.leaf = d.leaf)"""
 
 
-_GROWN = f"""r0 AS (SELECT {", ".join(ATTRS)}, {_CLS} AS cls, '' AS leaf FROM lineitem), {_level(0)}, {_level(1)}, {_level(2)},
+_GROWN = f"""{_SHARES}, r0 AS (SELECT {", ".join(ATTRS)}, {_CLS} AS cls, '' AS leaf, lower FROM lineitem JOIN e ON l_extendedprice = e.v), {_level(0)}, {_level(1)}, {_level(2)},
 grown AS (SELECT node, CASE WHEN node <> '' THEN left(node, -1) END AS parent, length(node)::INT AS depth, CASE WHEN attr IS NULL THEN 'growing' ELSE 'split' END AS kind, attr, round(threshold, 6) AS threshold, cls::INT AS cls, n FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2))"""
 
 
 def _grown(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, hoeffding.Node]]:
     x = learnable(s, d)
-    return x, hoeffding.grow(x, ATTRS, "cls", 3, edges=EDGES)
+    return x, hoeffding.grow(x, ATTRS, "cls", 3)
 
 
 def _table(s: SparkSession, nodes: dict[str, hoeffding.Node]) -> DataFrame:
@@ -69,7 +68,7 @@ def _json(s: SparkSession, d: str) -> DataFrame:
 def _stream_tree(s: SparkSession, d: str) -> DataFrame:
     """The same growth by micro-batches, here of one file."""
     tree = ingest.StreamingTree(ATTRS, "cls", 3)
-    tree.edges = hoeffding.bin_edges(learnable(s, d), ATTRS, 1000, EDGES)
+    tree.edges = hoeffding.bin_edges(learnable(s, d), ATTRS, 1000)
     tree.edges = {a: tree.edges[a] for a in ATTRS}
     q = ingest.source(s, f"{d}/lineitem.parquet").withColumn("cls", F.expr(_CLS)).writeStream.foreachBatch(tree.update).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -95,6 +94,23 @@ def _unseen(s: SparkSession, d: str) -> DataFrame:
     return hoeffding.classify(x.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.lit("new")).otherwise(F.col("o_orderpriority"))), nodes).select("o_orderkey", "leaf", "pred")
 
 
+_LATE = """SELECT ord, CASE WHEN ord < total / 2 AND o_orderpriority = '5-LOW' THEN '1-URGENT' ELSE o_orderpriority END AS v FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, count(*) OVER () AS total FROM orders)"""
+
+
+@query("vfdt_learn_words", f"""WITH w AS ({_LATE}), r AS (SELECT v, count(*) FILTER (WHERE ord >= 300) AS n FROM w GROUP BY v)
+SELECT '' AS node, NULL AS parent, 'v' AS attr, 300::BIGINT AS n, 0::BIGINT AS before UNION ALL
+SELECT '<' || (row_number() OVER (ORDER BY v) - 1) || '>', '', NULL, n, (SELECT floor(300 * (count(*) FILTER (WHERE w.v = r.v) / 300.0))::BIGINT FROM w WHERE ord < 300) FROM r""")
+def _learn_words(s: SparkSession, d: str) -> DataFrame:
+    """Row by row with a text attribute; one of its values only comes in the second half, and gets a child that begins to grow then."""
+    o = rows.with_running(read(s, d, "orders"), ["o_orderkey"])
+    total = o.count()
+    v = F.when((F.col("_ord") < total / 2) & (F.col("o_orderpriority") == "5-LOW"), "1-URGENT").otherwise(F.col("o_orderpriority"))
+    x = cut(o.select("_ord", v.alias("v"), "o_orderstatus", "o_totalprice", F.when(v == "1-URGENT", 0).when(v == "2-HIGH", 1).otherwise(2).alias("cls")))
+    nodes = hoeffding.learn(x, ["v", "o_orderstatus", "o_totalprice"], "cls", "_ord", 3)
+    before = s.createDataFrame([(p, int(n.before)) for p, n in nodes.items()], "_p string, before long")
+    return _table(s, nodes).join(F.broadcast(before), F.col("node") == F.col("_p")).select("node", "parent", "attr", "n", "before")
+
+
 @query("vfdt_node_dump", f"SELECT leaf AS node, cls::BIGINT AS cls, ['A', 'N', 'R'][cls + 1] AS name, count(*) AS n, 'totals' AS kind, NULL AS attr, NULL AS value FROM {_PRED} GROUP BY ALL UNION ALL SELECT leaf, p.cls::BIGINT, ['A', 'N', 'R'][p.cls + 1], count(*), 'counts', 'l_linenumber', l_linenumber::VARCHAR FROM {_PRED} p GROUP BY ALL")
 def _dump(s: SparkSession, d: str) -> DataFrame:
     """Per-node reports of the fixed tree, written and read back; classes by their names."""

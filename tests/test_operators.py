@@ -134,7 +134,7 @@ def test_learn_equals_sequential(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(0, 20, (6000, 2)).astype(float)
     y = np.where(x[:, 0] < 7, 0, np.where(x[:, 1] < 11, 1, 2))
-    c = hoeffding.Config(chunk=100, first_span=512)
+    c = hoeffding.Config(chunk=100, first_span=512, prune=False)
     df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "o long, a double, b double, k int")
     nodes = hoeffding.learn(df, ["a", "b"], "k", "o", 3, c)
     assert {p: (n.attr, n.threshold) if n.attr else None for p, n in nodes.items()} == sequential(x, y, ["a", "b"], 3, c)
@@ -149,7 +149,7 @@ def test_learn_goes_on_to_the_last_row(spark):
     x = rng.integers(0, 30, (9000, 2)).astype(float)
     y = np.where(x[:, 0] < 10, 0, np.where(x[:, 0] < 20, rng.integers(0, 2, 9000), 1))
     y[6000:] = np.where((x[6000:, 0] < 10) & (x[6000:, 1] < 15), 2, y[6000:])
-    c = hoeffding.Config(chunk=50, first_span=256, max_rows=700, tie=0.2)
+    c = hoeffding.Config(chunk=50, first_span=256, max_rows=700, tie=0.2, laplace=0, prune=False)
     df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "o long, a double, b double, k int")
     nodes = hoeffding.learn(df, ["a", "b"], "k", "o", 3, c)
     assert {p: (n.attr, n.threshold) if n.attr else None for p, n in nodes.items()} == sequential(x, y, ["a", "b"], 3, c)
