@@ -28,12 +28,12 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def distance(kind: str, a: str, b: str, literal: bool = False) -> Column:
-    """d0 squared Euclid and d1 Manhattan between centroids, d2 average inter-cluster, d3 average intra-cluster distance, d4 variance increase.
+def distance(kind: str, a: str | Column, b: str | Column, literal: bool = False) -> Column:
+    """Of two feature columns: d0 squared Euclid and d1 Manhattan between centroids, d2 average inter-cluster, d3 average intra-cluster distance, d4 variance increase.
 
     ``literal`` gives the older forms of d2 to d4, which turn NaN or negative for clusters of several points.
     """
-    n1, n2, l1, l2, s1, s2 = (F.col(f"{x}.{k}") for k in ("n", "ls", "ss") for x in (a, b))
+    n1, n2, l1, l2, s1, s2 = ((F.col(x) if isinstance(x, str) else x)[k] for k in ("n", "ls", "ss") for x in (a, b))
     n1, n2 = n1.cast("double"), n2.cast("double")
     dot = lambda x, y: _sum(F.zip_with(x, y, lambda p, q: p * q))
     diff = F.zip_with(l1, l2, lambda x, y: x / n1 - y / n2)
@@ -59,29 +59,30 @@ def distance(kind: str, a: str, b: str, literal: bool = False) -> Column:
     raise ValueError(kind)
 
 
-#: Clusters that a task holds at once.
-BLOCK = 20_000
+#: Bytes of clusters that a task holds at once.
+BLOCK_BYTES = 16 << 20
 
 
 def nearest(points: DataFrame, clusters: DataFrame, kind: str = "d0") -> DataFrame:
-    """Each point's nearest cluster: id, cluster, distance. ``points``: id, cf; ``clusters``: cluster, cf, of any number.
+    """Each point's nearest cluster: id, cluster, distance. ``points``: id, cf; ``clusters``: cluster, cf, of any number. A row for each row of points.
 
-    Clusters go to the tasks in blocks of ``BLOCK``; points stay where they are, and their best of each block are compared.
-    Ties go to the lower cluster; NaN distances come last.
+    Clusters come to the tasks as one row per block of ``BLOCK_BYTES``; points stay where they are and keep the best so far, so nothing is
+    shuffled or grouped. Ties go to the lower cluster; NaN distances come last. Without clusters, cluster and distance are null.
     """
-    n = clusters.count()
-    blocks = -(-n // BLOCK)
-    dealt = clusters.withColumn("_b", F.pmod(F.xxhash64("cluster"), F.lit(max(1, blocks))))
-    best = F.min(F.struct(F.isnan("d").alias("bad"), "d", "cluster")).alias("b")
-    out = None
-    for k in range(max(1, blocks)):
-        part = dealt.where(F.col("_b") == k) if blocks > 1 else dealt
-        both = points.withColumnRenamed("cf", "p").join(F.broadcast(part.select("cluster", F.col("cf").alias("q"))))  # about BLOCK rows
-        one = both.withColumn("d", distance(kind, "p", "q")).groupBy("id").agg(best)
-        out = one if out is None else out.unionByName(one)
-    if blocks > 1:
-        out = out.groupBy("id").agg(F.min("b").alias("b"))
-    return out.select("id", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("distance"))
+    size = clusters.agg(F.count("*").alias("n"), F.max(F.size("cf.ls")).alias("dim")).first()
+    blocks = max(1, -(-(size["n"] or 0) * (8 * (size["dim"] or 0) + 40) // BLOCK_BYTES))
+    dealt = clusters.withColumn("_b", F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
+    out = points.select("id", F.col("cf").alias("_p")).withColumn("_best", F.lit(None).cast(f"struct<bad:boolean,d:double,cluster:{clusters.schema['cluster'].dataType.simpleString()}>"))
+    for k in range(blocks):
+        held = dealt.where(F.col("_b") == k).agg(F.collect_list(F.struct("cluster", "cf")).alias("_block"))  # one row of BLOCK_BYTES
+
+        def measured(c: Column) -> Column:
+            d = distance(kind, F.col("_p"), c["cf"])
+            return F.struct(F.isnan(d).alias("bad"), d.alias("d"), c["cluster"].alias("cluster"))
+
+        here = F.array_min(F.transform("_block", measured))
+        out = out.join(F.broadcast(held)).withColumn("_best", F.array_min(F.array_compact(F.array("_best", here)))).drop("_block")
+    return out.select("id", F.col("_best.cluster").alias("cluster"), F.col("_best.d").alias("distance"))
 
 
 def farthest_pair(entries: DataFrame, kind: str = "d0") -> DataFrame:

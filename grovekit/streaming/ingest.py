@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable
 
@@ -30,31 +31,87 @@ def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFra
     return spark.table(name)
 
 
-class StreamingTree:
+class Snapshots:
+    """Versions of a model in the shared folder, one a batch: a model is restored from its last one, and a batch that has one counts no more.
+
+    A version is there once its writing has succeeded. Streaming delivers a batch again if the driver ended before its commit; its
+    version then says whether it had been counted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._hpath("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _hpath(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._hpath("")):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._hpath(""))]
+        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._hpath(f"{n}/_SUCCESS")))
+
+    def load(self) -> tuple[int, dict]:
+        """The last batch counted and the model after it; -1 and nothing before the first."""
+        known = self.versions()
+        return (known[-1], pickle.loads(self.spark.read.parquet(f"{self.path}/{known[-1]}").first()["state"])) if known else (-1, {})
+
+    def save(self, batch: int, state: dict) -> None:
+        self.spark.createDataFrame([(bytearray(pickle.dumps(state)),)], "state binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        for old in self.versions()[: -self.keep]:
+            self._fs.delete(self._hpath(str(old)), True)
+
+
+class _Following:
+    """What models that follow a stream share: each batch counts once, and with ``path`` they go on where their last version ended."""
+
+    STATE: tuple[str, ...] = ()
+
+    def _open(self, path: str | None, spark: SparkSession | None) -> None:
+        self.batch, self.snapshots = -1, None
+        if path:
+            self.snapshots = Snapshots(spark or SparkSession.active(), path)
+            self.batch, state = self.snapshots.load()
+            self.__dict__.update(state)
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch: ids that rise; one that was counted changes nothing."""
+        if batch_id <= self.batch:
+            return
+        self._count(batch)
+        if self.snapshots:
+            self.snapshots.save(batch_id, {k: getattr(self, k) for k in self.STATE})
+        self.batch = batch_id
+
+
+class StreamingTree(_Following):
     """A Hoeffding tree that grows with every micro-batch. Status is a query away.
 
     Bins come from the first batch. Each batch adds one aggregate of (leaf, attribute, bin or value, class) counts to the open leaves'
     own, which are part of the model; leaves that may split do, and the same batch is counted again for their children only.
     """
 
-    def __init__(self, attributes: list[str], cls: str, classes: int, config: hoeffding.Config = hoeffding.Config()):
+    def __init__(self, attributes: list[str], cls: str, classes: int, config: hoeffding.Config = hoeffding.Config(), path: str | None = None, spark: SparkSession | None = None):
         self.attributes, self.cls, self.classes, self.config = attributes, cls, classes, config
         self.nodes: dict[str, hoeffding.Node] = {"": hoeffding.Node("")}
         self.counts: dict[str, dict[str, dict]] = {"": {}}
         self.off: dict[str, frozenset] = {"": frozenset()}
         self.edges: dict[str, list[float]] | None = None
         self.rows = 0
+        self._open(path, spark)
 
-    def update(self, batch: DataFrame, _: int) -> None:
-        """For foreachBatch."""
+    STATE = ("nodes", "counts", "off", "edges", "rows")
+
+    def _count(self, batch: DataFrame) -> None:
         numeric, words = hoeffding._kinds(batch, self.attributes)
         if self.edges is None:
             found = hoeffding.bin_edges(batch, numeric, self.config.bins)
             self.edges = {a: found[a] for a in numeric}
         rows, fresh = hoeffding.binned(batch.select(*self.attributes, self.cls), self.edges), None
         while fresh is None or fresh:
-            routed = rows.withColumn("_leaf", hoeffding.route(self.nodes))
-            routed = routed if fresh is None else routed.where(F.col("_leaf").isin(fresh))
+            routed = hoeffding.routed(rows, self.nodes)
+            routed = routed if fresh is None else routed.join(F.broadcast(batch.sparkSession.createDataFrame([(p,) for p in fresh], "_leaf string")), "_leaf", "left_semi")
             added: dict[str, int] = {}
             for r in hoeffding.level_counts(routed, self.edges, words, self.cls, self.classes).collect():  # leaves x bins
                 if r["leaf"] in self.counts:
@@ -103,14 +160,17 @@ class StreamingTree:
         return {"rows": self.rows, "nodes": len(self.nodes), "depth": max(n.depth for n in self.nodes.values()), "growing": len(self.counts)}
 
 
-class StreamingClusters:
+class StreamingClusters(_Following):
     """A CF tree that each micro-batch's partial entries are inserted into."""
 
-    def __init__(self, vector: str, threshold: float, branching: int = 10, kind: str = "d0", most: int = 2000):
+    def __init__(self, vector: str, threshold: float, branching: int = 10, kind: str = "d0", most: int = 2000, path: str | None = None, spark: SparkSession | None = None):
         self.vector, self.threshold, self.branching, self.kind, self.most = vector, threshold, branching, kind, most
         self.tree: birch.CFTree | None = None
+        self._open(path, spark)
+
+    STATE = ("tree",)
 
-    def update(self, batch: DataFrame, _: int) -> None:
+    def _count(self, batch: DataFrame) -> None:
         for e in birch.partial_entries(batch, self.vector, self.threshold, self.branching, self.kind, self.most).collect():  # at most `most` a partition
             self.tree = self.tree or birch.CFTree(len(e["ls"]), self.threshold, self.branching, self.kind)
             self.tree.insert(e["n"], np.array(e["ls"]), e["ss"])

@@ -252,7 +252,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     points = spark.createDataFrame([(i, feature([(i % 17, i % 5)])) for i in range(60)], f"id long, cf {CF}")
     clusters = spark.createDataFrame([(i, feature([(i % 13, i % 4)])) for i in range(40)], f"cluster long, cf {CF}")
     whole = sorted(map(tuple, clustering.nearest(points, clusters).collect()))
-    monkeypatch.setattr(clustering, "BLOCK", 7)
+    monkeypatch.setattr(clustering, "BLOCK_BYTES", 56 * 7)
     assert sorted(map(tuple, clustering.nearest(points, clusters).collect())) == whole
 
 
@@ -263,3 +263,12 @@ def test_frozen_leaf_counts_on(spark):
     df = spark.createDataFrame([(i, float(i % 3), int(k)) for i, k in enumerate(y)], "o long, a double, k int")
     n = hoeffding.learn(df, ["a"], "k", "o", 2, c)[""]
     assert n.gone and n.n_after == 3000 - n.at - 1 and n.errors == int((y[n.at + 1 :] != n.cls).sum())
+
+
+def test_nearest_keeps_every_row_and_all_ties(spark):
+    f = "struct<n:double,ls:array<double>,ss:double>"
+    points = spark.createDataFrame([(1, (1.0, [0.0], 0.0)), (1, (1.0, [9.0], 81.0)), (1, (1.0, [9.0], 81.0)), (2, (1.0, [5.0], 25.0))], f"id long, cf {f}")
+    clusters = spark.createDataFrame([(7, (1.0, [0.0], 0.0)), (3, (2.0, [20.0], 200.0)), (4, (1.0, [10.0], 100.0))], f"cluster long, cf {f}")
+    got = sorted(tuple(r) for r in clustering.nearest(points, clusters).collect())
+    assert got == [(1, 3, 1.0), (1, 3, 1.0), (1, 7, 0.0), (2, 3, 25.0)]
+    assert [r.cluster for r in clustering.nearest(points, clusters.limit(0)).collect()] == [None] * 4

@@ -110,3 +110,50 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["preprocess", "--input", str(tmp_path / "t.parquet"), "--output", str(tmp_path / "q"), "--clip", "0", "10", "x", "--normalize", "x", "--select", "x", "--seed", "s"])
     assert spark.read.text(str(tmp_path / "q")).count() == 3000
     cli.main(["profile", "--input", str(tmp_path / "t.parquet")])
+
+
+def test_streams_resume_where_they_ended(spark, tmp_path):
+    """Four batches; the driver ends after the second's counts were kept and before its commit, and another one goes on."""
+    import pytest
+
+    from grovekit.operators import hoeffding
+
+    rows = spark.range(8000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 4).cast("double").alias("z"), ((F.col("id") % 10 > 5) & (F.col("id") % 4 > 0)).cast("int").alias("k"))
+    for i in range(4):
+        rows.where(F.col("id").between(2000 * i, 2000 * i + 1999)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema, cfg = rows.schema, hoeffding.Config(delta=1e-3)
+
+    def run(tree, where, fail_at=None):
+        def update(batch, number):
+            tree.update(batch, number)
+            if number == fail_at:
+                raise RuntimeError("the driver is gone")
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(update).option("checkpointLocation", str(tmp_path / where)).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    whole = ingest.StreamingTree(["x", "z"], "k", 2, cfg)
+    run(whole, "c1")
+    kept = f"file://{tmp_path}/model"
+    with pytest.raises(Exception, match="the driver is gone"):
+        run(ingest.StreamingTree(["x", "z"], "k", 2, cfg, kept, spark), "c2", fail_at=1)
+    again = ingest.StreamingTree(["x", "z"], "k", 2, cfg, kept, spark)
+    assert again.batch == 1 and again.rows == 4000
+    run(again, "c2")
+    assert again.status() == whole.status() and again.status()["rows"] == 8000 and again.status()["nodes"] > 3
+    assert again.nodes == whole.nodes
+    assert again.snapshots.versions() == [2, 3]
+    again.update(rows, 3)  # a batch that comes once more
+    assert again.rows == 8000
+
+
+def test_stream_clusters_resume(spark, tmp_path):
+    df = spark.createDataFrame([([float(i % 3), 0.0],) for i in range(60)], "v array<double>")
+    kept = f"file://{tmp_path}/clusters"
+    one = ingest.StreamingClusters("v", 0.5, path=kept, spark=spark)
+    one.update(df, 0)
+    two = ingest.StreamingClusters("v", 0.5, path=kept, spark=spark)
+    two.update(df, 0)
+    two.update(df, 1)
+    assert sorted(e[1] for e in two.tree.leaves()) == [40.0, 40.0, 40.0]
