@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from functools import reduce
 
@@ -33,8 +32,8 @@ class TokenRollup:
     null tokens count 0; changes with a null doc_id or an unknown op are ignored.
 
     The ledger lies in buckets of doc_ids, and a batch reads only the buckets that it touches. A batch counts once its
-    marker is there: the file of the next number, which the file system creates for one writer only, so of two writers at once
-    one starts again from the other's ledger, and a retried driver cannot count twice: a batch id that has a marker changes
+    marker is there: the file of the next number, written aside and then named for one writer only, so of two writers at once
+    one starts again from the other's ledger, a writer that dies leaves no marker, and a retried driver cannot count twice: a batch id that has a marker changes
     nothing. ``compact`` folds all batches into one.
     """
 
@@ -44,48 +43,54 @@ class TokenRollup:
         self._jvm = spark.sparkContext._jvm
         self._fs = self._hpath(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._markers: dict[str, dict] = {}
+        self._none = spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
 
     def _hpath(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def _marker(self, name: str) -> dict:
-        """A marker's content; one that is just being written is waited for."""
-        for _ in range(100):
-            if name not in self._markers:
-                stream = self._fs.open(self._hpath(f"{self.path}/commits/{name}"))
-                text = str(self._jvm.java.lang.String(stream.readAllBytes(), "UTF-8"))
-                stream.close()
-                if text.endswith("\n"):
-                    self._markers[name] = json.loads(text)
-            if name in self._markers:
-                return self._markers[name]
-            time.sleep(0.1)
-        raise RuntimeError(f"{self.path}/commits/{name} was begun and never written; remove it if its writer is gone")
+        """A marker's content; an empty one, which no writer completes any more, commits nothing."""
+        if name not in self._markers:
+            stream = self._fs.open(self._hpath(f"{self.path}/commits/{name}"))
+            text = str(self._jvm.java.lang.String(stream.readAllBytes(), "UTF-8"))
+            stream.close()
+            self._markers[name] = json.loads(text) if text.endswith("\n") else {"batch": None, "folder": None, "folds": False}
+        return self._markers[name]
 
     def _log(self) -> list[dict]:
         root = self._hpath(f"{self.path}/commits")
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
-        return [self._marker(n) for n in names]
+        return [self._marker(n) for n in names if n.isdigit()]
 
     def _commit(self, number: int, content: dict) -> bool:
-        """False if another writer has that number."""
+        """False if another writer has that number. The marker is written aside and then gets its name in one step that never replaces another."""
+        aside, final = self._hpath(f"{self.path}/aside/{uuid.uuid4().hex}"), self._hpath(f"{self.path}/commits/{number:010d}")
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray((json.dumps(content) + "\n").encode()))
+        stream.close()
         try:
-            stream = self._fs.create(self._hpath(f"{self.path}/commits/{number:010d}"), False)
+            self._fs.mkdirs(final.getParent())
+            if self._fs.getUri().getScheme() == "file":  # renaming a local file may replace another, a link never does
+                at = lambda p: self._jvm.java.nio.file.Path.of(self._fs.makeQualified(p).toUri().getPath(), self._none)
+                self._jvm.java.nio.file.Files.createLink(at(final), at(aside))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, final, options)
         except Py4JJavaError as e:
             if "AlreadyExists" in str(e.java_exception.getClass().getName()):
                 return False
             raise
-        stream.write(bytearray((json.dumps(content) + "\n").encode()))
-        stream.close()
+        finally:
+            self._fs.delete(aside, False)
         return True
 
     def batches(self) -> list[str]:
-        return [m["batch"] for m in self._log() if not m["folds"]]
+        return [m["batch"] for m in self._log() if m["batch"] is not None]
 
     def _read(self, log: list[dict], kind: str, schema: str) -> DataFrame:
         """What was committed since the last fold, that included."""
         folds = [i for i, m in enumerate(log) if m["folds"]]
-        paths = [f"{self.path}/data/{m['folder']}/{kind}" for m in log[folds[-1] if folds else 0 :]]
+        paths = [f"{self.path}/data/{m['folder']}/{kind}" for m in log[folds[-1] if folds else 0 :] if m["folder"]]
         frames = [self.spark.read.schema(schema).parquet(p) for p in paths]  # each has its buckets as folders
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
 

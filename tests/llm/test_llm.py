@@ -506,6 +506,24 @@ def test_rollup(spark):
     r.apply("d", spark.createDataFrame([], s))
 
 
+def test_rollup_survives_dead_writers(spark, monkeypatch):
+    cols = "op string, doc_id long, source string, lang string, tokenizer_version string, tokens long"
+    r = rollup.TokenRollup(spark, buckets=2)
+    r.apply("a", spark.createDataFrame([("insert", 1, "s", "en", "t", 5)], cols))
+    gone = rollup.TokenRollup(spark, r.path, buckets=2)
+    monkeypatch.setattr(gone, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("the writer is gone")))
+    with pytest.raises(RuntimeError):
+        gone.apply("b", spark.createDataFrame([("insert", 2, "s", "en", "t", 7)], cols))
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "t", 1, 5)]
+    r._fs.create(r._hpath(f"{r.path}/commits/{1:010d}"), False).close()  # the empty marker of an older writer
+    late = rollup.TokenRollup(spark, r.path, buckets=2)
+    assert late.apply("b", spark.createDataFrame([("insert", 2, "s", "en", "t", 7)], cols))
+    assert not late.apply("b", spark.createDataFrame([("insert", 2, "s", "en", "t", 7)], cols))
+    late.compact()
+    assert [tuple(x) for x in rollup.TokenRollup(spark, r.path).totals().collect()] == [("s", "en", "t", 2, 12)]
+    assert not r._commit(1, {"batch": "x", "folder": None, "folds": False})
+
+
 def test_rollup_with_two_writers_and_folds(spark, monkeypatch):
     s = "op string, doc_id long, source string, lang string, tokenizer_version string, tokens long"
     one = rollup.TokenRollup(spark, buckets=4)
