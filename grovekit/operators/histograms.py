@@ -41,6 +41,15 @@ class ClassHistogram:
             self.lo, self.hi, self.n = np.insert(self.lo, where, v[new]), np.insert(self.hi, where, v[new]), np.insert(self.n, where, n[new], 0)
         self._shrink()
 
+    def absorb(self, other: ClassHistogram) -> None:
+        """Like ``merge``, but bins that lie within one of this histogram's stay closed in it."""
+        at = np.searchsorted(self.lo, other.lo, "right") - 1
+        inside = (at >= 0) & (other.hi <= self.hi[at]) if len(self.lo) else np.zeros(len(other.lo), bool)
+        np.add.at(self.n, at[inside], other.n[inside])
+        rest = ClassHistogram(self.n.shape[1], self.most)
+        rest.lo, rest.hi, rest.n, rest.error = other.lo[~inside], other.hi[~inside], other.n[~inside], other.error
+        self.merge(rest)
+
     def merge(self, *others: ClassHistogram) -> None:
         """Takes the others' rows in, best all at once: before a cut, at most one bin of each reaches beyond it. Errors add up."""
         every = (self, *others)

@@ -28,7 +28,8 @@ class Config:
     """Defaults of the classic learner. max_rows: the most rows of one leaf that one superstep folds; the rest follow in later ones.
 
     bins: the most bins of a numeric attribute: quantiles of the table in ``grow``, of each leaf in ``learn``. laplace: votes that a leaf's
-    parent has in its class. prune: ``learn`` switches off attributes and cuts that fell behind (see ``leaves``).
+    parent has in its class. prune: ``learn`` switches off attributes and cuts that fell behind (see ``leaves``). budget: the most leaves whose
+    statistics are kept at once, the most promising ones: ``grow`` counts the others later, a stream puts them to sleep.
     """
 
     delta: float = 1e-7
@@ -42,6 +43,7 @@ class Config:
     max_rows: int = 1 << 20
     bins: int = 1000
     prune: bool = True
+    budget: int | None = None
 
 
 @dataclass
@@ -63,6 +65,7 @@ class Node:
     errors: int = 0
     up: int = -1
     before: float = 0.0
+    up_error: float = 0.0
 
     @property
     def depth(self) -> int:
@@ -184,7 +187,7 @@ _FOLDED = "leaf string, what string, attr string, threshold double, at long, y a
 def _folder(numeric: list[str], words: list[str], off: dict[str, frozenset], classes: int, c: Config):
     """Folds a leaf's next rows in order onto its state so far."""
 
-    def fold(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    def fold(key, new, old):
         leaf = key[0]
         if len(old):
             state = leaves.Leaf.loads(old["state"].iloc[0])
@@ -193,13 +196,7 @@ def _folder(numeric: list[str], words: list[str], off: dict[str, frozenset], cla
         new = new.sort_values("_o")
         o = new["_o"].to_numpy()
         what, a, threshold, used = state.learn({x: new[x].to_numpy() for x in (*numeric, *words)}, new["_y"].to_numpy().astype(int), c)
-        shares, seen = [], []
-        if what == "split" and threshold is not None:
-            left = state.numeric[a].below(threshold).sum() / max(1.0, state.numeric[a].rows)
-            shares = [left, 1 - left]
-        elif what == "split":
-            seen = sorted(state.words[a])
-            shares = [state.words[a][v].sum() / state.n for v in seen]
+        shares, seen = state.shares(a, threshold) if what == "split" else ([], [])
         done = what != "wait"
         row = (leaf, what, a if done else None, threshold if done else None, int(o[used - 1]) if done else -1, state.all_y().tolist(), shares, seen, None if done else state.dumps())
         return pd.DataFrame([row], columns=[f.split()[0] for f in _FOLDED.split(", ")])
@@ -363,7 +360,10 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
     edges = {a: edges[a] for a in numeric}
     data, spark = binned(df.select(*attributes, cls), edges), df.sparkSession
     r = 1.0 if c.gini else math.log2(max(2, classes))
-    while open_:
+    queue = open_
+    while queue:
+        queue.sort(key=lambda p: -nodes[p].before * nodes[p].up_error)  # stable: without a budget all are taken
+        open_, queue = queue[: c.budget], queue[c.budget :] if c.budget else []
         here = F.broadcast(spark.createDataFrame([(p,) for p in open_], "_leaf string"))  # the model's open leaves
         counts = cut(level_counts(routed(data, nodes).join(here, "_leaf", "left_semi"), edges, words, cls, classes))
         total = {t["leaf"]: np.array([t[f"c{k}"] for k in range(classes)], float) for t in counts.where(F.col("attr") == attributes[0]).groupBy("leaf").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]).collect()}  # leaves
@@ -376,9 +376,11 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
         for k in found.withColumn("_r", first).where("_r <= 2").collect():  # two a leaf
             best[k["leaf"]].append((k["index"], k["attr"], k["bin"]))
         split: list[str] = []
+        errors: dict[str, float] = {}
         for p in open_:
             n, y, two = nodes[p], total.get(p, np.zeros(classes)), sorted(best[p], key=lambda b: b[:2])
             n.up = nodes[n.parent].cls if n.parent is not None else -1
+            error = 1 - y.max() / y.sum() if y.sum() else 0.0
             n.n, n.cls = int(y.sum()), int(y.argmax()) if y.sum() else n.up
             if not two or (c.max_depth is not None and n.depth >= c.max_depth) or (y > 0).sum() < 2:
                 continue
@@ -389,21 +391,98 @@ def grow(df: DataFrame, attributes: list[str], cls: str, classes: int, config: C
                 _, n.attr, at = two[0]
                 n.threshold = None if at is None else float(edges[n.attr][at - 1])
                 split.append(p)
+                errors[p] = error
         seen: dict[str, list[str]] = {}
         chosen = [(p, nodes[p].attr) for p in split if nodes[p].threshold is None]
         if chosen:
             mine = F.broadcast(spark.createDataFrame(chosen, "leaf string, attr string"))
             for v in counts.where(F.col("value").isNotNull()).join(mine, ["leaf", "attr"], "left_semi").select("leaf", "value").distinct().collect():  # the children
                 seen.setdefault(v["leaf"], []).append(v["value"])
-        open_ = []
         for p in split:
             n = nodes[p]
             if n.threshold is None:
                 n.values = tuple(sorted(seen.get(p, [])))
             kids = [f"{p}<{i}>" for i in range(len(n.values))] if n.values is not None else [p + "L", p + "R"]
             for k in kids:
-                nodes[k], off[k] = Node(k), off[p] | {n.attr} if n.values is not None else off[p]
-            open_ += kids
+                nodes[k], off[k] = Node(k, before=float(n.n), up_error=errors[p]), off[p] | {n.attr} if n.values is not None else off[p]
+            queue += kids
+    return nodes
+
+
+def _added(numeric: list[str], words: list[str], off: dict[str, frozenset], classes: int, bins: int):
+    """One replica's counts of its rows of a leaf."""
+
+    def add(key, new):
+        f = leaves.Leaf(numeric, [a for a in words if a not in off.get(key[0], ())], classes, bins)
+        f.add({a: new[a].to_numpy() for a in (*numeric, *words)}, new["_y"].to_numpy().astype(int))
+        return pd.DataFrame([(key[0], int(key[1]), f.dumps())], columns=["leaf", "replica", "state"])
+
+    return add
+
+
+def _exchanged_or_kept(c: Config, checked: dict[str, int]):
+    """All replicas' counts of a leaf join what was exchanged before; with a chunk of new rows the leaf decides."""
+
+    def meet(key, new, old):
+        parts = [leaves.Leaf.loads(b) for b in new.sort_values("replica")["state"]] if len(new) else []
+        state = leaves.Leaf.loads(old["state"].iloc[0]) if len(old) else parts.pop(0)
+        for f in parts:
+            state.merge(f)
+        what, a, threshold = "wait", None, None
+        ready = state.n - checked.get(key[0], 0) >= c.chunk
+        if ready and (state.y > 0).sum() > 1:
+            what, a, threshold = state.decide(c)
+        shares, seen = state.shares(a, threshold) if what == "split" else ([], [])
+        done = what != "wait"
+        row = (key[0], what, a if done else None, threshold if done else None, state.n if ready else -1, state.y.tolist(), shares, seen, None if done else state.dumps())
+        return pd.DataFrame([row], columns=[f.split()[0] for f in _FOLDED.split(", ")])
+
+    return meet
+
+
+def learn_replicas(df: DataFrame, attributes: list[str], cls: str, order: str, classes: int, replicas: int, config: Config = Config(), window: int = 1 << 16) -> dict[str, Node]:
+    """Nodes of the tree that ``replicas`` models learn together, each from its share of the rows (dealt by their number).
+
+    Per window of ordinals every replica counts its rows of each open leaf on its own, so one leaf's rows take many tasks; then the
+    replicas' statistics are exchanged, and a leaf that has a chunk of new rows decides once for all of them. Rows of a window stay with the
+    leaves that were open at its beginning. The tree is that of one replica as long as attributes have at most ``bins`` values; beyond, cuts
+    may be off by the histograms' ``error``. Values of a text attribute that come after its split predict as their parent.
+    """
+    c, nodes, spark = config, {"": Node("")}, df.sparkSession
+    numeric, words = _kinds(df, attributes)
+    off: dict[str, frozenset] = {"": frozenset()}
+    ordered = df.where(F.col(cls).isNotNull()).select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *[F.col(a).cast("double").alias(a) for a in numeric], *words)
+    last = ordered.agg(F.max("_o")).first()[0]
+    held, checked, open_ = spark.createDataFrame([], "leaf string, state binary"), {"": 0}, {""}
+    for a in range(0, -1 if last is None else last + 1, window):
+        if not open_:
+            break
+        here = F.broadcast(spark.createDataFrame([(p,) for p in open_], "_leaf string"))  # the model's open leaves
+        part = routed(ordered.where(F.col("_o").between(a, a + window - 1)), nodes).join(here, "_leaf", "left_semi").withColumnRenamed("_leaf", "leaf")
+        counted = part.groupBy("leaf", F.pmod("_o", F.lit(replicas)).alias("replica")).applyInPandas(_added(numeric, words, off, classes, c.bins), "leaf string, replica int, state binary")
+        came = counted.groupBy("leaf").cogroup(held.groupBy("leaf")).applyInPandas(_exchanged_or_kept(c, dict(checked)), _FOLDED)
+        met = cut(came)
+        for r in met.drop("state").collect():  # a row an open leaf
+            p, y = r["leaf"], np.array(r["y"])
+            n = nodes[p]
+            n.n, n.cls = int(y.sum()), leaves.vote(y, n.up, c.laplace)
+            if r["at"] >= 0:
+                checked[p] = r["at"]
+            if r["what"] == "wait":
+                continue
+            open_.discard(p)
+            n.at = min(a + window - 1, last)
+            if r["what"] != "split" or (c.max_depth is not None and n.depth >= c.max_depth):
+                n.gone = True
+                continue
+            n.attr, n.threshold = r["attr"], r["threshold"]
+            n.values = None if n.threshold is not None else tuple(r["seen"])
+            kids = [p + "L", p + "R"] if n.threshold is not None else [f"{p}<{i}>" for i in range(len(n.values))]
+            for k, s in zip(kids, r["shares"], strict=True):
+                nodes[k] = Node(k, at=n.at, up=int(y.argmax()), cls=int(y.argmax()), before=float(int(s * (n.n + n.before))), up_error=1 - y.max() / y.sum())
+                off[k] = off[p] | {n.attr} if n.values is not None else off[p]
+                open_.add(k)
+        held = met.where("state IS NOT NULL").select("leaf", "state")
     return nodes
 
 

@@ -36,6 +36,12 @@ def vote(counts: np.ndarray, up: int, laplace: float) -> int:
     return int(n.argmax())
 
 
+def promise(y: np.ndarray, before: float, total: float, up_error: float) -> float:
+    """How much a leaf may still gain: its share of all rows times its error, which ten rows of its parent's error are added to."""
+    n = float(y.sum())
+    return (n + before) / max(1.0, total) * (n - float(y.max(initial=0)) + 10 * up_error) / (10 + n)
+
+
 class Leaf:
     """Counts of the rows so far, in whole chunks; the rows of a chunk that is not yet full wait as they came.
 
@@ -72,6 +78,24 @@ class Leaf:
             for k, row in zip(v.tolist(), n, strict=True):
                 t[k] = t[k] + row if k in t else row
 
+    def merge(self, other: Leaf) -> None:
+        """Takes another replica's counts in, but for attributes that are switched off here."""
+        self.y = self.y + other.y
+        for a, h in self.numeric.items():
+            if a in other.numeric:
+                h.absorb(other.numeric[a])
+        for a, t in self.words.items():
+            for k, n in other.words.get(a, {}).items():
+                t[k] = t[k] + n if k in t else n
+
+    def shares(self, attr: str, threshold: float | None) -> tuple[list[float], list[str]]:
+        """The share of rows that each child of a split would have had, and a text attribute's values."""
+        if threshold is not None:
+            left = self.numeric[attr].below(threshold).sum() / max(1.0, self.numeric[attr].rows)
+            return [left, 1 - left], []
+        seen = sorted(self.words[attr])
+        return [self.words[attr][v].sum() / self.n for v in seen], seen
+
     def decide(self, c) -> tuple[str, str | None, float | None]:
         """(split | leaf | wait, attribute, threshold or None for a text attribute); a wait switches off what lost."""
         found, index, cuts = [], {}, {}

@@ -9,15 +9,15 @@ from ..lineage import cut, new_folder
 from ..operators import birch, evaluation, hoeffding, impurity, rows
 from ..sources import sinks
 from ..streaming import ingest
-from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _pred, _tree, learnable, query, r6, read
+from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _ordered, _pred, _tree, learnable, query, r6, read
 
 #: The attribute with many values is cut where 1,000 equal shares of its rows begin, the others at their distinct values.
 _SHARES = """e AS (SELECT v, min(v) OVER (PARTITION BY share) AS lower FROM (SELECT v, CASE WHEN count(*) OVER () <= 1000 THEN v ELSE floor((sum(n) OVER (ORDER BY v) - n) * 1000.0 / sum(n) OVER ()) END AS share FROM (SELECT l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY 1)))"""
 
 
-def _level(k: int) -> str:
+def _level(k: int, attrs: list[str] = ATTRS) -> str:
     """From r<k> (one row a lineitem with its leaf) the decision of each leaf, d<k>, and r<k+1>."""
-    long = " UNION ALL ".join(f"SELECT leaf, '{a}' AS attr, {'lower' if a == 'l_extendedprice' else a}::DOUBLE AS value, cls FROM r{k}" for a in ATTRS)
+    long = " UNION ALL ".join(f"SELECT leaf, '{a}' AS attr, {'lower' if a == 'l_extendedprice' else a}::DOUBLE AS value, cls FROM r{k}" for a in attrs)
     c = range(3)
     own = lambda p: " + ".join(f"CASE WHEN {p}{i} > 0 THEN -({p}{i} / {p}n) * log2({p}{i} / {p}n) ELSE 0 END" for i in c)
     return f"""l{k} AS (SELECT leaf, attr, value, {", ".join(f"count(*) FILTER (WHERE cls = {i})::DOUBLE AS c{i}" for i in c)} FROM ({long}) GROUP BY ALL),
@@ -25,9 +25,9 @@ b{k} AS (SELECT leaf, attr, lead(value) OVER w AS value, count(*) OVER (PARTITIO
 a{k} AS (SELECT *, {", ".join(f"t{i} - b{i} AS a{i}" for i in c)}, {" + ".join(f"b{i}" for i in c)} AS bn, {" + ".join(f"t{i} - b{i}" for i in c)} AS an, {" + ".join(f"t{i}" for i in c)} AS tn FROM b{k}),
 x{k} AS (SELECT leaf, attr, value, tn, {own("t")} AS whole, (bn * ({own("b")}) + an * ({own("a")})) / tn + CASE WHEN vals > 2 THEN log2(vals - 1) / tn ELSE 0 END AS index FROM a{k} WHERE value IS NOT NULL),
 o{k} AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY index, attr, value) AS place, lead(index) OVER (PARTITION BY leaf ORDER BY index, attr, value) AS second FROM x{k}),
-d{k} AS (SELECT leaf, attr, value AS threshold FROM o{k} WHERE place = 1 AND whole > 0 AND whole > index AND (second - index > sqrt(log2(3) ** 2 * ln(4 / 1e-7) / (2 * tn)) OR sqrt(log2(3) ** 2 * ln(4 / 1e-7) / (2 * tn)) < 0.05)),
+d{k} AS (SELECT leaf, attr, value AS threshold FROM o{k} WHERE place = 1 AND whole > 0 AND whole > index AND (second - index > sqrt(log2(3) ** 2 * ln({len(attrs)} / 1e-7) / (2 * tn)) OR sqrt(log2(3) ** 2 * ln({len(attrs)} / 1e-7) / (2 * tn)) < 0.05)),
 n{k} AS (SELECT r.leaf AS node, any_value(d.attr) AS attr, any_value(d.threshold) AS threshold, count(*) AS n, mode(r.cls) AS cls FROM r{k} r LEFT JOIN d{k} d ON r.leaf = d.leaf GROUP BY r.leaf),
-r{k + 1} AS (SELECT r.* EXCLUDE (leaf), r.leaf || CASE WHEN CASE d.attr {" ".join(f"WHEN '{a}' THEN r.{a}" for a in ATTRS)} END < d.threshold THEN 'L' ELSE 'R' END AS leaf FROM r{k} r JOIN d{k} d ON r.leaf = d.leaf)"""
+r{k + 1} AS (SELECT r.* EXCLUDE (leaf), r.leaf || CASE WHEN CASE d.attr {" ".join(f"WHEN '{a}' THEN r.{a}" for a in attrs)} END < d.threshold THEN 'L' ELSE 'R' END AS leaf FROM r{k} r JOIN d{k} d ON r.leaf = d.leaf)"""
 
 
 _GROWN = f"""{_SHARES}, r0 AS (SELECT {", ".join(ATTRS)}, {_CLS} AS cls, '' AS leaf, lower FROM lineitem JOIN e ON l_extendedprice = e.v), {_level(0)}, {_level(1)}, {_level(2)},
@@ -75,6 +75,19 @@ def _stream_tree(s: SparkSession, d: str) -> DataFrame:
     return _table(s, tree.nodes).select("node", "attr", "threshold", "n")
 
 
+_FEW = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("vfdt_replicas", f"""WITH r0 AS (SELECT {", ".join(_FEW)}, {_CLS} AS cls, '' AS leaf FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k <= 20000), {_level(0, _FEW)}
+SELECT node, attr, round(threshold, 6) AS threshold, n FROM n0 UNION ALL SELECT 'rows of both children', NULL, NULL, greatest(count(*) - 20000, 0) FROM lineitem""")
+def _replicas(s: SparkSession, d: str) -> DataFrame:
+    """Three replicas that exchange their statistics every 20,000 rows: the first split, made for all of them, and what came after it."""
+    x = cut(_ordered(s, d))
+    nodes = hoeffding.learn_replicas(x, _FEW, "cls", "_ord", 3, 3, hoeffding.Config(max_depth=1, prune=False, tie=0.05), window=20_000)
+    after = hoeffding.routed(x.where(F.col("_ord") > nodes[""].at), nodes)
+    return _table(s, nodes).where("node = ''").select("node", "attr", "threshold", "n").unionByName(after.agg(F.lit("rows of both children").alias("node"), F.lit(None).cast("string").alias("attr"), F.lit(None).cast("double").alias("threshold"), F.count("*").alias("n")))
+
+
 _BYWORD = "SELECT o_orderpriority AS v, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS cls FROM orders"
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import birch, hoeffding
+from ..operators import birch, hoeffding, leaves
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -99,9 +99,11 @@ class StreamingTree(_Following):
         self.off: dict[str, frozenset] = {"": frozenset()}
         self.edges: dict[str, list[float]] | None = None
         self.rows = 0
+        self.asleep: dict[str, np.ndarray] = {}
+        self.earlier: dict[str, np.ndarray] = {}
         self._open(path, spark)
 
-    STATE = ("nodes", "counts", "off", "edges", "rows")
+    STATE = ("nodes", "counts", "off", "edges", "rows", "asleep", "earlier")
 
     def _count(self, batch: DataFrame) -> None:
         numeric, words = hoeffding._kinds(batch, self.attributes)
@@ -109,9 +111,20 @@ class StreamingTree(_Following):
             found = hoeffding.bin_edges(batch, numeric, self.config.bins)
             self.edges = {a: found[a] for a in numeric}
         rows, fresh = hoeffding.binned(batch.select(*self.attributes, self.cls), self.edges), None
+        self._open_values(rows)
+        if self.asleep:  # class counts only
+            there = F.broadcast(batch.sparkSession.createDataFrame([(p,) for p in self.asleep], "_leaf string"))
+            for r in hoeffding.routed(rows, self.nodes).join(there, "_leaf", "left_semi").groupBy("_leaf", self.cls).count().collect():  # leaves x classes
+                if r[self.cls] is not None:
+                    self.asleep[r["_leaf"]][r[self.cls]] += r["count"]
+                    self.rows += r["count"]
+            for p, y in self.asleep.items():
+                self.nodes[p].n, self.nodes[p].cls = int(y.sum()), int(y.argmax()) if y.any() else self.nodes[p].cls
         while fresh is None or fresh:
             routed = hoeffding.routed(rows, self.nodes)
-            routed = routed if fresh is None else routed.join(F.broadcast(batch.sparkSession.createDataFrame([(p,) for p in fresh], "_leaf string")), "_leaf", "left_semi")
+            if fresh is not None or self.asleep:
+                awake = self.counts if fresh is None else fresh
+                routed = routed.join(F.broadcast(batch.sparkSession.createDataFrame([(p,) for p in awake], "_leaf string")), "_leaf", "left_semi")
             added: dict[str, int] = {}
             for r in hoeffding.level_counts(routed, self.edges, words, self.cls, self.classes).collect():  # leaves x bins
                 if r["leaf"] in self.counts:
@@ -123,12 +136,49 @@ class StreamingTree(_Following):
                         added[r["leaf"]] = added.get(r["leaf"], 0) + int(n.sum())
             self.rows += sum(added.values()) if fresh is None else 0
             fresh = [k for p in added for k in self._decide(p)]
+        self._rank()
+
+    def _open_values(self, rows: DataFrame) -> None:
+        """Values of text attributes that come only after their split get children, which begin to grow now."""
+        split = [(f"{p}<?>", n.attr) for p, n in self.nodes.items() if n.values is not None]
+        if not split:
+            return
+        names = sorted({a for _, a in split})
+        there = F.broadcast(rows.sparkSession.createDataFrame(split, "_leaf string, _a string"))
+        value = F.create_map(*[x for a in names for x in (F.lit(a), F.col(a))])[F.col("_a")]
+        new = hoeffding.routed(rows, self.nodes).where(F.col("_leaf").endswith("<?>")).join(there, "_leaf").select("_leaf", value.alias("v")).where("v IS NOT NULL").distinct()
+        for r in sorted(map(tuple, new.collect())):  # the children
+            p = r[0][: -len("<?>")]
+            n = self.nodes[p]
+            k = f"{p}<{len(n.values)}>"
+            n.values = (*n.values, r[1])
+            self.nodes[k], self.counts[k], self.off[k] = hoeffding.Node(k, cls=n.cls, up=n.cls), {}, self.off[p] | {n.attr}
+
+    def _rank(self) -> None:
+        """Of more growing leaves than the budget has, the least promising sleep: their statistics go and only classes are counted. They wake when their turn comes, and count anew."""
+        if self.config.budget is None:
+            return
+        y = {p: self._classes(p) for p in self.counts} | self.asleep
+        order = sorted(y, key=lambda p: (-leaves.promise(y[p], self.nodes[p].before, self.rows, self.nodes[p].up_error), p))
+        for i, p in enumerate(order):
+            if i < self.config.budget and p in self.asleep:
+                self.earlier[p], self.counts[p] = self.asleep.pop(p), {}
+            elif i >= self.config.budget and p in self.counts:
+                del self.counts[p]
+                self.earlier.pop(p, None)
+                self.asleep[p] = y[p]
+
+    def _classes(self, p: str) -> np.ndarray:
+        """Rows of each class that a growing leaf has seen, those before it slept included."""
+        now = self.counts[p].get(self.attributes[0], {})
+        return sum(now.values(), np.zeros(self.classes, np.int64)) + self.earlier.get(p, 0)
 
     def _decide(self, p: str) -> list[str]:
         """Renews a leaf's class and splits it if its counts allow it; the children."""
         node, c = self.nodes[p], self.config
         y = sum(self.counts[p][self.attributes[0]].values())
-        node.n, node.cls = int(y.sum()), int(y.argmax())
+        whole = self._classes(p)
+        node.n, node.cls = int(whole.sum()), int(whole.argmax())
         live = [a for a in self.attributes if a not in self.off[p]]
         if (y > 0).sum() < 2 or not live or (c.max_depth is not None and node.depth >= c.max_depth):
             return []
@@ -143,21 +193,26 @@ class StreamingTree(_Following):
                 n = np.stack(list(t.values())).astype(float)
                 found.append((float((n.sum(1) * hoeffding._impurity(n, c.gini)).sum() / n.sum()), a, None))
         two = sorted(found, key=lambda f: f[:2])[:2]
-        what, _, _ = hoeffding._verdict([(i, 0, 0.0) for i, *_ in two], float(hoeffding._impurity(y.astype(float), c.gini)), len(self.attributes), node.n, self.classes, c)
+        what, _, _ = hoeffding._verdict([(i, 0, 0.0) for i, *_ in two], float(hoeffding._impurity(y.astype(float), c.gini)), len(self.attributes), int(y.sum()), self.classes, c)
         if what != "split":
             return []
         _, node.attr, node.threshold = two[0]
         if node.threshold is None:
             node.values = tuple(sorted(v for v in self.counts[p][node.attr] if v is not None))
         kids = [f"{p}<{i}>" for i in range(len(node.values))] if node.values is not None else [p + "L", p + "R"]
-        for k in kids:
-            self.nodes[k], self.counts[k] = hoeffding.Node(k, cls=node.cls), {}
+        error = 1 - y.max() / y.sum()
+        for i, k in enumerate(kids):
+            t = self.counts[p][node.attr]
+            share = t[node.values[i]] if node.values is not None else sum((n for b, n in t.items() if (b and self.edges[node.attr][b - 1] >= node.threshold) == (k[-1] == "R")), np.zeros(self.classes))
+            self.nodes[k] = hoeffding.Node(k, cls=node.cls, up=int(y.argmax()), before=float(np.sum(share)), up_error=float(error))
+            self.counts[k] = {}
             self.off[k] = self.off[p] | {node.attr} if node.values is not None else self.off[p]
         del self.counts[p]
+        self.earlier.pop(p, None)
         return kids
 
     def status(self) -> dict[str, int]:
-        return {"rows": self.rows, "nodes": len(self.nodes), "depth": max(n.depth for n in self.nodes.values()), "growing": len(self.counts)}
+        return {"rows": self.rows, "nodes": len(self.nodes), "depth": max(n.depth for n in self.nodes.values()), "growing": len(self.counts)} | ({} if self.config.budget is None else {"asleep": len(self.asleep)})
 
 
 class StreamingClusters(_Following):

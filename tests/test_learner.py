@@ -253,3 +253,65 @@ def test_edges_are_exact_shares(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("x"), (F.col("id") % 4).cast("double").alias("few"), F.lit(None).cast("double").alias("none"))
     e = hoeffding.bin_edges(df, ["x", "few", "none"], 50)
     assert e == {"x": [100.0 * i for i in range(1, 50)], "few": [1.0, 2.0, 3.0], "none": []}
+
+
+def steps(spark, n=6000):
+    return spark.range(n).select(F.col("id").alias("o"), (F.col("id") * 13 % 16).cast("double").alias("a"), (F.col("id") * 7 % 5).cast("double").alias("b"), F.concat(F.lit("w"), F.col("id") % 3).alias("w")).withColumn(
+        "k", F.when(F.col("a") < 4, 0).when(F.col("b") < 2, F.when(F.col("w") == "w0", 1).otherwise(2)).otherwise((F.col("a") > 9).cast("int"))
+    )
+
+
+def test_grow_with_a_budget_counts_the_rest_later(spark, monkeypatch):
+    df, names = steps(spark), ["a", "b", "w"]
+    whole = hoeffding.grow(df, names, "k", 3, hoeffding.Config(delta=1e-3))
+    most, counts = [], hoeffding.level_counts
+    monkeypatch.setattr(hoeffding, "level_counts", lambda r, *x: most.append(r.select("_leaf").distinct().count()) or counts(r, *x))
+    small = hoeffding.grow(df, names, "k", 3, hoeffding.Config(delta=1e-3, budget=2))
+    assert small == whole and len(whole) > 8 and max(most) <= 2
+
+
+def test_streams_with_a_budget_sleep_and_wake(spark):
+    from grovekit.streaming import ingest
+
+    df = cut_into(steps(spark, 12_000), 6)
+    c = hoeffding.Config(delta=1e-3, budget=2)
+    tree = ingest.StreamingTree(["a", "b", "w"], "k", 3, c)
+    slept, woke = set(), set()
+    for i, batch in enumerate(df):
+        before = set(tree.asleep)
+        tree.update(batch, i)
+        assert len(tree.counts) <= 2
+        slept |= set(tree.asleep)
+        woke |= before - set(tree.asleep)
+    assert tree.rows == 12_000 and slept and woke
+    best = sorted(tree._classes(p).sum() for p in tree.counts)
+    assert tree.status()["asleep"] == len(tree.asleep) and best[0] > 0
+    open_ = {**{p: tree._classes(p) for p in tree.counts}, **tree.asleep}
+    got = {r.leaf: r.n for r in hoeffding.classify(df[-1], tree.nodes).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    assert all(open_[p].sum() >= n for p, n in got.items())
+
+
+def cut_into(df, parts):
+    return [df.where(F.col("o") % parts == i).cache() for i in range(parts)]
+
+
+@pytest.mark.parametrize("replicas", [2, 5])
+def test_replicas_learn_the_tree_of_one(spark, replicas):
+    df, names, c = steps(spark), ["a", "b", "w"], hoeffding.Config(delta=1e-3, chunk=200)
+    one = hoeffding.learn_replicas(df, names, "k", "o", 3, 1, c, window=500)
+    many = hoeffding.learn_replicas(df, names, "k", "o", 3, replicas, c, window=500)
+    assert many == one and len(one) > 6
+    assert one[""].at % 500 == 499 and one[""].n == one[""].at + 1  # at a merge point
+    plain = evaluation_error(df, one)
+    assert plain < 0.05
+
+
+def evaluation_error(df, nodes):
+    return hoeffding.classify(df, nodes).agg(F.avg((F.col("pred") != F.col("k")).cast("int"))).first()[0]
+
+
+def test_replicas_of_many_values_stay_within_the_error(spark):
+    df = spark.range(20_000).select(F.col("id").alias("o"), (F.col("id") * 7919 % 20_011).cast("double").alias("a")).withColumn("k", (F.col("a") > 9000).cast("int"))
+    nodes = hoeffding.learn_replicas(df, ["a"], "k", "o", 2, 4, hoeffding.Config(bins=200), window=4000)
+    assert nodes[""].attr == "a" and abs(nodes[""].threshold - 9000) < 20_011 / 50
+    assert hoeffding.learn_replicas(df.limit(0), ["a"], "k", "o", 2, 4)[""].n == 0
