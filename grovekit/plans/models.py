@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut, new_folder
-from ..operators import birch, evaluation, hoeffding, impurity, rows
+from ..operators import birch, cftree, evaluation, hoeffding, impurity, rows
 from ..sources import sinks
 from ..streaming import ingest
 from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _ordered, _pred, _tree, learnable, query, r6, read
@@ -165,3 +165,37 @@ def _distinct(s: SparkSession, d: str) -> DataFrame:
     got = birch.assign(e, "vec_id", "embedding", entries)
     sums = entries.select(F.col("cluster").alias("c"), F.round(F.aggregate("cf.ls", F.lit(0.0), lambda t, v: t + v), 6).alias("ls"))
     return got.join(sums, F.col("cluster") == F.col("c")).select("id", r6("distance").alias("distance"), "ls")
+
+
+_GRID = "SELECT l_quantity::DOUBLE AS q, l_linenumber::DOUBLE AS k, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+def _grid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points on whole numbers, a threshold under their distance: an entry for each distinct point, far fewer than points."""
+    x = read(s, d, "lineitem").select(F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")).alias("x"))
+    return x, cftree.entries(x, "x", threshold=0.5)
+
+
+query("birch_entries_rounds", f"SELECT q, k, n::DOUBLE AS n, round(n * (q * q + k * k), 3)::DOUBLE AS ss FROM ({_GRID})")(
+    lambda s, d: _grid(s, d)[1].select(F.round(F.col("ls")[0] / F.col("n"), 6).alias("q"), F.round(F.col("ls")[1] / F.col("n"), 6).alias("k"), "n", F.round("ss", 3).alias("ss"))
+)
+
+
+@query("birch_tree_adds_up", f"SELECT count(*) AS entries, sum(n)::DOUBLE AS points, round(sum(n * q), 2)::DOUBLE AS ls, true AS narrow, true AS sums FROM ({_GRID})")
+def _adds_up(s: SparkSession, d: str) -> DataFrame:
+    """A tree over those entries: no node has more than ten children, and every node is the sum of its children."""
+    t = cftree.tree(_grid(s, d)[1], each=50)
+    name = lambda p: F.concat_ws("/", p)
+    kids = t.where(F.size("path") > 0).groupBy(name(F.slice("path", F.lit(1), F.size("path") - 1)).alias("up")).agg(F.count("*").alias("kids"), F.sum("cf.n").alias("kn"), F.sum(F.col("cf.ls")[0]).alias("kl"))
+    both = t.withColumn("node", name("path")).join(kids, F.col("node") == F.col("up"), "left")
+    ok = (F.col("kind") == "entry") | ((F.abs(F.col("kn") - F.col("cf.n")) < 1e-6) & (F.abs(F.col("kl") - F.col("cf.ls")[0]) < 1e-3))
+    return both.agg(F.count_if(F.col("kind") == "entry").alias("entries"), F.max("cf.n").alias("points"), F.round(F.max(F.when(F.size("path") == 0, F.col("cf.ls")[0])), 2).alias("ls"), (F.max(F.coalesce("kids", F.lit(0))) <= 10).alias("narrow"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("sums"))
+
+
+@query("birch_descent", f"SELECT s_suppkey, min(d)::DOUBLE AS distance FROM (SELECT s_suppkey, round((s_suppkey % 60 - 0.3 - q) ** 2 + (s_suppkey % 9 + 0.2 - k) ** 2, 6) AS d FROM supplier, ({_GRID})) GROUP BY 1")
+def _descent(s: SparkSession, d: str) -> DataFrame:
+    """Each supplier's nearest entry, down the tree level by level."""
+    t = cftree.tree(_grid(s, d)[1], each=50)
+    x = F.array((F.col("s_suppkey") % 60 - 0.3).cast("double"), (F.col("s_suppkey") % 9 + 0.2).cast("double"))
+    got = cftree.descend(cftree.as_points(read(s, d, "supplier").withColumn("x", x), "s_suppkey", "x"), t)
+    return got.select(F.col("id").alias("s_suppkey"), r6("distance").alias("distance"))
