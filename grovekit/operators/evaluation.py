@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("cls"), F.col(predicted).alias("pred")).agg(F.count("*").alias("n"))
@@ -70,8 +72,12 @@ def class_summary(counts: DataFrame) -> DataFrame:
 
 
 def path_index(nodes: DataFrame, path: str) -> DataFrame:
-    """Adds pre_order: the place of each node's path in a walk that meets parents before their children, from 0. Nodes are a model's, not rows."""
-    return nodes.withColumn("pre_order", (F.row_number().over(Window.orderBy(path)) - 1).cast("long"))
+    """Adds pre_order: the place of each node's path in a walk that meets parents before their children, from 0. Sorted in ranges; only their sizes are added up across them."""
+    dealt = cut(nodes.repartitionByRange(F.col(path)).withColumn("_range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = dealt.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).select("_r", before.alias("_first"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_range").orderBy(path)) - 1
+    return dealt.join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn("pre_order", place.cast("long")).drop("_range", "_r", "_first")
 
 
 def ranges_join(points: DataFrame, offset: str, files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut, new_folder
-from ..operators import birch, cftree, evaluation, hoeffding, impurity, rows
+from ..operators import birch, cftree, evaluation, hierarchy, hoeffding, impurity, rows
 from ..sources import sinks
 from ..streaming import ingest
 from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _ordered, _pred, _tree, learnable, query, r6, read
@@ -199,3 +199,24 @@ def _descent(s: SparkSession, d: str) -> DataFrame:
     x = F.array((F.col("s_suppkey") % 60 - 0.3).cast("double"), (F.col("s_suppkey") % 9 + 0.2).cast("double"))
     got = cftree.descend(cftree.as_points(read(s, d, "supplier").withColumn("x", x), "s_suppkey", "x"), t)
     return got.select(F.col("id").alias("s_suppkey"), r6("distance").alias("distance"))
+
+
+_PARENTS = "SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN NULL WHEN p_partkey % 97 = 0 THEN -p_partkey WHEN p_partkey = 5 THEN 10 ELSE p_partkey // 2 END AS parent, p_size AS w FROM part"
+_WALKED = f"""RECURSIVE n AS ({_PARENTS}), t AS (SELECT node, parent, w, CASE WHEN parent IS NULL THEN 'ok' ELSE 'orphan' END AS status, 0 AS depth, node AS top, [node] AS path FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n)
+UNION ALL SELECT n.node, n.parent, n.w, t.status, t.depth + 1, t.top, list_append(t.path, n.node) FROM n JOIN t ON n.parent = t.node)"""
+
+
+def _parents(s: SparkSession, d: str) -> DataFrame:
+    """A binary tree of parts, with missing parents and a cycle in it."""
+    k = F.col("p_partkey")
+    up = F.when(k == 1, F.lit(None)).when(k % 97 == 0, -k).when(k == 5, F.lit(10)).otherwise(F.floor(k / 2))
+    return hierarchy.hierarchy(read(s, d, "part").select(k.alias("node"), up.cast("long").alias("parent"), F.col("p_size").alias("w")), weight="w")
+
+
+query("tree_paths", f"""WITH {_WALKED} SELECT n.node, n.parent, coalesce(status, 'cycle') AS status, depth::BIGINT AS depth, top, array_to_string(path, '/') AS path FROM n LEFT JOIN t ON n.node = t.node""")(
+    lambda s, d: _parents(s, d).select("node", "parent", "status", "depth", "top", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+)
+query("tree_pre_order", f"WITH {_WALKED} SELECT node, (row_number() OVER (ORDER BY path) - 1)::BIGINT AS pre_order FROM t")(lambda s, d: _parents(s, d).where("pre_order IS NOT NULL").select("node", "pre_order"))
+query("tree_subtree_sums", f"WITH {_WALKED} SELECT up AS node, count(*) AS size, sum(w)::DOUBLE AS total FROM (SELECT unnest(path) AS up, w FROM t) GROUP BY up")(
+    lambda s, d: _parents(s, d).where("size IS NOT NULL").select("node", "size", "total")
+)
