@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import birch, evaluation, hoeffding, preprocess, profile, rows
+from .lineage import cut
+from .operators import birch, cftree, clustering, evaluation, hoeffding, preprocess, profile, rows
 from .sources import arff, delimited, sinks
 
 
@@ -44,11 +45,12 @@ def main(argv: list[str] | None = None) -> None:
     c = sub.add_parser("cluster", help="cluster the points of delimited files")
     c.add_argument("--input", nargs="+", required=True)
     c.add_argument("--fields", required=True, help="1-3,5: ranges with their last number")
-    c.add_argument("--label", type=int)
+    c.add_argument("--label", type=int, help="column of a class: adds purities to the statistics")
     c.add_argument("--skip", type=int, default=0)
     c.add_argument("--threshold", type=float, default=1.0)
     c.add_argument("--branching", type=int, default=10)
-    c.add_argument("--distance", default="d0")
+    c.add_argument("--distance", default="d0", choices=clustering.D)
+    c.add_argument("--beam", type=int, default=8, help="nodes that a point keeps on its way down; d0 and d1 are searched exactly")
     c.add_argument("--output", required=True)
     u = sub.add_parser("purity", help="purities of a saved tree against labels")
     u.add_argument("--tree", nargs="+", required=True, help="lines of path, L<count>, members")
@@ -90,12 +92,24 @@ def main(argv: list[str] | None = None) -> None:
             tested = confusion.agg(F.sum("n")).first()[0]
             print(sinks.tree_json(table, learnTime=learned, totalTime=time.time() - began, learnInstanceCount=data.count(), testInstanceCount=tested, errorRate=evaluation.error_rate(confusion).first()[0]))
     elif a.what == "cluster":
-        points = delimited.read_points(spark, a.input, rows.parse_ranges(a.fields, inclusive=True), a.label, a.skip).withColumn("n", F.monotonically_increasing_id())
-        tree = birch.build(points, "x", ["n"], a.threshold, a.branching, a.distance, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        entries = birch.entry_table(points, tree)
-        members, features = birch.saved_lines(points, entries, birch.assign(points, "n", "x", entries, a.distance))
+        points = delimited.read_points(spark, a.input, rows.parse_ranges(a.fields, inclusive=True), a.label, a.skip)
+        points = cut(points.withColumn("n", F.monotonically_increasing_id()))
+        began = time.time()
+        nodes = cftree.tree(cftree.entries(points, "x", a.threshold, a.branching, a.distance), a.branching, a.distance)
+        made = time.time() - began
+        found = cut(cftree.descend(cftree.as_points(points, "n", "x"), nodes, a.distance, None if a.distance in ("d0", "d1") else a.beam))
+        entries = nodes.where("kind = 'entry'").select("cluster", "path", "cf")
+        members, features = birch.saved_lines(points, entries, found)
         members.write.text(f"{a.output}/members")
         features.write.text(f"{a.output}/cf")
+        stats = {"branching": a.branching, "threshold": a.threshold, "distance": a.distance, "constructSeconds": round(made, 3), "points": points.count(), "entries": entries.count()}
+        if a.label is not None:
+            labelled = found.join(points.select(F.col("n").alias("id"), "label"), "id").join(entries.select("cluster", "path"), "cluster")
+            stats["purity"] = evaluation.flat_purity(labelled, "cluster", "label").first()["weighted_purity"]
+            stats["dendrogramPurity"] = evaluation.dendrogram_purity(labelled, "path", "label").first()["purity"]
+        text = sinks.tree_json(nodes.select(F.size("path").alias("depth")), **stats)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{a.output}/tree-stats")
+        print(text)
     elif a.what == "purity":
         members = reduce(DataFrame.unionByName, [delimited.read_saved_tree(spark, p) for p in a.tree])
         labels = spark.read.schema("member long, label long").csv(a.labels)

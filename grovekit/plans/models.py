@@ -139,9 +139,25 @@ query("vfdt_test_stats_csv", f"WITH c AS (SELECT cls, pred, count(*) AS n FROM {
 _BINS = "SELECT floor(l_quantity / 10)::INT AS bin, 10.0 * floor(l_quantity / 10) AS lower, 10.0 * floor(l_quantity / 10) + 10 AS upper, count(*) AS n FROM lineitem GROUP BY ALL"
 _bins = lambda s, d: read(s, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * 10.0).alias("lower"), (F.col("bin") * 10.0 + 10).alias("upper"), "n")
 query("percent_below", f"SELECT round(sum(n * least(1.0, greatest(0.0, (17 - lower) / 10))) / sum(n), 6)::DOUBLE AS percent FROM ({_BINS})")(lambda s, d: impurity.percent_below(_bins(s, d), 17).select(r6("percent").alias("percent")))
-query("prune_bins", f"SELECT max(bin) AS bin, sum(n)::BIGINT AS n FROM (SELECT *, CASE WHEN bin <= 1 THEN 0 ELSE bin END AS g FROM ({_BINS})) GROUP BY g")(
-    lambda s, d: impurity.prune_bins(_bins(s, d).select("bin", "n", F.when(F.col("bin") <= 0, 0.9).otherwise(0.1).alias("index")), "index", 0.5).select("bin", "n")
-)
+_CUTS = f"""b AS (SELECT floor(l_quantity / 5)::INT AS bin, count(*) FILTER (WHERE cls = 0)::DOUBLE AS c0, count(*) FILTER (WHERE cls = 1)::DOUBLE AS c1, count(*) FILTER (WHERE cls = 2)::DOUBLE AS c2 FROM (SELECT l_quantity, {_CLS} AS cls FROM lineitem) GROUP BY 1),
+r AS (SELECT bin, c0, c1, c2, sum(c0) OVER w AS b0, sum(c1) OVER w AS b1, sum(c2) OVER w AS b2, sum(c0) OVER () AS t0, sum(c1) OVER () AS t1, sum(c2) OVER () AS t2 FROM b WINDOW w AS (ORDER BY bin)),
+g AS (SELECT bin, c0 + c1 + c2 AS n, bin < (SELECT max(bin) FROM b) AS inner_cut, (b0 + b1 + b2) * (1 - (b0 ** 2 + b1 ** 2 + b2 ** 2) / (b0 + b1 + b2) ** 2) AS low, (t0 + t1 + t2 - b0 - b1 - b2) AS an, (t0 - b0) ** 2 + (t1 - b1) ** 2 + (t2 - b2) ** 2 AS sq, t0 + t1 + t2 AS tn FROM r),
+x AS (SELECT bin, n, CASE WHEN inner_cut THEN (low + an * (1 - sq / an ** 2)) / tn END AS index FROM g),
+k AS (SELECT bin, n, CASE WHEN index IS NULL OR index <= (SELECT min(index) FROM x) + 0.00002 THEN bin END AS own FROM x)"""
+
+
+@query("prune_bins", f"WITH {_CUTS} SELECT name AS bin, sum(n)::BIGINT AS n FROM (SELECT n, min(own) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS name FROM k) GROUP BY name")
+def _prune(s: SparkSession, d: str) -> DataFrame:
+    """Bins whose cut is worse than the best one by more than a bound join their right neighbour; each cut's index is measured."""
+    x = read(s, d, "lineitem").select(F.floor(F.col("l_quantity") / 5).cast("int").alias("bin"), F.expr(_CLS).alias("cls"))
+    b = x.groupBy("bin").agg(F.count("*").alias("n"), *[F.count_if(F.col("cls") == k).alias(f"c{k}") for k in range(3)])
+    cuts = impurity.bin_cuts(b.select(F.lit("").alias("leaf"), F.lit("l_quantity").alias("attr"), "bin", "c0", "c1", "c2"), 3, gini=True).select(F.col("bin").alias("_next"), "index")
+    limit = cuts.agg(F.min("index")).first()[0] + 0.00002
+    above = b.select("bin").join(b.select(F.col("bin").alias("_b")), F.col("_b") > F.col("bin")).groupBy("bin").agg(F.min("_b").alias("_next"))  # eleven bins
+    named = b.join(above, "bin", "left").join(cuts, "_next", "left").select("bin", "n", "index")
+    return impurity.prune_bins(named, "index", limit).select("bin", "n")
+
+
 query("class_sample", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n FROM c ORDER BY n >= (SELECT avg(n) FROM c) DESC, md5('7:' || label) LIMIT 4")(lambda s, d: evaluation.class_sample(read(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), 4, 7))
 query("class_summary", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT count(*) AS classes, sum(n)::BIGINT AS total, median(n)::DOUBLE AS median, avg(n) AS average, (SELECT label FROM c ORDER BY n DESC, label LIMIT 1) AS largest FROM c")(
     lambda s, d: evaluation.class_summary(read(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")))

@@ -157,3 +157,16 @@ def test_stream_clusters_resume(spark, tmp_path):
     two.update(df, 0)
     two.update(df, 1)
     assert sorted(e[1] for e in two.tree.leaves()) == [40.0, 40.0, 40.0]
+
+
+def test_cli_cluster_with_labels(spark, tmp_path):
+    from grovekit import cli
+
+    lines = [f"{10 * (i % 4) + (i // 4 % 3) * 0.1},{i % 4},{1 + i % 4}" for i in range(120)]
+    (tmp_path / "p.csv").write_text("a,b,label\n" + "\n".join(lines) + "\n")
+    cli.main(["cluster", "--input", str(tmp_path / "p.csv"), "--fields", "0-1", "--skip", "1", "--label", "2", "--threshold", "4", "--branching", "3", "--output", str(tmp_path / "o")])
+    got = json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "o" / "tree-stats")).collect()))
+    assert (got["points"], got["entries"], got["branching"], got["threshold"], got["purity"], got["dendrogramPurity"]) == (120, 4, 3, 4.0, 1.0, 1.0)
+    assert got["nodes"] == sum(got["depthToNodes"].values()) and got["depthToNodes"]["0"] == 1
+    members = delimited.read_saved_tree(spark, str(tmp_path / "o" / "members"))
+    assert members.count() == 120 and members.select("path").distinct().count() == 4
