@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut, new_folder
-from ..operators import birch, cftree, evaluation, hierarchy, hoeffding, impurity, rows
+from ..lineage import cut, new_folder, written
+from ..operators import birch, cflog, cftree, evaluation, hierarchy, hoeffding, impurity, rows
 from ..sources import sinks
 from ..streaming import ingest
 from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _ordered, _pred, _tree, learnable, query, r6, read
@@ -217,6 +217,18 @@ def _descent(s: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("id").alias("s_suppkey"), r6("distance").alias("distance"))
 
 
+@query("birch_event_log", "SELECT count(*)::DOUBLE AS points, count(*) AS insertions, round(sum(l_quantity), 2)::DOUBLE AS ls, 0::BIGINT AS odd FROM lineitem")
+def _event_log(s: SparkSession, d: str) -> DataFrame:
+    """Trees of four ranges of lineitem logged event by event, then rebuilt from their logs: all points are in, and every entry was added once."""
+    x = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")).alias("x"))
+    log = written(cflog.logged(x, "x", ["l_orderkey", "l_linenumber"], 4, threshold=0.5))
+    tree = cflog.replay(log)
+    tops = tree.where(F.size("path") == 0).agg(F.sum("n").alias("points"), F.round(F.sum(F.col("ls")[0]), 2).alias("ls"))
+    inserted = log.agg(F.count_if(F.col("kind").isin("add", "absorb")).alias("insertions"), F.count_if(F.col("kind") == "add").alias("_added"))
+    entries = tree.agg(F.count_if(F.col("kind") == "entry").alias("_entries"))
+    return tops.crossJoin(inserted).crossJoin(entries).select("points", "insertions", "ls", (F.col("_added") - F.col("_entries")).alias("odd"))  # one row each
+
+
 _PARENTS = "SELECT p_partkey AS node, CASE WHEN p_partkey = 1 THEN NULL WHEN p_partkey % 97 = 0 THEN -p_partkey WHEN p_partkey = 5 THEN 10 ELSE p_partkey // 2 END AS parent, p_size AS w FROM part"
 _WALKED = f"""RECURSIVE n AS ({_PARENTS}), t AS (SELECT node, parent, w, CASE WHEN parent IS NULL THEN 'ok' ELSE 'orphan' END AS status, 0 AS depth, node AS top, [node] AS path FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n)
 UNION ALL SELECT n.node, n.parent, n.w, t.status, t.depth + 1, t.top, list_append(t.path, n.node) FROM n JOIN t ON n.parent = t.node)"""
