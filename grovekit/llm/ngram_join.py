@@ -19,6 +19,10 @@ from .common import Scratch, Table, by_shuffle, importable, pack, row_bounds, sh
 from .sharing import components, key32, link_counts, linked_sets, set_id, shared_keys
 
 
+#: First keys of a set's order that its pairs are told apart by: the rest of its keys never makes a pair that these have made.
+HEADS = 8
+
+
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for rows, data, offs in slices(batches):
         h, row = word_hashes(data, offs, lower=True)
@@ -57,7 +61,7 @@ def _similar_texts(spark: SparkSession, docs: DataFrame, k: int, percent: int, l
             for doc, s, v in zip(names, sets, level, strict=True):
                 n = len(s)
                 sig = set_id(s) if n else b""
-                out.append(("doc", doc, sig, n, None, None, None))
+                out.append(("doc", doc, sig, n, None, None, None, None))
                 if not n or sig in seen:
                     continue
                 seen.add(sig)
@@ -65,15 +69,16 @@ def _similar_texts(spark: SparkSession, docs: DataFrame, k: int, percent: int, l
                 order = np.lexsort((s, np.where(twice, 1 + v.astype(np.int64), 0)))[: n - (percent * n + 99) // 100 + 1]
                 listed = np.flatnonzero(twice[order])
                 if len(listed):
-                    out.append(("set", None, sig, n, None, None, pack(s)))
-                    out += [("key", None, sig, n, x, p, None) for x, p in zip(s[order[listed]].view(np.int64).tolist(), listed.tolist(), strict=True)]
+                    own = s[order[listed]].view(np.int64).tolist()
+                    out.append(("set", None, sig, n, None, None, pack(s), own[:HEADS]))
+                    out += [("key", None, sig, n, x, p, None, None) for x, p in zip(own, listed.tolist(), strict=True)]
             cols = list(zip(*out, strict=True))
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "sig", "n", "key", "pos", "blob"])
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "sig", "n", "key", "pos", "blob", "heads"])
 
-    rows = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, sig binary, n int, key long, pos int, blob binary"), "shingles", by="kind")
+    rows = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, sig binary, n int, key long, pos int, blob binary, heads array<long>"), "shingles", by="kind")
     known.destroy()  # written: nothing will be computed from it again
-    sets = rows.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
+    sets = rows.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"), F.min("heads").alias("heads"))
     postings = rows.where("kind = 'key'").select("key", "sig", "n", "pos")
     owner = rows.where("kind = 'doc'").select("doc_id", "sig", "n")
     same = owner.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
