@@ -65,7 +65,9 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("--skip", type=int, default=0)
     x.add_argument("--rows", help="0,3,5-8: only these rows")
     x.add_argument("--max", type=int, help="the first so many rows")
-    x.add_argument("--split", help="so many rows a file, such as 10k")
+    x.add_argument("--max-bytes", help="the first rows whose lines stay under so many bytes, such as 5m")
+    x.add_argument("--split", help="so many rows a file, such as 10k; an --output with a suffix, such as out/rows.csv, gives single files rows-0000.csv and so on, another one a folder a file")
+    x.add_argument("--split-bytes", help="so many bytes of lines a file, such as 64m; as --split")
     x.add_argument("--output", required=True)
     x.add_argument("--clip", nargs=3, action="append", default=[], metavar=("LOW", "HIGH", "COLUMN"))
     x.add_argument("--log", action="append", default=[])
@@ -135,8 +137,17 @@ def main(argv: list[str] | None = None) -> None:
             df = rows.pick(df, [a.order], rows.parse_ranges(a.rows))
         if a.max is not None:
             df = rows.limit_rows(df, [a.order], a.max)
-        if a.split:
-            sinks.write_split(pipe.select("file_no", *(a.select or df.columns)).apply(rows.split_rows(df, [a.order], rows.parse_size(a.split))), a.output)
+        line = F.octet_length(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])) + 1
+        if a.max_bytes:
+            df = rows.limit_bytes(df, [a.order], line, rows.parse_size(a.max_bytes))
+        if a.split or a.split_bytes:
+            kept = a.select or df.columns
+            dealt = rows.split_rows(df, [a.order], rows.parse_size(a.split)) if a.split else rows.split_bytes(df.withColumn("_line_bytes", line), [a.order], "_line_bytes", rows.parse_size(a.split_bytes))
+            if "." in a.output.rpartition("/")[2]:
+                df = pipe.select("file_no", "_place", *kept).apply(dealt.withColumn("_place", F.col(a.order)))
+                sinks.write_split_files(df, a.output, ["_place"], [c for c in df.columns if c not in ("file_no", "_place")])
+            else:
+                sinks.write_split(pipe.select("file_no", *kept).apply(dealt), a.output)
             return
         df = pipe.select(*(a.select or df.columns)).apply(df)
         sinks.write_raw(rows.shuffle(df, df.columns, rows.parse_seed(a.seed)) if a.seed else df, a.output)

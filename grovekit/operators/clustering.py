@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 D = ("d0", "d1", "d2", "d3", "d4")
 
+#: A distance by name, or any function of two feature columns (n, ls, ss) that gives a column of doubles.
+Distance = str | Callable[[Column, Column], Column]
+
 
 def features(df: DataFrame, group: list[str], vector: str) -> DataFrame:
     """group, n, ls (array<double>), ss. Dimensions are summed with map-side partial aggregation."""
@@ -28,11 +33,13 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def distance(kind: str, a: str | Column, b: str | Column, literal: bool = False) -> Column:
+def distance(kind: Distance, a: str | Column, b: str | Column, literal: bool = False) -> Column:
     """Of two feature columns: d0 squared Euclid and d1 Manhattan between centroids, d2 average inter-cluster, d3 average intra-cluster distance, d4 variance increase.
 
-    ``literal`` gives the older forms of d2 to d4, which turn NaN or negative for clusters of several points.
+    ``literal`` gives the older forms of d2 to d4, which turn NaN or negative for clusters of several points. A function is called with both columns.
     """
+    if callable(kind):
+        return kind(*(F.col(x) if isinstance(x, str) else x for x in (a, b))).cast("double")
     n1, n2, l1, l2, s1, s2 = ((F.col(x) if isinstance(x, str) else x)[k] for k in ("n", "ls", "ss") for x in (a, b))
     n1, n2 = n1.cast("double"), n2.cast("double")
     dot = lambda x, y: _sum(F.zip_with(x, y, lambda p, q: p * q))
@@ -63,7 +70,7 @@ def distance(kind: str, a: str | Column, b: str | Column, literal: bool = False)
 BLOCK_BYTES = 16 << 20
 
 
-def nearest(points: DataFrame, clusters: DataFrame, kind: str = "d0") -> DataFrame:
+def nearest(points: DataFrame, clusters: DataFrame, kind: Distance = "d0") -> DataFrame:
     """Each point's nearest cluster: id, cluster, distance. ``points``: id, cf; ``clusters``: cluster, cf, of any number. A row for each row of points.
 
     Clusters come to the tasks as one row per block of ``BLOCK_BYTES``; points stay where they are and keep the best so far, so nothing is
@@ -85,14 +92,14 @@ def nearest(points: DataFrame, clusters: DataFrame, kind: str = "d0") -> DataFra
     return out.select("id", F.col("_best.cluster").alias("cluster"), F.col("_best.d").alias("distance"))
 
 
-def farthest_pair(entries: DataFrame, kind: str = "d0") -> DataFrame:
+def farthest_pair(entries: DataFrame, kind: Distance = "d0") -> DataFrame:
     """left, right, distance of the most distant two of a node's children (at most a node's capacity plus one rows)."""
     a, b = entries.select(F.col("cluster").alias("l"), F.col("cf").alias("p")), entries.select(F.col("cluster").alias("r"), F.col("cf").alias("q"))
     d = a.join(F.broadcast(b), F.col("l") < F.col("r")).withColumn("d", distance(kind, "p", "q"))
     return d.agg(F.max(F.struct("d", -F.col("l"), -F.col("r"))).alias("m")).select((-F.col("m.col2")).alias("left"), (-F.col("m.col3")).alias("right"), F.col("m.d").alias("distance"))
 
 
-def split_assignment(entries: DataFrame, kind: str = "d0") -> DataFrame:
+def split_assignment(entries: DataFrame, kind: Distance = "d0") -> DataFrame:
     """Each child's side of a split by the farthest pair: left only if strictly nearer to its left end."""
     pair = farthest_pair(entries, kind).select("left", "right")
     ends = entries.crossJoin(F.broadcast(pair))
@@ -102,7 +109,7 @@ def split_assignment(entries: DataFrame, kind: str = "d0") -> DataFrame:
     return d.select("cluster", F.when(near, "left").otherwise("right").alias("side"))
 
 
-def can_merge(pairs: DataFrame, a: str, b: str, threshold: float, kind: str = "d0") -> DataFrame:
+def can_merge(pairs: DataFrame, a: str, b: str, threshold: float, kind: Distance = "d0") -> DataFrame:
     d = distance(kind, a, b)
     return pairs.withColumn("distance", d).withColumn("merge", F.coalesce((d < threshold) & ~F.isnan(d), F.lit(False)))
 

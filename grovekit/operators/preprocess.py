@@ -15,6 +15,8 @@ from ..functions import scalars as S
 
 def normalize(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - min) / (max - min) over the table; a constant column gives NaN. One aggregate, its single row sent to all."""
+    if not columns:
+        return df
     stats = df.agg(*(f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
     out = df.crossJoin(F.broadcast(stats))  # one row
     for c in columns:

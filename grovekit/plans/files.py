@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -283,3 +283,23 @@ query("consecutive_by_time", """WITH p AS (SELECT event_id, user_id, value, lag(
 SELECT event_id, user_id, round(abs(value - prev), 6) AS distance FROM p WHERE prev IS NOT NULL AND day <> before""")(
     lambda s, d: profile.consecutive(read(s, d, "events"), ["user_id"], ["ts", "event_id"], r6(F.abs(F.col("value") - F.col("_previous"))), "value", seconds=86_400).select("event_id", "user_id", "distance")
 )
+
+
+@query("split_single_files", "SELECT ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000)::BIGINT AS file_no, ((row_number() OVER (ORDER BY o_orderkey) - 1) % 1000)::BIGINT AS line, o_orderkey || ',' || o_orderstatus AS value FROM orders")
+def _single(s: SparkSession, d: str) -> DataFrame:
+    """Files orders-0000.csv, orders-0001.csv and so on, read back with each line's place in its file."""
+    path = new_folder(s, "single")
+    dealt = rows.split_rows(read(s, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 1000)
+    sinks.write_split_files(dealt, f"{path}/orders.csv", ["o_orderkey"])
+    lines = delimited.read_lines(s, f"{path}/orders-*.csv").select(F.regexp_extract("file", r"-(\d+)\.csv$", 1).cast("long").alias("file_no"), "off", "value")
+    w = Window.partitionBy("file_no").orderBy("off")  # 1,000 lines at most
+    return lines.select("file_no", (F.row_number().over(w) - 1).cast("long").alias("line"), "value")
+
+
+@query("points_generators", "SELECT o_orderkey::DOUBLE AS a, length(o_clerk)::DOUBLE AS b, (o_orderpriority < '3')::INT AS label FROM (SELECT o_orderkey, o_orderpriority, 'clerk ' || o_custkey AS o_clerk FROM orders)")
+def _generators(s: SparkSession, d: str) -> DataFrame:
+    """A field and the label by functions of their text."""
+    line = F.concat_ws(",", "o_orderkey", F.concat(F.lit("clerk "), "o_custkey"), "o_orderpriority")
+    path = _text(read(s, d, "orders"), line, "o_orderkey", "generated")
+    p = delimited.read_points(s, path, [0, 1], 2, generators={1: F.length, 2: lambda c: c < "3"})
+    return p.select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "label")

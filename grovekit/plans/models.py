@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut, new_folder, written
-from ..operators import birch, cflog, cftree, evaluation, hierarchy, hoeffding, impurity, rows
+from ..operators import birch, cflog, cftree, clustering, evaluation, hierarchy, hoeffding, impurity, rows, upkeep
 from ..sources import sinks
 from ..streaming import ingest
 from .catalogue import _CLS, _FIXED, _PRED, ATTRS, _nodes, _ordered, _pred, _tree, learnable, query, r6, read
@@ -248,3 +248,62 @@ query("tree_pre_order", f"WITH {_WALKED} SELECT node, (row_number() OVER (ORDER
 query("tree_subtree_sums", f"WITH {_WALKED} SELECT up AS node, count(*) AS size, sum(w)::DOUBLE AS total FROM (SELECT unnest(path) AS up, w FROM t) GROUP BY up")(
     lambda s, d: _parents(s, d).where("size IS NOT NULL").select("node", "size", "total")
 )
+
+
+_PART = "SELECT vec_id % 3 AS i, vec_id % 9 AS j, count(*)::DOUBLE AS n, sum(embedding[1]::DOUBLE) AS ls, sum(embedding[1]::DOUBLE ** 2) AS ss FROM embeddings GROUP BY ALL"
+
+
+def _damaged(s: SparkSession, d: str) -> DataFrame:
+    """Nine entries under three nodes in the places 0, 2 and 4; the second says a point too many, the third is lost."""
+    x = F.array(F.col("embedding")[0].cast("double"))
+    e = clustering.features(read(s, d, "embeddings").select(F.array((F.col("vec_id") % 3 * 2).cast("int"), (F.col("vec_id") % 9).cast("int")).alias("path"), x.alias("x")), ["path"], "x")
+    e = e.select("path", F.struct(F.col("n").cast("double").alias("n"), "ls", "ss").alias("cf"), F.col("path")[1].cast("long").alias("cluster"))
+    nodes = upkeep.with_inner(e).where(F.col("path") != F.array(F.lit(4)))
+    return nodes.withColumn("cf", F.when(F.col("path") == F.array(F.lit(2)), F.col("cf").withField("n", F.col("cf.n") + 1)).otherwise(F.col("cf")))
+
+
+_place = lambda: F.concat_ws("/", "path").alias("path")
+query("birch_inconsistencies", f"""WITH e AS ({_PART}) SELECT (2 * i) || '/' || j AS path, 'entry' AS kind, i = 2 AS orphan, 0::BIGINT AS children, false AS gaps, NULL::DOUBLE AS n_off FROM e
+UNION ALL SELECT DISTINCT (2 * i)::VARCHAR, 'node', false, count(*) OVER (PARTITION BY i), true, CASE WHEN i = 1 THEN 1.0 ELSE 0.0 END FROM e WHERE i < 2 UNION ALL SELECT '', 'node', false, 2, true, sum(CASE WHEN i = 2 THEN n ELSE 0 END) - 1 FROM e""")(
+    lambda s, d: upkeep.inconsistencies(_damaged(s, d)).select(_place(), "kind", "orphan", "children", "gaps", "n_off")
+)
+query("birch_repaired", f"""WITH e AS (SELECT * FROM ({_PART}) WHERE i < 2) SELECT i || '/' || (j // 3) AS path, 'entry' AS kind, n, round(ls, 4) AS ls, round(ss, 4) AS ss FROM e
+UNION ALL SELECT i::VARCHAR, 'node', sum(n), round(sum(ls), 4), round(sum(ss), 4) FROM e GROUP BY i UNION ALL SELECT '', 'node', sum(n), round(sum(ls), 4), round(sum(ss), 4) FROM e""")(
+    lambda s, d: upkeep.repaired(_damaged(s, d)).select(_place(), "kind", F.col("cf.n").alias("n"), F.round(F.col("cf.ls")[0], 4).alias("ls"), F.round("cf.ss", 4).alias("ss"))
+)
+
+
+@query("save_tree_features", f"SELECT i || '/' || j AS node, 2::BIGINT AS depth, 'entry' AS kind, n, round(ls, 4) AS ls, round(ss, 4) AS ss FROM ({_PART}) WHERE i < 2 UNION ALL SELECT i::VARCHAR, 1, 'node', sum(n), round(sum(ls), 4), round(sum(ss), 4) FROM ({_PART}) WHERE i < 2 GROUP BY i UNION ALL SELECT '', 0, 'node', sum(n), round(sum(ls), 4), round(sum(ss), 4) FROM ({_PART}) WHERE i < 2")
+def _saved_features(s: SparkSession, d: str) -> DataFrame:
+    """The features of all nodes of a tree of six entries, saved beside its members and read back."""
+    x = read(s, d, "embeddings").where("vec_id % 3 < 2").select(F.col("vec_id").alias("id"), F.array((F.col("vec_id") % 3).cast("int"), (F.col("vec_id") % 9).cast("int")).alias("path"), F.array(F.col("embedding")[0].cast("double")).alias("x"))
+    e = clustering.features(x, ["path"], "x").select("path", F.struct(F.col("n").cast("double").alias("n"), "ls", "ss").alias("cf"), F.col("path")[1].cast("long").alias("cluster"))
+    path = new_folder(s, "featured")
+    sinks.save_tree(x.select("id", "path"), path, upkeep.with_inner(e))
+    back = s.read.schema("node string, depth long, kind string, n double, ss double, ls array<double>").json(f"{path}/features")
+    return back.select("node", "depth", "kind", "n", F.round(F.col("ls")[0], 4).alias("ls"), F.round("ss", 4).alias("ss"))
+
+
+@query("nearest_by_function", """WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: avg_i[i]) AS m FROM (SELECT label, list(a ORDER BY i) AS avg_i FROM (SELECT label, i, avg(x::DOUBLE) AS a FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label)),
+x AS (SELECT vec_id AS id, c.label AS cluster, list_max(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - m[i]))) AS d FROM embeddings e CROSS JOIN c)
+SELECT id, round(min(d), 6) AS distance FROM x GROUP BY id""")
+def _by_function(s: SparkSession, d: str) -> DataFrame:
+    """Each vector's least Chebyshev distance to a label's centre: a distance given as a function."""
+    v = read(s, d, "embeddings")
+    points = v.select(F.col("vec_id").alias("id"), F.struct(F.lit(1.0).alias("n"), F.transform("embedding", lambda t: t.cast("double")).alias("ls"), F.lit(0.0).alias("ss")).alias("cf"))
+    centres = clustering.features(v, ["label"], "embedding").select(F.col("label").cast("long").alias("cluster"), F.struct(F.col("n").cast("double").alias("n"), "ls", "ss").alias("cf"))
+    chebyshev = lambda a, b: F.array_max(F.zip_with(a["ls"], b["ls"], lambda p, q: F.abs(p / a["n"] - q / b["n"])))
+    return clustering.nearest(points, centres, chebyshev).select("id", r6("distance").alias("distance"))
+
+
+@query("birch_tree_json", f"SELECT count(*) AS entries, sum(n)::BIGINT AS points, 10::BIGINT AS branching, 0.5::DOUBLE AS threshold, 'd0' AS distance, true AS deep FROM ({_GRID})")
+def _birch_json(s: SparkSession, d: str) -> DataFrame:
+    """Counts and parameters of a tree as JSON, written and read back; its depths add up to its nodes."""
+    x, e = _grid(s, d)
+    t = cftree.tree(e, each=50)
+    text = sinks.tree_json(t.select(F.size("path").alias("depth")), branching=10, threshold=0.5, distance="d0", points=x.count(), entries=t.where("kind = 'entry'").count())
+    path = new_folder(s, "birch-json")
+    s.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    got = s.read.option("multiLine", True).schema("depthToNodes map<string,long>, maxDepth long, nodes long, branching long, threshold double, distance string, points long, entries long").json(path)
+    total = F.aggregate(F.map_values("depthToNodes"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return got.select("entries", "points", "branching", "threshold", "distance", ((total == F.col("nodes")) & (F.col("maxDepth") >= 1) & (F.col("nodes") > F.col("entries"))).alias("deep"))

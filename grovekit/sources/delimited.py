@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,12 @@ def file_index(lines: DataFrame) -> DataFrame:
     return size.select("file", (end - F.col("n")).alias("start"), end.alias("stop"))
 
 
-def read_points(spark: SparkSession, paths: str | list[str], fields: list[int], label: int | None = None, skip: int = 0, sep: str = ",") -> DataFrame:
-    """id (file and offset), x (array<double>), label: the first ``skip`` records of a file and empty lines dropped; text fields are hashed."""
+def read_points(spark: SparkSession, paths: str | list[str], fields: list[int], label: int | None = None, skip: int = 0, sep: str = ",", generators: dict[int, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """id (file and offset), x (array<double>), label: the first ``skip`` records of a file and empty lines dropped; text fields are hashed.
+
+    ``generators`` make a field's number, or the label, from its text in another way, by field.
+    """
+    made = generators or {}
     lines = records.read_records(spark, paths, sep)
     if skip:
         w = Window.partitionBy("file", "_h").orderBy("off")
@@ -104,9 +110,9 @@ def read_points(spark: SparkSession, paths: str | list[str], fields: list[int],
         lines = lines.join(last, F.col("file") == F.col("f"), "left").where(F.col("last").isNull() | (F.col("off") > F.col("last"))).drop("f", "last")
     c = lines.withColumn("c", cells(F.col("value"), sep)).where(F.trim("value") != "")
     at = lambda i: F.coalesce(F.get(F.col("c"), F.lit(i)), F.lit(""))
-    cols = [F.struct("file", "off").alias("id"), F.array(*[extract(at(i)) for i in fields]).alias("x")]
+    cols = [F.struct("file", "off").alias("id"), F.array(*[made.get(i, extract)(at(i)).cast("double") for i in fields]).alias("x")]
     if label is not None:
-        cols.append(extract(at(label)).cast("int").alias("label"))
+        cols.append(made.get(label, extract)(at(label)).cast("int").alias("label"))
     return c.select(*cols)
 
 

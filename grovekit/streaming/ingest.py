@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import birch, hoeffding, leaves
+from ..operators import birch, hoeffding, leaves, upkeep
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -229,3 +229,14 @@ class StreamingClusters(_Following):
         for e in birch.partial_entries(batch, self.vector, self.threshold, self.branching, self.kind, self.most).collect():  # at most `most` a partition
             self.tree = self.tree or birch.CFTree(len(e["ls"]), self.threshold, self.branching, self.kind)
             self.tree.insert(e["n"], np.array(e["ls"]), e["ss"])
+
+    def status(self) -> dict[str, float]:
+        """The last batch, and the tree's points, entries, depth and threshold."""
+        leaves = self.tree.leaves() if self.tree else []
+        return {"batch": self.batch, "points": sum(n for _, n, *_ in leaves), "entries": len(leaves), "depth": max((len(x[4]) for x in leaves), default=0), "threshold": self.threshold}
+
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """path, kind, cf, cluster of the tree as it stands: for ``upkeep``, ``cftree.descend`` and the writers."""
+        if self.tree is None:
+            return spark.createDataFrame([], "path array<int>, kind string, cf struct<n:double,ls:array<double>,ss:double>, cluster long")
+        return upkeep.with_inner(birch.entry_table(spark.range(1), self.tree))
