@@ -46,6 +46,23 @@ def test_long_chain_and_nothing(spark):
     assert hierarchy.hierarchy(df.limit(0)).count() == 0
 
 
+def test_paths_stay_short_below_cycles(spark, monkeypatch):
+    """Nodes that never get to a top gather nothing: their paths doubled with each round."""
+    longest, write = [0], hierarchy.written
+
+    def watched(df):
+        out = write(df)
+        if "path" in out.columns:
+            longest.append(out.selectExpr("max(size(path))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(hierarchy, "written", watched)
+    df = spark.range(1, 2001).selectExpr("id AS node", "CASE WHEN id = 1 THEN NULL WHEN id = 5 THEN 10 ELSE id DIV 2 END AS parent")
+    got = {r.node: tuple(r)[1:] for r in hierarchy.hierarchy(df).collect()}
+    assert got == plain([(r.node, r.parent, 1.0) for r in df.collect()])
+    assert max(longest) <= 11
+
+
 def test_path_index_in_ranges(spark):
     rows = [(i, [i % 3, i % 7, i]) for i in range(200)] + [(1000, []), (1001, [0])]
     df = spark.createDataFrame(rows, "id long, path array<int>")
