@@ -11,13 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .birch import CFTree, _d, _Node
+from . import clustering
+from .birch import CFTree, _Node
+
+#: The most points of a part, about: one task inserts them and one replays them.
+PART_ROWS = 1 << 18
 
 LOG = "part int, step long, seq long, kind string, entry long, node long, position long, left long, right long, went array<long>, ls array<double>"
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.float64())]
 _COLS = [f.split()[0] for f in LOG.split(", ")]
 
 
@@ -32,20 +38,14 @@ class LoggedTree(CFTree):
     def _named(self, node: _Node) -> int:
         return self.names.setdefault(node, len(self.names))
 
-    def insert(self, n: float, ls: np.ndarray, ss: float) -> int:
-        node, nearest = self.root, lambda x: int(np.argmin(_d(self.kind, x.n, x.ls, x.ss, n, ls, ss))) if len(x.kids) else -1
-        while not node.leaf:
-            node = node.kids[nearest(node)]
-        k = nearest(node)
-        if k >= 0 and _d(self.kind, node.n[k : k + 1], node.ls[k : k + 1], node.ss[k : k + 1], n, ls, ss)[0] < self.t:
-            self.events.append(("absorb", node.kids[k], None, None, None, None, None, ls.tolist()))
-        else:
-            self.events.append(("add", self.entries, self._named(node), k + 1, None, None, None, ls.tolist()))
-        old = self.root
-        out = super().insert(n, ls, ss)
-        if self.root is not old:
-            self.events.append(("root", None, self._named(self.root), None, *(self._named(x) for x in self.root.kids), None, None))
-        return out
+    def _absorbs(self, entry: int, ls: np.ndarray) -> None:
+        self.events.append(("absorb", entry, None, None, None, None, None, ls.tolist()))
+
+    def _adds(self, entry: int, node: _Node, at: int, ls: np.ndarray) -> None:
+        self.events.append(("add", entry, self._named(node), at, None, None, None, ls.tolist()))
+
+    def _rises(self) -> None:
+        self.events.append(("root", None, self._named(self.root), None, *(self._named(x) for x in self.root.kids), None, None))
 
     def _overflow(self, node: _Node) -> tuple[_Node, _Node] | None:
         halves = super()._overflow(node)
@@ -59,17 +59,17 @@ class LoggedTree(CFTree):
 def logged(df: DataFrame, vector: str, order: list[str], parts: int, threshold: float = 1.0, branching: int = 10, kind: str = "d0") -> DataFrame:
     """The log (part, step, seq, ...) of a tree per range of the order; steps count a part's points from 0. Null vectors have no step.
 
-    A task holds its part's tree and the events of one batch.
+    There are ``parts`` ranges, or more if these would have over ``PART_ROWS`` points each. A task holds its part's tree and the events of one batch.
     """
+    parts = max(parts, -(-df.count() // PART_ROWS))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, step, seq, part = None, 0, 0, TaskContext.get().partitionId()
-        for pdf in frames:
-            rows = []
-            for x in pdf[vector]:
-                if x is None:
-                    continue
-                x = np.asarray(x, float)
+        for batch in batches:
+            rows, col = [], batch.column(0).drop_null()
+            if not len(col):
+                continue
+            for x in col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1):
                 tree = tree or LoggedTree(len(x), threshold, branching, kind)
                 tree.insert(1.0, x, float(x @ x))
                 for e in tree.events:
@@ -77,25 +77,25 @@ def logged(df: DataFrame, vector: str, order: list[str], parts: int, threshold:
                     seq += 1
                 tree.events.clear()
                 step += 1
-            yield pd.DataFrame(rows, columns=_COLS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_COLS)
 
-    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(vector).mapInPandas(run, LOG)
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, LOG)
 
 
 def replay(log: DataFrame, step: int | None = None) -> DataFrame:
-    """part, path, kind, n, ls, ss of each part's tree after ``step`` (None: the last): entries and nodes, the root with the empty path. A part's events up to there are one task's."""
+    """part, path, kind, n, ls, ss of each part's tree after ``step`` (None: the last): entries and nodes, the root with the empty path.
+
+    Entries are added up by an aggregate; a task has the other events of a part, which are few where points are absorbed.
+    """
 
-    def rebuilt(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rebuilt(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         kids: dict[int, list[int]] = {0: []}  # of leaves: entries, below 0 as -1 - entry
         above: dict[int, int] = {}
-        root, sums = 0, {}
-        for e in pdf.sort_values("seq").itertuples():
-            if e.kind in ("absorb", "add"):
-                x = np.asarray(e.ls, float)
-                n, ls, ss = sums.get(int(e.entry), (0.0, 0.0, 0.0))
-                sums[int(e.entry)] = (n + 1, ls + x, ss + float(x @ x))
-                if e.kind == "add":
-                    kids[int(e.node)].insert(int(e.position), -1 - int(e.entry))
+        root, pdf = 0, pdf.sort_values("seq")
+        sums = {int(e): (float(n), np.asarray(ls, float), float(ss)) for e, n, ls, ss in zip(entries["entry"], entries["n"], entries["ls"], entries["ss"], strict=True)}
+        for e in pdf.itertuples():
+            if e.kind == "add":
+                kids[int(e.node)].insert(int(e.position), -1 - int(e.entry))
             elif e.kind == "split":
                 node, left, right = int(e.node), int(e.left), int(e.right)
                 mine, went = kids.pop(node), set(map(int, e.went))
@@ -128,4 +128,5 @@ def replay(log: DataFrame, step: int | None = None) -> DataFrame:
         return pd.DataFrame(rows, columns=["part", "path", "kind", "n", "ls", "ss"])
 
     mine = log if step is None else log.where(F.col("step") <= step)
-    return mine.groupBy("part").applyInPandas(rebuilt, "part int, path array<int>, kind string, n double, ls array<double>, ss double")
+    sums = clustering.features(mine.where(F.col("kind").isin("add", "absorb")), ["part", "entry"], "ls")
+    return mine.where("kind <> 'absorb'").drop("ls").groupBy("part").cogroup(sums.groupBy("part")).applyInPandas(rebuilt, "part int, path array<int>, kind string, n double, ls array<double>, ss double")
