@@ -204,12 +204,23 @@ def _folder(numeric: list[str], words: list[str], off: dict[str, frozenset], cla
     return fold
 
 
+def _settled(ordered: DataFrame, nodes: dict[str, Node], new: set[str]) -> set[str]:
+    """Those of these new leaves whose rows, up to the last one, have one class or none: they never decide, so counting them is all there is to do."""
+    since = ordered.sparkSession.createDataFrame([(p, nodes[p].at) for p in new], "leaf string, _at long")
+    rest = routed(ordered, nodes).withColumnRenamed("_leaf", "leaf").join(F.broadcast(since), "leaf").where(F.col("_o") > F.col("_at"))
+    seen = {r["leaf"]: r for r in rest.groupBy("leaf").agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi")).collect()}  # a row a new leaf
+    done = {p for p in new if p not in seen or seen[p]["lo"] == seen[p]["hi"]}
+    for p in done & seen.keys():
+        nodes[p].n, nodes[p].cls = seen[p]["n"], seen[p]["lo"]
+    return done
+
+
 def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: int, config: Config = Config()) -> dict[str, Node]:
     """Nodes of the tree of rows in the order of ``order`` (distinct integers from 0). Classes are 0 to classes - 1; rows without one are left out.
 
     String columns are text attributes: they split into a child for each value that came so far or comes later, at most once on a path.
     A numeric split keeps its attribute. Every leaf runs to the last row. A leaf's class has ``laplace`` votes of its parent's. A frozen leaf
-    counts the rows and errors after it was frozen. A leaf's rows of one superstep are one task, ``max_rows`` at most.
+    counts the rows and errors after it was frozen. A leaf's rows of one superstep are one task, ``max_rows`` at most; leaves with one class are only counted.
     """
     c, nodes = config, {"": Node("")}
     numeric, words = _kinds(df, attributes)
@@ -221,7 +232,16 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
     spark, total = df.sparkSession, last + 1
     span, seen = {"": c.first_span}, {"": -1}  # of open leaves: next span, last ordinal
     held = spark.createDataFrame([], "leaf string, state binary")
+    opened = {""}
     while span:
+        if opened:
+            for p in (done := _settled(ordered, nodes, opened)):
+                n = nodes[p]
+                n.cls = leaves.vote(np.bincount([n.cls], [n.n], classes) if n.n else np.zeros(classes), n.up, c.laplace)
+                del span[p], seen[p]
+            opened = set()
+            if done:
+                continue
         stop = {p: min(seen[p] + span[p], total - 1) for p in span}
         ranges = spark.createDataFrame([(p, seen[p], stop[p]) for p in span], "leaf string, _lo long, _hi long")
         part = routed(ordered.where((F.col("_o") > min(seen.values())) & (F.col("_o") <= max(stop.values()))), nodes).withColumnRenamed("_leaf", "leaf")
@@ -276,6 +296,7 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
             nodes[k] = Node(k, at=nodes[p].at, up=top, cls=top, before=float(int(share)))
             off[k] = off[p] | {nodes[p].attr} if nodes[p].values is not None else off[p]
             span[k], seen[k] = c.first_span, nodes[p].at
+            opened.add(k)
         for p in closed:
             del span[p], seen[p]
         stay = spark.createDataFrame([(p,) for p in span] or [(None,)], "leaf string")
@@ -285,6 +306,7 @@ def learn(df: DataFrame, attributes: list[str], cls: str, order: str, classes: i
         held = kept.join(F.broadcast(stay), "leaf", "left_semi")
         for p in [p for p in span if seen[p] >= total - 1]:  # split at the very last row
             nodes[p].cls = nodes[p].up
+            opened.discard(p)
             del span[p], seen[p]
     frozen = [p for p, n in nodes.items() if n.gone]
     if frozen:
@@ -453,8 +475,15 @@ def learn_replicas(df: DataFrame, attributes: list[str], cls: str, order: str, c
     off: dict[str, frozenset] = {"": frozenset()}
     ordered = df.where(F.col(cls).isNotNull()).select(F.col(order).cast("long").alias("_o"), F.col(cls).cast("int").alias("_y"), *[F.col(a).cast("double").alias(a) for a in numeric], *words)
     last = ordered.agg(F.max("_o")).first()[0]
-    held, checked, open_ = spark.createDataFrame([], "leaf string, state binary"), {"": 0}, {""}
+    held, checked, open_, new = spark.createDataFrame([], "leaf string, state binary"), {"": 0}, {""}, {""}
     for a in range(0, -1 if last is None else last + 1, window):
+        if new:
+            for p in _settled(ordered, nodes, new):
+                n = nodes[p]
+                if n.n:
+                    n.cls = leaves.vote(np.bincount([n.cls], [n.n], classes), n.up, c.laplace)
+                open_.discard(p)
+            new = set()
         if not open_:
             break
         here = F.broadcast(spark.createDataFrame([(p,) for p in open_], "_leaf string"))  # the model's open leaves
@@ -482,6 +511,7 @@ def learn_replicas(df: DataFrame, attributes: list[str], cls: str, order: str, c
                 nodes[k] = Node(k, at=n.at, up=int(y.argmax()), cls=int(y.argmax()), before=float(int(s * (n.n + n.before))), up_error=1 - y.max() / y.sum())
                 off[k] = off[p] | {n.attr} if n.values is not None else off[p]
                 open_.add(k)
+                new.add(k)
         held = met.where("state IS NOT NULL").select("leaf", "state")
     return nodes
 

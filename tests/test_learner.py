@@ -315,3 +315,14 @@ def test_replicas_of_many_values_stay_within_the_error(spark):
     nodes = hoeffding.learn_replicas(df, ["a"], "k", "o", 2, 4, hoeffding.Config(bins=200), window=4000)
     assert nodes[""].attr == "a" and abs(nodes[""].threshold - 9000) < 20_011 / 50
     assert hoeffding.learn_replicas(df.limit(0), ["a"], "k", "o", 2, 4)[""].n == 0
+
+
+def test_leaves_of_one_class_are_only_counted(spark, monkeypatch):
+    """They took a job for each window, or for each ``max_rows``, up to the last row."""
+    df = spark.range(20_000).select(F.col("id").alias("o"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 10 > 4).cast("int").alias("k"))
+    jobs, cut = [], hoeffding.cut
+    monkeypatch.setattr(hoeffding, "cut", lambda x: jobs.append(1) or cut(x))
+    for nodes in (hoeffding.learn(df, ["a"], "k", "o", 2, hoeffding.Config(max_rows=500, first_span=500)), hoeffding.learn_replicas(df, ["a"], "k", "o", 2, 3, window=500)):
+        at = nodes[""].at
+        assert at < 2000 and [(nodes[p].n, nodes[p].cls) for p in "LR"] == [(df.where(f"o > {at} AND k = {k}").count(), k) for k in (0, 1)]
+    assert len(jobs) < 12
