@@ -23,6 +23,9 @@ from ..lineage import cut
 #: Blocks whose cases go to every task (some 100 bytes each); more are joined by a shuffle.
 MANY_BLOCKS = 200_000
 
+#: Bytes of small blocks that a task takes, about.
+TASK_BYTES = 128 << 20
+
 _LINE = "value binary, file string, block long"
 _BLANK = b" \t\r\x0b\x0c"
 
@@ -207,6 +210,10 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str = ",", re
     """
     own = _session(spark, block_bytes)
     lines, mark = _lines(own, paths, recursive, suffixes), sep.encode()
+    blocks, each = lines.rdd.getNumPartitions(), block_bytes or TASK_BYTES
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-blocks * each // TASK_BYTES))
+    if blocks > tasks:  # small blocks: a task takes many, one after the other
+        lines = lines.coalesce(tasks)
     found = cut(lines.mapInArrow(_cases(mark), _CASES).groupBy("file").applyInPandas(_entered, "file string, block long, base long, inside boolean, began long, leaves boolean"))
     n = found.count()
     at = found.withColumnsRenamed({"file": "_file", "block": "_block"})

@@ -93,3 +93,12 @@ def test_long_quoted_cell(spark):
     long = "x" * 200_000 + '""' * 50_000
     df = spark.createDataFrame([(f'1,"{long}",2',)], "v string")
     assert df.select(delimited.cells(F.col("v")).alias("c")).first().c == ["1", long.replace('""', '"'), "2"]
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    path = str(tmp_path / "small.csv")
+    with open(path, "w", newline="") as f:
+        f.write("".join(f'{i},"x\n{i}"\n' for i in range(3000)))
+    r = records.read_records(spark, path, block_bytes=256)
+    assert r.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 4  # some 150 blocks
+    assert sorted(x.value for x in r.collect()) == sorted(f'{i},"x\n{i}"' for i in range(3000))
