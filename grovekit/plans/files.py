@@ -12,12 +12,16 @@ from ..sources import arff, delimited, records, sinks
 from .catalogue import query, r6, read
 
 
+#: Rows of a file, about, where a query may choose how many files it has: each is sorted and written by one task.
+FILE_ROWS = 1_000_000
+
+
 def _text(df: DataFrame, value: F.Column, order: str, label: str, head: tuple[str, ...] = (), files: int = 4) -> str:
     """Files of lines in this order, a row in the file of its key's rest by ``files``, each file after its own head; their folder."""
     path, s = new_folder(df.sparkSession, label), df.sparkSession
     rows = df.select(value.alias("value"), F.lit(1).alias("_k"), F.col(order).cast("long").alias("_o"), (F.col(order) % files).cast("int").alias("file_no"))
     heads = s.createDataFrame([(h, 0, i, k) for k in range(files) for i, h in enumerate(head)], "value string, _k int, _o long, file_no int")
-    rows.unionByName(heads).repartition("file_no").sortWithinPartitions("file_no", "_k", "_o").select("value", "file_no").write.partitionBy("file_no").text(path)
+    rows.unionByName(heads).repartition(max(files, int(s.conf.get("spark.sql.shuffle.partitions"))), "file_no").sortWithinPartitions("file_no", "_k", "_o").select("value", "file_no").write.partitionBy("file_no").text(path)
     return path
 
 
@@ -97,7 +101,8 @@ def _random_access(s: SparkSession, d: str) -> DataFrame:
 def _points(s: SparkSession, d: str) -> DataFrame:
     """Two header lines, points of two fields, the last column as label."""
     line = F.concat_ws(",", "l_orderkey", "l_quantity", "l_linenumber")
-    path = _text(read(s, d, "lineitem"), line, "l_orderkey", "points", ("# made for a test", "key,quantity,line"))
+    x = read(s, d, "lineitem")
+    path = _text(x, line, "l_orderkey", "points", ("# made for a test", "key,quantity,line"), files=max(4, -(-x.count() // FILE_ROWS)))
     p = delimited.read_points(s, path, rows.parse_ranges("0-1", True), 2, skip=2)
     return p.groupBy(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "label").agg(F.count("*").alias("n"))
 

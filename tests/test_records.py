@@ -102,3 +102,17 @@ def test_small_blocks_share_tasks(spark, tmp_path):
     r = records.read_records(spark, path, block_bytes=256)
     assert r.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 4  # some 150 blocks
     assert sorted(x.value for x in r.collect()) == sorted(f'{i},"x\n{i}"' for i in range(3000))
+
+
+def test_points_get_files_by_their_rows(spark, monkeypatch):
+    """Each file is one task's to sort and write, so none is larger because the table is."""
+    from grovekit.plans import catalogue, files
+
+    made, text = [], files._text
+    monkeypatch.setattr(files, "FILE_ROWS", 500)
+    monkeypatch.setattr(files, "_text", lambda *a, **k: made.append(text(*a, **k)) or made[-1])
+    got = catalogue.QUERIES["points_header_skip"](spark, "/root/testdata/sf0.001").collect()
+    x = catalogue.read(spark, "/root/testdata/sf0.001", "lineitem")
+    want = x.groupBy("l_orderkey", "l_quantity", "l_linenumber").count().collect()
+    assert sorted(map(tuple, got)) == sorted((float(a), b, c, n) for a, b, c, n in want)
+    assert spark.read.text(made[0]).select("file_no").distinct().count() == -(-x.count() // 500) > 4
