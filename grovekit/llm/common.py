@@ -95,9 +95,14 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         for t in self.tables:
             t.drop()
-        if self.tables:  # plans that nothing refers to any more give their shuffle files back when the driver collects garbage
-            gc.collect()
-            self.tables[0].spark.sparkContext._jvm.System.gc()
+        if self.tables:
+            free(self.tables[0].spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Plans that nothing refers to any more give their shuffle files back when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(first: int = 0) -> None:

@@ -176,6 +176,39 @@ def test_all_links(spark, monkeypatch, bucket):
     assert rows_of(got, 3) == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("links", [True, False])
+def test_texts_that_miss_each_other_make_no_pairs(spark, monkeypatch, links):
+    """Edits of one text, no two of them similar, meet in its lists: they are told apart under one pivot, not pair by pair."""
+    made, across = [], sharing._across
+    monkeypatch.setattr(sharing, "_across", lambda *a: made.append(sharing.cut(across(*a))) or made[-1])
+    monkeypatch.setattr(sharing, "BUCKET", 16)
+    rows, base = [], [f"w{i}" for i in range(100)]
+    for i in range(30):
+        words = [*base]
+        words[3 * i] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[4][1] + " more"), (101, "one " + rows[7][1])]
+    got = ngram_join.similar_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, links)
+    assert rows_of(got, 3) == brute_components(rows, 3, 90)
+    if links:
+        assert sorted((r.doc_id, r.n_links) for r in got.collect()) == brute_links(rows, 3, 90)
+    assert made[0].count() < 30
+
+
+def test_differences_that_many_sets_share():
+    """Elements that few sets have are counted pair by pair, others by products: the answers are those of whole sets."""
+    rng = np.random.default_rng(5)
+    base = np.arange(200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 195, replace=False), rng.integers(1000, 1000 + 10 ** int(rng.integers(1, 4)), 8).astype(np.uint64)])) for _ in range(60)]
+    got = sharing._similar(np.array([len(x) for x in sets]), [np.setxor1d(x, base) for x in sets], 90)
+    np.fill_diagonal(got, True)
+    assert got.tolist() == [[100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)) for y in sets] for x in sets]
+    ok = np.zeros((7, 7), bool)
+    for a, b in ((5, 1), (1, 6), (3, 4)):
+        ok[a, b] = ok[b, a] = True
+    assert sharing._least(ok).tolist() == [0, 1, 2, 3, 3, 1, 1]
+
+
 # 2
 
 
