@@ -533,9 +533,8 @@ def table(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
 
 
 def merged_counts(parts: list[DataFrame], attributes: list[str], cls: str) -> DataFrame:
-    """Leaf statistics of replicas added up: partial aggregates of each, then one sum."""
-    out = None
-    for p in parts:
-        d = impurity.melt(p, attributes, cls).groupBy("attr", "value", "cls").agg(F.count("*").alias("n"))
-        out = d if out is None else out.unionByName(d)
-    return out.groupBy("attr", "value", "cls").agg(F.sum("n").alias("n"))
+    """Leaf statistics of replicas added up: each task of each replica counts its own rows, and one aggregate sums all of these."""
+    out = impurity.melt(parts[0], attributes, cls)
+    for p in parts[1:]:
+        out = out.unionByName(impurity.melt(p, attributes, cls))
+    return out.groupBy("attr", "value", "cls").agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Histograms, and ordered learning with pruning, text attributes, later values and parents' votes, against a plain learner."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -326,3 +327,13 @@ def test_leaves_of_one_class_are_only_counted(spark, monkeypatch):
         at = nodes[""].at
         assert at < 2000 and [(nodes[p].n, nodes[p].cls) for p in "LR"] == [(df.where(f"o > {at} AND k = {k}").count(), k) for k in (0, 1)]
     assert len(jobs) < 12
+
+
+def test_replicas_are_counted_by_one_aggregate(spark):
+    """A task of the sum holds its groups once, not once for each replica and once more for the sum."""
+    rows = [(float(i % 7), i % 2) for i in range(40)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "a double, cls int")
+    got = hoeffding.merged_counts([df.where("cls = 0"), df.where("cls = 1"), df.where("a = 3")], ["a"], "cls")
+    want = Counter(r for r in rows + [r for r in rows if r[0] == 3])
+    assert {(r.value, r.cls): r.n for r in got.collect()} == want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0 and got._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
