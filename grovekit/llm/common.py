@@ -172,8 +172,20 @@ def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of about ``most`` bytes of text each; a longer single text is a slice of its own."""
+#: What this worker keeps from task to task, by name: a task of another operator drops it, so that a worker that serves many never holds the sum.
+KEPT: dict[tuple, object] = {}
+
+
+def forget(but: tuple | None = None) -> None:
+    """Drops all that is kept under other names, and gives Arrow's free memory back."""
+    for name in [x for x in KEPT if x != but]:
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, kept: tuple | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of about ``most`` bytes of text each; a longer single text is a slice of its own. ``kept``: the one name in KEPT that the task uses."""
+    forget(kept)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -183,6 +195,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
             yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
+    pa.default_memory_pool().release_unused()
 
 
 SPACE = np.zeros(256, bool)

@@ -14,13 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE, U64, mix, prefix_hash, slices, span_hash, words_of
+from .common import KEPT, SPACE, U64, mix, prefix_hash, slices, span_hash, words_of
 
 #: Words after which a worker's memo starts afresh: at most 2**22 slots of 12 bytes, and the ids.
 MEMO, SLOTS = 2_500_000, 1 << 22
 #: Words of plain letters are one pre-token, and NFC keeps them.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_ENCODERS: dict[tuple, Encoder] = {}
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -166,9 +165,9 @@ class Encoder:
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
-    if (path, keep_space) not in _ENCODERS:
-        _ENCODERS[path, keep_space] = Encoder(path, keep_space)
-    return _ENCODERS[path, keep_space]
+    if (path, keep_space) not in KEPT:
+        KEPT[path, keep_space] = Encoder(path, keep_space)
+    return KEPT[path, keep_space]
 
 
 def vocabulary_size(path: str) -> int:
@@ -181,7 +180,7 @@ def vocabulary_size(path: str) -> int:
 def token_slices(batches: Iterator[pa.RecordBatch], path: str, keep_space: bool, end_id: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, offsets) with ``end_id`` after each text's ids; null text counts as empty."""
     enc = encoder(path, keep_space)
-    for rows, data, text_offs in slices(batches):
+    for rows, data, text_offs in slices(batches, kept=(path, keep_space)):
         ids, offs = enc(data, text_offs)
         n = rows.num_rows
         out = np.full(len(ids) + n, end_id, np.uint32)

@@ -1,15 +1,18 @@
 """run() against a plain Python version of its five stages, on all documents of the smallest table."""
 
+import gc
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_llm import brute_components, brute_quality, key
 
 import corpus_pipeline
-from grovekit.llm import repetition, templates, tokens
+from grovekit.llm import common, repetition, templates, tokens
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -88,3 +91,14 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, docs, SF).columns == docs.columns, name
+
+
+def test_a_stage_drops_what_another_keeps_in_a_worker():
+    path, rows = P.path("word_bpe_49k.json"), pa.record_batch({"doc_id": pa.array([1]), "text": pa.array(["some words"])})
+    list(tokens.token_slices(iter([rows]), path, False))
+    memo = weakref.ref(tokens.encoder(path, False))
+    list(tokens.token_slices(iter([rows]), path, False))
+    assert memo() is tokens.encoder(path, False)  # the next task of the same operator uses it
+    list(common.slices(iter([rows])))
+    gc.collect()
+    assert memo() is None
