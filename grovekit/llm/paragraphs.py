@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, importable, mix, pack, prefix_hash, row_bounds, shingle_sets, slices, span_hash, word_hashes, words_of
+from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, free, importable, mix, pack, prefix_hash, row_bounds, shingle_sets, slices, span_hash, word_hashes, words_of
 from .sharing import components, key32, linked_sets, set_ids, shared_keys
 
 BANDS, ROWS = 14, 4
@@ -86,7 +86,7 @@ def bands_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_STORED = {"kind": pa.string(), "doc_id": pa.int64(), "h": pa.int64(), "start": pa.int64(), "end": pa.int64(), "sig": pa.binary(), "n": pa.int32(), "key": pa.int64(), "blob": pa.binary()}
+_STORED = {"kind": pa.string(), "doc_id": pa.int64(), "h": pa.int64(), "start": pa.int64(), "end": pa.int64(), "sig": pa.binary(), "n": pa.int32(), "key": pa.int64()}
 
 
 def _stored(kind: str, rows: int, /, **cols: pa.Array | np.ndarray) -> pa.RecordBatch:
@@ -104,6 +104,34 @@ def _ids(x: np.ndarray) -> pa.Array:
     return _binaries(x, np.arange(len(x) + 1) * 2)
 
 
+def _sets(docs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """sig and blob of all paragraphs whose set is one of ``sigs``, and of a few more.
+
+    Texts are read again for it: most sets that have a band value twice share no list with a different set, and would be written in vain.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield _key_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, 2))
+
+    known = docs.sparkSession.sparkContext.broadcast(shared_keys(sigs, keys, 1 / 16, least=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs in slices(batches):
+            flat, at = _paragraphs(data, offs, k)[3:]
+            ids, size = set_ids(flat, at), np.diff(at)
+            one, flat, at = _different(flat, at, ids)
+            use = known.value.shared(_key_of(ids[one]))
+            at = np.concatenate([[0], np.cumsum(size[one[use]])])
+            yield pa.RecordBatch.from_arrays([_ids(ids[one[use]]), _binaries(flat[np.repeat(use, size[one])], at)], names=["sig", "blob"])
+
+    return docs.select("text").mapInArrow(run, "sig binary, blob binary").groupBy("sig").agg(F.min("blob").alias("blob"))
+
+
+def _key_of(ids: np.ndarray) -> np.ndarray:
+    return key32(ids[:, 0].astype(U64))
+
+
 def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
     """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, n, root, and unit (line, or sentence where another text may have it).
 
@@ -129,9 +157,6 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
             one, flat, at = _different(flat, at, sig)
             bands = bands_of(flat, at)
             use = known.value.shared(key32(bands.reshape(-1))).reshape(bands.shape)
-            some = use.any(1)
-            listed, inside = one[some], np.repeat(some, size[one])
-            yield _stored("set", len(listed), sig=_ids(sig[listed]), n=size[listed], blob=_binaries(flat[inside], np.concatenate([[0], np.cumsum(size[listed])])))
             i, band = np.nonzero(use)
             yield _stored("key", len(i), sig=_ids(sig[one[i]]), n=size[one[i]], key=bands[i, band].view(np.int64))
             row, a, b, words, sentence = _sentences(data, offs)
@@ -139,11 +164,11 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
             row, a, b = row[again], a[again], b[again]
             yield _stored("sentence", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sentence[again]), n=words[again])
 
-    stored = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long, blob binary"), "paragraphs", by="kind")
+    stored = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long"), "paragraphs", by="kind")
     known.destroy()  # written: nothing will be computed from it again
-    sets = stored.where("kind = 'set'").groupBy("sig").agg(F.min("blob").alias("blob"))
+    free(spark)
     postings = stored.where("kind = 'key'").select("key", "sig", "n", F.lit(0).alias("pos"))
-    groups = components(linked_sets(postings, sets, percent)).select(F.col("id").alias("s"), "root")
+    groups = components(linked_sets(postings, lambda sigs: _sets(docs, scratch.table(sigs, "listed"), k), percent)).select(F.col("id").alias("s"), "root")
     unit = stored.where("kind IN ('line', 'sentence')").select(F.col("kind").alias("unit"), "doc_id", "h", "start", "end", "sig", "n")
     return unit.join(groups, F.col("sig") == F.col("s"), "left").drop("s").withColumn("root", F.coalesce("root", "sig"))
 

@@ -229,6 +229,19 @@ def test_paragraphs(spark, docs, empty):
     assert {r.n_bytes - len(r.kept_text.encode()) - r.removed_bytes for r in got} == {0}
 
 
+def test_paragraph_sets_are_written_for_different_sets_only(spark, monkeypatch):
+    """Exact copies share band values, but no list with a different set: of these only the ids are needed."""
+    lines = [" ".join(sentence(14) for _ in range(3)) for _ in range(40)]
+    near = lines[0].rsplit(" ", 1)[0] + " changed."
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*lines, near, *lines])], "doc_id long, text string").repartition(4, "doc_id").withColumn("h", F.xxhash64("text"))
+    written, real = [], sharing._listed
+    monkeypatch.setattr(sharing, "_listed", lambda rows, sets: written.append(sets.count()) or real(rows, sets))
+    with common.Scratch() as scratch:
+        roots = {r.doc_id: bytes(r.root) for r in paragraphs.paragraph_clusters(spark, docs, scratch).where("unit = 'line'").collect()}
+    assert 2 <= written[0] < 8
+    assert len(set(roots.values())) == 40 and roots[0] == roots[40] == roots[41]
+
+
 def test_paragraph_clusters_against_brute_force(spark):
     """Lines with the same root are linked by similar lines; of all similar pairs at least nine in ten share a root."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, (_, t) in enumerate(TEXTS) if t and len(t) < 20_000], "doc_id long, text string"))
