@@ -31,8 +31,11 @@ HEAD = "<4sIIIIQQBB"
 
 def pack_bits(x: np.ndarray, width: int) -> bytes:
     """Numbers below 2**width, ``width`` bits each, the highest first."""
-    out = [np.packbits((x[i : i + (1 << 17), None] >> np.arange(width - 1, -1, -1)) & 1) for i in range(0, len(x), 1 << 17)]  # 2**17 x width bits are whole bytes
-    return b"".join(o.tobytes() for o in out)
+    out = []
+    for i in range(0, len(x), 1 << 17):  # 2**17 x width bits are whole bytes
+        bits = np.unpackbits(x[i : i + (1 << 17)].astype(">u8" if width > 32 else ">u4").view(np.uint8).reshape(-1, 8 if width > 32 else 4), axis=1)
+        out.append(np.packbits(bits[:, -width:]).tobytes())
+    return b"".join(out)
 
 
 def unpack_bits(data: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
@@ -41,10 +44,10 @@ def unpack_bits(data: np.ndarray, width: int, a: int, b: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = a * width // 8
     bits = np.unpackbits(data[first : (b * width + 7) // 8])[a * width - 8 * first :][: (b - a) * width].reshape(-1, width)
-    out = np.zeros(b - a, np.int64)
-    for i in range(width):
-        out = out << 1 | bits[:, i]
-    return out
+    wide = 64 if width > 32 else 32
+    out = np.zeros((b - a, wide), np.uint8)
+    out[:, wide - width :] = bits
+    return np.packbits(out, axis=1).view(f">u{wide // 8}")[:, 0].astype(np.int64)
 
 
 def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +82,7 @@ def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, offs: np.ndarray, base: int, least: int = LEAST) -> bytes:
     """One shard: documents are ids[offs[i]:offs[i+1]], all ids are below ``base``."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[offs[1:][offs[1:] > offs[:-1]] - 1] = True
     empty = np.diff(offs) == 0
@@ -87,7 +90,7 @@ def compress(ids: np.ndarray, offs: np.ndarray, base: int, least: int = LEAST) -
     top, look = base, ~last[:-1]
     while True:
         at = np.flatnonzero(look)
-        codes, count, number = _frequent(seq[at] * top + seq[at + 1], least)
+        codes, count, number = _frequent(seq[at].astype(np.int64) * top + seq[at + 1], least)
         at, number = at[number >= 0], number[number >= 0]
         take = _winners(at, ((count << 20) + (mix(codes) >> U64(44)).astype(np.int64))[number])
         good = np.bincount(number[take], minlength=len(codes)) >= least
@@ -103,6 +106,7 @@ def compress(ids: np.ndarray, offs: np.ndarray, base: int, least: int = LEAST) -
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seq, last, fresh, waiting = seq[keep], last[keep], fresh[keep], waiting[keep]
         look = (fresh[:-1] | fresh[1:] | waiting[:-1]) & ~last[:-1]
         rules.append(np.stack([codes[good] // top, codes[good] % top], 1))
@@ -121,6 +125,13 @@ def compress(ids: np.ndarray, offs: np.ndarray, base: int, least: int = LEAST) -
     return head + pack(np.array([len(r) for r in rules], np.uint32)) + pack(ends.astype(np.uint64)) + pack_bits(rule.reshape(-1), width) + pack_bits(length[base:], wide) + pack_bits(seq, width)
 
 
+def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of all runs [a, b), one run after the other."""
+    size = b - a
+    ends = np.cumsum(size)
+    return np.repeat(a - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Shard:
     """Reads one compressed shard; ``ids(i, a, b)`` expands only the symbols that it needs."""
 
@@ -170,10 +181,23 @@ class Shard:
         before = int(upto[i - 1]) if i else 0
         return self._expand(seq[i:j])[a - before : b - before]
 
+    def _spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all symbols one after the other, and where each begins: each round's rules are put together from those before."""
+        at = np.concatenate([np.arange(self.base + 1), self.base + np.cumsum(self.length)])
+        out = np.zeros(int(at[-1]), np.uint32)
+        out[: self.base] = np.arange(self.base)
+        done = 0
+        for n in self.rounds.tolist():
+            parts = self.rules[done : done + n].reshape(-1)
+            done += n
+            out[at[self.base + done - n] : at[self.base + done]] = out[_runs(at[parts], at[parts + 1])]
+        return out, at
+
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """Every id, and the offsets of the documents."""
         seq = unpack_bits(self.body, self.width, 0, self.n_seq)
-        return self._expand(seq), np.concatenate([[0], np.cumsum(self.lengths(seq))])[self.ends]
+        ids, at = self._spelled()
+        return ids[_runs(at[seq], at[seq + 1])], np.concatenate([[0], np.cumsum(self.lengths(seq))])[self.ends]
 
 
 def write_tokens(docs: DataFrame, path: str, base: int | None = None, end_id: int = 0, keep_space: bool = True, label: str = "token-shards") -> Table:

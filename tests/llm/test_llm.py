@@ -397,6 +397,22 @@ def library_ids(name):
     return {x: np.array([*lib.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for _, x in TEXTS}
 
 
+def test_whole_shards_are_read_without_expanding_round_by_round(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [np.tile(rng.integers(0, 300, 40), 12), np.zeros(0, np.int64), rng.integers(0, 300, 500), np.tile(rng.integers(0, 9, 7), 90)]
+    offs = np.cumsum([0, *map(len, texts)])
+    shard = repair.Shard(repair.compress(np.concatenate(texts).astype(np.uint32), offs, 300))
+    assert len(shard.rounds) > 3
+    assert all((shard.ids(i) == t).all() and len(shard.ids(i)) == len(t) for i, t in enumerate(texts))
+    monkeypatch.setattr(repair.Shard, "_expand", None)
+    ids, at = shard.all()
+    assert ids.dtype == np.uint32 and ids.tolist() == np.concatenate(texts).tolist() and at.tolist() == offs.tolist()
+    for width in (1, 17, 32, 33, 40):
+        x = rng.integers(0, 1 << width, 1000)
+        packed = np.frombuffer(repair.pack_bits(x, width), np.uint8)
+        assert (repair.unpack_bits(packed, width, 3, 997) == x[3:997]).all() and packed.tobytes() == np.packbits((x[:, None] >> np.arange(width - 1, -1, -1)) & 1).tobytes()
+
+
 def test_token_output(spark, docs, empty):
     ids = library_ids("byte_bpe_50k.json")
     got = repair.token_output(spark, docs, P.path("byte_bpe_50k.json")).orderBy("start").collect()
