@@ -317,8 +317,11 @@ def shingles_of(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def shingle_sets(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``shingles_of`` for many rows at once, row i having the words at[i] to at[i + 1]: all sets one after the other, and the bounds between them."""
+def shingle_sets(h: np.ndarray, at: np.ndarray, k: int, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles_of`` for many rows at once, row i having the words at[i] to at[i + 1]: all sets one after the other, and the bounds between them.
+
+    Not ``ordered``: a set's hashes come in the order of the text, which spares sorting all of them.
+    """
     n = np.diff(at)
     m = np.minimum(n, k)
     each = np.where(n > 0, n - m + 1, 0)
@@ -326,9 +329,18 @@ def shingle_sets(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     first = at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
     size = m[row]
     out = size.astype(U64)
-    for i in range(int(m.max(initial=0))):
-        on = np.flatnonzero(size > i)
+    if len(h) >= k:  # windows over all words; those that lie in one row are taken
+        window = np.full(len(h) - k + 1, k, U64)
+        for i in range(k):
+            window = mix(window * U64(0xD6E8FEB86659FD93) + h[i : len(window) + i])
+        whole = size == k
+        out[whole] = window[first[whole]]
+    for i in range(min(k - 1, int(m.max(initial=0)))):
+        on = np.flatnonzero((size > i) & (size < k))
         out[on] = mix(out[on] * U64(0xD6E8FEB86659FD93) + h[first[on] + i])
+    if not ordered:
+        new = ~_repeats(out, row)
+        return out[new], row_bounds(row[new], len(n))
     order = np.lexsort((out, row))
     out, row = out[order], row[order]
     new = np.ones(len(row), bool)
@@ -336,6 +348,19 @@ def shingle_sets(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return out[new], row_bounds(row[new], len(n))
 
 
+def _repeats(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which values occur in their row before; only values that occur twice at all are sorted by rows."""
+    out, order = np.zeros(len(x), bool), np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    twice = np.zeros(len(x), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    at = order[twice]
+    at = at[np.lexsort((at, row[at], x[at]))]
+    out[at[1:]] = (x[at[1:]] == x[at[:-1]]) & (row[at[1:]] == row[at[:-1]])
+    return out
+
+
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in a sorted array of row numbers."""
     return np.searchsorted(row, np.arange(n + 1), "left")

@@ -19,23 +19,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, free, importable, mix, pack, prefix_hash, row_bounds, shingle_sets, slices, span_hash, word_hashes, words_of
+from .common import SPACE, U64, Scratch, Table, by_shuffle, edges_of, free, importable, mix, pack, prefix_hash, quick_hash, row_bounds, shingle_sets, slices, span_hash, words_of
 from .sharing import components, key32, linked_sets, set_ids, shared_keys
 
 BANDS, ROWS = 14, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
-def _paragraphs(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Row, start and end (bytes in the slice) of each line with a word; their shingle sets one after the other, and the bounds between these."""
-    a, b = edges_of(data != 10, offs)
-    seen = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    real = seen[b] > seen[a]
-    a, b = a[real], b[real]
-    row = np.searchsorted(offs, a, "right") - 1
-    # words of all lines: cut the bytes at the lines' ends
-    h, line = word_hashes(data, np.concatenate([[0], b, [len(data)]]) if len(b) else np.array([0, len(data)]), lower=True)
-    return row, a, b, *shingle_sets(h, row_bounds(line, len(a)), k)
+Words = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Lines = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[Lines, Words]:
+    """Start, end (bytes in the slice) and quick hash of each line with a word; start, end, hash and line of each word."""
+    sums = prefix_hash(_lower(data))
+    a, b = words_of(data, offs)
+    start, end = edges_of(data != 10, offs)
+    line = np.searchsorted(start, a, "right") - 1
+    real = np.zeros(len(start), bool)
+    real[line] = True
+    start, end = start[real], end[real]
+    return (start, end, quick_hash(sums, start, end)), (a, b, span_hash(sums, a, b), (np.cumsum(real) - 1)[line])
+
+
+def _paragraphs(words: Words, lines: int, k: int, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' shingle sets one after the other, and the bounds between these."""
+    return shingle_sets(words[2], row_bounds(words[3], lines), k, ordered)
 
 
 def _different(flat: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,17 +62,15 @@ def _different(flat: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     return one, flat[np.repeat(use, size)], np.concatenate([[0], np.cumsum(size[one])])
 
 
-def _sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sentences(data: np.ndarray, offs: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start, end, words and 128-bit hash (two columns) of each sentence: words up to one that ends in . or ?, or the line's end."""
-    a, b = words_of(data, offs)
+    a, b, h, line = words
     if not len(a):
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros((0, 2), U64)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    h, row = span_hash(prefix_hash(low), a, b), np.searchsorted(offs, a, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    last = np.isin(data[b - 1], (46, 63))
-    last[:-1] |= (row[1:] != row[:-1]) | (breaks[a[1:]] > breaks[b[:-1]])
+    final = data[b - 1]
+    last = (final == 46) | (final == 63)
+    last[:-1] |= line[1:] != line[:-1]
     last[-1] = True
     j = np.flatnonzero(last)
     i = np.concatenate([[0], j[:-1] + 1])
@@ -69,7 +80,7 @@ def _sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         inverse = np.cumprod(np.full(len(h), U64(pow(int(_SEEDS[seed]), -1, 1 << 64))))
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(seed)) * power)])
         both.append(mix((total[j + 1] - total[i]) * inverse[i] + (j - i).astype(U64)))
-    return row[i], a[i], b[j], j - i + 1, np.stack(both, 1)
+    return np.searchsorted(offs, a[i], "right") - 1, a[i], b[j], j - i + 1, np.stack(both, 1)
 
 
 def bands_of(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,33 +116,34 @@ def _ids(x: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """sig and blob of all paragraphs whose set is one of ``sigs``, and of a few more.
+    """sig and blob of all paragraphs whose set is one of ``sigs`` (sig and h, the quick hash of a line that has it), and of a few more.
 
     Texts are read again for it: most sets that have a band value twice share no list with a different set, and would be written in vain.
+    Only lines whose hash is listed are cut into words again.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            yield _key_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, 2))
+            yield key32(batch.column(0).to_numpy().view(U64))
 
-    known = docs.sparkSession.sparkContext.broadcast(shared_keys(sigs, keys, 1 / 16, least=1))
+    known = docs.sparkSession.sparkContext.broadcast(shared_keys(sigs.select("h"), keys, 1 / 8, least=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in slices(batches):
-            flat, at = _paragraphs(data, offs, k)[3:]
-            ids, size = set_ids(flat, at), np.diff(at)
+            start, end = edges_of(data != 10, offs)
+            use = known.value.shared(key32(quick_hash(prefix_hash(_lower(data), quick=True), start, end)))
+            start, end = start[use], end[use]
+            at = np.concatenate([[0], np.cumsum(end - start)])
+            data = data[np.arange(at[-1]) + np.repeat(start - at[:-1], end - start)]
+            lines, words = _words(data, at)
+            flat, at = _paragraphs(words, len(lines[0]), k, ordered=True)
+            ids = set_ids(flat, at)
             one, flat, at = _different(flat, at, ids)
-            use = known.value.shared(_key_of(ids[one]))
-            at = np.concatenate([[0], np.cumsum(size[one[use]])])
-            yield pa.RecordBatch.from_arrays([_ids(ids[one[use]]), _binaries(flat[np.repeat(use, size[one])], at)], names=["sig", "blob"])
+            yield pa.RecordBatch.from_arrays([_ids(ids[one]), _binaries(flat, at)], names=["sig", "blob"])
 
     return docs.select("text").mapInArrow(run, "sig binary, blob binary").groupBy("sig").agg(F.min("blob").alias("blob"))
 
 
-def _key_of(ids: np.ndarray) -> np.ndarray:
-    return key32(ids[:, 0].astype(U64))
-
-
 def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, least_sentence: int = 4) -> DataFrame:
     """A row for each paragraph: doc_id, h (hash of the text), start, end (bytes), sig, n, root, and unit (line, or sentence where another text may have it).
 
@@ -141,34 +153,42 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, data, offs in slices(batches):
-            flat, at = _paragraphs(data, offs, k)[3:]
+            lines, words = _words(data, offs)
+            flat, at = _paragraphs(words, len(lines[0]), k)
             _, flat, at = _different(flat, at, set_ids(flat, at))
-            _, _, _, words, sentence = _sentences(data, offs)
-            yield np.concatenate([key32(bands_of(flat, at).reshape(-1)), key32(sentence[words >= least_sentence, 0])])
+            _, _, _, n, sentence = _sentences(data, offs, words)
+            yield np.concatenate([key32(bands_of(flat, at).reshape(-1)), key32(sentence[n >= least_sentence, 0])])
 
     known = spark.sparkContext.broadcast(shared_keys(docs, keys, 0.05))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             doc, h = rows.column(0), rows.column(rows.schema.get_field_index("h"))
-            row, a, b, flat, at = _paragraphs(data, offs, k)
+            (a, b, quick), words = _words(data, offs)
+            flat, at = _paragraphs(words, len(a), k)
+            row = np.searchsorted(offs, a, "right") - 1
             sig, size = set_ids(flat, at), np.diff(at)
             yield _stored("line", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sig), n=size)
             one, flat, at = _different(flat, at, sig)
             bands = bands_of(flat, at)
             use = known.value.shared(key32(bands.reshape(-1))).reshape(bands.shape)
             i, band = np.nonzero(use)
-            yield _stored("key", len(i), sig=_ids(sig[one[i]]), n=size[one[i]], key=bands[i, band].view(np.int64))
-            row, a, b, words, sentence = _sentences(data, offs)
-            again = np.flatnonzero((words >= least_sentence) & known.value.shared(key32(sentence[:, 0])))
+            yield _stored("key", len(i), h=quick[one[i]].view(np.int64), sig=_ids(sig[one[i]]), n=size[one[i]], key=bands[i, band].view(np.int64))
+            row, a, b, n, sentence = _sentences(data, offs, words)
+            again = np.flatnonzero((n >= least_sentence) & known.value.shared(key32(sentence[:, 0])))
             row, a, b = row[again], a[again], b[again]
-            yield _stored("sentence", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sentence[again]), n=words[again])
+            yield _stored("sentence", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sentence[again]), n=n[again])
 
     stored = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, h long, start long, end long, sig binary, n int, key long"), "paragraphs", by="kind")
     known.destroy()  # written: nothing will be computed from it again
     free(spark)
     postings = stored.where("kind = 'key'").select("key", "sig", "n", F.lit(0).alias("pos"))
-    groups = components(linked_sets(postings, lambda sigs: _sets(docs, scratch.table(sigs, "listed"), k), percent)).select(F.col("id").alias("s"), "root")
+    lines = stored.where("kind = 'key'").groupBy("sig").agg(F.min("h").alias("h"))
+
+    def listed(sigs: DataFrame) -> DataFrame:
+        return _sets(docs, scratch.table(lines.join(sigs, "sig"), "listed"), k)
+
+    groups = components(linked_sets(postings, listed, percent)).select(F.col("id").alias("s"), "root")
     unit = stored.where("kind IN ('line', 'sentence')").select(F.col("kind").alias("unit"), "doc_id", "h", "start", "end", "sig", "n")
     return unit.join(groups, F.col("sig") == F.col("s"), "left").drop("s").withColumn("root", F.coalesce("root", "sig"))
 
@@ -232,6 +252,9 @@ def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             out = []
+            a, b = edges_of(data != 10, offs)
+            words = np.concatenate([[0], np.cumsum(~SPACE[data])])
+            n_lines = np.diff(row_bounds(np.searchsorted(offs, a[words[b] > words[a]], "right") - 1, len(offs) - 1)).tolist()
             for i, spans in enumerate(rows.column(2).to_pylist()):
                 raw, at, kept = data[offs[i] : offs[i + 1]].tobytes(), 0, []
                 spans, into, copied = _decide(spans or [], least_run)
@@ -240,8 +263,7 @@ def paragraph_report(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
                     at = max(at, min(b + 1, len(raw)))  # with the line end or space after it
                 kept.append(raw[at:])
                 kept = b"".join(kept)
-                lines = sum(1 for x in raw.split(b"\n") if x.strip(b" \t\r\x0b\x0c"))
-                out.append((len(raw), lines, copied, len(spans), len(raw) - len(kept), sorted(into), kept.decode(errors="ignore")))
+                out.append((len(raw), n_lines[i], copied, len(spans), len(raw) - len(kept), sorted(into), kept.decode(errors="ignore")))
             n, lines, copied, k_, size, into, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, lines, copied, k_, size)), pa.array(into, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_paragraphs", "n_repeated", "n_removed", "removed_bytes", "kept_in", "kept_text"])
 

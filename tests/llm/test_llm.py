@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -291,6 +292,50 @@ def test_sets_of_many_rows_equal_those_of_one():
     assert len(flat) == 0 and bounds.tolist() == [0] and sharing.set_ids(flat, bounds).shape == (0, 2)
 
 
+def test_sets_in_the_order_of_the_text_equal_sorted_ones():
+    rng = np.random.default_rng(9)
+    for k in (1, 3, 5):
+        h, at = rng.integers(0, 4, 400).astype(np.uint64), np.array([0, 0, 3, 4, 60, 61, 90, 400, 400])
+        flat, bounds = common.shingle_sets(h, at, k)
+        other, same = common.shingle_sets(h, at, k, ordered=False)
+        assert bounds.tolist() == same.tolist() and np.array_equal(sharing.set_ids(flat, bounds), sharing.set_ids(other, same))
+        assert all(np.array_equal(flat[i:j], np.sort(other[i:j])) for i, j in itertools.pairwise(bounds.tolist()))
+
+
+def test_many_pivots_are_decided_together(spark, monkeypatch):
+    """Groups of few sets share a call, whatever batch they begin and end in; the answers are those of all pairs."""
+    rng, calls = np.random.default_rng(10), spark.sparkContext.accumulator(0)
+    sets, member = {}, []
+    for size in [*[2, 3] * 150, 70, 65]:
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        sigs = []
+        for _ in range(size):
+            x = np.unique(np.concatenate([rng.choice(base, int(rng.integers(48, 60)), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype(np.uint64)]))
+            sigs.append(sharing.set_id(x))
+            sets[sigs[-1]] = x
+        member += [(s, sigs[0], False) for s in sigs]
+    real = sharing._links
+
+    def counted(t, percent):
+        calls.add(1)
+        return real(t, percent)
+
+    monkeypatch.setattr(sharing, "_links", counted)
+    given = spark.createDataFrame([(s, x.tobytes(), 1) for s, x in sets.items()], "sig binary, blob binary, copies long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {bytes(r.sig): (r.n_links, bytes(r.link)) for r in sharing._within(spark.createDataFrame(member, "sig binary, pivot binary, main boolean"), given, 80).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    similar = defaultdict(set)
+    for (s, p, _), (t, q, _) in itertools.permutations(member, 2):
+        if p == q and 100 * len(np.intersect1d(sets[s], sets[t])) >= 80 * len(np.union1d(sets[s], sets[t])):
+            similar[s].add(t)
+    assert {s: n for s, (n, _) in got.items()} == {s: len(similar[s]) for s, _, _ in member}
+    assert sum(len(x) > 0 for x in similar.values()) > 100 and all(link == s or similar[s] for s, (_, link) in got.items())
+    assert 0 < calls.value < 100  # of 302 groups
+
+
 def test_band_recall():
     rng, met = np.random.default_rng(2), 0
     for _ in range(300):
