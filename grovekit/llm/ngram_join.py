@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Table, by_shuffle, importable, pack, row_bounds, shingles_of, slices, two, unused, word_hashes
-from .sharing import components, key32, link_counts, linked_sets, set_id, shared_keys
+from .common import U64, Scratch, Table, by_shuffle, free, importable, pack, row_bounds, shingles_of, slices, two, unused, word_hashes
+from .sharing import components, key40, link_counts, linked_sets, set_id, shared_keys
 
 
 #: First keys of a set's order that its pairs are told apart by: the rest of its keys never makes a pair that these have made.
@@ -30,6 +30,19 @@ def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Re
         yield rows, [shingles_of(h[a:b], k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _together(shingles: Iterator[tuple[pa.RecordBatch, list[np.ndarray]]], least: int) -> Iterator[list[tuple[list[int | None], list[np.ndarray]]]]:
+    """Slices' doc_ids and sets, as many slices as have ``least`` shingles."""
+    held, n = [], 0
+    for rows, sets in shingles:
+        held.append((rows.column(0).to_pylist(), sets))
+        n += sum(map(len, sets))
+        if n >= least:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def similar_texts(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id linked with it, itself included), n_copies (texts with an equal set), n_links.
 
@@ -47,34 +60,35 @@ def _similar_texts(spark: SparkSession, docs: DataFrame, k: int, percent: int, l
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, sets in _shingles(batches, k):
-            yield np.concatenate([key32(s) for s in sets]) if sets else np.zeros(0, np.uint32)
+            yield key40(np.concatenate(sets)) if sets else np.zeros(0, U64)
 
-    known = spark.sparkContext.broadcast(shared_keys(docs, keys, 0.25))
+    known = shared_keys(docs, keys, 0.25, width=40, parts=True)
+    free(spark)  # the keys' shuffle goes before sets are written
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = known.value
-        for rows, sets in _shingles(batches, k):
-            out: list[tuple] = []
-            seen: set[bytes] = set()
-            names = rows.column(0).to_pylist()
-            level = [keys.levels(key32(s)) for s in sets]
-            for doc, s, v in zip(names, sets, level, strict=True):
-                n = len(s)
-                sig = set_id(s) if n else b""
-                out.append(("doc", doc, sig, n, None, None, None, None))
-                if not n or sig in seen:
-                    continue
-                seen.add(sig)
-                twice = keys.shared(key32(s))
-                order = np.lexsort((s, np.where(twice, 1 + v.astype(np.int64), 0)))[: n - (percent * n + 99) // 100 + 1]
-                listed = np.flatnonzero(twice[order])
-                if len(listed):
-                    own = s[order[listed]].view(np.int64).tolist()
-                    out.append(("set", None, sig, n, None, None, pack(s), own[:HEADS]))
-                    out += [("key", None, sig, n, x, p, None, None) for x, p in zip(own, listed.tolist(), strict=True)]
-            cols = list(zip(*out, strict=True))
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "sig", "n", "key", "pos", "blob", "heads"])
+        for held in _together(_shingles(batches, k), known.together):
+            every = key40(np.concatenate([s for _, sets in held for s in sets]))
+            levels, shared, at = known.levels(every).astype(np.int64), known.shared(every), 0
+            for names, sets in held:
+                out: list[tuple] = []
+                seen: set[bytes] = set()
+                for doc, s in zip(names, sets, strict=True):
+                    n = len(s)
+                    v, twice, at = levels[at : at + n], shared[at : at + n], at + n
+                    sig = set_id(s) if n else b""
+                    out.append(("doc", doc, sig, n, None, None, None, None))
+                    if not n or sig in seen:
+                        continue
+                    seen.add(sig)
+                    order = np.lexsort((s, np.where(twice, 1 + v, 0)))[: n - (percent * n + 99) // 100 + 1]
+                    listed = np.flatnonzero(twice[order])
+                    if len(listed):
+                        own = s[order[listed]].view(np.int64).tolist()
+                        out.append(("set", None, sig, n, None, None, pack(s), own[:HEADS]))
+                        out += [("key", None, sig, n, x, p, None, None) for x, p in zip(own, listed.tolist(), strict=True)]
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "sig", "n", "key", "pos", "blob", "heads"])
 
     rows = scratch.table(docs.mapInArrow(run, "kind string, doc_id long, sig binary, n int, key long, pos int, blob binary, heads array<long>"), "shingles", by="kind")
     known.destroy()  # written: nothing will be computed from it again

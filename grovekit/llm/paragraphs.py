@@ -126,12 +126,12 @@ def _sets(docs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield key32(batch.column(0).to_numpy().view(U64))
 
-    known = docs.sparkSession.sparkContext.broadcast(shared_keys(sigs.select("h"), keys, 1 / 8, least=1))
+    known = shared_keys(sigs.select("h"), keys, 1 / 8, least=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in slices(batches):
             start, end = edges_of(data != 10, offs)
-            use = known.value.shared(key32(quick_hash(prefix_hash(_lower(data), quick=True), start, end)))
+            use = known.shared(key32(quick_hash(prefix_hash(_lower(data), quick=True), start, end)))
             start, end = start[use], end[use]
             at = np.concatenate([[0], np.cumsum(end - start)])
             data = data[np.arange(at[-1]) + np.repeat(start - at[:-1], end - start)]
@@ -159,7 +159,7 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
             _, _, _, n, sentence = _sentences(data, offs, words)
             yield np.concatenate([key32(bands_of(flat, at).reshape(-1)), key32(sentence[n >= least_sentence, 0])])
 
-    known = spark.sparkContext.broadcast(shared_keys(docs, keys, 0.05))
+    known = shared_keys(docs, keys, 0.05)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
@@ -171,11 +171,11 @@ def paragraph_clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, k
             yield _stored("line", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sig), n=size)
             one, flat, at = _different(flat, at, sig)
             bands = bands_of(flat, at)
-            use = known.value.shared(key32(bands.reshape(-1))).reshape(bands.shape)
+            use = known.shared(key32(bands.reshape(-1))).reshape(bands.shape)
             i, band = np.nonzero(use)
             yield _stored("key", len(i), h=quick[one[i]].view(np.int64), sig=_ids(sig[one[i]]), n=size[one[i]], key=bands[i, band].view(np.int64))
             row, a, b, n, sentence = _sentences(data, offs, words)
-            again = np.flatnonzero((n >= least_sentence) & known.value.shared(key32(sentence[:, 0])))
+            again = np.flatnonzero((n >= least_sentence) & known.shared(key32(sentence[:, 0])))
             row, a, b = row[again], a[again], b[again]
             yield _stored("sentence", len(row), doc_id=doc.take(pa.array(row)), h=h.take(pa.array(row)), start=a - offs[row], end=b - offs[row], sig=_ids(sentence[again]), n=n[again])
 

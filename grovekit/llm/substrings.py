@@ -213,12 +213,12 @@ def _repeated_spans(spark: SparkSession, docs: DataFrame, length: int, shallow:
         for _, data, offs in slices(batches):
             yield anchors(data, offs, length, shallow, quick=True)[2]
 
-    known = spark.sparkContext.broadcast(shared_keys(docs, keys, 2 / (length - shallow)))
+    known = shared_keys(docs, keys, 2 / (length - shallow))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             row, x, key, first, last, s = anchors(data, offs, length, shallow)
-            use = known.value.shared(key) if len(key) else np.zeros(0, bool)
+            use = known.shared(key) if len(key) else np.zeros(0, bool)
             row, x, first, last = row[use], x[use], first[use], last[use]
             fp = span_hash(s, x, x + shallow)
             low, high = x - last, x - first

@@ -151,6 +151,43 @@ def test_chains_of_near_copies(spark):
     assert rows_of(ngram_join.similar_texts(spark, df, 3, 90), 3) == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("bits", [27, 15])
+def test_shared_keys_in_parts(spark, monkeypatch, bits):
+    monkeypatch.setattr(sharing, "BITS", bits)
+    h = np.random.default_rng(3).integers(0, 1 << 64, 12_000, np.uint64)
+    twice, once = h[:2000], h[2000:]
+    near = once ^ np.uint64(1 << 30)  # equal in the first 32 bits
+    rows = np.concatenate([twice, twice, once, near]).view(np.int64).tolist()
+
+    def keys(batches):
+        for b in batches:
+            yield sharing.key40(b.column(0).to_numpy().view(np.uint64))
+
+    known = sharing.shared_keys(spark.createDataFrame([(x,) for x in rows], "h long").repartition(3), keys, 1 / 8, width=40, parts=True)
+    assert len(known.parts) == max(1, 1 << (20 - bits if bits < 20 else 0)) and all(len(b.value) <= (1 << bits) // 8 for b in known.parts)
+    assert known.shared(sharing.key40(twice)).all()
+    assert known.shared(sharing.key40(np.concatenate([once, near]))).mean() < 0.01
+    known.destroy()
+
+
+def test_unrelated_texts_list_nothing_however_many_keys_are_shared(spark, monkeypatch):
+    rnd, rows, seen, linked_sets = random.Random(5), [], [], ngram_join.linked_sets
+    text = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(205)]
+    for i in range(400):
+        words = text()
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "more"])), (3 * i + 2, " ".join(text()))]
+
+    def linked(postings, sets, percent):
+        seen.append((postings.select("sig").distinct().count(), sets.count()))
+        return linked_sets(postings, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "linked_sets", linked)
+    monkeypatch.setattr(sharing, "BITS", 15)  # for 80,000 keys that two texts share
+    got = ngram_join.similar_texts(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80, links=False)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(d, d - (d % 3 == 1)) for d, _ in rows}
+    assert seen == [(800, 800)]
+
+
 def brute_links(rows, k, percent):
     sets = [set(zip(*[w[i:] for i in range(k)])) or ({tuple(w)} if w else set()) for _, t in rows for w in [(t or "").lower().split()]]
     return sorted((d, sum(1 for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= percent * len(x | y))) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True)))
